@@ -22,15 +22,21 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def with_global_index(df: DataFrame, order_cols: list, idx_col: str = "idx",
-                      num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based BIGINT position under ``order_cols`` (which must be unique)."""
+                      num_partitions: int | None = None, with_total: str | None = None) -> DataFrame:
+    """Add a 0-based BIGINT position under ``order_cols`` (which must be unique).
+
+    ``with_total`` names an optional column holding the total row count.
+    """
     n = _num_partitions(df, num_partitions)
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     tagged = (ordered.withColumn("_nl_mid", F.monotonically_increasing_id())
               .withColumn("_nl_pid", F.shiftright(F.col("_nl_mid"), 33)))
     counts = tagged.groupBy("_nl_pid").agg(F.count(F.lit(1)).alias("_nl_cnt"))
     w = Window.orderBy("_nl_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_nl_pid", F.coalesce(F.sum("_nl_cnt").over(w), F.lit(0)).alias("_nl_off"))
+    cols = ["_nl_pid", F.coalesce(F.sum("_nl_cnt").over(w), F.lit(0)).alias("_nl_off")]
+    if with_total:
+        cols.append(F.sum("_nl_cnt").over(Window.partitionBy(F.lit(1))).cast("bigint").alias(with_total))
+    offsets = counts.select(*cols)
     out = tagged.join(F.broadcast(offsets), "_nl_pid")
     local = F.col("_nl_mid") - F.shiftleft(F.col("_nl_pid"), 33)
     return (out.withColumn(idx_col, (F.col("_nl_off") + local).cast("bigint"))
