@@ -44,3 +44,8 @@ def concat_title(text, title) -> Column:
 def words(col) -> Column:
     """Lower-cased words of two or more letters, digits or underscores, in order."""
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(WORD_PATTERN), 0)
+
+
+def first_half_applies(src, excluded=("stackoverflow",)) -> Column:
+    """P5: the first-half query view is used unless the batch source is excluded."""
+    return ~_c(src).isin(list(excluded))

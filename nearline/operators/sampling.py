@@ -110,3 +110,9 @@ def assign_batches(df: DataFrame, key: str, batch_size: int, epoch: int = 0, see
     if drop_last:
         out = out.where(F.col("batch_id") < F.floor(F.col("_nl_n") / batch_size))
     return out.drop("_nl_i", "_nl_n")
+
+
+def filter_groups(groups: DataFrame, group_size: int = 8, min_pos: int = 1, min_neg: int | None = None) -> DataFrame:
+    """Keep groups with at least ``min_pos`` positives and ``group_size - 1`` negatives."""
+    min_neg = int(group_size) - 1 if min_neg is None else min_neg
+    return groups.where((F.size("positives") >= min_pos) & (F.size("negatives") >= min_neg))
