@@ -54,3 +54,56 @@ batches AS (SELECT batch_id, any_value(src) AS src, list(text ORDER BY pos) AS t
                    list(doc_id ORDER BY pos) AS doc_ids
             FROM batch_member GROUP BY batch_id)
 """
+
+STOPWORDS = ("a an and are as at be but by for if in into is it no not of on or such that the their then "
+             "there these they this to was will with").split()
+STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+
+
+def analyzed(expr: str) -> str:
+    return f"list_filter({words(expr)}, lambda x: NOT list_contains({STOP_LIST}, x))"
+
+
+# BM25 index over documents and top-10 run of benchmark queries (k1 1.5, b 0.75).
+BM25 = f"""
+bm_dt AS (SELECT doc_id, {analyzed('text')} AS terms FROM documents),
+bm_docs AS (SELECT doc_id, len(terms) AS dl FROM bm_dt),
+bm_stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM bm_docs),
+bm_tf AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM bm_dt) x GROUP BY 1, 2),
+bm_terms AS (SELECT term, count(*) AS df FROM bm_tf GROUP BY 1),
+bm_idf AS (SELECT term, df, ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM bm_terms, bm_stats),
+bm_post AS (SELECT t.term, t.doc_id, t.tf,
+                   i.idf * t.tf / (1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d.dl / s.avgdl) + t.tf) AS w
+            FROM bm_tf t JOIN bm_docs d ON t.doc_id = d.doc_id JOIN bm_idf i ON t.term = i.term, bm_stats s),
+bm_q AS (SELECT item_id AS qid, text AS qtext, {analyzed('text')} AS terms FROM benchmark),
+bm_qt AS (SELECT DISTINCT qid, unnest(terms) AS term FROM bm_q),
+bm_scores AS (SELECT qid, doc_id AS docid, round(sum(w), 6) AS score
+              FROM bm_qt JOIN bm_post ON bm_qt.term = bm_post.term GROUP BY 1, 2),
+bm_run AS (SELECT qid, docid, score,
+                  CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS BIGINT) AS rank
+           FROM bm_scores QUALIFY rank <= 10),
+qrels AS (SELECT b.item_id AS qid, d.doc_id AS docid, CAST(1 AS INTEGER) AS rel
+          FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+ev_j AS (SELECT r.qid, r.docid, r.rank, coalesce(q.rel, 0) AS rel
+         FROM bm_run r LEFT JOIN qrels q ON r.qid = q.qid AND r.docid = q.docid),
+ev_nrel AS (SELECT qid, count(*) AS nrel FROM qrels WHERE rel > 0 GROUP BY qid),
+ev_ndcg AS (
+  SELECT i.qid, round(coalesce(d.dcg, 0) / i.idcg, 6) AS ndcg_10
+  FROM (SELECT qid, sum(rel / log2(r + 1.0::DOUBLE)) AS idcg
+        FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, docid) AS r
+              FROM qrels WHERE rel > 0) x WHERE r <= 10 GROUP BY qid) i
+  LEFT JOIN (SELECT qid, sum(rel / log2(rank + 1.0::DOUBLE)) AS dcg FROM ev_j GROUP BY qid) d ON i.qid = d.qid),
+ev_rp AS (
+  SELECT n.qid, round(coalesce(h.hits, 0) / n.nrel, 6) AS recall_10, round(coalesce(h.hits, 0) / 10.0::DOUBLE, 6) AS precision_10
+  FROM ev_nrel n LEFT JOIN (SELECT qid, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) AS hits FROM ev_j GROUP BY qid) h
+  ON n.qid = h.qid),
+ev_mrr AS (
+  SELECT n.qid, coalesce(m.v, 0.0) AS mrr_10 FROM ev_nrel n
+  LEFT JOIN (SELECT qid, round(1.0::DOUBLE / min(rank), 6) AS v FROM ev_j WHERE rel > 0 GROUP BY qid) m ON n.qid = m.qid),
+ev_map AS (
+  SELECT n.qid, round(coalesce(a.s, 0.0) / n.nrel, 6) AS map_10 FROM ev_nrel n
+  LEFT JOIN (SELECT qid, sum(cum / rank) AS s FROM (
+               SELECT qid, rank, rel, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END)
+                      OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+               FROM ev_j) x WHERE rel > 0 GROUP BY qid) a ON n.qid = a.qid)
+"""
