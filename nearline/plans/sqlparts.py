@@ -107,3 +107,37 @@ ev_map AS (
                       OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
                FROM ev_j) x WHERE rel > 0 GROUP BY qid) a ON n.qid = a.qid)
 """
+
+# Vocabulary over documents and word-id tokenization ([BOS]=1 first, unknown -> 3).
+VOCAB = f"""
+vw AS (SELECT doc_id, {words('text')} AS w FROM documents),
+vt AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM vw),
+vc AS (SELECT term, count(*)::BIGINT AS cf, count(DISTINCT doc_id)::BIGINT AS df FROM vt GROUP BY term),
+vocab AS (SELECT term, (row_number() OVER (ORDER BY cf DESC, term) - 1 + 4)::BIGINT AS term_id, cf, df FROM vc
+          UNION ALL SELECT * FROM (VALUES ('<pad>', 0::BIGINT, 0::BIGINT, 0::BIGINT), ('<s>', 1, 0, 0),
+                                          ('</s>', 2, 0, 0), ('<unk>', 3, 0, 0)) s(term, term_id, cf, df)),
+dids AS (SELECT doc_id, list(CAST(coalesce(v.term_id, 3) AS INTEGER) ORDER BY p) AS ids
+         FROM vt LEFT JOIN vocab v ON vt.term = v.term GROUP BY doc_id),
+dtok AS (SELECT d.doc_id, [1] || coalesce(x.ids, []::INTEGER[]) AS input_ids
+         FROM documents d LEFT JOIN dids x ON d.doc_id = x.doc_id)
+"""
+
+
+def rep(value: int, n: str) -> str:
+    return f"list_transform(range(greatest({n}, 0)), lambda x: CAST({value} AS INTEGER))"
+
+
+def pad(ids: str, length: str, pad_id: int = 2) -> str:
+    return f"({ids} || {rep(pad_id, f'{length} - len({ids})')})"
+
+
+def mask(n: str, length: str) -> str:
+    return f"({rep(1, n)} || {rep(0, f'{length} - {n}')})"
+
+
+def half(ids: str, eos: int = 2) -> str:
+    return f"CAST(floor((len({ids}) - CASE WHEN {ids}[-1] = {eos} THEN 1 ELSE 0 END) * 0.5::DOUBLE) AS INTEGER)"
+
+
+def first_half(ids: str, eos: int = 2) -> str:
+    return f"(list_slice({ids}, 1, {half(ids, eos)}) || [CAST({eos} AS INTEGER)])"
