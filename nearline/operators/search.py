@@ -41,7 +41,7 @@ def _count(df: DataFrame) -> int:
 def _pack(df: DataFrame, key: str, id_col: str, vec_col: str, prefix: str) -> DataFrame:
     """One row per key: ids and the row-major flattened vectors of that key."""
     g = df.groupBy(key).agg(F.collect_list(F.struct(F.col(id_col).alias("i"),
-                                                    F.col(vec_col).cast("array<float>").alias("v"))).alias("m"))
+                                                    F.col(vec_col).alias("v"))).alias("m"))
     return g.select(key,
                     F.transform("m", lambda s: s["i"]).alias(f"{prefix}_ids"),
                     F.flatten(F.transform("m", lambda s: s["v"])).alias(f"{prefix}_flat"))
@@ -75,8 +75,8 @@ def _block_scorer(k: int, decimals: int):
                     continue
                 qi = np.asarray(q_ids, dtype=np.int64)
                 di = np.asarray(d_ids, dtype=np.int64)
-                Q = np.asarray(q_flat, dtype=np.float32).astype(np.float64).reshape(qi.size, -1)
-                D = np.asarray(d_flat, dtype=np.float32).astype(np.float64).reshape(di.size, -1)
+                Q = np.asarray(q_flat).astype(np.float64).reshape(qi.size, -1)
+                D = np.asarray(d_flat).astype(np.float64).reshape(di.size, -1)
                 S = np.round(Q @ D.T, decimals)
                 idx = _topk_rows(S, di, k)
                 rows = np.repeat(np.arange(qi.size), idx.shape[1])

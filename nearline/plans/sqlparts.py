@@ -141,3 +141,36 @@ def half(ids: str, eos: int = 2) -> str:
 
 def first_half(ids: str, eos: int = 2) -> str:
     return f"(list_slice({ids}, 1, {half(ids, eos)}) || [CAST({eos} AS INTEGER)])"
+
+
+def hash_encode(name: str, src: str, binary: bool = False, dim: int = 64) -> str:
+    """CTEs ``{name}`` (id, rep) of the hashing encoder over ``src`` (id, terms); needs bm_idf."""
+    terms = "list_distinct(terms)" if binary else "terms"
+    return f"""
+{name}_tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms}) AS term FROM {src}) x GROUP BY 1, 2),
+{name}_w AS (SELECT id, CAST({hex8('md5(term)')} % {dim} AS INTEGER) AS bucket,
+                 CASE WHEN {hex8('substr(md5(term), 9, 8)')} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * tf * idf AS v
+          FROM {name}_tf JOIN bm_idf USING (term)),
+{name}_b AS (SELECT id, bucket, sum(v) AS v FROM {name}_w GROUP BY 1, 2),
+{name}_d AS (SELECT s.id, list(coalesce(b.v, 0.0::DOUBLE) ORDER BY r.i) AS dense
+          FROM {src} s CROSS JOIN range({dim}) r(i) LEFT JOIN {name}_b b ON b.id = s.id AND b.bucket = r.i GROUP BY s.id),
+{name} AS (SELECT id, list_transform(dense, lambda x: x / greatest(sqrt(list_inner_product(dense, dense)), 1e-12::DOUBLE)) AS rep
+        FROM {name}_d)
+"""
+
+
+def unit(expr: str) -> str:
+    return f"({hex8(expr)}::DOUBLE / 4294967296.0::DOUBLE)"
+
+
+# Synthetic model outputs over benchmark words (first 32 positions), from md5 values.
+MODEL_OUT = f"""
+mo_w AS (SELECT item_id AS id, {words('text')} AS w FROM benchmark),
+mo_n AS (SELECT id, w, least(len(w), 32) AS n FROM mo_w),
+mo_pos AS (SELECT id, n, w, unnest(range(n)) AS pos FROM mo_n),
+token_logits AS (SELECT id, pos, CAST({hex8(md5k("'42'", 'id', 'pos', 'j'))} % 1000 AS INTEGER) AS term_id,
+                        {unit(md5k("'43'", 'id', 'pos', 'j'))} * 4.0::DOUBLE - 2.0::DOUBLE AS logit, 1 AS mask
+                 FROM mo_pos, range(8) r(j)),
+token_weights AS (SELECT id, pos, CAST({hex8('md5(w[pos + 1])')} % 30000 AS INTEGER) AS term_id,
+                         {unit(md5k("'44'", 'id', 'pos'))} * 2.0::DOUBLE - 1.0::DOUBLE AS weight FROM mo_pos)
+"""
