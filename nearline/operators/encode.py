@@ -102,6 +102,20 @@ def hashing_encode(df: DataFrame, index: BM25Index, dim: int = 64, is_query: boo
     return vec
 
 
+def hashing_encode_index(index: BM25Index, dim: int = 64) -> DataFrame:
+    """Hashing encoder of the indexed corpus itself, read off the stored postings
+    (tf) instead of analysing the text again; equals ``hashing_encode`` on it."""
+    w = index.postings.join(index.terms.select("term", "idf"), "term").select(
+        F.col("doc_id").alias("id"), term_bucket(F.col("term"), dim).alias("bucket"),
+        (term_sign(F.col("term")) * F.col("tf") * F.col("idf")).alias("v"))
+    b = w.groupBy("id", "bucket").agg(F.sum("v").alias("v"))
+    g = b.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
+    return (index.docs.select(F.col("doc_id").alias("id")).join(g, "id", "left")
+            .select("id", l2_normalize(dense).alias("rep")))
+
+
 class HashingEncoder:
     """numpy form of the hashing encoder (tf weights, no idf) for the ``encode`` path."""
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from nearline.functions.text import WS_CLASS, words
 from nearline.operators.search import rank_results
+from nearline.session import ensure_checkpoint_dir
 
 # English stopword list of the lexical analyzer ('en').
 ENGLISH_STOPWORDS = (
@@ -75,19 +76,31 @@ class BM25Index:
 
 
 def bm25_index(analyzed: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "id",
-               terms_col: str = "terms") -> BM25Index:
-    """B2: postings(term, doc_id, tf, w), terms(term, df, idf), docs(doc_id, dl), stats(n, avgdl)."""
-    docs = analyzed.select(F.col(id_col).alias("doc_id"), F.size(terms_col).cast("bigint").alias("dl"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    tf = (analyzed.select(F.col(id_col).alias("doc_id"), F.explode(terms_col).alias("term"))
-          .groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")))
+               terms_col: str = "terms", materialize: bool = True) -> BM25Index:
+    """B2: postings(term, doc_id, tf, w), terms(term, df, idf), docs(doc_id, dl), stats(n, avgdl).
+
+    The term-frequency table (one row per document and term, carrying the
+    document length) is built in one pass over the text and checkpointed to the
+    shared checkpoint folder, so analysis runs once and every derived table reads
+    the stored copy.  Document count comes from the id column alone (no analysis).
+    """
+    tok = analyzed.select(F.col(id_col).alias("doc_id"), F.size(terms_col).cast("bigint").alias("dl"),
+                          F.explode(terms_col).alias("term"))
+    tf = tok.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    if materialize:
+        ensure_checkpoint_dir(analyzed.sparkSession)
+        tf = tf.checkpoint(eager=True)
+    ids = analyzed.select(F.col(id_col).alias("doc_id"))
+    n = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
+    avgdl = tf.agg((F.sum("tf") / n).alias("avgdl")).scalar()
+    stats = ids.agg(F.count(F.lit(1)).alias("n")).select("n", avgdl.alias("avgdl"))
+    per_doc = tf.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+    docs = ids.join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl"))
     terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = terms.withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = F.lit(k1) * (1.0 - b + b * F.col("dl") / avgdl)
-    postings = (tf.join(docs, "doc_id").join(terms.select("term", "idf"), "term")
-                .select("term", "doc_id", "tf",
-                        (F.col("idf") * F.col("tf") / (norm + F.col("tf"))).alias("w")))
+    postings = (tf.join(terms.select("term", "idf"), "term")
+                .select("term", "doc_id", "tf", (F.col("idf") * F.col("tf") / (norm + F.col("tf"))).alias("w")))
     return BM25Index(postings, terms, docs, stats, k1, b)
 
 

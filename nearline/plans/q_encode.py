@@ -21,7 +21,7 @@ def _index(spark, sf_dir):
 
 
 def _doc_reps(spark, sf_dir, idx):
-    return E.hashing_encode(table(spark, sf_dir, "documents"), idx, dim=64, id_col="doc_id")
+    return E.hashing_encode_index(idx, dim=64)
 
 
 def _query_reps(spark, sf_dir, idx):
