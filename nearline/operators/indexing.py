@@ -7,10 +7,10 @@ position in the lower 33 bits), and shifted by the running total of the
 per-partition counts.  The counts table has one row per partition, so the only
 single-task step and the broadcast are bounded by the partition count.
 
-The range-partitioned rows are checkpointed to the shared checkpoint folder
+The range-partitioned rows are written to the shared checkpoint folder
 before they are counted: range bounds come from a sample whose outcome depends
 on the arrival order of shuffled rows, so two independent evaluations could
-disagree.  The checkpoint fixes one evaluation, cuts the lineage, and lets a
+disagree.  The stored copy fixes one evaluation, cuts the lineage, and lets a
 lost executor be replaced without recomputing the numbering.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearline.session import ensure_checkpoint_dir
+from nearline.session import materialize
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -38,8 +38,7 @@ def with_global_index(df: DataFrame, order_cols: list, idx_col: str = "idx",
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     tagged = (ordered.withColumn("_nl_mid", F.monotonically_increasing_id())
               .withColumn("_nl_pid", F.shiftright(F.col("_nl_mid"), 33)))
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = tagged.checkpoint(eager=True)
+    tagged = materialize(tagged, "ordered")
     counts = tagged.groupBy("_nl_pid").agg(F.count(F.lit(1)).alias("_nl_cnt"))
     w = Window.orderBy("_nl_pid").rowsBetween(Window.unboundedPreceding, -1)
     cols = ["_nl_pid", F.coalesce(F.sum("_nl_cnt").over(w), F.lit(0)).alias("_nl_off")]

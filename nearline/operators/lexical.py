@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nearline.functions.text import WS_CLASS, words
 from nearline.operators.search import rank_results
-from nearline.session import ensure_checkpoint_dir
+from nearline.session import materialize as materialize_table
 
 # English stopword list of the lexical analyzer ('en').
 ENGLISH_STOPWORDS = (
@@ -29,8 +29,8 @@ def analyze_col(text, stopwords=ENGLISH_STOPWORDS) -> Column:
     """B1 as a column: lower-cased words of 2+ word characters minus stopwords."""
     toks = words(text)
     if stopwords:
-        stop = F.array(*[F.lit(w) for w in stopwords])
-        toks = F.filter(toks, lambda x: ~F.array_contains(stop, x))
+        stop = list(stopwords)
+        toks = F.filter(toks, lambda x: ~x.isin(stop))
     return toks
 
 
@@ -80,16 +80,16 @@ def bm25_index(analyzed: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: st
     """B2: postings(term, doc_id, tf, w), terms(term, df, idf), docs(doc_id, dl), stats(n, avgdl).
 
     The term-frequency table (one row per document and term, carrying the
-    document length) is built in one pass over the text and checkpointed to the
-    shared checkpoint folder, so analysis runs once and every derived table reads
-    the stored copy.  Document count comes from the id column alone (no analysis).
+    document length) is built in one pass over the text; it, the term table and
+    the weighted postings are written to the shared checkpoint folder, so
+    analysis runs once and searches read stored, pruned Parquet.  The document
+    count comes from the id column alone (no analysis).
     """
     tok = analyzed.select(F.col(id_col).alias("doc_id"), F.size(terms_col).cast("bigint").alias("dl"),
                           F.explode(terms_col).alias("term"))
     tf = tok.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     if materialize:
-        ensure_checkpoint_dir(analyzed.sparkSession)
-        tf = tf.checkpoint(eager=True)
+        tf = materialize_table(tf, "bm25_tf")
     ids = analyzed.select(F.col(id_col).alias("doc_id"))
     n = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
     avgdl = tf.agg((F.sum("tf") / n).alias("avgdl")).scalar()
@@ -98,9 +98,14 @@ def bm25_index(analyzed: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: st
     docs = ids.join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl"))
     terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = terms.withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    if materialize:
+        terms = materialize_table(terms, "bm25_terms")
     norm = F.lit(k1) * (1.0 - b + b * F.col("dl") / avgdl)
     postings = (tf.join(terms.select("term", "idf"), "term")
                 .select("term", "doc_id", "tf", (F.col("idf") * F.col("tf") / (norm + F.col("tf"))).alias("w")))
+    if materialize:
+        # Stored clustered by document so per-document score sums combine map-side.
+        postings = materialize_table(postings.repartition("doc_id"), "bm25_postings")
     return BM25Index(postings, terms, docs, stats, k1, b)
 
 

@@ -55,5 +55,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/nearline/{name}-{uuid.uuid4().hex}"
 
 
+# Key columns of the driver tables, used to spread under-partitioned scans.
+TABLE_KEYS = {"documents": "doc_id", "embeddings": "vec_id", "benchmark": "item_id", "conversations": "conv_id",
+              "events": "event_id", "pages": "page_id", "labels": "doc_id"}
+
+
+def spread(df, key: str | None = None, min_partitions: int | None = None):
+    """Hash-repartition a frame on ``key`` when it has fewer partitions than the
+    cluster has cores (e.g. a single-row-group file), so per-row work runs in
+    parallel; a no-op for scans that are already split, as at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = TABLE_KEYS.get(name)
+    return spread(df, key) if key else df
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (the stored copy survives executor
+    loss) while later reads stay columnar, pruned and vectorised.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
