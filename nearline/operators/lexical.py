@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearline.functions.text import WS_CLASS, words
@@ -141,3 +141,107 @@ def chunk(corpus: DataFrame, max_words: int = 128, overlap: int = 0, id_col: str
             .select("doc_id", "_w", F.posexplode("_s").alias("chunk_no", "_i"))
             .select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"),
                     F.array_join(F.slice("_w", (F.col("_i") * step + 1).cast("int"), max_words), " ").alias("text")))
+
+
+def _neighbour_scorer(k: int, decimals: int, exclude_same_text: bool):
+    import numpy as np
+    import pandas as pd
+
+    def run(it):
+        for pdf in it:
+            outs = []
+            for r in pdf.itertuples(index=False):
+                s_ids = np.asarray(r.s_doc, dtype=np.int64)
+                s_terms = np.asarray(r.s_term, dtype=np.int64)
+                c_ids = np.asarray(r.c_doc, dtype=np.int64)
+                c_terms = np.asarray(r.c_term, dtype=np.int64)
+                c_w = np.asarray(r.c_w, dtype=np.float64)
+                if s_ids.size == 0 or c_ids.size == 0:
+                    continue
+                shared = np.intersect1d(s_terms, c_terms)
+                if shared.size == 0:
+                    continue
+                us, s_row = np.unique(s_ids, return_inverse=True)
+                uc, c_col = np.unique(c_ids, return_inverse=True)
+                ms, mc = np.isin(s_terms, shared), np.isin(c_terms, shared)
+                Q = np.zeros((us.size, shared.size))
+                Q[s_row[ms], np.searchsorted(shared, s_terms[ms])] = 1.0
+                W = np.zeros((shared.size, uc.size))
+                W[np.searchsorted(shared, c_terms[mc]), c_col[mc]] = c_w[mc]
+                hits = (Q @ (W > 0)) > 0
+                S_ = np.round(Q @ W, decimals)
+                S_[~hits] = -np.inf
+                S_[us[:, None] == uc[None, :]] = -np.inf
+                if exclude_same_text:
+                    sh = dict(zip(np.asarray(r.s_dochash_id, dtype=np.int64), np.asarray(r.s_dochash, dtype=np.int64)))
+                    ch = dict(zip(np.asarray(r.c_dochash_id, dtype=np.int64), np.asarray(r.c_dochash, dtype=np.int64)))
+                    hs = np.array([sh[i] for i in us])
+                    hc = np.array([ch[i] for i in uc])
+                    S_[hs[:, None] == hc[None, :]] = -np.inf
+                kk = min(k, uc.size)
+                for i in range(us.size):
+                    row = S_[i]
+                    ok = np.nonzero(np.isfinite(row))[0]
+                    if ok.size == 0:
+                        continue
+                    order = ok[np.lexsort((uc[ok], -row[ok]))][:kk]
+                    outs.append(pd.DataFrame({"seed": us[i], "docid": uc[order], "score": row[order]}))
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+
+    return run
+
+
+def build_batches(index: BM25Index, corpus: DataFrame | None = None, top_k: int = 16, seed_block: int = 128,
+                  cand_block: int = 512, exclude_same_text: bool = False, id_col: str = "id", text_col: str = "text",
+                  decimals: int = 6) -> DataFrame:
+    """Every document as a seed plus its ``top_k - 1`` best BM25 neighbours.
+
+    Exact: the seed's distinct terms are the query, every other document sharing
+    a term is scored.  No (seed, candidate) pair is ever emitted as a row: seeds
+    and candidates are packed into blocks from the postings, each (seed block,
+    candidate block) pair multiplies a seed-term incidence matrix by a
+    term-weight matrix inside one task, and only the local top ``top_k - 1`` per
+    seed leaves the task.  The final merge is a ``row_number`` window per seed.
+    Output: neighbours(seed, rank, docid, score).
+    """
+    import math
+
+    from nearline.operators.search import _count
+
+    post = index.postings.select("doc_id", F.xxhash64("term").alias("th"), "w")
+    n = _count(index.docs)
+    n_sb, n_cb = max(1, math.ceil(n / seed_block)), max(1, math.ceil(n / cand_block))
+    s = post.withColumn("sb", F.pmod(F.xxhash64("doc_id"), F.lit(n_sb)).cast("int"))
+    c = post.withColumn("cb", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(n_cb)).cast("int"))
+    s_pack = s.groupBy("sb").agg(F.collect_list("doc_id").alias("s_doc"), F.collect_list("th").alias("s_term"))
+    c_pack = c.groupBy("cb").agg(F.collect_list("doc_id").alias("c_doc"), F.collect_list("th").alias("c_term"),
+                                 F.collect_list("w").alias("c_w"))
+    cols = ["s_doc", "s_term", "c_doc", "c_term", "c_w"]
+    if exclude_same_text:
+        if corpus is None:
+            raise ValueError("exclude_same_text needs the corpus")
+        hashes = corpus.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"))
+        sh = hashes.withColumn("sb", F.pmod(F.xxhash64("doc_id"), F.lit(n_sb)).cast("int")).groupBy("sb").agg(
+            F.collect_list("doc_id").alias("s_dochash_id"), F.collect_list("h").alias("s_dochash"))
+        ch = hashes.withColumn("cb", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(n_cb)).cast("int")).groupBy(
+            "cb").agg(F.collect_list("doc_id").alias("c_dochash_id"), F.collect_list("h").alias("c_dochash"))
+        s_pack, c_pack = s_pack.join(sh, "sb"), c_pack.join(ch, "cb")
+        cols += ["s_dochash_id", "s_dochash", "c_dochash_id", "c_dochash"]
+    # Each seed block meets every candidate block (equi-join on the block key).
+    grid = (s_pack.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))).join(c_pack, "cb").select(*cols))
+    local = grid.mapInPandas(_neighbour_scorer(top_k - 1, decimals, exclude_same_text),
+                             "seed bigint, docid bigint, score double")
+    w = Window.partitionBy("seed").orderBy(F.col("score").desc(), F.col("docid").asc())
+    return (local.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top_k - 1)
+            .select("seed", "rank", "docid", "score"))
+
+
+def neighbour_batches(neighbours: DataFrame, seeds: DataFrame, src_col: str = "source") -> DataFrame:
+    """B4 as batches(batch_id, src, doc_ids): [seed] + neighbours in rank order; src of the seed."""
+    g = neighbours.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("rank", "docid"))).alias("n"))
+    s = seeds.select(F.col("id").alias("seed"), F.col(src_col).alias("src"))
+    return s.join(g, "seed", "left").select(
+        F.col("seed").alias("batch_id"), "src",
+        F.concat(F.array("seed"), F.coalesce(F.transform("n", lambda x: x["docid"]), F.array().cast("array<bigint>")))
+        .alias("doc_ids"))

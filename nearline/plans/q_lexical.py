@@ -102,3 +102,16 @@ FROM ev_ndcg JOIN ev_rp USING (qid) JOIN ev_mrr USING (qid) JOIN ev_map USING (q
 """)
 def r6_mean_over_queries(spark, sf_dir):
     return R.mean_over_queries(R.evaluate(*_eval(spark, sf_dir), k=10))
+
+
+@register("b4_build_batches", f"""
+WITH {BM25},
+seed_t AS (SELECT DISTINCT doc_id AS seed, term FROM bm_tf),
+s AS (SELECT st.seed, p.doc_id AS docid, round(sum(p.w), 6) AS score
+      FROM seed_t st JOIN bm_post p ON st.term = p.term WHERE p.doc_id <> st.seed GROUP BY 1, 2)
+SELECT seed, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, docid) AS BIGINT) AS rank, docid, score
+FROM s QUALIFY rank <= 7
+""")
+def b4_build_batches(spark, sf_dir):
+    _, idx = _index(spark, sf_dir)
+    return B.build_batches(idx, top_k=8, seed_block=128, cand_block=256)
