@@ -8,6 +8,8 @@ subtracts the row maximum first, which keeps temperature 1e-4 finite.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +112,73 @@ def metric_log(log: DataFrame, every: int, step: str = "step", loss: str = "loss
     return log.groupBy(F.floor(F.col(step) / every).cast("bigint").alias("window")).agg(
         F.min(step).alias("first_step"), F.max(step).alias("last_step"),
         F.avg(loss).alias("mean_loss"), F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+def _adapter_grads(W: np.ndarray):
+    """Per-batch analytic gradient of the mean-free contrastive loss on normalize(W x)."""
+
+    def per_batch(pdf):
+        q = pdf[pdf["side"] == "q"].sort_values("id")
+        p = pdf[pdf["side"] == "p"].sort_values("id")
+        if len(q) == 0 or len(p) == 0:
+            return pd.DataFrame({"grad": [np.zeros(W.size)], "loss": [0.0], "n": [0]})
+        Xq = np.stack(q["rep"].map(lambda v: np.asarray(v, dtype=np.float64)))
+        Xp = np.stack(p["rep"].map(lambda v: np.asarray(v, dtype=np.float64)))
+        pid = p["id"].to_numpy()
+        tgt = np.searchsorted(pid, q["target"].to_numpy())
+        keep = (tgt < len(pid)) & (pid[np.minimum(tgt, len(pid) - 1)] == q["target"].to_numpy())
+        Xq, tgt = Xq[keep], tgt[keep]
+        if len(Xq) == 0:
+            return pd.DataFrame({"grad": [np.zeros(W.size)], "loss": [0.0], "n": [0]})
+        Zq, Zp = Xq @ W.T, Xp @ W.T
+        nq = np.maximum(np.linalg.norm(Zq, axis=1, keepdims=True), 1e-12)
+        npn = np.maximum(np.linalg.norm(Zp, axis=1, keepdims=True), 1e-12)
+        U, V = Zq / nq, Zp / npn
+        S_ = U @ V.T
+        m = S_.max(1, keepdims=True)
+        E_ = np.exp(S_ - m)
+        P = E_ / E_.sum(1, keepdims=True)
+        loss = float((np.log(E_.sum(1)) + m[:, 0] - S_[np.arange(len(tgt)), tgt]).sum())
+        G = P.copy()
+        G[np.arange(len(tgt)), tgt] -= 1.0          # dL/dS
+        dU, dV = G @ V, G.T @ U
+        dZq = (dU - U * (U * dU).sum(1, keepdims=True)) / nq
+        dZp = (dV - V * (V * dV).sum(1, keepdims=True)) / npn
+        grad = dZq.T @ Xq + dZp.T @ Xp
+        return pd.DataFrame({"grad": [grad.reshape(-1)], "loss": [loss], "n": [len(tgt)]})
+
+    return per_batch
+
+
+def adapter_gradient(queries: DataFrame, passages: DataFrame, targets: DataFrame, W: np.ndarray):
+    """Full-batch gradient and mean loss: per-batch gradients summed coefficient-wise."""
+    q = queries.join(targets, "qid").select("batch_id", F.col("qid").alias("id"), "rep", "target",
+                                            F.lit("q").alias("side"))
+    p = passages.select("batch_id", F.col("pid").alias("id"), "rep", F.lit(None).cast("bigint").alias("target"),
+                        F.lit("p").alias("side"))
+    per = q.unionByName(p).groupBy("batch_id").applyInPandas(
+        _adapter_grads(W), "grad array<double>, loss double, n bigint")
+    coef = per.select(F.posexplode("grad").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"))
+    tot = per.agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
+    g = np.zeros(W.size)
+    for r in coef.collect():   # d*d model-sized rows
+        g[r.i] = r.g
+    n = max(int(tot.n or 0), 1)
+    return g.reshape(W.shape) / n, float(tot.loss or 0.0) / n
+
+
+def fit_linear_adapter(queries: DataFrame, passages: DataFrame, targets: DataFrame, dim: int, steps: int = 5,
+                       lr: float = 0.1, seed: int = 42):
+    """Learn W (d x d) minimising the in-batch contrastive loss of normalize(W x).
+
+    Gradient descent; each step is one Spark job (group per batch, sum per
+    coefficient); the driver holds only W.  Returns (W, [loss per step]).
+    """
+    rng = np.random.default_rng(seed)
+    W = np.eye(dim) + 0.01 * rng.standard_normal((dim, dim))
+    losses = []
+    for _ in range(steps):
+        g, loss = adapter_gradient(queries, passages, targets, W)
+        losses.append(loss)
+        W = W - lr * g
+    return W, losses

@@ -199,3 +199,12 @@ FROM events GROUP BY 1
 def a10_metric_log(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss"))
     return A.metric_log(log, every=100).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+@register("a9_fit_linear_adapter")
+def a9_fit_linear_adapter(spark, sf_dir):
+    """Three gradient steps on the even/odd in-batch pairs; W returned as (i, j, w) rows."""
+    q, p, t = _qp(spark, sf_dir)
+    W, losses = A.fit_linear_adapter(q, p, t, dim=64, steps=3, lr=0.5)
+    rows = [(i, j, float(W[i, j])) for i in range(W.shape[0]) for j in range(W.shape[1])]
+    return spark.createDataFrame(rows, "i int, j int, w double")

@@ -174,3 +174,31 @@ def test_generic_encode_path(spark):
     assert len(reps) == docs.count()
     norms = [np.linalg.norm(r.rep) for r in reps]
     assert np.allclose([n for n in norms if n > 0], 1.0, atol=1e-5)
+
+
+def test_adapter_gradient_matches_finite_differences(spark):
+    rng = np.random.default_rng(0)
+    d = 4
+    rows_q, rows_p, rows_t = [], [], []
+    for b in range(3):
+        for i in range(3):
+            rows_q.append((b, b * 10 + i, rng.standard_normal(d).tolist()))
+            rows_p.append((b, b * 10 + 5 + i, rng.standard_normal(d).tolist()))
+            rows_t.append((b * 10 + i, b * 10 + 5 + i))
+    q = spark.createDataFrame(rows_q, "batch_id bigint, qid bigint, rep array<double>")
+    p = spark.createDataFrame(rows_p, "batch_id bigint, pid bigint, rep array<double>")
+    t = spark.createDataFrame(rows_t, "qid bigint, target bigint")
+    W = np.eye(d) + 0.1 * rng.standard_normal((d, d))
+    g, loss = A.adapter_gradient(q, p, t, W)
+    eps = 1e-6
+    for (i, j) in [(0, 0), (1, 2), (3, 1)]:
+        Wp, Wm = W.copy(), W.copy()
+        Wp[i, j] += eps
+        Wm[i, j] -= eps
+        fd = (A.adapter_gradient(q, p, t, Wp)[1] - A.adapter_gradient(q, p, t, Wm)[1]) / (2 * eps)
+        assert abs(fd - g[i, j]) < 1e-5
+    # the loss equals the SQL-style table aggregate on normalised reps
+    from nearline.functions.vectors import l2_normalize
+    tr = lambda df: df.withColumn("rep", l2_normalize(F.col("rep")))  # W = I case below
+    base = A.contrastive_loss(tr(q), tr(p), t, reduction="mean").first()[0]
+    assert abs(A.adapter_gradient(q, p, t, np.eye(d))[1] - base) < 1e-9
