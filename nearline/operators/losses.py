@@ -182,3 +182,52 @@ def fit_linear_adapter(queries: DataFrame, passages: DataFrame, targets: DataFra
         losses.append(loss)
         W = W - lr * g
     return W, losses
+
+
+def retrieval_weighted_lm_loss(members: DataFrame, corpus: DataFrame, lam: float = 0.1, temperature: float = 0.05,
+                               ratio: float = 0.5, text_col: str = "text", corpus_text: str = "text") -> DataFrame:
+    """The training objective re-aimed to a count language model.
+
+    For document i of a batch: loss_i = -mean over its second-half tokens t of
+    ln(lam * p_bg(t) + (1 - lam) * sum_j w_ij * p_j(t)), where p_j is document
+    j's unigram distribution, p_bg the corpus unigram distribution, and w_ij the
+    softmax (temperature, diagonal excluded) of the cosine between i's first-half
+    term counts and j's full term counts.  A document alone in its batch uses
+    lam = 1.  Every join is on (batch, term) or (batch, doc), so work is bounded
+    by batch size times tokens.  -> (batch_id, doc_id, loss)
+    """
+    from nearline.functions.text import words
+
+    w = words(F.col(text_col))
+    toks = members.select("batch_id", "doc_id", F.size(w).alias("n"), F.posexplode(w).alias("pos", "term"))
+    toks = toks.withColumn("half", F.floor(F.col("n") * F.lit(float(ratio))))
+    qc = toks.where(F.col("pos") < F.col("half")).groupBy("batch_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("qc"))
+    dc = toks.groupBy("batch_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("dc"), F.first("n").alias("n"))
+    qn = qc.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("qc") * F.col("qc"))).alias("qn"))
+    dn = dc.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("dc") * F.col("dc"))).alias("dn"))
+    ov = (qc.select("batch_id", F.col("doc_id").alias("i"), "term", "qc")
+          .join(dc.select("batch_id", F.col("doc_id").alias("j"), "term", "dc"), ["batch_id", "term"])
+          .groupBy("batch_id", "i", "j").agg(F.sum(F.col("qc") * F.col("dc")).alias("ov")))
+    mem = members.select("batch_id", "doc_id")
+    pairs = (mem.select("batch_id", F.col("doc_id").alias("i")).join(mem.select("batch_id", F.col("doc_id").alias("j")),
+                                                                      "batch_id")
+             .where(F.col("i") != F.col("j"))
+             .join(ov, ["batch_id", "i", "j"], "left")
+             .join(qn.withColumnRenamed("doc_id", "i"), "i", "left")
+             .join(dn.withColumnRenamed("doc_id", "j"), "j", "left"))
+    sim = F.coalesce(F.col("ov"), F.lit(0)) / (F.greatest(F.coalesce("qn", F.lit(0.0)), F.lit(1e-12)) *
+                                                F.greatest(F.coalesce("dn", F.lit(0.0)), F.lit(1e-12)))
+    wts = softmax_weights(pairs.select("batch_id", "i", "j", sim.alias("score")), temperature, exclude_diagonal=False)
+    second = toks.where(F.col("pos") >= F.col("half")).select("batch_id", F.col("doc_id").alias("i"), "pos", "term")
+    pj = dc.select("batch_id", F.col("doc_id").alias("j"), "term", (F.col("dc") / F.col("n")).alias("pj"))
+    mix = (second.join(wts.select("batch_id", "i", "j", "weight"), ["batch_id", "i"])
+           .join(pj, ["batch_id", "j", "term"], "left")
+           .groupBy("batch_id", "i", "pos").agg(F.sum(F.col("weight") * F.coalesce("pj", F.lit(0.0))).alias("mix")))
+    ctoks = corpus.select(F.explode(words(F.col(corpus_text))).alias("term"))
+    total = ctoks.agg(F.count(F.lit(1)).alias("N")).select("N").scalar()
+    bg = ctoks.groupBy("term").agg((F.count(F.lit(1)) / total).alias("pbg"))
+    has = wts.select("i").distinct().withColumn("_has", F.lit(True))
+    t = (second.join(mix, ["batch_id", "i", "pos"], "left").join(bg, "term").join(has, "i", "left"))
+    lam_i = F.when(F.col("_has").isNull(), F.lit(1.0)).otherwise(F.lit(float(lam)))
+    p = lam_i * F.col("pbg") + (1.0 - lam_i) * F.coalesce(F.col("mix"), F.lit(0.0))
+    return t.groupBy("batch_id", F.col("i").alias("doc_id")).agg((-F.avg(F.log(p))).alias("loss"))

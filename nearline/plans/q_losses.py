@@ -11,7 +11,7 @@ from nearline.operators import losses as A
 from nearline.operators import search as S
 from nearline.operators.lexical import ENGLISH_STOPWORDS
 from nearline.plans.registry import register
-from nearline.plans.sqlparts import STOP_LIST, hex8 as sql_hex8, md5k, words as sql_words
+from nearline.plans.sqlparts import DOC_BATCHES, STOP_LIST, hex8 as sql_hex8, md5k, words as sql_words
 from nearline.session import scratch_path, table
 from nearline.sources import fixtures as X
 from nearline.sources import io
@@ -208,3 +208,44 @@ def a9_fit_linear_adapter(spark, sf_dir):
     W, losses = A.fit_linear_adapter(q, p, t, dim=64, steps=3, lr=0.5)
     rows = [(i, j, float(W[i, j])) for i in range(W.shape[0]) for j in range(W.shape[1])]
     return spark.createDataFrame(rows, "i int, j int, w double")
+
+
+A8_SQL = f"""
+WITH {DOC_BATCHES},
+tw AS (SELECT batch_id, doc_id, {sql_words('text')} AS w FROM batch_member),
+toks AS (SELECT batch_id, doc_id, len(w) AS n, floor(len(w) * 0.5::DOUBLE) AS half,
+                unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM tw),
+qc AS (SELECT batch_id, doc_id, term, count(*) AS qc FROM toks WHERE pos < half GROUP BY 1, 2, 3),
+dc AS (SELECT batch_id, doc_id, term, count(*) AS dc, any_value(n) AS n FROM toks GROUP BY 1, 2, 3),
+qn AS (SELECT doc_id, sqrt(sum(qc * qc)) AS qn FROM qc GROUP BY 1),
+dn AS (SELECT doc_id, sqrt(sum(dc * dc)) AS dn FROM dc GROUP BY 1),
+ov AS (SELECT a.batch_id, a.doc_id AS i, b.doc_id AS j, sum(a.qc * b.dc) AS ov
+       FROM qc a JOIN dc b ON a.batch_id = b.batch_id AND a.term = b.term GROUP BY 1, 2, 3),
+pairs AS (SELECT a.batch_id, a.doc_id AS i, b.doc_id AS j,
+                 coalesce(ov.ov, 0) / (greatest(coalesce(qn.qn, 0.0), 1e-12::DOUBLE) * greatest(coalesce(dn.dn, 0.0), 1e-12::DOUBLE)) / 0.05::DOUBLE AS z
+          FROM batch_member a JOIN batch_member b ON a.batch_id = b.batch_id AND a.doc_id <> b.doc_id
+          LEFT JOIN ov ON ov.batch_id = a.batch_id AND ov.i = a.doc_id AND ov.j = b.doc_id
+          LEFT JOIN qn ON qn.doc_id = a.doc_id LEFT JOIN dn ON dn.doc_id = b.doc_id),
+e AS (SELECT batch_id, i, j, exp(z - max(z) OVER (PARTITION BY batch_id, i)) AS e FROM pairs),
+wts AS (SELECT batch_id, i, j, e / sum(e) OVER (PARTITION BY batch_id, i) AS weight FROM e),
+second AS (SELECT batch_id, doc_id AS i, pos, term FROM toks WHERE pos >= half),
+mix AS (SELECT s.batch_id, s.i, s.pos, sum(w.weight * coalesce(dc.dc / dc.n, 0.0)) AS mix
+        FROM second s JOIN wts w ON s.batch_id = w.batch_id AND s.i = w.i
+        LEFT JOIN dc ON dc.batch_id = w.batch_id AND dc.doc_id = w.j AND dc.term = s.term
+        GROUP BY 1, 2, 3),
+ct AS (SELECT unnest({sql_words('text')}) AS term FROM documents),
+bg AS (SELECT term, count(*) / (SELECT count(*) FROM ct) AS pbg FROM ct GROUP BY 1),
+has AS (SELECT DISTINCT i FROM wts),
+t AS (SELECT s.batch_id, s.i, s.pos, CASE WHEN h.i IS NULL THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS lam,
+             bg.pbg, coalesce(m.mix, 0.0) AS mix
+      FROM second s LEFT JOIN mix m ON m.batch_id = s.batch_id AND m.i = s.i AND m.pos = s.pos
+      JOIN bg ON bg.term = s.term LEFT JOIN has h ON h.i = s.i)
+SELECT batch_id, i AS doc_id, round(-avg(ln(lam * pbg + (1.0 - lam) * mix)), 6) AS loss FROM t GROUP BY 1, 2
+"""
+
+
+@register("a8_retrieval_weighted_lm_loss", A8_SQL)
+def a8_retrieval_weighted_lm_loss(spark, sf_dir):
+    m = X.document_batches(spark, sf_dir)
+    loss = A.retrieval_weighted_lm_loss(m, table(spark, sf_dir, "documents"), lam=0.1, temperature=0.05)
+    return loss.select("batch_id", "doc_id", F.round("loss", 6).alias("loss"))
