@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearline.functions.vectors import dot, l2_normalize
+from nearline.session import materialize
 
 
 def inbatch_similarity(members: DataFrame, query_members: DataFrame | None = None, normalize: bool = True,
@@ -201,6 +202,8 @@ def retrieval_weighted_lm_loss(members: DataFrame, corpus: DataFrame, lam: float
     w = words(F.col(text_col))
     toks = members.select("batch_id", "doc_id", F.size(w).alias("n"), F.posexplode(w).alias("pos", "term"))
     toks = toks.withColumn("half", F.floor(F.col("n") * F.lit(float(ratio))))
+    # Tokens feed five branches; store them once instead of re-running the analysis.
+    toks = materialize(toks, "a8_tokens")
     qc = toks.where(F.col("pos") < F.col("half")).groupBy("batch_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("qc"))
     dc = toks.groupBy("batch_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("dc"), F.first("n").alias("n"))
     qn = qc.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("qc") * F.col("qc"))).alias("qn"))
