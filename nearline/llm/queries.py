@@ -91,7 +91,7 @@ def pipeline(spark, sf_dir):
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> ''), []) AS ws FROM documents),
+WITH d AS (SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
 x AS (SELECT *, string_agg(w, ' ') OVER f AS g, count(*) OVER f AS c FROM t
       WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
@@ -106,7 +106,7 @@ OP8_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
 SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
-  list_aggregate(list_transform(range(32), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  list_aggregate(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (j // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (j % 4) AS INT)) & 31) AS INT), 1)),
     'string_agg', '') AS payload_digest,
   CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
@@ -115,8 +115,8 @@ FROM q
 """
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
