@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from nearline.llm import bytearrays as B
 
 VECTOR_SIZE = 128
-CACHE_TOKENS = 4_000_000
+CACHE_TOKENS = 2_000_000
 PIECE = B.RollingHash(21)
 NONE = np.int64(2**62)
 
@@ -43,9 +43,8 @@ def char_classes() -> np.ndarray:
     import regex
 
     out = np.full(0x110000, OTHER, dtype=np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    at = np.array(points)
+    at = np.r_[0:0xD800, 0xE000:0x110000].astype(np.uint32)
+    every = at.tobytes().decode("utf-32-le")
     for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
         out[at[[m.start() for m in regex.finditer(name, every)]]] = kind
     out[WHITE_SPACE] = BLANK
@@ -225,7 +224,6 @@ class Vocabulary:
         raw = data.tobytes()
         whole = np.fromiter((self.ranks.get(raw[b:b + n], -1) for b, n in zip(begin.tolist(), length.tolist())),
                             dtype=np.int64, count=len(begin))
-        out: list[np.ndarray | None] = [None] * len(begin)
         counts = np.ones(len(begin), dtype=np.int64)
         rest = np.flatnonzero(whole < 0)
         size = 2
@@ -240,14 +238,13 @@ class Vocabulary:
                 break
             mine = rest[length[rest] <= size]
             rest = rest[length[rest] > size]
-            for lo in range(0, len(mine), 1 << 14):
-                part = mine[lo:lo + (1 << 14)]
+            for lo in range(0, len(mine), 1 << 13):
+                part = mine[lo:lo + (1 << 13)]
                 got, n = self.merge_short(data, begin[part], length[part], size)
                 counts[part] = n
                 flat_parts.append(got)
                 owners.append(np.repeat(part, n))
             size *= 2
-        del out
         owner = np.concatenate(owners)
         return np.concatenate(flat_parts)[np.argsort(owner, kind="stable")], counts
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -39,7 +39,7 @@ class RollingHash:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            m = max(n, 2 * len(self.powers), 1 << 16)
+            m = -(-n // (1 << 16)) << 16
             for name, r in (("powers", self.base), ("inverses", self.inverse)):
                 a = np.full(m, r, dtype=U64)
                 a[0] = 1

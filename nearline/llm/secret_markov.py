@@ -19,6 +19,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearline.session import materialize
+
 #: The patterns of the three kinds (keywords in either case) and their least lengths.
 ASSIGN = ("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
           "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -100,8 +102,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """Count transitions on about ``sample_docs`` documents (those of least id hash).
 
     Labels come from the fixed patterns: the values they find are random
-    strings; long tokens that share no character with such a value are ordinary
-    identifiers.  Without samples of a class its model is uniform.
+    strings; the other long tokens of a document, each once, are ordinary identifiers.  Without samples of a class its model is uniform.
     """
     rows = docs.count()
     limit = int(-(2**63) + 2**64 * min(1.0, sample_docs / max(1, rows))) - 1
@@ -110,8 +111,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     found = _base(sample)
     values = F.concat(F.transform("__assign", lambda s: F.regexp_extract(s["text"], ASSIGN, 2)),
                       F.transform("__access", lambda s: s["text"]), F.transform("__hex", lambda s: s["text"]))
-    found = found.select(values.alias("values"), F.col("__tokens").alias("tokens"))
-    plain = F.filter("tokens", lambda t: ~F.exists("values", lambda v: F.contains(t, v) | F.contains(v, t)))
+    # Stored: its columns are used inside functions of others, where they must not be computed again.
+    found = materialize(found.select(values.alias("values"), F.col("__tokens").alias("tokens")), "secret-sample")
+    parts = F.flatten(F.transform("values", lambda v: F.regexp_extract_all(v, F.lit(TOKEN), F.lit(0))))
+    plain = F.filter(F.array_except("tokens", parts),
+                     lambda t: ~F.rlike(t, F.lit(SEARCHED["hex"])) & ~F.rlike(t, F.lit(SEARCHED["access"])))
     labelled = (found.select(F.lit(1).alias("random"), F.explode("values").alias("token"))
                 .union(found.select(F.lit(0), F.explode(plain))))
     labelled = labelled.withColumn("token", F.regexp_replace("token", "[^A-Za-z0-9_+/-]", ""))
