@@ -17,7 +17,6 @@ Components come from alternating star contraction over stored edges.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -165,8 +164,12 @@ def links(fps: DataFrame, distance: int = 3, crowd: int = 128, block: int = 512)
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(span))
     dealt = dealt.select("seg", "key", "fp", "member", F.when(F.col("member"), F.col("own")).otherwise(F.col("other")).alias("x"),
                          F.when(F.col("member"), F.col("other")).otherwise(F.col("own")).alias("y"))
-    forest = dealt.groupBy("seg", "key", "x", "y").applyInArrow(partial(_forest, distance), "a long, b long")
-    return pairs.union(forest).distinct()
+
+    def forest(table: pa.Table) -> pa.Table:
+        return _forest(distance, table)
+
+    found = dealt.groupBy("seg", "key", "x", "y").applyInArrow(forest, "a long, b long")
+    return pairs.union(found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
