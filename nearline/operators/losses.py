@@ -46,15 +46,22 @@ def softmax_weights(pairs: DataFrame, temperature: float, exclude_diagonal: bool
     return p.withColumn("weight", F.col("_e") / F.sum("_e").over(w)).drop("_z", "_e")
 
 
-def logsumexp_loss(scores: DataFrame, targets: DataFrame, group=("qid",), cand: str = "pid",
-                   score: str = "score", target: str = "target") -> DataFrame:
-    """Per-row cross entropy: logsumexp(row) - score[target] -> (group..., loss)."""
+def logsumexp_loss(scores: DataFrame, group=("batch_id", "qid"), cand: str = "pid", score: str = "score",
+                   target: str = "target") -> DataFrame:
+    """Per-row cross entropy: logsumexp(row) - score[target] -> (group..., loss).
+
+    ``target`` is a column of ``scores``; a row without a target, or whose target
+    is not among its candidates, raises instead of leaving the mean.
+    """
     w = Window.partitionBy(*group)
     s = scores.withColumn("_m", F.max(score).over(w))
-    agg = s.groupBy(*group).agg((F.first("_m") + F.log(F.sum(F.exp(F.col(score) - F.col("_m"))))).alias("_lse"))
-    tgt = (scores.join(targets, list(group)).where(F.col(cand) == F.col(target))
-           .select(*group, F.col(score).alias("_ts")))
-    return agg.join(tgt, list(group)).select(*group, (F.col("_lse") - F.col("_ts")).alias("loss"))
+    agg = s.groupBy(*group).agg(
+        (F.first("_m") + F.log(F.sum(F.exp(F.col(score) - F.col("_m"))))).alias("_lse"),
+        F.max(F.when(F.col(cand) == F.col(target), F.col(score))).alias("_ts"))
+    missing = F.raise_error(F.concat(F.lit("target not among the candidates of "),
+                                     F.concat_ws("/", *[F.col(g).cast("string") for g in group])))
+    return agg.select(*group, F.when(F.col("_ts").isNull(), missing.cast("double"))
+                      .otherwise(F.col("_lse") - F.col("_ts")).alias("loss"))
 
 
 def contrastive_loss(queries: DataFrame, passages: DataFrame, targets: DataFrame, scope: str = "batch",
@@ -63,8 +70,10 @@ def contrastive_loss(queries: DataFrame, passages: DataFrame, targets: DataFrame
     """A3/A4/A5: cross entropy of query-passage scores with one target passage per query.
 
     ``queries(batch_id, qid, rep)``, ``passages(batch_id, pid, rep)``,
-    ``targets(qid, target)``.  ``scope='batch'`` scores a query against its own
-    batch; ``'global'`` against the ``world_size`` batches of its step (the
+    ``targets(qid, target)``, or ``targets(batch_id, qid, target)`` where a query
+    has another target in each batch.  A query in several batches has a loss in
+    each: the result is (batch_id, qid, loss).  ``scope='batch'`` scores a query
+    against its own batch; ``'global'`` against the ``world_size`` batches of its step (the
     replicas gathered in one optimisation step).  ``scale_by_dim`` divides
     scores by ``dim`` (both sides times 1/sqrt(dim)); ``scale_loss`` multiplies
     by ``world_size``.
@@ -76,14 +85,16 @@ def contrastive_loss(queries: DataFrame, passages: DataFrame, targets: DataFrame
         key_p = F.floor(F.col(batch) / world_size)
     else:
         raise ValueError(f"unknown scope {scope!r}")
-    q = queries.select(key_q.alias("_g"), "qid", F.col("rep").alias("_qv"))
+    keys = [batch, "qid"] if batch in targets.columns else ["qid"]
+    q = (queries.join(targets.select(*keys, "target"), keys, "left")
+         .select(key_q.alias("_g"), F.col(batch).alias("batch_id"), "qid", "target", F.col("rep").alias("_qv")))
     p = passages.select(key_p.alias("_g"), "pid", F.col("rep").alias("_pv"))
-    s = q.join(p, "_g").select("qid", "pid", dot("_qv", "_pv").alias("score"))
+    s = q.join(p, "_g").select("batch_id", "qid", "target", "pid", dot("_qv", "_pv").alias("score"))
     if scale_by_dim:
         if not dim:
             raise ValueError("scale_by_dim needs dim")
         s = s.withColumn("score", F.col("score") / F.lit(float(dim)))
-    loss = logsumexp_loss(s, targets)
+    loss = logsumexp_loss(s)
     if scale_loss:
         loss = loss.withColumn("loss", F.col("loss") * F.lit(float(world_size)))
     if reduction == "mean":
@@ -206,8 +217,8 @@ def retrieval_weighted_lm_loss(members: DataFrame, corpus: DataFrame, lam: float
     toks = materialize(toks, "a8_tokens")
     qc = toks.where(F.col("pos") < F.col("half")).groupBy("batch_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("qc"))
     dc = toks.groupBy("batch_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("dc"), F.first("n").alias("n"))
-    qn = qc.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("qc") * F.col("qc"))).alias("qn"))
-    dn = dc.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("dc") * F.col("dc"))).alias("dn"))
+    qn = qc.groupBy("batch_id", "doc_id").agg(F.sqrt(F.sum(F.col("qc") * F.col("qc"))).alias("qn"))
+    dn = dc.groupBy("batch_id", "doc_id").agg(F.sqrt(F.sum(F.col("dc") * F.col("dc"))).alias("dn"))
     ov = (qc.select("batch_id", F.col("doc_id").alias("i"), "term", "qc")
           .join(dc.select("batch_id", F.col("doc_id").alias("j"), "term", "dc"), ["batch_id", "term"])
           .groupBy("batch_id", "i", "j").agg(F.sum(F.col("qc") * F.col("dc")).alias("ov")))
@@ -216,8 +227,8 @@ def retrieval_weighted_lm_loss(members: DataFrame, corpus: DataFrame, lam: float
                                                                       "batch_id")
              .where(F.col("i") != F.col("j"))
              .join(ov, ["batch_id", "i", "j"], "left")
-             .join(qn.withColumnRenamed("doc_id", "i"), "i", "left")
-             .join(dn.withColumnRenamed("doc_id", "j"), "j", "left"))
+             .join(qn.withColumnRenamed("doc_id", "i"), ["batch_id", "i"], "left")
+             .join(dn.withColumnRenamed("doc_id", "j"), ["batch_id", "j"], "left"))
     sim = F.coalesce(F.col("ov"), F.lit(0)) / (F.greatest(F.coalesce("qn", F.lit(0.0)), F.lit(1e-12)) *
                                                 F.greatest(F.coalesce("dn", F.lit(0.0)), F.lit(1e-12)))
     wts = softmax_weights(pairs.select("batch_id", "i", "j", sim.alias("score")), temperature, exclude_diagonal=False)
@@ -229,8 +240,8 @@ def retrieval_weighted_lm_loss(members: DataFrame, corpus: DataFrame, lam: float
     ctoks = corpus.select(F.explode(words(F.col(corpus_text))).alias("term"))
     total = ctoks.agg(F.count(F.lit(1)).alias("N")).select("N").scalar()
     bg = ctoks.groupBy("term").agg((F.count(F.lit(1)) / total).alias("pbg"))
-    has = wts.select("i").distinct().withColumn("_has", F.lit(True))
-    t = (second.join(mix, ["batch_id", "i", "pos"], "left").join(bg, "term").join(has, "i", "left"))
+    has = wts.select("batch_id", "i").distinct().withColumn("_has", F.lit(True))
+    t = (second.join(mix, ["batch_id", "i", "pos"], "left").join(bg, "term").join(has, ["batch_id", "i"], "left"))
     lam_i = F.when(F.col("_has").isNull(), F.lit(1.0)).otherwise(F.lit(float(lam)))
     p = lam_i * F.col("pbg") + (1.0 - lam_i) * F.coalesce(F.col("mix"), F.lit(0.0))
     return t.groupBy("batch_id", F.col("i").alias("doc_id")).agg((-F.avg(F.log(p))).alias("loss"))

@@ -14,20 +14,21 @@ from nearline.operators.lexical import BM25Index
 
 
 def build_qrels_contains(queries: DataFrame, corpus_terms: DataFrame, corpus: DataFrame, index: BM25Index,
-                         q_id: str = "id", q_text: str = "text", q_terms: str = "terms") -> DataFrame:
+                         q_id: str = "id", q_text: str = "text", q_terms: str = "terms", block: int = 256) -> DataFrame:
     """Rel 1 where the document text contains the query passage verbatim.
 
     Candidates come from an equi-join, not a scan of all pairs: if a passage
     occurs inside a document, its interior words (all but the first and last,
     which may be cut mid-word) are whole words of that document.  Each passage
     is anchored on its interior word of smallest document frequency; only the
-    documents holding that word are checked with ``contains``.  Passages with
-    fewer than three words have no interior word and are anchored on their
-    rarest word instead, which misses a document only where that word is cut
-    mid-word at the passage boundary.
+    documents holding that word are checked with ``contains``.  Passages without
+    an interior index term (too few or only short and stop words) are checked
+    against all documents, in blocks of ``block`` passages.  Null texts and empty
+    passages have no judgements.
     """
     qt = queries.select(F.col(q_id).alias("qid"), F.col(q_text).alias("qtext"), F.col(q_terms).alias("qterms"))
-    inner = F.when(F.size("qterms") >= 3, F.slice("qterms", 2, F.size("qterms") - 2)).otherwise(F.col("qterms"))
+    qt = qt.where(F.length("qtext") > 0)
+    inner = F.when(F.size("qterms") >= 3, F.slice("qterms", 2, F.size("qterms") - 2)).otherwise(F.array().cast("array<string>"))
     ex = qt.select("qid", F.explode(inner).alias("term"))
     ranked = ex.join(index.terms.select("term", "df"), "term")
     w = Window.partitionBy("qid").orderBy(F.col("df").asc(), F.col("term").asc())
@@ -36,7 +37,17 @@ def build_qrels_contains(queries: DataFrame, corpus_terms: DataFrame, corpus: Da
     docs = corpus.select(F.col(q_id).alias("docid"), F.col(q_text).alias("dtext"))
     hits = (cands.join(qt.select("qid", "qtext"), "qid").join(docs, "docid")
             .where(F.col("dtext").contains(F.col("qtext"))).select("qid", "docid"))
-    return hits.select("qid", "docid", F.lit(1).cast("int").alias("rel"))
+    found = hits.select("qid", "docid")
+    rest = qt.where(F.size(inner) == 0).select("qid", "qtext")
+    n = rest.count()
+    if n:
+        blocks = -(-n // block)
+        packed = (rest.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("_b"))
+                  .agg(F.collect_list(F.struct("qid", "qtext")).alias("_q")))
+        dealt = docs.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_b")
+        match = F.filter("_q", lambda q: F.contains(F.col("dtext"), q["qtext"]))
+        found = found.union(dealt.select(F.explode(match).alias("q"), "docid").select("q.qid", "docid"))
+    return found.select("qid", "docid", F.lit(1).cast("int").alias("rel"))
 
 
 def _judged(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:

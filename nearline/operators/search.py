@@ -108,9 +108,14 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 1000, q_id: str =
         num_shards = num_shards or max(1, math.ceil(n_docs / shard_rows))
         corpus = corpus.withColumn("_nl_shard", F.pmod(F.xxhash64(F.col(d_id)), F.lit(num_shards)).cast("int"))
     else:
-        corpus = corpus.withColumn("_nl_shard", F.col(shard_col).cast("int"))
+        stray = F.raise_error(F.concat(F.lit("no shard for document "), F.col(d_id).cast("string")))
+        shard = F.col(shard_col).cast("int")
+        corpus = corpus.withColumn("_nl_shard", F.when(shard.isNull() | (shard < 0), stray.cast("int")).otherwise(shard))
         if num_shards is None:
             num_shards = int(corpus.agg(F.max("_nl_shard")).first()[0] or 0) + 1
+        else:
+            corpus = corpus.withColumn("_nl_shard", F.when(F.col("_nl_shard") >= num_shards, stray.cast("int"))
+                                       .otherwise(F.col("_nl_shard")))
     n_q = _count(queries)
     n_blocks = max(1, math.ceil(n_q / query_block))
     qb = queries.withColumn("_nl_qb", F.pmod(F.xxhash64(F.col(q_id)), F.lit(n_blocks)).cast("int"))

@@ -11,6 +11,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearline.functions import tokens as TK
 from nearline.functions.text import words
@@ -19,7 +20,6 @@ from nearline.operators.indexing import with_global_index
 # Special tokens and their ids.
 SPECIALS = ("<pad>", "<s>", "</s>", "<unk>")
 PAD_ID, BOS_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
-BROADCAST_VOCAB_MAX = 1_000_000
 
 
 class Tokenizer(Protocol):
@@ -45,12 +45,10 @@ def fit_vocab(corpus: DataFrame, text_col: str = "text", id_col: str = "id", max
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "id", add_bos: bool = True,
-             out: str = "input_ids", vocab_size_hint: int | None = None) -> DataFrame:
+             out: str = "input_ids") -> DataFrame:
     """K2: word ids in text order ([BOS] first), unknown words -> UNK."""
     toks = df.select(F.col(id_col).alias("_id"), F.posexplode(words(F.col(text_col))).alias("_p", "term"))
     v = vocab.select("term", "term_id")
-    if vocab_size_hint is not None and vocab_size_hint <= BROADCAST_VOCAB_MAX:
-        v = F.broadcast(v)
     j = toks.join(v, "term", "left").select("_id", "_p", F.coalesce("term_id", F.lit(UNK_ID)).alias("t"))
     g = j.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_p", "t"))).alias("_s"))
     ids = g.select("_id", F.transform("_s", lambda s: s["t"].cast("int")).alias("_ids"))
@@ -62,13 +60,13 @@ def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: st
 
 def tokenize_with(df: DataFrame, tokenizer_factory, text_col: str = "text", out: str = "input_ids") -> DataFrame:
     """K2 with a user tokenizer, loaded once per task and fed Arrow batches."""
-    schema = df.schema.add(out, "array<int>")
+    schema = T.StructType([*[f for f in df.schema if f.name != out], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(it):
         tok = tokenizer_factory()
         for pdf in it:
             pdf[out] = tok.encode(pdf[text_col].fillna("").tolist())
-            yield pdf
+            yield pdf[schema.names]
 
     return df.mapInPandas(run, schema)
 

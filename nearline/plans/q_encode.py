@@ -62,26 +62,24 @@ def e3_untied_search(spark, sf_dir):
     return S.knn_exact(_query_reps(spark, sf_dir, idx), _doc_reps(spark, sf_dir, idx), k=10)
 
 
-def hidden_states(spark, sf_dir, length: int = 32, dim: int = 8):
-    """hidden_states(id, h, attention_mask) with md5-derived values; mask covers the words."""
+def hidden_states(spark, sf_dir, padding: int = 2, dim: int = 8):
+    """hidden_states(id, h, attention_mask) with md5-derived values: every word, then ``padding`` masked positions."""
     b = table(spark, sf_dir, "benchmark")
-    n = F.least(F.size(words("text")), F.lit(length))
+    n = F.size(words("text"))
     val = lambda p, d: hex8(md5_key(42, "item_id", p, d)).cast("double") / F.lit(4294967296.0) * 2.0 - 1.0
-    h = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
+    h = F.transform(F.sequence(F.lit(0), n + F.lit(padding - 1)),
                     lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: val(p, d)))
-    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), padding))
     return b.select(F.col("item_id").alias("id"), h.alias("h"), mask.alias("attention_mask"))
 
 
 HS_SQL = f"""
 hs AS (SELECT item_id AS id,
-              list_transform(range(32), lambda p: list_transform(range(8),
+              list_transform(range(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) + 2), lambda p: list_transform(range(8),
                   lambda d: {unit(md5k("'42'", 'item_id', 'p', 'd'))} * 2.0::DOUBLE - 1.0::DOUBLE)) AS h,
-              least(len({analyzed('text').replace('list_filter(', '(').split(', lambda')[0]}), 32) AS n
+              len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS n
        FROM benchmark)
 """
-HS_SQL = HS_SQL.replace(f"least(len({analyzed('text').replace('list_filter(', '(').split(', lambda')[0]}), 32)",
-                        "least(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')), 32)")
 
 
 @register("e4_pool_first", f"WITH {HS_SQL} SELECT id, list_transform(h[1], lambda x: round(x, 6)) AS rep FROM hs")
@@ -110,9 +108,9 @@ def e6_pool_last(spark, sf_dir):
     return hs.select("id", R6(E.pool(F.col("h"), F.col("attention_mask"), "eos")).alias("rep"))
 
 
-def _positions(spark, sf_dir, length=32):
+def _positions(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words("text").alias("w"))
-    n = F.least(F.size("w"), F.lit(length))
+    n = F.size("w")
     return b.select("id", "w", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos")).where(n > 0)
 
 

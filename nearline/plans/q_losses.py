@@ -107,25 +107,40 @@ def _qp(spark, sf_dir):
     return q, p, t
 
 
-def _ce_sql(join_key: str, scale_expr: str = "", factor: str = "") -> str:
+def _ce_sql(join_key: str, scale_expr: str = "", factor: str = "", members: str = "SELECT * FROM m", out: str = "") -> str:
     return f"""
 WITH {MEMBERS_SQL},
-q AS (SELECT batch_id, vec_id AS qid, v FROM m WHERE pos % 2 = 0),
-p AS (SELECT batch_id, vec_id AS pid, v FROM m WHERE pos % 2 = 1),
-s AS (SELECT q.qid, p.pid, list_inner_product(q.v, p.v){scale_expr} AS score
+mm AS ({members}),
+q AS (SELECT batch_id, vec_id AS qid, v FROM mm WHERE pos % 2 = 0),
+p AS (SELECT batch_id, vec_id AS pid, v FROM mm WHERE pos % 2 = 1),
+s AS (SELECT q.batch_id, q.qid, p.pid, list_inner_product(q.v, p.v){scale_expr} AS score
       FROM q JOIN p ON {join_key}),
-l AS (SELECT qid, any_value(mx) + ln(sum(exp(score - mx))) AS lse
-      FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS mx FROM s) x GROUP BY qid)
-SELECT l.qid, round((l.lse - s.score){factor}, 6) AS loss FROM l JOIN s ON s.qid = l.qid AND s.pid = l.qid + 1
+l AS (SELECT batch_id, qid, any_value(mx) + ln(sum(exp(score - mx))) AS lse
+      FROM (SELECT *, max(score) OVER (PARTITION BY batch_id, qid) AS mx FROM s) x GROUP BY batch_id, qid)
+SELECT {out}l.qid, round((l.lse - s.score){factor}, 6) AS loss
+FROM l JOIN s ON s.batch_id = l.batch_id AND s.qid = l.qid AND s.pid = l.qid + 1
 """
 
 
+OVERLAP = "SELECT batch_id, vec_id, v, pos FROM m UNION ALL SELECT batch_id + 1000000, vec_id, v, pos FROM m WHERE pos < 6"
+
+
 @register("a3_contrastive_loss", _ce_sql("q.batch_id = p.batch_id"))
 def a3_contrastive_loss(spark, sf_dir):
     q, p, t = _qp(spark, sf_dir)
     return A.contrastive_loss(q, p, t, scope="batch").select("qid", F.round("loss", 6).alias("loss"))
 
 
+@register("a3_contrastive_overlap", _ce_sql("q.batch_id = p.batch_id", members=OVERLAP, out="l.batch_id, "))
+def a3_contrastive_overlap(spark, sf_dir):
+    """Batches that share queries: each query has a loss in each of its batches."""
+    q, p, t = _qp(spark, sf_dir)
+    m = X.embedding_batches(spark, sf_dir).where(F.col("pos") < 6).withColumn("batch_id", F.col("batch_id") + 1_000_000)
+    q = q.union(m.where(F.col("pos") % 2 == 0).select("batch_id", "doc_id", "rep"))
+    p = p.union(m.where(F.col("pos") % 2 == 1).select("batch_id", "doc_id", "rep"))
+    return A.contrastive_loss(q, p, t, scope="batch").select("batch_id", "qid", F.round("loss", 6).alias("loss"))
+
+
 @register("a4_contrastive_global", _ce_sql("q.batch_id // 4 = p.batch_id // 4", factor=" * 4.0::DOUBLE"))
 def a4_contrastive_global(spark, sf_dir):
     q, p, t = _qp(spark, sf_dir)
@@ -217,15 +232,16 @@ toks AS (SELECT batch_id, doc_id, len(w) AS n, floor(len(w) * 0.5::DOUBLE) AS ha
                 unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM tw),
 qc AS (SELECT batch_id, doc_id, term, count(*) AS qc FROM toks WHERE pos < half GROUP BY 1, 2, 3),
 dc AS (SELECT batch_id, doc_id, term, count(*) AS dc, any_value(n) AS n FROM toks GROUP BY 1, 2, 3),
-qn AS (SELECT doc_id, sqrt(sum(qc * qc)) AS qn FROM qc GROUP BY 1),
-dn AS (SELECT doc_id, sqrt(sum(dc * dc)) AS dn FROM dc GROUP BY 1),
+qn AS (SELECT batch_id, doc_id, sqrt(sum(qc * qc)) AS qn FROM qc GROUP BY 1, 2),
+dn AS (SELECT batch_id, doc_id, sqrt(sum(dc * dc)) AS dn FROM dc GROUP BY 1, 2),
 ov AS (SELECT a.batch_id, a.doc_id AS i, b.doc_id AS j, sum(a.qc * b.dc) AS ov
        FROM qc a JOIN dc b ON a.batch_id = b.batch_id AND a.term = b.term GROUP BY 1, 2, 3),
 pairs AS (SELECT a.batch_id, a.doc_id AS i, b.doc_id AS j,
                  coalesce(ov.ov, 0) / (greatest(coalesce(qn.qn, 0.0), 1e-12::DOUBLE) * greatest(coalesce(dn.dn, 0.0), 1e-12::DOUBLE)) / 0.05::DOUBLE AS z
           FROM batch_member a JOIN batch_member b ON a.batch_id = b.batch_id AND a.doc_id <> b.doc_id
           LEFT JOIN ov ON ov.batch_id = a.batch_id AND ov.i = a.doc_id AND ov.j = b.doc_id
-          LEFT JOIN qn ON qn.doc_id = a.doc_id LEFT JOIN dn ON dn.doc_id = b.doc_id),
+          LEFT JOIN qn ON qn.batch_id = a.batch_id AND qn.doc_id = a.doc_id
+          LEFT JOIN dn ON dn.batch_id = b.batch_id AND dn.doc_id = b.doc_id),
 e AS (SELECT batch_id, i, j, exp(z - max(z) OVER (PARTITION BY batch_id, i)) AS e FROM pairs),
 wts AS (SELECT batch_id, i, j, e / sum(e) OVER (PARTITION BY batch_id, i) AS weight FROM e),
 second AS (SELECT batch_id, doc_id AS i, pos, term FROM toks WHERE pos >= half),
@@ -235,11 +251,11 @@ mix AS (SELECT s.batch_id, s.i, s.pos, sum(w.weight * coalesce(dc.dc / dc.n, 0.0
         GROUP BY 1, 2, 3),
 ct AS (SELECT unnest({sql_words('text')}) AS term FROM documents),
 bg AS (SELECT term, count(*) / (SELECT count(*) FROM ct) AS pbg FROM ct GROUP BY 1),
-has AS (SELECT DISTINCT i FROM wts),
+has AS (SELECT DISTINCT batch_id, i FROM wts),
 t AS (SELECT s.batch_id, s.i, s.pos, CASE WHEN h.i IS NULL THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS lam,
              bg.pbg, coalesce(m.mix, 0.0) AS mix
       FROM second s LEFT JOIN mix m ON m.batch_id = s.batch_id AND m.i = s.i AND m.pos = s.pos
-      JOIN bg ON bg.term = s.term LEFT JOIN has h ON h.i = s.i)
+      JOIN bg ON bg.term = s.term LEFT JOIN has h ON h.batch_id = s.batch_id AND h.i = s.i)
 SELECT batch_id, i AS doc_id, round(-avg(ln(lam * pbg + (1.0 - lam) * mix)), 6) AS loss FROM t GROUP BY 1, 2
 """
 

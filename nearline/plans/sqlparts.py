@@ -163,10 +163,10 @@ def unit(expr: str) -> str:
     return f"({hex8(expr)}::DOUBLE / 4294967296.0::DOUBLE)"
 
 
-# Synthetic model outputs over benchmark words (first 32 positions), from md5 values.
+# Synthetic model outputs over benchmark words from md5 values.
 MODEL_OUT = f"""
 mo_w AS (SELECT item_id AS id, {words('text')} AS w FROM benchmark),
-mo_n AS (SELECT id, w, least(len(w), 32) AS n FROM mo_w),
+mo_n AS (SELECT id, w, len(w) AS n FROM mo_w),
 mo_pos AS (SELECT id, n, w, unnest(range(n)) AS pos FROM mo_n),
 token_logits AS (SELECT id, pos, CAST({hex8(md5k("'42'", 'id', 'pos', 'j'))} % 1000 AS INTEGER) AS term_id,
                         {unit(md5k("'43'", 'id', 'pos', 'j'))} * 4.0::DOUBLE - 2.0::DOUBLE AS logit, 1 AS mask

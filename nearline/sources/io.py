@@ -48,12 +48,15 @@ def read_train_groups(spark: SparkSession, path: str, fmt: str = "json", mode: s
 def parse_batch_lines(lines: DataFrame, top_k: int | None = None, value: str = "value") -> DataFrame:
     """S2 core: each line a JSON list of strings or an object {src, text: [...]}.
 
-    List lines get ``src = ''``; texts are cut to the first ``top_k``.
+    List lines get ``src = ''``; texts are cut to the first ``top_k``.  A line
+    that is neither (blank lines apart, which are skipped) raises.
     """
+    lines = lines.where(F.length(F.trim(F.col(value))) > 0)
     as_list = F.from_json(F.col(value), T.ArrayType(T.StringType()))
     as_obj = F.from_json(F.col(value), T.StructType([T.StructField("src", T.StringType()),
                                                      T.StructField("text", T.ArrayType(T.StringType()))]))
-    texts = F.coalesce(as_list, as_obj["text"])
+    bad = F.raise_error(F.concat(F.lit("malformed batch line: "), F.substring(F.col(value), 1, 80)))
+    texts = F.coalesce(as_list, as_obj["text"], bad.cast("array<string>"))
     if top_k is not None:
         texts = F.slice(texts, 1, int(top_k))
     src = F.when(as_list.isNotNull(), F.lit("")).otherwise(F.coalesce(as_obj["src"], F.lit("")))
