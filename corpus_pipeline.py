@@ -47,8 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and the digest of the bytes that they decode to."""
-    path = queries.vocab_path()
-    out = byte_bpe.decode(byte_bpe.encode(docs, path), path)
+    out = byte_bpe.encode(docs, queries.vocab_path(), with_decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -288,10 +288,10 @@ class Encoder:
         self.begin = np.concatenate([self.begin, at])[order]
         self.count = np.concatenate([self.count, counts])[order]
 
-    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(flat tokens, token offsets by document) of UTF-8 texts."""
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat tokens, token offsets by document, bytes that the tokens decode to) of UTF-8 texts."""
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), data
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
         width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
         place = np.r_[0, np.cumsum(width)]
@@ -312,16 +312,25 @@ class Encoder:
             at = np.searchsorted(self.keys, distinct)
         count = self.count[at][which]
         tokens = _gather(self.pool, self.begin[at][which], count)
-        if not np.array_equal(self.vocab.decode(tokens), data):  # two pieces share a hash
+        decoded = self.vocab.decode(tokens)
+        if not np.array_equal(decoded, data):  # two pieces share a hash
             tokens, count = self.vocab.pieces(data, begin, length)
             tokens = tokens.astype(np.int32)
+            decoded = self.vocab.decode(tokens)
         piece = np.searchsorted(begin, offsets)
-        return tokens, np.r_[0, np.cumsum(count)][piece]
+        return tokens, np.r_[0, np.cumsum(count)][piece], decoded
 
 
-def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of every row: the tokens of its whole text, without special tokens.
 
+    ``with_decoded`` adds ``decoded``, the bytes that these ids decode to, in the
+    same pass (``decode`` does it for stored ids).
+
     A null or empty text has no tokens.  Ids may be null or repeated: each row
     is encoded by itself.  Other columns are ignored.  ``vocab_path`` must be
     readable on every executor.
@@ -333,12 +342,15 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             data, offsets = B.binary_block(batch.column("body"))
             for i, j in B.chunks(offsets):
-                tokens, ends = encoder.block(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), ids], names=["doc_id", "ids"])
+                tokens, ends, decoded = encoder.block(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                cols = [batch.column("doc_id").slice(i, j - i),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32()))]
+                if with_decoded:
+                    cols.append(_binary(decoded, np.r_[0, np.cumsum(encoder.vocab.length[tokens])][ends]))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][:len(cols)])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded binary" * with_decoded)
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids") -> DataFrame:
@@ -356,7 +368,6 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids") -> DataFra
                 counts = lists.value_lengths().to_numpy(zero_copy_only=False)
                 done = vocab.decode(ids)
                 ends = np.r_[0, np.cumsum(vocab.length[ids])][np.r_[0, np.cumsum(counts)]]
-                value = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(done))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, value], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _binary(done, ends)], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

@@ -165,15 +165,15 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
         for batch in batches:
             data, offsets = B.binary_block(batch.column(body))
             letter = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
-            pred, score = np.full(batch.num_rows, "und", dtype=object), np.zeros(batch.num_rows)
-            for i, j in B.chunks(offsets) if held.languages else ():
-                share, _ = held.shares(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                top, total = share.argmax(axis=1), share.sum(axis=1)
-                some = total > 0
-                pred[i:j] = np.where(some, np.array(held.languages, dtype=object)[top], held.prior)
-                score[i:j] = np.where(some, share.max(axis=1), 0.0)
-            pred[~letter], score[~letter] = "und", 0.0
-            cols = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "lang_score"])
+            for i, j in B.chunks(offsets):  # small batches go back, so a task holds few texts at once
+                pred, score = np.full(j - i, "und", dtype=object), np.zeros(j - i)
+                if held.languages:
+                    share, _ = held.shares(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                    some = share.sum(axis=1) > 0
+                    pred = np.where(some, np.array(held.languages, dtype=object)[share.argmax(axis=1)], held.prior)
+                    score = np.where(some, share.max(axis=1), 0.0)
+                pred[~letter[i:j]], score[~letter[i:j]] = "und", 0.0
+                cols = [batch.column(c).slice(i, j - i) for c in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "lang_score"])
 
     return work.mapInArrow(run, schema)

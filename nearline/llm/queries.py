@@ -72,8 +72,7 @@ def op8_warc_bundles(spark, sf_dir):
 
 
 def op9_byte_bpe(spark, sf_dir):
-    path = vocab_path()
-    out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    out = byte_bpe.encode(table(spark, sf_dir, "documents"), vocab_path(), with_decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))

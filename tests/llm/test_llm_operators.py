@@ -433,6 +433,8 @@ def test_byte_bpe(spark, tiktoken_encoding):
     out = byte_bpe.decode(byte_bpe.encode(make(spark, rows, clash=True), path), path)
     want = sorted(((i, tiktoken_encoding.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in rows), key=repr)
     assert sorted(((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in out.collect()), key=repr) == want
+    once = byte_bpe.encode(make(spark, rows), path, with_decoded=True)
+    assert sorted(((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in once.collect()), key=repr) == want
     assert byte_bpe.encode(make(spark, []), path).count() == 0
 
 
