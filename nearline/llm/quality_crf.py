@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearline.llm import bytearrays as B
@@ -171,8 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     marked = (labels.where(F.col(quality_col).isin(0, 1)).groupBy(F.col(id_col).alias("id"))
               .agg(F.min(quality_col).cast("int").alias("quality")).where("id is not null"))
-    ranked = marked.withColumn("n", F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64(F.lit(9), "id"), "id")))
-    chosen = ranked.where(F.col("n") <= sample_rows).select("id", "quality")
+    some = [marked.where(F.col("quality") == q).orderBy(F.xxhash64(F.lit(9), "id"), "id").limit(sample_rows) for q in (0, 1)]
+    chosen = some[0].union(some[1]).select("id", "quality")
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body")).where("body is not null")
             .join(F.broadcast(chosen), "id"))  # at most 2 * sample_rows narrow rows
 
