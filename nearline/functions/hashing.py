@@ -27,8 +27,3 @@ def hex8(col) -> Column:
 
 def md5_int(seed, *parts) -> Column:
     return hex8(md5_key(seed, *parts))
-
-
-def md5_unit(seed, *parts) -> Column:
-    """Value in [0, 1) from the first 8 hex digits of the md5 key."""
-    return md5_int(seed, *parts).cast("double") / F.lit(4294967296.0)

@@ -6,57 +6,80 @@ sub-blocks of about ``shard_rows`` vectors, queries are packed per probed cell
 in blocks of ``query_block``, and each (query block, document block) pair of
 the same cell is scored by one numpy product inside a task that emits only its
 local top-k.  A hot cell therefore becomes many parallel block pairs instead of
-one huge task.  Model fitting uses Spark ML on a seeded sample; only model-sized
-results (centroids, codebooks, projection matrices) reach the driver.
+one huge task.
+
+Fitting is separate from search: centroids, codebooks and projections are plain
+arrays, fitted by Spark ML on a seeded sample or given by the caller.  Only such
+model-sized arrays reach the driver and are broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearline.operators.search import RUN_SCHEMA, _block_scorer, _pack, rank_results
+from nearline.operators.search import (_pack, add_vectors, block_scorer, inner_product, knn_exact, rank_results,
+                                       run_schema, usable)
+from nearline.session import materialize
 
 
-def _blocks_per_cell(df: DataFrame, cell: str, size: int, name: str) -> DataFrame:
-    """Attach ``name`` = sub-block of the row inside its cell (cells split by count)."""
-    counts = df.groupBy(cell).agg(F.count(F.lit(1)).alias("_nl_c"))
-    nb = counts.select(cell, F.greatest(F.ceil(F.col("_nl_c") / F.lit(size)), F.lit(1)).cast("int").alias("_nl_nb"))
-    # One row per cell: bounded by the number of cells, so it may be broadcast.
-    return (df.join(F.broadcast(nb), cell)
-            .withColumn(name, F.pmod(F.xxhash64(F.col("_nl_key")), F.col("_nl_nb")).cast("int"))
-            .drop("_nl_nb"))
+def _blocks_per_cell(df: DataFrame, size: int) -> DataFrame:
+    """Attach ``b`` = sub-block of the row inside its cell (cells split by count)."""
+    nb = df.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(size)), F.lit(1)).alias("nb"))
+    return df.join(nb, "cell").withColumn("b", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int")).drop("nb")
 
 
-def cell_search(q_cells: DataFrame, d_cells: DataFrame, k: int, query_block: int = 128,
-                shard_rows: int = 4096, decimals: int = 6, dedupe: bool = False) -> DataFrame:
-    """Top-k by inner product among documents sharing a cell with the query.
+def cell_search(q_cells: DataFrame, d_cells: DataFrame, k: int, query_block: int = 128, shard_rows: int = 4096,
+                decimals: int | None = None, dedupe: bool = False, d_col: str = "rep",
+                score=inner_product) -> DataFrame:
+    """Top-k among documents that share a cell with the query.
 
-    ``q_cells(qid, rep, cell)`` (one row per probed cell), ``d_cells(id, rep, cell)``.
+    ``q_cells(qid, rep, cell)`` has one row per probed cell, ``d_cells(id,
+    <d_col>, cell)`` one per vector; pass stored tables, both are read twice.
     With ``dedupe`` a document reached through several cells counts once.
     """
-    q = _blocks_per_cell(q_cells.withColumn("_nl_key", F.col("qid")), "cell", query_block, "_nl_b")
-    d = _blocks_per_cell(d_cells.withColumn("_nl_key", F.col("id")), "cell", shard_rows, "_nl_b")
-    q = q.withColumn("_nl_g", F.struct("cell", "_nl_b"))
-    d = d.withColumn("_nl_g", F.struct("cell", "_nl_b"))
-    qp = _pack(q, "_nl_g", "qid", "rep", "q").select(F.col("_nl_g.cell").alias("cell"), "q_ids", "q_flat")
-    dp = _pack(d, "_nl_g", "id", "rep", "d").select(F.col("_nl_g.cell").alias("cell"), "d_ids", "d_flat")
-    local = qp.join(dp, "cell").select("q_ids", "q_flat", "d_ids", "d_flat").mapInPandas(
-        _block_scorer(k, decimals), RUN_SCHEMA)
+    parts = int(q_cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = run_schema(q_cells, "qid", d_cells, "id")
+    q = _blocks_per_cell(q_cells.select("cell", F.col("qid").alias("i"), F.col("rep").alias("v")), query_block)
+    d = _blocks_per_cell(d_cells.select("cell", F.col("id").alias("i"), F.col(d_col).alias("v")), shard_rows)
+    qp = _pack(q, ["cell", "b"], "i", "v", "q").drop("b")
+    dp = _pack(d, ["cell", "b"], "i", "v", "d").drop("b")
+    # The explicit count keeps the few packed rows, each a matrix product, in many tasks.
+    pairs = qp.repartition(4 * parts, "cell").join(dp.repartition(4 * parts, "cell"), "cell")
+    local = pairs.select("q_ids", "q_flat", "d_ids", "d_flat").mapInPandas(block_scorer(k, decimals, score), schema)
     if dedupe:
         local = local.groupBy("qid", "docid").agg(F.max("score").alias("score"))
     return rank_results(local, k).select("qid", "docid", "rank", "score")
 
 
+def first_vectors(reps: DataFrame, n: int) -> np.ndarray:
+    """The ``n`` vectors of smallest id, as a deterministic model (centroids, codebooks, projections)."""
+    rows = reps.where(usable("rep")).orderBy("id").limit(int(n)).select("rep").collect()
+    return np.asarray([r[0] for r in rows], dtype=np.float64)
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+
+
+def _nearest(X: np.ndarray, C: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` rows of C nearest to each row of X (squared L2, ties to the first)."""
+    d = (C * C).sum(1)[None, :] - 2.0 * (X @ C.T)
+    return np.argsort(d, axis=1, kind="stable")[:, :n]
+
+
 # ---------------------------------------------------------------- IVF (V7)
 
 def _to_vec(df: DataFrame, col: str = "rep") -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.col(col).cast("array<double>")))
+    return df.where(usable(col)).withColumn("features", array_to_vector(F.col(col).cast("array<double>")))
 
 
 def ivf_fit(reps: DataFrame, nlist: int, sample_fraction: float = 1.0, seed: int = 42, max_iter: int = 20) -> np.ndarray:
@@ -67,36 +90,27 @@ def ivf_fit(reps: DataFrame, nlist: int, sample_fraction: float = 1.0, seed: int
 
 
 def _top_cells(df: DataFrame, centroids: np.ndarray, nprobe: int, id_col: str, rep: str) -> DataFrame:
-    """(id, rep, cell) for the ``nprobe`` centroids of largest inner product."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(centroids)
+    """(id, rep, cell) for the ``nprobe`` nearest centroids of each vector."""
+    bc = df.sparkSession.sparkContext.broadcast(centroids)
     nprobe = min(int(nprobe), centroids.shape[0])
 
-    def run(it):
-        C = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[rep]])
-            S = X @ C.T
-            top = np.argsort(-S, axis=1, kind="stable")[:, :nprobe]
-            rows = np.repeat(np.arange(len(pdf)), nprobe)
-            yield pd.DataFrame({"id": pdf[id_col].to_numpy()[rows], "rep": [pdf[rep].iloc[r] for r in rows],
-                                "cell": top.reshape(-1).astype(np.int32)})
+    @F.pandas_udf("array<int>")
+    def cells(v: pd.Series) -> pd.Series:
+        return pd.Series(list(_nearest(_matrix(v), bc.value, nprobe).astype(np.int32)) if len(v) else [], dtype=object)
 
-    rep_type = df.schema[rep].dataType.simpleString()
-    return df.select(F.col(id_col).alias(id_col), rep).mapInPandas(run, f"id bigint, rep {rep_type}, cell int")
+    return df.where(usable(rep)).select(F.col(id_col).alias("id"), F.col(rep).alias("rep"),
+                                        F.explode(cells(rep)).alias("cell"))
 
 
 def ivf_assign(reps: DataFrame, centroids: np.ndarray, id_col: str = "id", rep: str = "rep") -> DataFrame:
-    """Index side: each vector in its nearest (largest inner product) cell."""
-    return _top_cells(reps, centroids, 1, id_col, rep)
+    """Index side, stored: each vector in the cell of its nearest centroid."""
+    return materialize(_top_cells(reps, centroids, 1, id_col, rep), "ivf_cells")
 
 
 def ivf_search(queries: DataFrame, index_cells: DataFrame, centroids: np.ndarray, k: int = 10, nprobe: int = 1,
                **kw) -> DataFrame:
-    """V7: probe the ``nprobe`` best cells per query; ``nprobe = nlist`` is exact."""
-    q = _top_cells(queries, centroids, nprobe, "id", "rep").withColumnRenamed("id", "qid")
+    """V7: probe the ``nprobe`` nearest cells per query; ``nprobe = nlist`` is exact."""
+    q = materialize(_top_cells(queries, centroids, nprobe, "id", "rep").withColumnRenamed("id", "qid"), "ivf_probes")
     return cell_search(q, index_cells, k, **kw)
 
 
@@ -106,6 +120,7 @@ def pq_fit(reps: DataFrame, m: int, ks: int = 256, seed: int = 42, max_iter: int
            sample_fraction: float = 1.0) -> list[np.ndarray]:
     """One KMeans codebook per sub-vector (``m`` equal slices of the dimension)."""
     data = reps if sample_fraction >= 1.0 else reps.sample(fraction=sample_fraction, seed=seed)
+    data = data.where(usable("rep"))
     dim = len(data.select("rep").first()[0])
     if dim % m:
         raise ValueError("dimension must be divisible by m")
@@ -117,47 +132,66 @@ def pq_fit(reps: DataFrame, m: int, ks: int = 256, seed: int = 42, max_iter: int
     return books
 
 
+def pq_books(vectors: np.ndarray, m: int) -> list[np.ndarray]:
+    """Codebooks cut from given vectors: the j-th holds the j-th slice of each."""
+    if vectors.shape[1] % m:
+        raise ValueError("dimension must be divisible by m")
+    return np.split(vectors, m, axis=1)
+
+
 def pq_encode(reps: DataFrame, books: list[np.ndarray]) -> DataFrame:
-    """(id, codes ARRAY<INT>): nearest (L2) centroid per sub-vector."""
+    """All columns but ``rep``, and codes ARRAY<INT>: the nearest (L2) centroid of each sub-vector."""
     bc = reps.sparkSession.sparkContext.broadcast(books)
 
-    def run(it):
-        B = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["rep"]])
-            sub = X.shape[1] // len(B)
-            codes = []
-            for j, C in enumerate(B):
-                Xj = X[:, j * sub:(j + 1) * sub]
-                d = (Xj * Xj).sum(1)[:, None] - 2 * Xj @ C.T + (C * C).sum(1)[None, :]
-                codes.append(np.argmin(d, axis=1))
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "codes": list(np.stack(codes, 1).astype(np.int32))})
+    @F.pandas_udf("array<int>")
+    def codes(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        parts = np.split(_matrix(v), len(bc.value), axis=1)
+        best = [_nearest(X, C, 1)[:, 0] for X, C in zip(parts, bc.value)]
+        return pd.Series(list(np.stack(best, 1).astype(np.int32)))
 
-    return reps.select("id", "rep").mapInPandas(run, "id bigint, codes array<int>")
+    keep = [c for c in reps.columns if c != "rep"]
+    return reps.where(usable("rep")).select(*keep, codes("rep").alias("codes"))
 
 
 def pq_decode(codes: DataFrame, books: list[np.ndarray]) -> DataFrame:
-    """(id, rep): concatenated centroids; q . decode(d) is the asymmetric PQ score."""
+    """(id, rep): the concatenated centroids of each code."""
     bc = codes.sparkSession.sparkContext.broadcast(books)
 
-    def run(it):
-        B = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            C = np.stack([np.asarray(c) for c in pdf["codes"]])
-            rec = np.concatenate([B[j][C[:, j]] for j in range(len(B))], axis=1)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "rep": list(rec)})
+    @F.pandas_udf("array<double>")
+    def decode(c: pd.Series) -> pd.Series:
+        if len(c) == 0:
+            return pd.Series([], dtype=object)
+        at = np.stack([np.asarray(x) for x in c])
+        return pd.Series(list(np.concatenate([B[at[:, j]] for j, B in enumerate(bc.value)], axis=1)))
+
+    return codes.select("id", decode("codes").alias("rep"))
+
+
+def pq_scorer(spark, books: list[np.ndarray]):
+    """Asymmetric score of a block: one (query, centroid) table per sub-vector, then sums of look-ups."""
+    bc = spark.sparkContext.broadcast(books)
+
+    def score(Q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((Q.shape[0], codes.shape[0]))
+        for j, (q, C) in enumerate(zip(np.split(Q, len(bc.value), axis=1), bc.value)):
+            out += (q @ C.T)[:, codes[:, j]]
+        return out
 
-    return codes.mapInPandas(run, "id bigint, rep array<double>")
+    return score
 
 
 def pq_search(queries: DataFrame, codes: DataFrame, books: list[np.ndarray], k: int = 10, **kw) -> DataFrame:
-    """V8: asymmetric-distance search over PQ codes (exact over the decoded vectors)."""
-    from nearline.operators.search import knn_exact
-    return knn_exact(queries, pq_decode(codes, books), k=k, **kw)
+    """V8: asymmetric-distance search; only codes are stored, moved and scored."""
+    return knn_exact(queries, codes, k=k, d_vec="codes", score=pq_scorer(queries.sparkSession, books), **kw)
+
+
+def ivf_pq_search(queries: DataFrame, index_cells: DataFrame, centroids: np.ndarray, books: list[np.ndarray],
+                  k: int = 10, nprobe: int = 1, **kw) -> DataFrame:
+    """PQ codes inside IVF cells; ``index_cells(id, codes, cell)`` comes from ``pq_encode(ivf_assign(...))``."""
+    return ivf_search(queries, index_cells, centroids, k, nprobe, d_col="codes",
+                      score=pq_scorer(queries.sparkSession, books), **kw)
 
 
 # ---------------------------------------------------------------- PCA (V9)
@@ -174,54 +208,94 @@ def pca_reduce(reps: DataFrame, model) -> DataFrame:
 
 # ---------------------------------------------------------------- LSH
 
-def lsh_fit(reps: DataFrame, bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42):
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    return lsh.fit(_to_vec(reps))
+@dataclass(frozen=True)
+class Projections:
+    """One hash table per row of ``planes``: bucket = floor((plane . x + offset) / width)."""
+
+    planes: np.ndarray
+    offsets: np.ndarray
+    width: float
+
+
+def lsh_fit(reps: DataFrame, bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42) -> Projections:
+    """Seeded random unit directions and offsets for the dimension of ``reps``."""
+    dim = len(reps.where(usable("rep")).select("rep").first()[0])
+    rng = np.random.default_rng(seed)
+    planes = rng.standard_normal((num_tables, dim))
+    return Projections(planes / np.linalg.norm(planes, axis=1, keepdims=True),
+                       rng.uniform(0, bucket_length, num_tables), bucket_length)
+
+
+def _lsh_cells(df: DataFrame, model: Projections, id_name: str) -> DataFrame:
+    bc = df.sparkSession.sparkContext.broadcast(model)
 
+    @F.pandas_udf("array<bigint>")
+    def buckets(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        m = bc.value
+        return pd.Series(list(np.floor((_matrix(v) @ m.planes.T + m.offsets) / m.width).astype(np.int64)))
 
-def _lsh_cells(df: DataFrame, model, id_name: str) -> DataFrame:
-    h = model.transform(_to_vec(df)).select(F.col("id").alias(id_name), "rep",
-                                            F.posexplode(F.col("hashes")).alias("t", "hv"))
-    bucket = vector_to_array("hv")[0].cast("bigint")
-    return h.select(id_name, "rep", F.xxhash64(F.col("t"), bucket).alias("cell"))
+    h = df.where(usable("rep")).select(F.col("id").alias(id_name), "rep", F.posexplode(buckets("rep")).alias("t", "b"))
+    return materialize(h.select(id_name, "rep", F.struct("t", "b").alias("cell")), "lsh_cells")
 
 
-def lsh_search(queries: DataFrame, corpus: DataFrame, model, k: int = 10, **kw) -> DataFrame:
+def lsh_search(queries: DataFrame, corpus: DataFrame, model: Projections, k: int = 10, **kw) -> DataFrame:
     """Candidates share a bucket in at least one hash table (unit vectors:
     L2 order equals inner-product order); scored exactly, each candidate once."""
-    q = _lsh_cells(queries, model, "qid")
-    d = _lsh_cells(corpus, model, "id")
-    return cell_search(q, d, k, dedupe=True, **kw)
+    return cell_search(_lsh_cells(queries, model, "qid"), _lsh_cells(corpus, model, "id"), k, dedupe=True, **kw)
 
 
 # ---------------------------------------------------------------- factory (U4)
 
-def make_index(spec: str, reps: DataFrame, seed: int = 42):
-    """U4: index by factory string: 'Flat', 'IVF<n>,Flat', 'PQ<m>', 'PCA<d>,<rest>'.
+@dataclass(frozen=True)
+class Index:
+    """A fitted index: call it to search, ``add`` to append vectors without refitting."""
+
+    store: DataFrame
+    transform: Callable[[DataFrame], DataFrame]
+    place: Callable[[DataFrame], DataFrame]
+    find: Callable[..., DataFrame]
+
+    def __call__(self, queries: DataFrame, k: int = 10, **kw) -> DataFrame:
+        return self.find(self.transform(queries), self.store, k=k, **kw)
+
+    def add(self, reps: DataFrame) -> "Index":
+        return replace(self, store=add_vectors(self.store, self.place(self.transform(reps))))
 
-    Returns a callable ``search(queries, k)`` -> run.  Unknown parts raise.
-    """
-    from nearline.operators.search import knn_exact
 
+def make_index(spec: str, reps: DataFrame, seed: int = 42, ks: int = 256) -> Index:
+    """U4: index by factory string: [PCA<d>,]Flat | IVF<n>,Flat | PQ<m> | IVF<n>,PQ<m>.
+
+    ``ks`` is the size of a PQ codebook.  Other parts raise.
+    """
     parts = [p.strip() for p in spec.split(",") if p.strip()]
     if not parts:
         raise ValueError("empty index spec")
-    pre = None
+    reps = reps.select("id", "rep")
+    transform = lambda df: df
     if parts[0].startswith("PCA"):
-        pre = pca_fit(reps, int(parts[0][3:]))
-        reps = pca_reduce(reps, pre)
+        model = pca_fit(reps, int(parts[0][3:]))
+        transform = lambda df: pca_reduce(df, model)
         parts = parts[1:]
-    tr = (lambda q: pca_reduce(q, pre)) if pre is not None else (lambda q: q)
-    if parts == ["Flat"]:
-        return lambda queries, k=10, **kw: knn_exact(tr(queries), reps, k=k, **kw)
-    if len(parts) == 2 and parts[0].startswith("IVF") and parts[1] == "Flat":
-        cents = ivf_fit(reps, int(parts[0][3:]), seed=seed)
-        cells = ivf_assign(reps, cents)
-        return lambda queries, k=10, nprobe=1, **kw: ivf_search(tr(queries), cells, cents, k=k, nprobe=nprobe, **kw)
-    if len(parts) == 1 and parts[0].startswith("PQ"):
-        books = pq_fit(reps, int(parts[0][2:]), seed=seed)
-        codes = pq_encode(reps, books)
-        return lambda queries, k=10, **kw: pq_search(tr(queries), codes, books, k=k, **kw)
-    raise ValueError(f"unsupported index spec {spec!r}")
-
+    kind = [p.rstrip("0123456789") for p in parts]
+    size = [int(p[len(n):] or 0) for p, n in zip(parts, kind)]
+    if kind not in (["Flat"], ["PQ"], ["IVF", "Flat"], ["IVF", "PQ"]):
+        raise ValueError(f"unsupported index spec {spec!r}")
+    data = transform(reps)
+    books = pq_fit(data, size[-1], ks=ks, seed=seed) if kind[-1] == "PQ" else None
+    cents = ivf_fit(data, size[0], seed=seed) if kind[0] == "IVF" else None
+
+    def place(df: DataFrame) -> DataFrame:
+        df = df.select("id", "rep")
+        df = ivf_assign(df, cents) if cents is not None else df
+        return materialize(pq_encode(df, books), "pq_codes") if books is not None else df
+
+    def find(queries: DataFrame, store: DataFrame, k: int, nprobe: int = 1, **kw) -> DataFrame:
+        if cents is None:
+            return pq_search(queries, store, books, k=k, **kw) if books is not None else knn_exact(queries, store, k=k, **kw)
+        if books is not None:
+            return ivf_pq_search(queries, store, cents, books, k=k, nprobe=nprobe, **kw)
+        return ivf_search(queries, store, cents, k=k, nprobe=nprobe, **kw)
+
+    return Index(place(data), transform, place, find)

@@ -53,7 +53,7 @@ def encode(df: DataFrame, encoder_factory, is_query: bool = False, id_col: str =
             mat = np.concatenate(vecs) if vecs else np.zeros((0, enc.dim))
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "rep": list(mat)})
 
-    return src.mapInPandas(run, f"id bigint, rep {out_type}")
+    return src.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, rep {out_type}")
 
 
 def encode_untied(queries: DataFrame, corpus: DataFrame, query_encoder_factory, passage_encoder_factory,

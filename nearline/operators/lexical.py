@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearline.functions.text import WS_CLASS, words
-from nearline.operators.search import rank_results
+from nearline.operators.search import rank_results, rounded
 from nearline.session import materialize as materialize_table
 
 # English stopword list of the lexical analyzer ('en').
@@ -110,17 +110,17 @@ def bm25_index(analyzed: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: st
 
 
 def bm25_scores(query_terms: DataFrame, index: BM25Index, qid: str = "id", terms_col: str = "terms",
-                decimals: int = 6) -> DataFrame:
+                decimals: int | None = None) -> DataFrame:
     """(qid, docid, score) over distinct query terms; documents sharing no term get no row."""
     qt = query_terms.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(terms_col)).alias("term"))
     s = qt.join(index.postings, "term").groupBy("qid", F.col("doc_id").alias("docid")).agg(
-        F.round(F.sum("w"), decimals).alias("score"))
+        rounded(F.sum("w"), decimals).alias("score"))
     return s
 
 
 def bm25_search(query_terms: DataFrame, index: BM25Index, k: int = 10, qid: str = "id",
-                terms_col: str = "terms", decimals: int = 6) -> DataFrame:
-    """run(qid, docid, rank, score), scores rounded then ranked (ties by docid)."""
+                terms_col: str = "terms", decimals: int | None = None) -> DataFrame:
+    """run(qid, docid, rank, score), ties by docid; ``decimals`` rounds scores before ranking."""
     s = bm25_scores(query_terms, index, qid, terms_col, decimals)
     return rank_results(s, k).select("qid", "docid", "rank", "score")
 
@@ -132,18 +132,18 @@ def chunk(corpus: DataFrame, max_words: int = 128, overlap: int = 0, id_col: str
     if not 0 <= overlap < max_words:
         raise ValueError("need 0 <= overlap < max_words")
     step = max_words - overlap
-    w = F.filter(F.split(F.col(text_col), f"{WS_CLASS}+"), lambda x: x != "")
-    n = F.size(w)
+    words_of = F.filter(F.split(F.col(text_col), f"{WS_CLASS}+"), lambda x: x != "")
+    docs = corpus.select(F.col(id_col).alias("doc_id"), words_of.alias("_w"))
+    n = F.size("_w")
     n_chunks = F.when(n <= max_words, F.lit(1)).otherwise(
         F.ceil((n - F.lit(overlap)) / F.lit(step)).cast("int"))
-    starts = F.sequence(F.lit(0), (n_chunks - 1).cast("int"))
-    return (corpus.select(F.col(id_col).alias("doc_id"), w.alias("_w"), starts.alias("_s"))
-            .select("doc_id", "_w", F.posexplode("_s").alias("chunk_no", "_i"))
-            .select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"),
-                    F.array_join(F.slice("_w", (F.col("_i") * step + 1).cast("int"), max_words), " ").alias("text")))
+    # Slices are joined before the explode, so no chunk row carries the whole word array.
+    passages = F.transform(F.sequence(F.lit(0), (n_chunks - 1).cast("int")),
+                           lambda i: F.array_join(F.slice("_w", i * step + 1, max_words), " "))
+    return docs.select("doc_id", F.posexplode(passages).alias("chunk_no", "text"))
 
 
-def _neighbour_scorer(k: int, decimals: int, exclude_same_text: bool):
+def _neighbour_scorer(k: int, decimals: int | None, exclude_same_text: bool):
     import numpy as np
     import pandas as pd
 
@@ -151,9 +151,9 @@ def _neighbour_scorer(k: int, decimals: int, exclude_same_text: bool):
         for pdf in it:
             outs = []
             for r in pdf.itertuples(index=False):
-                s_ids = np.asarray(r.s_doc, dtype=np.int64)
+                s_ids = np.asarray(r.s_doc)
                 s_terms = np.asarray(r.s_term, dtype=np.int64)
-                c_ids = np.asarray(r.c_doc, dtype=np.int64)
+                c_ids = np.asarray(r.c_doc)
                 c_terms = np.asarray(r.c_term, dtype=np.int64)
                 c_w = np.asarray(r.c_w, dtype=np.float64)
                 if s_ids.size == 0 or c_ids.size == 0:
@@ -169,12 +169,12 @@ def _neighbour_scorer(k: int, decimals: int, exclude_same_text: bool):
                 W = np.zeros((shared.size, uc.size))
                 W[np.searchsorted(shared, c_terms[mc]), c_col[mc]] = c_w[mc]
                 hits = (Q @ (W > 0)) > 0
-                S_ = np.round(Q @ W, decimals)
+                S_ = Q @ W if decimals is None else np.round(Q @ W, decimals)
                 S_[~hits] = -np.inf
                 S_[us[:, None] == uc[None, :]] = -np.inf
                 if exclude_same_text:
-                    sh = dict(zip(np.asarray(r.s_dochash_id, dtype=np.int64), np.asarray(r.s_dochash, dtype=np.int64)))
-                    ch = dict(zip(np.asarray(r.c_dochash_id, dtype=np.int64), np.asarray(r.c_dochash, dtype=np.int64)))
+                    sh = dict(zip(np.asarray(r.s_dochash_id), np.asarray(r.s_dochash, dtype=np.int64)))
+                    ch = dict(zip(np.asarray(r.c_dochash_id), np.asarray(r.c_dochash, dtype=np.int64)))
                     hs = np.array([sh[i] for i in us])
                     hc = np.array([ch[i] for i in uc])
                     S_[hs[:, None] == hc[None, :]] = -np.inf
@@ -184,7 +184,7 @@ def _neighbour_scorer(k: int, decimals: int, exclude_same_text: bool):
                     ok = np.nonzero(np.isfinite(row))[0]
                     if ok.size == 0:
                         continue
-                    order = ok[np.lexsort((uc[ok], -row[ok]))][:kk]
+                    order = ok[np.argsort(-row[ok], kind="stable")][:kk]
                     outs.append(pd.DataFrame({"seed": us[i], "docid": uc[order], "score": row[order]}))
             if outs:
                 yield pd.concat(outs, ignore_index=True)
@@ -194,7 +194,7 @@ def _neighbour_scorer(k: int, decimals: int, exclude_same_text: bool):
 
 def build_batches(index: BM25Index, corpus: DataFrame | None = None, top_k: int = 16, seed_block: int = 128,
                   cand_block: int = 512, exclude_same_text: bool = False, id_col: str = "id", text_col: str = "text",
-                  decimals: int = 6) -> DataFrame:
+                  decimals: int | None = None) -> DataFrame:
     """Every document as a seed plus its ``top_k - 1`` best BM25 neighbours.
 
     Exact: the seed's distinct terms are the query, every other document sharing
@@ -209,6 +209,7 @@ def build_batches(index: BM25Index, corpus: DataFrame | None = None, top_k: int
 
     from nearline.operators.search import _count
 
+    kind = index.postings.schema["doc_id"].dataType.simpleString()
     post = index.postings.select("doc_id", F.xxhash64("term").alias("th"), "w")
     n = _count(index.docs)
     n_sb, n_cb = max(1, math.ceil(n / seed_block)), max(1, math.ceil(n / cand_block))
@@ -231,7 +232,7 @@ def build_batches(index: BM25Index, corpus: DataFrame | None = None, top_k: int
     # Each seed block meets every candidate block (equi-join on the block key).
     grid = (s_pack.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1)))).join(c_pack, "cb").select(*cols))
     local = grid.mapInPandas(_neighbour_scorer(top_k - 1, decimals, exclude_same_text),
-                             "seed bigint, docid bigint, score double")
+                             f"seed {kind}, docid {kind}, score double")
     w = Window.partitionBy("seed").orderBy(F.col("score").desc(), F.col("docid").asc())
     return (local.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top_k - 1)
             .select("seed", "rank", "docid", "score"))
@@ -243,5 +244,5 @@ def neighbour_batches(neighbours: DataFrame, seeds: DataFrame, src_col: str = "s
     s = seeds.select(F.col("id").alias("seed"), F.col(src_col).alias("src"))
     return s.join(g, "seed", "left").select(
         F.col("seed").alias("batch_id"), "src",
-        F.concat(F.array("seed"), F.coalesce(F.transform("n", lambda x: x["docid"]), F.array().cast("array<bigint>")))
+        F.concat(F.array("seed"), F.coalesce(F.transform("n", lambda x: x["docid"]), F.array().cast(f"array<{seeds.schema['id'].dataType.simpleString()}>")))
         .alias("doc_ids"))

@@ -1,14 +1,19 @@
 """Inner-product search and ranking.
 
-Exact top-k never materialises query x document rows.  Queries are packed
-into blocks of ``query_block`` vectors, the corpus into hash shards of about
+Exact top-k never materialises query x document rows.  Queries are packed into
+blocks of ``query_block`` vectors, the corpus into shards of about
 ``shard_rows`` vectors, and every (query block, shard) pair is scored by one
 numpy matrix product inside a task, which emits only its local top-k per
 query.  The merge is a ``row_number() <= k`` window, which Spark plans as a
 ``WindowGroupLimit`` that already trims each task's output before the shuffle.
-Per-task memory is bounded by one query block and one shard; the only data
-replicated is the query block, once per shard (the reference's query batches
-against the whole index, made parallel).
+
+The pairs are dealt out by (shard, query group) with an explicit partition
+count, which adaptive execution leaves alone: the rows are few and small in
+bytes, but each stands for a matrix product.  With many shards there is one
+query group, so a shard is sent once; with few shards the query blocks are
+split into groups, so that all cores have work.
+
+Ids may have any orderable type; kernels rank on positions in id order.
 """
 
 from __future__ import annotations
@@ -17,14 +22,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearline.functions.vectors import dot
-
-RUN_SCHEMA = "qid bigint, docid bigint, score double"
-
 
 def rank_results(cands: DataFrame, k: int, qid: str = "qid", docid: str = "docid",
                  score: str = "score") -> DataFrame:
@@ -38,94 +39,121 @@ def _count(df: DataFrame) -> int:
     return int(df.count())
 
 
-def _pack(df: DataFrame, key: str, id_col: str, vec_col: str, prefix: str) -> DataFrame:
+def usable(vec: str) -> Column:
+    """Rows that take part in a search: a vector without null components."""
+    return F.col(vec).isNotNull() & ~F.coalesce(F.exists(F.col(vec), lambda x: x.isNull()), F.lit(False))
+
+
+def run_schema(q: DataFrame, q_id: str, d: DataFrame, d_id: str) -> str:
+    """Schema of candidate rows, with the id types of both sides."""
+    return f"qid {q.schema[q_id].dataType.simpleString()}, docid {d.schema[d_id].dataType.simpleString()}, score double"
+
+
+def _pack(df: DataFrame, key, id_col: str, vec_col: str, prefix: str) -> DataFrame:
     """One row per key: ids and the row-major flattened vectors of that key."""
-    g = df.groupBy(key).agg(F.collect_list(F.struct(F.col(id_col).alias("i"),
-                                                    F.col(vec_col).alias("v"))).alias("m"))
-    return g.select(key,
+    keys = [key] if isinstance(key, str) else list(key)
+    g = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(id_col).alias("i"),
+                                                      F.col(vec_col).alias("v"))).alias("m"))
+    return g.select(*keys,
                     F.transform("m", lambda s: s["i"]).alias(f"{prefix}_ids"),
                     F.flatten(F.transform("m", lambda s: s["v"])).alias(f"{prefix}_flat"))
 
 
-def _topk_rows(scores: np.ndarray, dids: np.ndarray, k: int):
-    """Indices of the best k per row, ties broken by ascending id."""
+def _topk_rows(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the best k per row; equal scores go by column, which is id order."""
     m = scores.shape[1]
     if m <= k:
-        order = np.lexsort((np.broadcast_to(dids, scores.shape), -scores), axis=1)
-        return order
+        return np.argsort(-scores, axis=1, kind="stable")
     out = np.empty((scores.shape[0], k), dtype=np.int64)
     part = np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    for r in range(scores.shape[0]):
-        s = scores[r]
+    for r, s in enumerate(scores):
         t = -part[r]
-        above = np.nonzero(s > t)[0]
-        ties = np.nonzero(s == t)[0]
-        need = k - above.size
-        ties = ties[np.argsort(dids[ties], kind="stable")[:need]]
-        out[r] = np.concatenate([above, ties])
+        above = np.flatnonzero(s > t)
+        out[r] = np.concatenate([above, np.flatnonzero(s == t)[:k - above.size]])
     return out
 
 
-def _block_scorer(k: int, decimals: int):
-    def score(it):
+def inner_product(Q: np.ndarray, D: np.ndarray) -> np.ndarray:
+    return Q @ D.T
+
+
+def block_scorer(k: int, decimals: int | None, score=inner_product):
+    """Kernel over rows (q_ids, q_flat, d_ids, d_flat): the local top-k of each query of each pair.
+
+    ``score(Q, D)`` returns the (queries x documents) matrix of a pair.
+    """
+    def run(it):
         for pdf in it:
-            qid_out, did_out, s_out = [], [], []
             for q_ids, q_flat, d_ids, d_flat in zip(pdf["q_ids"], pdf["q_flat"], pdf["d_ids"], pdf["d_flat"]):
-                if q_ids is None or d_ids is None or len(q_ids) == 0 or len(d_ids) == 0:
-                    continue
-                qi = np.asarray(q_ids, dtype=np.int64)
-                di = np.asarray(d_ids, dtype=np.int64)
-                Q = np.asarray(q_flat).astype(np.float64).reshape(qi.size, -1)
-                D = np.asarray(d_flat).astype(np.float64).reshape(di.size, -1)
-                S = np.round(Q @ D.T, decimals)
-                idx = _topk_rows(S, di, k)
+                qi, di = np.asarray(q_ids), np.asarray(d_ids)
+                order = np.argsort(di, kind="stable")
+                di = di[order]
+                Q = np.asarray(q_flat, dtype=np.float64).reshape(qi.size, -1)
+                D = np.asarray(d_flat).reshape(di.size, -1)[order]
+                S = score(Q, D if D.dtype.kind in "iu" else D.astype(np.float64))
+                if decimals is not None:
+                    S = np.round(S, decimals)
+                idx = _topk_rows(S, k)
                 rows = np.repeat(np.arange(qi.size), idx.shape[1])
                 cols = idx.reshape(-1)
-                qid_out.append(qi[rows])
-                did_out.append(di[cols])
-                s_out.append(S[rows, cols])
-            if qid_out:
-                yield pd.DataFrame({"qid": np.concatenate(qid_out), "docid": np.concatenate(did_out),
-                                    "score": np.concatenate(s_out)})
-            else:
-                yield pd.DataFrame({"qid": pd.Series([], dtype="int64"), "docid": pd.Series([], dtype="int64"),
-                                    "score": pd.Series([], dtype="float64")})
-    return score
+                yield pd.DataFrame({"qid": qi[rows], "docid": di[cols], "score": S[rows, cols]})
+    return run
+
+
+def _stored_shards(d: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
+    """Number the blocks of stored shards (column ``s``): a shard above ``shard_rows`` rows is split.
+
+    Only one row per stored shard reaches the driver.
+    """
+    sizes = sorted((r[0], r[1]) for r in d.groupBy("s").agg(F.count(F.lit(1))).collect())
+    blocks = [math.ceil(n / shard_rows) for _, n in sizes]
+    starts = np.cumsum([0, *blocks]).tolist()
+    info = d.sparkSession.createDataFrame([(s, b, at) for (s, _), b, at in zip(sizes, blocks, starts)],
+                                          "s int, nb int, at int")
+    d = d.join(info, "s").withColumn("s", (F.col("at") + F.pmod(F.xxhash64("i"), F.col("nb"))).cast("int"))
+    return d.select("s", "i", "v"), starts[-1]
 
 
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 1000, q_id: str = "id",
               q_vec: str = "rep", d_id: str = "id", d_vec: str = "rep",
-              query_block: int = 128, shard_rows: int = 4096, shard_col: str | None = None,
-              num_shards: int | None = None, decimals: int = 6) -> DataFrame:
-    """V2: exact inner-product top-k -> run(qid, docid, rank, score).
-
-    Scores are rounded to ``decimals`` before ranking so ties are resolved the
-    same way by every engine; ``min(k, n)`` rows per query are returned.
+              query_block: int = 1024, shard_rows: int = 4096, shard_col: str | None = None,
+              num_shards: int | None = None, decimals: int | None = None, score=inner_product) -> DataFrame:
+    """V2: exact inner-product top-k -> run(qid, docid, rank, score), ids in their own types.
+
+    ``min(k, n)`` rows per query; equal scores go to the smaller document id.
+    ``decimals`` rounds scores before ranking (off unless asked for).  A null
+    vector, or one with a null component, takes no part.  With ``shard_col`` a
+    document without a shard raises.
     """
-    spark = queries.sparkSession
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = run_schema(queries, q_id, corpus, d_id)
+    q = queries.where(usable(q_vec)).select(F.col(q_id).alias("i"), F.col(q_vec).alias("v"))
     if shard_col is None:
-        n_docs = _count(corpus)
-        num_shards = num_shards or max(1, math.ceil(n_docs / shard_rows))
-        corpus = corpus.withColumn("_nl_shard", F.pmod(F.xxhash64(F.col(d_id)), F.lit(num_shards)).cast("int"))
+        num_shards = num_shards or max(1, math.ceil(_count(corpus.select(d_id)) / shard_rows))
+        d = corpus.where(usable(d_vec)).select(F.col(d_id).alias("i"), F.col(d_vec).alias("v"))
+        d = d.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(num_shards)).cast("int"))
     else:
         stray = F.raise_error(F.concat(F.lit("no shard for document "), F.col(d_id).cast("string")))
         shard = F.col(shard_col).cast("int")
-        corpus = corpus.withColumn("_nl_shard", F.when(shard.isNull() | (shard < 0), stray.cast("int")).otherwise(shard))
-        if num_shards is None:
-            num_shards = int(corpus.agg(F.max("_nl_shard")).first()[0] or 0) + 1
-        else:
-            corpus = corpus.withColumn("_nl_shard", F.when(F.col("_nl_shard") >= num_shards, stray.cast("int"))
-                                       .otherwise(F.col("_nl_shard")))
-    n_q = _count(queries)
-    n_blocks = max(1, math.ceil(n_q / query_block))
-    qb = queries.withColumn("_nl_qb", F.pmod(F.xxhash64(F.col(q_id)), F.lit(n_blocks)).cast("int"))
-    q_packed = _pack(qb, "_nl_qb", q_id, q_vec, "q")
-    d_packed = _pack(corpus, "_nl_shard", d_id, d_vec, "d")
-    # Replicate each query block once per shard (equi-join on the shard key).
-    grid = (q_packed.withColumn("_nl_shard", F.explode(F.sequence(F.lit(0), F.lit(int(num_shards) - 1))))
-            .join(d_packed, "_nl_shard"))
-    local = grid.select("q_ids", "q_flat", "d_ids", "d_flat").mapInPandas(_block_scorer(k, decimals), RUN_SCHEMA)
-    del spark
+        outside = shard.isNull() | (shard < 0)
+        if num_shards is not None:
+            outside = outside | (shard >= num_shards)
+        d = corpus.withColumn("_nl_s", F.when(outside, stray.cast("int")).otherwise(shard)).where(usable(d_vec))
+        d, num_shards = _stored_shards(
+            d.select(F.col("_nl_s").alias("s"), F.col(d_id).alias("i"), F.col(d_vec).alias("v")), shard_rows)
+        num_shards = max(1, num_shards)
+    n_q = _count(queries.select(q_id))
+    groups = max(1, min(n_q, math.ceil(2 * parts / num_shards)))
+    blocks = groups * max(1, math.ceil(n_q / query_block / groups))
+    q = q.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    # A cell is one (shard, query group); query block b belongs to group b mod groups.
+    q_packed = _pack(q, "b", "i", "v", "q").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(num_shards - 1))))
+    q_packed = q_packed.withColumn("cell", F.col("s").cast("bigint") * groups + F.col("b") % groups)
+    d_packed = _pack(d, "s", "i", "v", "d").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    d_packed = d_packed.withColumn("cell", F.col("s").cast("bigint") * groups + F.col("g"))
+    n = max(parts, min(2 * num_shards * groups, 4 * parts))
+    grid = q_packed.repartition(n, "cell").join(d_packed.repartition(n, "cell"), "cell")
+    local = grid.select("q_ids", "q_flat", "d_ids", "d_flat").mapInPandas(block_scorer(k, decimals, score), schema)
     return rank_results(local, k).select("qid", "docid", "rank", "score")
 
 
@@ -139,7 +167,11 @@ def knn_sharded(queries: DataFrame, corpus: DataFrame, k: int = 1000, shard_col:
     return knn_exact(queries, corpus, k=k, shard_col=shard_col, **kw)
 
 
-def knn_sparse(q_sparse: DataFrame, d_sparse: DataFrame, k: int = 1000, decimals: int = 6) -> DataFrame:
+def rounded(score: Column, decimals: int | None) -> Column:
+    return score if decimals is None else F.round(score, decimals)
+
+
+def knn_sparse(q_sparse: DataFrame, d_sparse: DataFrame, k: int = 1000, decimals: int | None = None) -> DataFrame:
     """V6: sparse dot product on postings (id, term_id, weight).
 
     An equi-join on ``term_id``: each query term meets that term's postings.  The
@@ -149,7 +181,7 @@ def knn_sparse(q_sparse: DataFrame, d_sparse: DataFrame, k: int = 1000, decimals
     q = q_sparse.select(F.col("id").alias("qid"), "term_id", F.col("weight").alias("qw"))
     d = d_sparse.select(F.col("id").alias("docid"), "term_id", F.col("weight").alias("dw"))
     scores = (q.join(d, "term_id").groupBy("qid", "docid")
-              .agg(F.round(F.sum(F.col("qw") * F.col("dw")), decimals).alias("score")))
+              .agg(rounded(F.sum(F.col("qw") * F.col("dw")), decimals).alias("score")))
     return rank_results(scores, k).select("qid", "docid", "rank", "score")
 
 
@@ -158,11 +190,6 @@ def add_vectors(index: DataFrame, new: DataFrame) -> DataFrame:
     return index.unionByName(new)
 
 
-def pair_scores(left: DataFrame, right: DataFrame, on: str, l_vec: str, r_vec: str) -> DataFrame:
-    """Scores of already-paired rows (per-row dot, used inside bounded groups)."""
-    return left.join(right, on).withColumn("score", dot(F.col(l_vec), F.col(r_vec)))
-
-
 def stringify_ids(run: DataFrame, cols=("qid", "docid")) -> DataFrame:
     """Ids as strings."""
     for c in cols:

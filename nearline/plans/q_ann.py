@@ -1,45 +1,127 @@
-"""Approximate search over ``embeddings`` (model fits on the whole table)."""
+"""Approximate search over ``embeddings``.
+
+Queries named after a fit (``full_probe``, ``pca``) train their model; the others
+take the vectors of smallest id as centroids, codebooks or projections, which
+SQL reproduces.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nearline.operators import ann as N
 from nearline.operators import metrics as R
 from nearline.operators import search as S
-from nearline.plans.q_losses import KNN10
 from nearline.plans.registry import register
+from nearline.plans.sqlparts import KNN10
 from nearline.sources import fixtures as X
 
-NLIST = 8
+NLIST, NPROBE, SUBS, BOOK, TABLES = 8, 2, 8, 16, 4
+WIDTH, OFFSET = 0.5, 0.123
 
 
 def _reps(spark, sf_dir):
     return X.reps(spark, sf_dir).select("id", "rep")
 
 
-def _ivf(spark, sf_dir, nprobe):
+def _string_ids(reps):
+    return reps.select(F.concat(F.lit("v"), F.col("id")).alias("id"), "rep")
+
+
+def ranked(cands: str) -> str:
+    """Top 10 of candidates (qid, docid, s)."""
+    return f"""SELECT qid, docid, CAST(rank AS BIGINT) AS rank, score FROM (
+  SELECT qid, docid, round(s, 6) AS score,
+         row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, docid) AS rank FROM ({cands}) c) t
+WHERE rank <= 10"""
+
+
+VECTORS = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
+# cells(id, v, cell, near): cells by distance to the first NLIST vectors, near = 1 for the closest.
+CELL_SQL = f"""cent AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cell, v AS c FROM e QUALIFY cell < {NLIST}),
+cells AS (SELECT id, v, cell, row_number() OVER (PARTITION BY id ORDER BY
+                 list_inner_product(c, c) - 2 * list_inner_product(v, c), cell) AS near FROM e, cent)"""
+CELLS = f"{VECTORS}, {CELL_SQL}"
+IVF_RUN = ranked(f"""SELECT q.id AS qid, d.id AS docid, list_inner_product(q.v, d.v) AS s
+  FROM cells q JOIN cells d ON q.cell = d.cell AND q.near <= {NPROBE} AND d.near = 1""")
+# codes(id, j, code) and dec(id, r): the nearest of the first BOOK vectors in each slice, and their concatenation.
+CODES = f"""book AS (SELECT row_number() OVER (ORDER BY id) - 1 AS code, v AS c FROM e QUALIFY code < {BOOK}),
+slices AS (SELECT id, j, list_slice(v, j * len(v) // {SUBS} + 1, (j + 1) * len(v) // {SUBS}) AS x
+           FROM e, range({SUBS}) r(j)),
+books AS (SELECT code, j, list_slice(c, j * len(c) // {SUBS} + 1, (j + 1) * len(c) // {SUBS}) AS y
+          FROM book, range({SUBS}) r(j)),
+best AS (SELECT id, s.j, y FROM slices s JOIN books b ON s.j = b.j
+         QUALIFY row_number() OVER (PARTITION BY id, s.j ORDER BY
+                 list_inner_product(y, y) - 2 * list_inner_product(x, y), code) = 1),
+dec AS (SELECT id, flatten(list(y ORDER BY j)) AS r FROM best GROUP BY id)"""
+
+
+def _ivf_fitted(spark, sf_dir):
     r = _reps(spark, sf_dir)
     cents = N.ivf_fit(r, NLIST, seed=42)
-    return N.ivf_search(r, N.ivf_assign(r, cents), cents, k=10, nprobe=nprobe, shard_rows=64, query_block=32)
+    return N.ivf_search(r, N.ivf_assign(r, cents), cents, k=10, nprobe=NLIST, shard_rows=64, query_block=32, decimals=6)
+
+
+def _ivf(r):
+    cents = N.first_vectors(r, NLIST)
+    return N.ivf_search(r, N.ivf_assign(r, cents), cents, k=10, nprobe=NPROBE, shard_rows=64, query_block=32, decimals=6)
+
+
+def _pq_books(r):
+    return N.pq_books(N.first_vectors(r, BOOK), SUBS)
 
 
 @register("v7_ivf_full_probe", KNN10)
 def v7_ivf_full_probe(spark, sf_dir):
     """IVF with every list probed must equal exact search."""
-    return _ivf(spark, sf_dir, NLIST)
+    return _ivf_fitted(spark, sf_dir)
 
 
-@register("v7_ivf_search")
+@register("v7_ivf_search", f"WITH {CELLS} {IVF_RUN}")
 def v7_ivf_search(spark, sf_dir):
-    return _ivf(spark, sf_dir, 2)
+    return _ivf(_reps(spark, sf_dir))
+
 
+@register("v2_knn_string_ids", """
+SELECT qid, docid, rank, score FROM (
+  SELECT qid, docid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS BIGINT) AS rank
+  FROM (SELECT 'v' || q.vec_id AS qid, 'v' || d.vec_id AS docid,
+               round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
+        FROM embeddings q, embeddings d) p) t
+WHERE rank <= 10
+""")
+def v2_knn_string_ids(spark, sf_dir):
+    r = _string_ids(_reps(spark, sf_dir))
+    return S.knn_exact(r, r, k=10, decimals=6)
 
-@register("v8_pq_search")
+
+@register("v7_ivf_string_ids", f"""
+WITH {VECTORS.replace('vec_id AS id', "'v' || vec_id AS id")},
+{CELL_SQL} {IVF_RUN}
+""")
+def v7_ivf_string_ids(spark, sf_dir):
+    return _ivf(_string_ids(_reps(spark, sf_dir)))
+
+
+@register("v8_pq_search", f"""
+WITH {VECTORS}, {CODES} {ranked("SELECT q.id AS qid, d.id AS docid, list_inner_product(q.v, d.r) AS s FROM e q, dec d")}
+""")
 def v8_pq_search(spark, sf_dir):
     r = _reps(spark, sf_dir)
-    books = N.pq_fit(r, m=8, ks=16, seed=42, max_iter=10)
-    return N.pq_search(r, N.pq_encode(r, books), books, k=10)
+    books = _pq_books(r)
+    return N.pq_search(r, N.pq_encode(r, books), books, k=10, decimals=6)
+
+
+@register("v8_ivf_pq_search", f"""
+WITH {CELLS}, {CODES} {ranked(f'''SELECT q.id AS qid, d.id AS docid, list_inner_product(q.v, x.r) AS s
+  FROM cells q JOIN cells d ON q.cell = d.cell AND q.near <= {NPROBE} AND d.near = 1 JOIN dec x ON x.id = d.id''')}
+""")
+def v8_ivf_pq_search(spark, sf_dir):
+    r = _reps(spark, sf_dir)
+    books, cents = _pq_books(r), N.first_vectors(r, NLIST)
+    index = N.pq_encode(N.ivf_assign(r, cents), books)
+    return N.ivf_pq_search(r, index, cents, books, k=10, nprobe=NPROBE, decimals=6)
 
 
 @register("v9_pca_reduce")
@@ -48,19 +130,46 @@ def v9_pca_reduce(spark, sf_dir):
     return N.pca_reduce(r, N.pca_fit(r, 16))
 
 
-@register("v10_lsh_search")
+@register("v9_pca_full_search", KNN10)
+def v9_pca_full_search(spark, sf_dir):
+    """A projection on all principal components keeps every inner product."""
+    r = _reps(spark, sf_dir)
+    return N.make_index(f"PCA{N.first_vectors(r, 1).shape[1]},Flat", r)(r, k=10, decimals=6)
+
+
+@register("v10_lsh_search", f"""
+WITH {VECTORS},
+plane AS (SELECT row_number() OVER (ORDER BY id) - 1 AS t, v AS p FROM e QUALIFY t < {TABLES}),
+h AS (SELECT id, t, CAST(floor((list_inner_product(v, p) + {OFFSET}::DOUBLE) / {WIDTH}::DOUBLE) AS BIGINT) AS b
+      FROM e, plane),
+pairs AS (SELECT DISTINCT q.id AS qid, d.id AS docid FROM h q JOIN h d ON q.t = d.t AND q.b = d.b)
+{ranked('''SELECT qid, docid, list_inner_product(q.v, d.v) AS s FROM pairs JOIN e q ON q.id = qid JOIN e d ON d.id = docid''')}
+""")
 def v10_lsh_search(spark, sf_dir):
     r = _reps(spark, sf_dir)
-    return N.lsh_search(r, r, N.lsh_fit(r, bucket_length=0.5, num_tables=4, seed=42), k=10)
+    model = N.Projections(N.first_vectors(r, TABLES), np.full(TABLES, OFFSET), WIDTH)
+    return N.lsh_search(r, r, model, k=10, decimals=6)
+
+
+@register("u4_index_add", KNN10)
+def u4_index_add(spark, sf_dir):
+    """An index fitted on half of the vectors, the other half added, every list probed."""
+    r = _reps(spark, sf_dir)
+    half = N.make_index(f"IVF{NLIST},Flat", r.where(F.col("id") % 2 == 0))
+    return half.add(r.where(F.col("id") % 2 != 0))(r, k=10, nprobe=NLIST, decimals=6)
 
 
 @register("r7_run_overlap_full_probe", "SELECT vec_id AS qid, 1.0::DOUBLE AS overlap_10 FROM embeddings")
 def r7_run_overlap_full_probe(spark, sf_dir):
     r = _reps(spark, sf_dir)
-    return R.run_overlap(_ivf(spark, sf_dir, NLIST), S.knn_exact(r, r, k=10), k=10)
+    return R.run_overlap(_ivf_fitted(spark, sf_dir), S.knn_exact(r, r, k=10, decimals=6), k=10)
 
 
-@register("r7_run_overlap")
+@register("r7_run_overlap", f"""
+WITH {CELLS}, a AS ({IVF_RUN}), x AS ({KNN10})
+SELECT x.qid, round(count(a.docid) / count(*)::DOUBLE, 6) AS overlap_10
+FROM x LEFT JOIN a ON a.qid = x.qid AND a.docid = x.docid GROUP BY x.qid
+""")
 def r7_run_overlap(spark, sf_dir):
     r = _reps(spark, sf_dir)
-    return R.run_overlap(_ivf(spark, sf_dir, 2), S.knn_exact(r, r, k=10), k=10)
+    return R.run_overlap(_ivf(r), S.knn_exact(r, r, k=10, decimals=6), k=10)

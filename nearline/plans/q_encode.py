@@ -59,7 +59,7 @@ FROM s QUALIFY rank <= 10
 """)
 def e3_untied_search(spark, sf_dir):
     idx = _index(spark, sf_dir)
-    return S.knn_exact(_query_reps(spark, sf_dir, idx), _doc_reps(spark, sf_dir, idx), k=10)
+    return S.knn_exact(_query_reps(spark, sf_dir, idx), _doc_reps(spark, sf_dir, idx), k=10, decimals=6)
 
 
 def hidden_states(spark, sf_dir, padding: int = 2, dim: int = 8):
@@ -168,4 +168,4 @@ def v6_knn_sparse(spark, sf_dir):
     d = (docs.select("id", F.explode("terms").alias("term"))
          .select("id", F.pmod(hex8(F.md5("term")), F.lit(30000)).cast("int").alias("term_id"))
          .groupBy("id", "term_id").agg(F.count(F.lit(1)).cast("double").alias("weight")))
-    return S.knn_sparse(q, d, k=10)
+    return S.knn_sparse(q, d, k=10, decimals=6)

@@ -19,7 +19,7 @@ def _index(spark, sf_dir):
 def _run(spark, sf_dir, k=10):
     docs, idx = _index(spark, sf_dir)
     q = B.analyze(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return B.bm25_search(q, idx, k=k), docs, idx
+    return B.bm25_search(q, idx, k=k, decimals=6), docs, idx
 
 
 def _qrels(spark, sf_dir, docs, idx):
@@ -114,4 +114,4 @@ FROM s QUALIFY rank <= 7
 """)
 def b4_build_batches(spark, sf_dir):
     _, idx = _index(spark, sf_dir)
-    return B.build_batches(idx, top_k=8, seed_block=128, cand_block=256)
+    return B.build_batches(idx, top_k=8, seed_block=128, cand_block=256, decimals=6)

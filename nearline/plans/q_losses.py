@@ -11,7 +11,7 @@ from nearline.operators import losses as A
 from nearline.operators import search as S
 from nearline.operators.lexical import ENGLISH_STOPWORDS
 from nearline.plans.registry import register
-from nearline.plans.sqlparts import DOC_BATCHES, STOP_LIST, hex8 as sql_hex8, md5k, words as sql_words
+from nearline.plans.sqlparts import KNN10, DOC_BATCHES, STOP_LIST, hex8 as sql_hex8, md5k, words as sql_words
 from nearline.session import scratch_path, table
 from nearline.sources import fixtures as X
 from nearline.sources import io
@@ -47,18 +47,6 @@ def e7_l2_normalize(spark, sf_dir):
                     F.transform(l2_normalize(scale("embedding", 2.0)), lambda x: F.round(x, 6)).alias("rep"))
 
 
-KNN10 = """
-SELECT qid, docid, rank, score FROM (
-  SELECT q.vec_id AS qid, d.vec_id AS docid,
-         round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score,
-         CAST(row_number() OVER (PARTITION BY q.vec_id
-              ORDER BY round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) DESC,
-                       d.vec_id) AS BIGINT) AS rank
-  FROM embeddings q, embeddings d) t
-WHERE rank <= 10
-"""
-
-
 @register("v11_add_vectors", KNN10)
 def v11_add_vectors(spark, sf_dir):
     r = X.reps(spark, sf_dir)
@@ -66,7 +54,7 @@ def v11_add_vectors(spark, sf_dir):
     io.write_reps(r.where(F.col("label") < 5).select("id", "rep", F.lit(0).alias("shard")), path)
     new = r.where(F.col("label") >= 5).select("id", "rep")
     index = S.add_vectors(io.read_reps(spark, path).select("id", "rep"), new)
-    return S.knn_exact(index, index, k=10)
+    return S.knn_exact(index, index, k=10, decimals=6)
 
 
 MEMBERS_SQL = """

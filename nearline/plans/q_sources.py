@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nearline.operators import search as S
 from nearline.plans.registry import register
-from nearline.plans.sqlparts import DOC_BATCHES, TRAIN_GROUPS
+from nearline.plans.sqlparts import KNN10, DOC_BATCHES, TRAIN_GROUPS
 from nearline.session import scratch_path, table
 from nearline.sources import fixtures as X
 from nearline.sources import io
@@ -96,21 +96,9 @@ def s6_read_rep_shards(spark, sf_dir):
     return io.read_rep_shards(spark, f"{path}/part*/shard=*/*.parquet").select("id", "rep")
 
 
-KNN10 = """
-SELECT qid, docid, rank, score FROM (
-  SELECT q.vec_id AS qid, d.vec_id AS docid,
-         round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score,
-         CAST(row_number() OVER (PARTITION BY q.vec_id
-              ORDER BY round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) DESC,
-                       d.vec_id) AS BIGINT) AS rank
-  FROM embeddings q, embeddings d) t
-WHERE rank <= 10
-"""
-
-
 def _run10(spark, sf_dir):
     r = X.reps(spark, sf_dir).select("id", "rep")
-    return S.knn_exact(r, r, k=10)
+    return S.knn_exact(r, r, k=10, decimals=6)
 
 
 @register("s7_write_ranking", f"""

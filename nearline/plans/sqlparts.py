@@ -159,6 +159,20 @@ def hash_encode(name: str, src: str, binary: bool = False, dim: int = 64) -> str
 """
 
 
+# Exact inner-product top-k of all embeddings against all.
+KNN_SQL = """
+SELECT qid, docid, rank, score FROM (
+  SELECT q.vec_id AS qid, d.vec_id AS docid,
+         round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score,
+         CAST(row_number() OVER (PARTITION BY q.vec_id
+              ORDER BY round(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) DESC,
+                       d.vec_id) AS BIGINT) AS rank
+  FROM embeddings q, embeddings d) t
+WHERE rank <= {k}
+"""
+KNN10 = KNN_SQL.format(k=10)
+
+
 def unit(expr: str) -> str:
     return f"({hex8(expr)}::DOUBLE / 4294967296.0::DOUBLE)"
 

@@ -23,6 +23,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.nearline.scanPartitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -57,25 +58,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/nearline/{name}-{uuid.uuid4().hex}"
 
 
-# Key columns of the driver tables, used to spread under-partitioned scans.
+# Key columns of the driver tables, for scans that the session asks to split.
 TABLE_KEYS = {"documents": "doc_id", "embeddings": "vec_id", "benchmark": "item_id", "conversations": "conv_id",
               "events": "event_id", "pages": "page_id", "labels": "doc_id"}
 
 
-def spread(df, key: str | None = None, min_partitions: int | None = None):
-    """Hash-repartition a frame on ``key`` when it has fewer partitions than the
-    cluster has cores (e.g. a single-row-group file), so per-row work runs in
-    parallel; a no-op for scans that are already split, as at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str):
+    """One input table.  A session that reads files of a single row group (which no
+    scan can split) may set ``spark.nearline.scanPartitions``; tables are then
+    hash-partitioned on their key into so many parts.  Unset: scanned as stored."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = TABLE_KEYS.get(name)
-    return spread(df, key) if key else df
+    parts = spark.conf.get("spark.nearline.scanPartitions", None)
+    return df.repartition(int(parts), TABLE_KEYS[name]) if parts and name in TABLE_KEYS else df
 
 
 def materialize(df, name: str):

@@ -42,7 +42,7 @@ def test_knn_exact_equals_numpy_bruteforce(spark):
     X = np.stack(pdf["rep"].map(lambda v: np.asarray(v, dtype=np.float64)))
     want = _numpy_topk(ids, X, ids, X, 7)
     for kw in ({}, {"query_block": 16, "shard_rows": 50}):
-        run = S.knn_exact(r, r, k=7, **kw).collect()
+        run = S.knn_exact(r, r, k=7, decimals=6, **kw).collect()
         got = {}
         for row in sorted(run, key=lambda x: (x.qid, x["rank"])):
             got.setdefault(row.qid, []).append((row.docid, row.score))
@@ -66,8 +66,8 @@ def test_equal_scores_break_by_docid(spark):
 def test_ivf_full_probe_equals_exact(spark):
     r = _reps(spark)
     cents = N.ivf_fit(r, 4, seed=1)
-    a = N.ivf_search(r, N.ivf_assign(r, cents), cents, k=5, nprobe=4, shard_rows=32, query_block=16)
-    b = S.knn_exact(r, r, k=5)
+    a = N.ivf_search(r, N.ivf_assign(r, cents), cents, k=5, nprobe=4, shard_rows=32, query_block=16, decimals=6)
+    b = S.knn_exact(r, r, k=5, decimals=6)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
