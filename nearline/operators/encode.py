@@ -105,7 +105,7 @@ def hashing_encode(df: DataFrame, index: BM25Index, dim: int = 64, is_query: boo
 def hashing_encode_index(index: BM25Index, dim: int = 64) -> DataFrame:
     """Hashing encoder of the indexed corpus itself, read off the stored postings
     (tf) instead of analysing the text again; equals ``hashing_encode`` on it."""
-    w = index.postings.join(index.terms.select("term", "idf"), "term").select(
+    w = index.tf.join(index.terms.select("term", "idf"), "term").select(
         F.col("doc_id").alias("id"), term_bucket(F.col("term"), dim).alias("bucket"),
         (term_sign(F.col("term")) * F.col("tf") * F.col("idf")).alias("v"))
     b = w.groupBy("id", "bucket").agg(F.sum("v").alias("v"))

@@ -1,16 +1,16 @@
 """Lexical analysis, BM25 indexing and search, chunking.
 
-The index is three grouped aggregates over exploded tokens; search is an
-equi-join of distinct query terms with postings that already carry their BM25
-weight, summed per (query, document).  Corpus-wide constants (document count,
-average length) enter as scalar subqueries, so nothing is collected.
+The index is a few grouped aggregates over exploded tokens; search is an
+equi-join of distinct query terms, with their idf, and the stored term counts,
+summed per (query, document).  Corpus-wide constants (document count, average
+length) enter as scalar subqueries, so nothing is collected.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearline.functions.text import WS_CLASS, words
@@ -67,55 +67,103 @@ def stem_terms(df: DataFrame, stemmer, col: str = "terms") -> DataFrame:
 
 @dataclass
 class BM25Index:
-    postings: DataFrame  # term, doc_id, tf, w (BM25 weight incl. idf)
+    """Stored parts of an index; weights are computed where postings are read."""
+
+    tf: DataFrame        # term, doc_id, tf, dl; clustered by document
     terms: DataFrame     # term, df, idf
     docs: DataFrame      # doc_id, dl
-    stats: DataFrame     # n, avgdl
+    stats: DataFrame     # n, avgdl (one row)
     k1: float
     b: float
 
+    def weight(self) -> Column:
+        """BM25 weight of a row with tf, dl and idf."""
+        avgdl = self.stats.select("avgdl").scalar()
+        norm = F.lit(self.k1) * (1.0 - self.b + self.b * F.col("dl") / avgdl)
+        return F.col("idf") * F.col("tf") / (norm + F.col("tf"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """All postings (term, doc_id, tf, w)."""
+        return self.tf.join(self.terms.select("term", "idf"), "term").select("term", "doc_id", "tf",
+                                                                             self.weight().alias("w"))
+
+
+def _with_idf(dfs: DataFrame, n: Column) -> DataFrame:
+    return dfs.withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
+def _stats(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def _stored(df: DataFrame, name: str, store: bool) -> DataFrame:
+    return materialize_table(df, name) if store else df
+
 
 def bm25_index(analyzed: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "id",
                terms_col: str = "terms", materialize: bool = True) -> BM25Index:
-    """B2: postings(term, doc_id, tf, w), terms(term, df, idf), docs(doc_id, dl), stats(n, avgdl).
+    """B2: tf(term, doc_id, tf, dl), terms(term, df, idf), docs(doc_id, dl), stats(n, avgdl).
 
-    The term-frequency table (one row per document and term, carrying the
-    document length) is built in one pass over the text; it, the term table and
-    the weighted postings are written to the shared checkpoint folder, so
-    analysis runs once and searches read stored, pruned Parquet.  The document
-    count comes from the id column alone (no analysis).
+    Documents are exchanged once, as term arrays hashed on their id; the counts
+    per (document, term) then need no further exchange, and the table stays
+    clustered by document, so score sums of a search combine map-side.  The
+    tables are written to the shared checkpoint folder; ``write_index`` keeps
+    them for later sessions.
     """
-    tok = analyzed.select(F.col(id_col).alias("doc_id"), F.size(terms_col).cast("bigint").alias("dl"),
-                          F.explode(terms_col).alias("term"))
-    tf = tok.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    if materialize:
-        tf = materialize_table(tf, "bm25_tf")
+    docs = analyzed.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(terms_col), F.array()).alias("_terms"))
+    docs = docs.select("doc_id", F.size("_terms").cast("bigint").alias("dl"), "_terms").repartition("doc_id")
+    tf = (docs.select("doc_id", "dl", F.explode("_terms").alias("term"))
+          .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+          .select("term", "doc_id", "tf", "dl"))
+    tf = _stored(tf, "bm25_tf", materialize)
     ids = analyzed.select(F.col(id_col).alias("doc_id"))
-    n = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
-    avgdl = tf.agg((F.sum("tf") / n).alias("avgdl")).scalar()
-    stats = ids.agg(F.count(F.lit(1)).alias("n")).select("n", avgdl.alias("avgdl"))
-    per_doc = tf.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    docs = ids.join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl"))
-    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = terms.withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    if materialize:
-        terms = materialize_table(terms, "bm25_terms")
-    norm = F.lit(k1) * (1.0 - b + b * F.col("dl") / avgdl)
-    postings = (tf.join(terms.select("term", "idf"), "term")
-                .select("term", "doc_id", "tf", (F.col("idf") * F.col("tf") / (norm + F.col("tf"))).alias("w")))
-    if materialize:
-        # Stored clustered by document so per-document score sums combine map-side.
-        postings = materialize_table(postings.repartition("doc_id"), "bm25_postings")
-    return BM25Index(postings, terms, docs, stats, k1, b)
+    lengths = tf.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+    docs = ids.join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl"))
+    docs = _stored(docs, "bm25_docs", materialize)
+    stats = _stored(_stats(docs), "bm25_stats", materialize)
+    dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = _stored(_with_idf(dfs, stats.select("n").scalar()), "bm25_terms", materialize)
+    return BM25Index(tf, terms, docs, stats, k1, b)
+
+
+def bm25_append(index: BM25Index, analyzed: DataFrame, id_col: str = "id", terms_col: str = "terms") -> BM25Index:
+    """The index of the old and the new documents: new postings are added, document
+    frequencies summed, idf and lengths derived anew.  Ids must be new."""
+    new = bm25_index(analyzed, index.k1, index.b, id_col, terms_col)
+    docs = index.docs.unionByName(new.docs)
+    stats = materialize_table(_stats(docs), "bm25_stats")
+    dfs = index.terms.unionByName(new.terms).groupBy("term").agg(F.sum("df").alias("df"))
+    terms = materialize_table(_with_idf(dfs, stats.select("n").scalar()), "bm25_terms")
+    return BM25Index(index.tf.unionByName(new.tf), terms, docs, stats, index.k1, index.b)
+
+
+PARTS = ("tf", "terms", "docs", "stats")
+
+
+def write_index(index: BM25Index, path: str) -> None:
+    """Store an index under ``path`` (one Parquet folder a part; k1 and b in ``stats``)."""
+    for part in PARTS:
+        df = getattr(index, part)
+        if part == "stats":
+            df = df.select("n", "avgdl", F.lit(index.k1).alias("k1"), F.lit(index.b).alias("b"))
+        df.write.parquet(f"{path.rstrip('/')}/{part}")
+
+
+def read_index(spark: SparkSession, path: str) -> BM25Index:
+    """An index stored by ``write_index``."""
+    tf, terms, docs, stats = (spark.read.parquet(f"{path.rstrip('/')}/{part}") for part in PARTS)
+    params = stats.select("k1", "b").first()
+    return BM25Index(tf, terms, docs, stats.select("n", "avgdl"), params.k1, params.b)
 
 
 def bm25_scores(query_terms: DataFrame, index: BM25Index, qid: str = "id", terms_col: str = "terms",
                 decimals: int | None = None) -> DataFrame:
     """(qid, docid, score) over distinct query terms; documents sharing no term get no row."""
     qt = query_terms.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(terms_col)).alias("term"))
-    s = qt.join(index.postings, "term").groupBy("qid", F.col("doc_id").alias("docid")).agg(
-        rounded(F.sum("w"), decimals).alias("score"))
-    return s
+    qt = qt.join(index.terms.select("term", "idf"), "term")
+    return (qt.join(index.tf, "term").groupBy("qid", F.col("doc_id").alias("docid"))
+            .agg(rounded(F.sum(index.weight()), decimals).alias("score")))
 
 
 def bm25_search(query_terms: DataFrame, index: BM25Index, k: int = 10, qid: str = "id",
@@ -210,7 +258,7 @@ def build_batches(index: BM25Index, corpus: DataFrame | None = None, top_k: int
     from nearline.operators.search import _count
 
     kind = index.postings.schema["doc_id"].dataType.simpleString()
-    post = index.postings.select("doc_id", F.xxhash64("term").alias("th"), "w")
+    post = materialize_table(index.postings.select("doc_id", F.xxhash64("term").alias("th"), "w"), "bm25_postings")
     n = _count(index.docs)
     n_sb, n_cb = max(1, math.ceil(n / seed_block)), max(1, math.ceil(n / cand_block))
     s = post.withColumn("sb", F.pmod(F.xxhash64("doc_id"), F.lit(n_sb)).cast("int"))

@@ -170,13 +170,14 @@ def adapter_gradient(queries: DataFrame, passages: DataFrame, targets: DataFrame
                         F.lit("p").alias("side"))
     per = q.unionByName(p).groupBy("batch_id").applyInPandas(
         _adapter_grads(W), "grad array<double>, loss double, n bigint")
-    coef = per.select(F.posexplode("grad").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"))
-    tot = per.agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
-    g = np.zeros(W.size)
+    # One job a step: loss and count travel as the two coefficients after the gradient.
+    extra = F.array("loss", F.col("n").cast("double"))
+    coef = per.select(F.posexplode(F.concat("grad", extra)).alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"))
+    g = np.zeros(W.size + 2)
     for r in coef.collect():   # d*d model-sized rows
         g[r.i] = r.g
-    n = max(int(tot.n or 0), 1)
-    return g.reshape(W.shape) / n, float(tot.loss or 0.0) / n
+    n = max(g[-1], 1.0)
+    return g[:-2].reshape(W.shape) / n, float(g[-2] / n)
 
 
 def fit_linear_adapter(queries: DataFrame, passages: DataFrame, targets: DataFrame, dim: int, steps: int = 5,

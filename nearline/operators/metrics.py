@@ -33,7 +33,7 @@ def build_qrels_contains(queries: DataFrame, corpus_terms: DataFrame, corpus: Da
     ranked = ex.join(index.terms.select("term", "df"), "term")
     w = Window.partitionBy("qid").orderBy(F.col("df").asc(), F.col("term").asc())
     anchors = ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("qid", "term")
-    cands = anchors.join(index.postings.select("term", F.col("doc_id").alias("docid")), "term")
+    cands = anchors.join(index.tf.select("term", F.col("doc_id").alias("docid")), "term")
     docs = corpus.select(F.col(q_id).alias("docid"), F.col(q_text).alias("dtext"))
     hits = (cands.join(qt.select("qid", "qtext"), "qid").join(docs, "docid")
             .where(F.col("dtext").contains(F.col("qtext"))).select("qid", "docid"))

@@ -8,7 +8,7 @@ from nearline.operators import lexical as B
 from nearline.operators import metrics as R
 from nearline.plans.registry import register
 from nearline.plans.sqlparts import BM25, WS, analyzed
-from nearline.session import table
+from nearline.session import scratch_path, table
 
 
 def _index(spark, sf_dir):
@@ -52,6 +52,17 @@ def b3_bm25_search(spark, sf_dir):
     return _run(spark, sf_dir)[0]
 
 
+@register("b2_index_append", f"WITH {BM25} SELECT qid, docid, rank, score FROM bm_run")
+def b2_index_append(spark, sf_dir):
+    """An index of the even documents, stored and read back, to which the odd ones are appended."""
+    docs = B.analyze(table(spark, sf_dir, "documents"), "doc_id", "text")
+    path = scratch_path(spark, "bm25")
+    B.write_index(B.bm25_index(docs.where(F.col("id") % 2 == 0)), path)
+    idx = B.bm25_append(B.read_index(spark, path), docs.where(F.col("id") % 2 != 0))
+    q = B.analyze(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return B.bm25_search(q, idx, k=10, decimals=6)
+
+
 @register("b5_chunk", f"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> '') AS w FROM documents),
 c AS (SELECT doc_id, w, CASE WHEN len(w) <= 100 THEN 1 ELSE CAST(ceil((len(w) - 20) / 80.0) AS INTEGER) END AS nc FROM w)
