@@ -92,9 +92,16 @@ def make_group(groups: DataFrame, pos: str = "positive", negs: str = "negatives"
     return g.select("group_id", "query", F.posexplode("passages").alias("slot", "passage"))
 
 
-def target_index(groups: DataFrame, group_size: int, idx_col: str = "group_idx") -> DataFrame:
-    """M7: in the flat passage list, query q's positive sits at q * group_size."""
-    return groups.withColumn("target", (F.col(idx_col) * F.lit(int(group_size))).cast("bigint"))
+def target_index(groups: DataFrame, group_size: int, idx_col: str = "group_idx", negs: str = "negatives") -> DataFrame:
+    """M7: in the flat passage list, query q's positive sits at q * group_size.
+
+    A group without exactly ``group_size - 1`` negatives would shift all later
+    targets, so it raises.
+    """
+    uneven = F.raise_error(F.concat(F.lit("uneven group at position "), F.col(idx_col).cast("string")))
+    even = F.coalesce(F.size(negs), F.lit(-1)) == int(group_size) - 1
+    return groups.withColumn("target", F.when(even, F.col(idx_col) * F.lit(int(group_size))).otherwise(uneven.cast("bigint"))
+                             .cast("bigint"))
 
 
 def assign_batches(df: DataFrame, key: str, batch_size: int, epoch: int = 0, seed: int = 42,

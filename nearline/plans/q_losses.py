@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nearline.functions.hashing import hex8, md5_key
@@ -182,14 +183,14 @@ def a6_lm_loss(spark, sf_dir):
 @register("a7_dual_loss", f"""
 WITH {TOKEN_LOGP_SQL},
 ib AS ({_ce_sql("q.batch_id = p.batch_id").replace("round((l.lse - s.score), 6)", "(l.lse - s.score)")}),
-sq AS (SELECT doc_id, avg(-logp) AS lm_loss FROM token_logp WHERE label <> -100 GROUP BY doc_id)
+sq AS (SELECT batch_id, avg(-logp) AS lm_loss FROM token_logp WHERE label <> -100 GROUP BY batch_id)
 SELECT round((SELECT avg(loss) FROM ib), 6) AS inbatch_loss, round((SELECT avg(lm_loss) FROM sq), 6) AS seq_loss,
        round((SELECT avg(loss) FROM ib) + (SELECT avg(lm_loss) FROM sq), 6) AS total_loss
 """)
 def a7_dual_loss(spark, sf_dir):
     q, p, t = _qp(spark, sf_dir)
     ib = A.contrastive_loss(q, p, t, scope="batch")
-    sq = A.lm_loss(token_logp(spark, sf_dir), by="doc_id")
+    sq = A.lm_loss(token_logp(spark, sf_dir), by="batch_id")
     d = A.dual_loss(ib, sq, enabled=True)
     return d.select(*[F.round(c, 6).alias(c) for c in ("inbatch_loss", "seq_loss", "total_loss")])
 
@@ -204,6 +205,20 @@ def a10_metric_log(spark, sf_dir):
     return A.metric_log(log, every=100).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
+@register("a9_adapter_loss", f"""
+WITH {MEMBERS_SQL},
+s AS (SELECT q.vec_id AS qid, p.vec_id AS pid, list_inner_product({_n('q.v')}, {_n('p.v')}) AS score
+      FROM m q JOIN m p ON q.batch_id = p.batch_id WHERE q.pos % 2 = 0 AND p.pos % 2 = 1),
+l AS (SELECT qid, ln(sum(exp(score))) - any_value(score) FILTER (pid = qid + 1) AS loss FROM s GROUP BY qid)
+SELECT round(avg(loss), 6) AS loss FROM l
+""")
+def a9_adapter_loss(spark, sf_dir):
+    """The objective of the adapter fit at W = I."""
+    q, p, t = _qp(spark, sf_dir)
+    _, loss = A.adapter_gradient(q, p, t, np.eye(64))
+    return spark.createDataFrame([(round(loss, 6),)], "loss double")
+
+
 @register("a9_fit_linear_adapter")
 def a9_fit_linear_adapter(spark, sf_dir):
     """Three gradient steps on the even/odd in-batch pairs; W returned as (i, j, w) rows."""

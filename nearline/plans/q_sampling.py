@@ -42,6 +42,18 @@ def m3_pick_positive(spark, sf_dir):
     return g.select("group_id", F.col("positive")["docid"].alias("pos_docid"))
 
 
+@register("m3_pick_of_many", f"""
+WITH {TRAIN_GROUPS}, g AS (SELECT group_id, positives || negatives AS a FROM train_groups)
+SELECT group_id, a[((group_id + 42 + 1) % len(a)) + 1].docid AS pos_docid, a[1].docid AS first_docid FROM g
+""")
+def m3_pick_of_many(spark, sf_dir):
+    """Groups with several positives (the negatives serve as further ones): rotation and no_shuffle."""
+    g = X.train_groups(spark, sf_dir).withColumn("positives", F.concat("positives", "negatives"))
+    g = M.pick_positive(g, no_shuffle=True).withColumnRenamed("positive", "first")
+    return M.pick_positive(g, epoch=1, seed=42).select(
+        "group_id", F.col("positive")["docid"].alias("pos_docid"), F.col("first")["docid"].alias("first_docid"))
+
+
 NEG_SQL = f"""
 e AS (SELECT group_id, negatives AS a, len(negatives) AS n FROM train_groups WHERE len(negatives) > 0),
 u AS (SELECT group_id, unnest(a).docid AS x, generate_subscripts(a, 1) - 1 AS i FROM e),
@@ -93,7 +105,7 @@ WITH {TRAIN_GROUPS}, {NEG_SQL}
 SELECT group_id, CAST((row_number() OVER (ORDER BY group_id) - 1) * 4 AS BIGINT) AS target FROM negs
 """)
 def m7_target_index(spark, sf_dir):
-    g = with_global_index(_sampled(spark, sf_dir).select("group_id"), ["group_id"], "group_idx")
+    g = with_global_index(_sampled(spark, sf_dir).select("group_id", "negatives"), ["group_id"], "group_idx")
     return M.target_index(g, group_size=4).select("group_id", "target")
 
 

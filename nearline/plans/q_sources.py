@@ -32,6 +32,23 @@ def s1_read_train_groups(spark, sf_dir):
     return _tg_out(io.read_train_groups(spark, path))
 
 
+@register("s1_read_published_groups", f"""
+WITH {TRAIN_GROUPS}
+SELECT query, len(positives)::BIGINT AS n_pos, len(negatives)::BIGINT AS n_neg, count(*)::BIGINT AS n
+FROM train_groups GROUP BY 1, 2, 3
+""")
+def s1_read_published_groups(spark, sf_dir):
+    """Files without a group id, under the published names, next to another split."""
+    path = scratch_path(spark, "published")
+    g = X.train_groups(spark, sf_dir).select("query", F.col("positives").alias("positive_passages"),
+                                             F.col("negatives").alias("negative_passages"))
+    g.write.json(path)
+    read = io.read_train_groups(spark, path, split="part")
+    return read.groupBy("query", F.size("positives").cast("bigint").alias("n_pos"),
+                        F.size("negatives").cast("bigint").alias("n_neg")).agg(
+        F.count_distinct("group_id").alias("n"))
+
+
 BATCH_OUT_SQL = f"""
 WITH {DOC_BATCHES}
 SELECT batch_id, CASE WHEN batch_id % 2 = 0 THEN '' ELSE src END AS src,
@@ -54,6 +71,15 @@ def s2_read_batches(spark, sf_dir):
     return _batch_digest(io.parse_batch_lines(lines, top_k=8))
 
 
+@register("s2_read_batch_files", f"SELECT src, n_texts, texts_md5 FROM ({BATCH_OUT_SQL})")
+def s2_read_batch_files(spark, sf_dir):
+    """Stored files of mixed lines, read back."""
+    path = scratch_path(spark, "batch_lines")
+    b = X.collect_batches(X.document_batches(spark, sf_dir))
+    io.write_batches(b, path, as_list=(F.col("batch_id") % 2 == 0))
+    return _batch_digest(io.read_batches(spark, path, top_k=8)).drop("batch_id")
+
+
 @register("s3_read_corpus", "SELECT doc_id AS id, text FROM documents")
 def s3_read_corpus(spark, sf_dir):
     return io.read_corpus(spark, f"{sf_dir}/documents.parquet", id_col="doc_id", text_col="text")

@@ -25,9 +25,16 @@ TRAIN_GROUP_SCHEMA = T.StructType([
 _ALT_NAMES = {"positive_passages": "positives", "negative_passages": "negatives"}
 
 
-def read_train_groups(spark: SparkSession, path: str, fmt: str = "json", mode: str = "FAILFAST") -> DataFrame:
-    """Training groups; accepts ``positive_passages``/``negative_passages`` names too."""
+def read_train_groups(spark: SparkSession, path: str, fmt: str = "json", mode: str = "FAILFAST",
+                      split: str | None = None) -> DataFrame:
+    """Training groups; accepts ``positive_passages``/``negative_passages`` names too.
+
+    ``split`` reads only files whose name starts with it.  Rows without a
+    ``group_id`` take their position in the scan (unique and increasing, not dense).
+    """
     reader = spark.read.format(fmt)
+    if split is not None:
+        reader = reader.option("pathGlobFilter", f"{split}*")
     if fmt == "json":
         fields = list(TRAIN_GROUP_SCHEMA.fields) + [T.StructField(k, T.ArrayType(PASSAGE_TYPE))
                                                     for k in _ALT_NAMES]
@@ -41,6 +48,8 @@ def read_train_groups(spark: SparkSession, path: str, fmt: str = "json", mode: s
         c = F.col(f.name) if f.name in cols else F.lit(None).cast(f.dataType)
         if alts:
             c = F.coalesce(c, F.col(alts[0]))
+        if f.name == "group_id":
+            c = F.coalesce(c.cast(f.dataType), F.monotonically_increasing_id())
         out.append(c.cast(f.dataType).alias(f.name))
     return df.select(*out)
 

@@ -13,6 +13,7 @@ from nearline.functions import tokens as TK
 from nearline.functions.vectors import l2_normalize
 from nearline.operators import ann as N
 from nearline.operators import encode as E
+from nearline.operators import lexical as L
 from nearline.operators import losses as A
 from nearline.operators import sampling as M
 from nearline.operators import search as S
@@ -79,6 +80,53 @@ def test_factory_specs(spark):
         N.make_index("HNSW32", r)
 
 
+def test_index_combinations_and_append(spark):
+    r = _reps(spark)
+    exact = {(x.qid, x.docid) for x in S.knn_exact(r, r, k=10).collect()}
+    for spec in ("PQ8", "IVF4,PQ8", "PCA16,Flat", "PCA32,IVF4,Flat"):
+        run = N.make_index(spec, r, ks=32)(r, k=10, **({"nprobe": 4} if "IVF" in spec else {}))
+        got = {(x.qid, x.docid) for x in run.collect()}
+        assert len(got) == len(exact) and len(got & exact) > len(exact) // 10
+    books = N.pq_books(N.first_vectors(r, 32), 8)
+    codes = N.pq_encode(r, books)
+    by_table = N.pq_search(r, codes, books, k=5, decimals=6).collect()
+    assert sorted(by_table) == sorted(S.knn_exact(r, N.pq_decode(codes, books), k=5, decimals=6).collect())
+
+
+def test_unusable_vectors_take_no_part(spark):
+    rows = [("a", [1.0, 0.0]), ("b", None), ("c", [None, 1.0]), ("d", [0.5, 0.5])]
+    r = spark.createDataFrame(rows, "id string, rep array<float>")
+    want = {("a", "a", 1), ("a", "d", 2), ("d", "a", 1), ("d", "d", 2)}
+    assert {(x.qid, x.docid, x["rank"]) for x in S.knn_exact(r, r, k=5).collect()} == want
+    cents = np.eye(2)
+    run = N.ivf_search(r, N.ivf_assign(r, cents), cents, k=5, nprobe=2)
+    assert {(x.qid, x.docid, x["rank"]) for x in run.collect()} == want
+
+
+def test_stored_shards_are_split_and_checked(spark):
+    r = _reps(spark)
+    one = r.withColumn("shard", F.lit(3))
+    got = S.knn_sharded(r, one, k=5, shard_rows=40, decimals=6).collect()
+    assert sorted(got) == sorted(S.knn_exact(r, r, k=5, decimals=6).collect())
+    with pytest.raises(Exception, match="no shard for document"):
+        S.knn_sharded(r, r.withColumn("shard", F.lit(None).cast("int")), k=5).collect()
+
+
+def test_bm25_batches_take_string_ids(spark):
+    docs = spark.createDataFrame([("x", ["red", "fox"]), ("y", ["red", "fox", "den"]), ("z", ["owl"])],
+                                 "id string, terms array<string>")
+    n = L.build_batches(L.bm25_index(docs), top_k=3).collect()
+    assert {(r.seed, r.docid) for r in n} == {("x", "y"), ("y", "x")}
+    batches = L.neighbour_batches(spark.createDataFrame(n), docs.withColumn("source", F.lit("s"))).collect()
+    assert {r.batch_id: r.doc_ids for r in batches} == {"x": ["x", "y"], "y": ["y", "x"], "z": ["z"]}
+
+
+def test_uneven_groups_raise(spark):
+    g = spark.createDataFrame([(0, ["a"]), (1, [])], "group_idx int, negatives array<string>")
+    with pytest.raises(Exception, match="uneven group"):
+        M.target_index(g, 2).collect()
+
+
 def test_global_index_is_dense_permutation(spark):
     df = spark.range(0, 1000).withColumn("h", F.md5(F.col("id").cast("string")))
     out = with_global_index(df, ["h", "id"], "idx", num_partitions=7).collect()
