@@ -11,7 +11,8 @@ Weights become budgets of tokens.  Without a stated budget it is the smallest on
 that gives every source one whole pass, so no document is lost and the small
 sources are repeated.  A budget is realised as passes over the source's blocks,
 each in its own permutation: whole passes take every block, the last pass takes
-blocks in permuted order while they fit, then documents of the block at the cut.
+blocks in permuted order while they fit, then parts of the block at the cut in
+order, then documents of the part at the cut.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from nearline.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A stored table of so many narrow rows (about 50 MB) may be broadcast.
+BROADCAST_ROWS = 500_000
 MIX_COLUMNS = ("mix_epoch", "mix_block", "mix_rank", "mix_tokens", "mix_exponent", "mix_weight")
 
 
@@ -73,9 +76,38 @@ def find_exponent(table: DataFrame, target_entropy: float | None = None, repeat_
     return min(1.0, up / 1e6) if repeat_limit is not None else (lo * 1e6 // 1) / 1e6
 
 
+def _beside(table: DataFrame, rows: int) -> DataFrame:
+    """A counted table as the side of a join: broadcast up to ``BROADCAST_ROWS`` narrow rows, else as Spark plans it."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def _cuts(turns: DataFrame, fine: DataFrame, narrow: DataFrame, sources: int) -> DataFrame:
+    """Stored (s, b, epoch, last_part, last_place) of the turns that the budget cuts.
+
+    Parts below ``last_part`` are taken whole, of that part the rows up to
+    ``last_place`` (null: none).  Only sums by part, and sums by place inside
+    the one part at the cut, pass through a window.
+    """
+    parts = fine.select(F.col("source").alias("fs"), F.col("block").alias("fb"), "part", "tokens")
+    order = Window.partitionBy("s", "b", "epoch").orderBy("part")
+    last = (turns.where("cut").join(parts, F.col("s").eqNullSafe(F.col("fs")) & (F.col("b") == F.col("fb")))
+            .withColumn("after", F.sum("tokens").over(order))
+            .where("after > left and after - tokens <= left")
+            .select("s", "b", "epoch", F.col("part").alias("last_part"), F.expr("left - after + tokens").alias("room")))
+    last = materialize(last, "mix-last-parts")
+    inside = (narrow.join(_beside(last, sources), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+                          & (F.col("part") == F.col("last_part")))
+              .groupBy("s", "b", "epoch", "room", "place").agg(F.sum("tokens").alias("tokens")))
+    order = Window.partitionBy("s", "b", "epoch").orderBy("place")
+    places = (inside.withColumn("used", F.sum("tokens").over(order)).where("used <= room")
+              .groupBy(F.col("s").alias("ps"), F.col("b").alias("pb"), F.col("epoch").alias("pe")).agg(F.max("place").alias("last_place")))
+    same = F.col("s").eqNullSafe(F.col("ps")) & (F.col("b") == F.col("pb")) & (F.col("epoch") == F.col("pe"))
+    return materialize(last.join(places, same, "left").select("s", "b", "epoch", "last_part", "last_place"), "mix-cuts")
+
+
 def temperature_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
                     tokens=None, target_entropy: float | None = None, repeat_limit: float | None = 2.0,
-                    budget_tokens: int | None = None, blocks: int = 1024, seed: int = 7) -> DataFrame:
+                    budget_tokens: int | None = None, blocks: int = 1024, parts: int = 1024, seed: int = 7) -> DataFrame:
     """Every input column, once for each pass that takes the row, and the mixture's own columns.
 
     Adds mix_epoch (pass, from 0), mix_block, mix_rank (place of the block in
@@ -84,21 +116,25 @@ def temperature_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 
     Null sources form one source of their own, apart from the empty name.  Null
     texts and texts without words have no tokens: they are in every whole pass.
-    Null ids share a block order with each other.  Repeated rows are kept as
-    often as they occur.  ``blocks`` per source bounds every window but the one
-    block at the cut of each source.  An empty table gives no rows.
+    A row's place in its source is a hash of id and text, so rows with a null id
+    spread by their text; rows equal in both share a place, stay together at the
+    cut, and are kept as often as they occur.  Windows hold at most ``blocks``
+    or ``parts`` sums of a source, or the places of one part of one block.  An
+    empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in MIX_COLUMNS]
+    count = word_count(text_col) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
+    place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-                       F.col(source_col).cast("string").alias("source"),
-                       (word_count(text_col) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))).alias("tokens"),
-                       F.xxhash64(F.lit(seed), F.col(id_col)).alias("place"))
-    base = base.withColumn("block", F.pmod("place", F.lit(blocks)).cast("int"))
-    sums = materialize(base.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
+                       F.col(source_col).cast("string").alias("source"), count.alias("tokens"), place.alias("place"))
+    base = (base.withColumn("block", F.pmod("place", F.lit(blocks)).cast("int"))
+            .withColumn("part", F.pmod(F.shiftrightunsigned("place", 32), F.lit(parts)).cast("int")))
+    fine = materialize(base.groupBy("source", "block", "part").agg(F.sum("tokens").alias("tokens")), "mix-parts")
+    sums = materialize(fine.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
     table = shares(sums)
     exponent = find_exponent(table, target_entropy, None if target_entropy is not None else repeat_limit)
     plan = table.withColumn("w", F.when(F.col("p") > 0, F.pow("p", F.lit(exponent))).otherwise(0.0))
-    z, whole = plan.agg(F.sum("w"), F.max(F.when(F.col("w") > 0, F.col("tokens") / F.col("w")))).first()
+    z, whole, sources = plan.agg(F.sum("w"), F.max(F.when(F.col("w") > 0, F.col("tokens") / F.col("w"))), F.count(F.lit(1))).first()
     z = z or 1.0
     budget = float(budget_tokens) if budget_tokens is not None else (whole or 0.0) * z
     plan = (plan.withColumn("weight", F.col("w") / F.lit(z))
@@ -117,10 +153,13 @@ def temperature_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
              .where("epoch < passes or left > 0")
              .withColumn("cut", F.expr("epoch = passes and left < tokens"))
              .select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "rank", "weight", "left", "cut"))
-    taken = base.join(turns, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-    inside = Window.partitionBy("source", "block", "epoch").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    part = (taken.where("cut").withColumn("used", F.sum("tokens").over(inside)).where("used <= left").drop("used"))
-    out = taken.where("not cut").unionByName(part)
+    turns = materialize(turns, "mix-turns")
+    cuts = _cuts(turns, fine, base.drop("row"), sources)
+    same = F.col("s").eqNullSafe(F.col("cs")) & (F.col("b") == F.col("cb")) & (F.col("epoch") == F.col("ce"))
+    turns = (turns.join(cuts.select(F.col("s").alias("cs"), F.col("b").alias("cb"), F.col("epoch").alias("ce"), "last_part", "last_place"),
+                        same, "left").drop("cs", "cb", "ce", "left"))
+    inside = F.expr("not cut or part < last_part or (part = last_part and place <= last_place)")
+    out = base.join(_beside(turns, turns.count()), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & inside)
     return out.select(*[F.col("row").getField(c).alias(c) for c in names],
                       F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.col("rank").alias("mix_rank"),
                       F.col("tokens").alias("mix_tokens"), F.lit(exponent).alias("mix_exponent"), F.col("weight").alias("mix_weight"))

@@ -351,6 +351,24 @@ def test_temperature_mix(spark):
     assert temperature_mix.temperature_mix(make(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4, 1024])
+def test_mix_cut_inside_blocks(spark, parts):
+    """The last pass ends within a place's tokens of the budget; rows without an id spread by their text."""
+    rows = [(i, "w " * (1 + i % 7), "en", "big") for i in range(300)]
+    rows += [(None, f"n{i} " * 3, "en", "small") for i in range(60)] + [(None, "same text", "en", "small")] * 5
+    docs = make(spark, rows)
+    out = temperature_mix.temperature_mix(docs, repeat_limit=1.5, blocks=4, parts=parts).collect()
+    spent, weight = Counter(), {}
+    for r in out:
+        spent[r["source"]] += r["mix_tokens"]
+        weight[r["source"]] = r["mix_weight"]
+    budget = round(weight["small"] / weight["big"] * spent["big"])
+    assert 0 <= budget + 1 - spent["small"] <= 11
+    assert Counter(r["doc_id"] for r in out if r["mix_epoch"] == 0 and r["source"] == "big") == Counter(range(300))
+    second = Counter(r["text"] for r in out if r["mix_epoch"] == 1)
+    assert second and second["same text"] in (0, 5) and max(n for t, n in second.items() if t != "same text") == 1
+
+
 def test_mix_targets(spark):
     rows = [(i, "w " * (1 + (s == "a") * 30 + (s == "b") * 5), "en", s) for i, s in enumerate("aabbccdd" * 5)]
     blocks = make(spark, rows).select("source", temperature_mix.word_count().alias("tokens"))
