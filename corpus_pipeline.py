@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from nearline.llm import byte_bpe, language_bits, queries, secret_markov, simhash_index, temperature_mix
 from nearline.session import materialize
 
-LEAST_LANGUAGE_SCORE = 0.4
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with a score of at least ``LEAST_LANGUAGE_SCORE``; ``und`` goes."""
+    """Documents whose language can be told; ``und`` (a null text, or one without a letter) goes.
+
+    The score is a share of known n-grams, not a confidence: clean texts that
+    are short, in a rare language or of new words score low, and stay.  Where
+    no language was learned, every text with a letter stays.
+    """
     model = language_bits.train(docs.where(~queries.held_out()))
-    got = language_bits.predict(docs, model)
-    return got.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return language_bits.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,10 +100,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
           typical: int = 100_000, slots: int = 1 << 20) -> LanguageFilter:
     """Fit the filter on at most ``sample_rows`` rows of each language (those of least id hash).
 
-    Rows with a null language or text teach nothing.  At most 64 languages (the
+    Rows with a null text, or whose language is null or ``und``, teach nothing.  At most 64 languages (the
     most frequent); at most ``typical`` n-grams of each are put in.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    rows = labelled.where((F.col(lang_col) != "und") & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(3), id_col).alias("at"), F.col(text_col).cast("binary").alias("body"))
     counts = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect(), key=lambda r: r["lang"])
     if not counts:

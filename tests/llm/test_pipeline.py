@@ -1,6 +1,7 @@
 """Stages of the corpus pipeline, each judged on its own input."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -26,6 +27,24 @@ def test_language_stage_rejects_only_unknown(spark):
     assert -1 not in left and left == {r["doc_id"] for r in docs(spark).select("doc_id").collect()}
 
 
+def test_language_stage_keeps_short_rare_and_new_words(spark):
+    own = docs(spark)
+    row = lambda i, text, lang: (i, text, lang, "s", len(text))
+    low = [row(9001, "Re.", "en"), row(9002, "A.", "es"), row(9003, "xq zv wk", "en"), row(9004, "kwyjibo frobnicate zxqv", "de"),
+           row(9005, "\u6f22\u5b57\u4eee\u540d", None), row(9006, "hau da euskarazko testu bakarra", "eu"), row(9007, "mundu zaharra", "und")]
+    bad = [row(9101, "12 34 ... !!", "en"), row(9102, "", "en"), (9103, None, "en", "s", None)]
+    df = own.unionByName(spark.createDataFrame(low + bad, own.schema))
+    left = {r["doc_id"] for r in P.language_id(spark, df, SMALL).select("doc_id").collect()}
+    assert left == {r["doc_id"] for r in own.select("doc_id").collect()} | {r[0] for r in low}
+    # es with three learning rows: every held-out text of it stays.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
+    few = own.withColumn("n", rank).where(queries.held_out() | (F.col("lang") != "es") | (F.col("n") <= 3)).drop("n")
+    assert P.language_id(spark, few, SMALL).count() == few.count()
+    # No labels at all.
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert P.language_id(spark, unlabelled, SMALL).count() == own.count() + len(low)
+
+
 def test_dedup_stage_keeps_one_of_each_component(spark):
     df = docs(spark)
     twice = df.unionByName(df.withColumn("doc_id", F.col("doc_id") + 10_000)).unionByName(df.limit(3))
