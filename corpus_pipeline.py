@@ -27,14 +27,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of fingerprints within 3 bits.
+    """One row of each component of fingerprints within 3 bits: that of least id, then of least text hash.
 
-    Of repeated rows of that id one stays.  A row without an id can't stand for
-    a group and goes.
+    Rows without an id come last, but a component of only such rows keeps one too.
     """
-    groups = simhash_index.simhash_components(docs, shingle=3, distance=3)
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return simhash_index.representatives(docs, shingle=3, distance=3)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

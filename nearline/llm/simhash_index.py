@@ -69,13 +69,14 @@ def block_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> n
     return np.ascontiguousarray(fp).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id long, fp long) of every row; the 64 bits of fp are the fingerprint.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id long, fp long) and the long columns ``carry`` of every row; the 64 bits of fp are the fingerprint.
 
     A text without words (or null) has fingerprint zero; one with fewer words
     than ``shingle`` has its whole word sequence as its only shingle.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,9 +84,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [block_fingerprints(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], shingle)
                    for i, j in B.chunks(offsets)]
             fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), *[batch.column(c) for c in carry]],
+                                             names=["doc_id", "fp", *carry])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{c} long" for c in carry]]))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -214,6 +216,30 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marks.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                    distance: int = 3) -> DataFrame:
+    """One input row of each component: that of least id (null ids last), then of least hash of the text, then of the row.
+
+    The choice rests on the rows alone, not on their order, so a replayed task
+    makes it again.  Of rows that are equal in every column one stays.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # xxhash64 passes over nulls, so the flags tell which columns they are in.
+    text_mark, row_mark = F.xxhash64(F.col(text_col)), F.xxhash64(*names, *[c.isNull() for c in names])
+    marks = fingerprints(docs.withColumns({"__text_mark": text_mark, "__row_mark": row_mark}), id_col, text_col, shingle,
+                         carry=("__text_mark", "__row_mark"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__text_mark").alias("text"), F.col("__row_mark").alias("row"))
+    classes = materialize(marks.groupBy("fp").agg(F.min(key).alias("least")), "simhash-classes")
+    stars = components(links(classes.select("fp"), distance))
+    least = (classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left")
+             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")))
+    keys = ["__id", "__text_mark", "__row_mark"]  # the row's mark tells a null id from zero
+    stays = materialize(least.select(F.coalesce("least.doc_id", F.lit(0)).alias("__id"), F.col("least.text").alias("__text_mark"),
+                                     F.col("least.row").alias("__row_mark")), "simhash-stays")
+    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__text_mark": text_mark, "__row_mark": row_mark})
+    return rows.join(stays, keys, "left_semi").dropDuplicates(keys).select(*names)
+
+
 def hex_fingerprint(fp="fp"):
     """16 lowercase hex digits of a fingerprint column."""
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")

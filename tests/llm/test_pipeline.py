@@ -1,5 +1,7 @@
 """Stages of the corpus pipeline, each judged on its own input."""
 
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -53,6 +55,27 @@ def test_dedup_stage_keeps_one_of_each_component(spark):
     assert left == want
 
 
+def test_dedup_stage_with_repeated_and_missing_ids(spark):
+    def text(seed, n=60):
+        rng = random.Random(seed)
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+    rows = [(1, text(1), "en", "s"), (1, text(2), "en", "s"), (1, text(1), "en", "s"), (2, text(3), "en", "s"), (3, text(3), "en", "s"),
+            (3, text(4), "en", "s"), (None, text(5), "en", "s"), (None, text(5), "en", "t"), (None, text(6), "en", "s"),
+            (None, text(1), "en", "s"), (4, text(7), "en", None), (4, text(7), None, "en"), (5, text(7), "en", "s"), (None, None, None, "s")]
+    rows = [(i, t, lang, src, None if t is None else len(t)) for i, t, lang, src in rows]
+    schema = docs(spark).schema
+    seen = []
+    for order in (rows, rows[::-1], random.Random(1).sample(rows, len(rows))):
+        out = P.simhash_dedup(spark, spark.createDataFrame(order, schema).repartition(3), SMALL)
+        assert out.columns == schema.names
+        seen.append(sorted(map(tuple, out.collect()), key=repr))
+    assert seen[0] == seen[1] == seen[2]
+    want = [(1, text(1)), (1, text(2)), (2, text(3)), (3, text(4)), (None, text(5)), (None, text(6)), (4, text(7)), (None, None)]
+    assert sorted((r[:2] for r in seen[0]), key=repr) == sorted(want, key=repr)
+    assert all(r in rows for r in seen[0])
+
+
 def test_secret_stage_masks(spark):
     out = P.secret_scan(spark, docs(spark), SMALL)
     assert out.count() == docs(spark).count()
