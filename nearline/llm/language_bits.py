@@ -1,8 +1,8 @@
 """Language identification with language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter serves all languages: a table of 64-bit words in which
-bit l of a word belongs to language l's own filter.  Looking up an n-gram ands
-the words at its ``HASHES`` slots, and the result is the mask of all languages
+One bit-sliced Bloom filter serves all languages: each slot has one 64-bit word for
+every 64 languages, in which each language has its own bit.  Looking up an n-gram
+ands the words at its ``HASHES`` slots, and the result is the mask of all languages
 whose filter contains it.  For a text the masks of its n-grams are counted per
 language (popcount of each bit slice); each count is corrected by that
 language's false-positive rate, fill ** HASHES, and the largest corrected share
@@ -12,8 +12,8 @@ n-grams are ``gram`` bytes of the UTF-8 text with A-Z in lower case, digits,
 ASCII symbols and white space runs folded to one separator per byte.  A
 language's filter holds the n-grams that are typical of it: at least
 ``least_count`` times in its training sample and at a rate of at least ``ratio``
-of the best language's rate.  The filter has a fixed size, set by parameters, so
-it travels with the task whatever the size of the corpus.
+of the best language's rate.  The size of the filter is set by parameters and the
+number of languages, so it travels with the task whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearline.llm import bytearrays as B
-from nearline.session import materialize
+from nearline.session import materialize, scratch_path
 
 HASHES = 3
 FOLD = np.arange(256, dtype=np.uint8)
@@ -63,32 +63,45 @@ def grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
 @dataclass(frozen=True)
 class LanguageFilter:
     languages: tuple[str, ...]
-    words: np.ndarray  # uint64, a power of two of them
+    words: np.ndarray  # uint64, a power of two of them for every 64 languages
     gram: int
     prior: str  # the language of most training rows
 
+    def size(self) -> int:
+        return len(self.words) // max(1, -(-len(self.languages) // 64))
+
     def slots(self, hashes: np.ndarray, k: int) -> np.ndarray:
         step = (hashes >> B.U64(32)) | B.U64(1)
-        return ((hashes + B.U64(k) * step) & B.U64(len(self.words) - 1)).astype(np.int64)
+        return ((hashes + B.U64(k) * step) & B.U64(self.size() - 1)).astype(np.int64)
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
-        got = self.words[self.slots(hashes, 0)]
+    def masks(self, hashes: np.ndarray, group: int = 0) -> np.ndarray:
+        """Which of the languages 64 * group and up contain each n-gram."""
+        words = self.words[group * self.size():(group + 1) * self.size()]
+        got = words[self.slots(hashes, 0)]
         for k in range(1, HASHES):
-            got &= self.words[self.slots(hashes, k)]
+            got &= words[self.slots(hashes, k)]
         return got
 
+    def put(self, language: int, hashes: np.ndarray) -> None:
+        for k in range(HASHES):
+            np.bitwise_or.at(self.words, self.slots(hashes, k) + language // 64 * self.size(), B.U64(1 << language % 64))
+
     def false_positives(self) -> np.ndarray:
-        return np.array([np.mean((self.words >> B.U64(i)) & B.U64(1)) ** HASHES for i in range(len(self.languages))])
+        words = self.words.reshape(-1, self.size())
+        return np.array([np.mean((words[i // 64] >> B.U64(i % 64)) & B.U64(1)) ** HASHES for i in range(len(self.languages))])
 
-    def shares(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Corrected share of each document's n-grams that each language contains (documents x languages), and n-gram counts."""
+    def shares(self, data: np.ndarray, offsets: np.ndarray, wrong: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Corrected share of each document's n-grams that each language contains (documents x languages), and n-gram counts.
+
+        ``wrong`` are the false positives.
+        """
         hashes, at = grams(data, offsets, self.gram)
-        masks = self.masks(hashes)
         n = np.diff(at)
         out = np.zeros((len(n), len(self.languages)))
-        wrong = self.false_positives()
         for i in range(len(self.languages)):
-            total = np.r_[0, np.cumsum((masks >> B.U64(i)) & B.U64(1), dtype=np.int64)]
+            if i % 64 == 0:
+                masks = self.masks(hashes, i // 64)
+            total = np.r_[0, np.cumsum((masks >> B.U64(i % 64)) & B.U64(1), dtype=np.int64)]
             hits = total[at[1:]] - total[at[:-1]]
             if wrong[i] < 1:
                 out[:, i] = (hits / np.maximum(n, 1) - wrong[i]) / (1 - wrong[i])
@@ -100,49 +113,49 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
           typical: int = 100_000, slots: int = 1 << 20) -> LanguageFilter:
     """Fit the filter on at most ``sample_rows`` rows of each language (those of least id hash).
 
-    Rows with a null text, or whose language is null or ``und``, teach nothing.  At most 64 languages (the
-    most frequent); at most ``typical`` n-grams of each are put in.
+    Rows with a null text, or whose language is null or ``und``, teach nothing.  Every other
+    language is learned; at most ``typical`` n-grams of each are put in.
     """
     rows = labelled.where((F.col(lang_col) != "und") & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(3), id_col).alias("at"), F.col(text_col).cast("binary").alias("body"))
-    counts = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect(), key=lambda r: r["lang"])
+    counts = sorted(rows.groupBy("lang").count().collect(), key=lambda r: r["lang"])
     if not counts:
         return LanguageFilter((), np.zeros(1, B.U64), gram, "und")
     languages = tuple(r["lang"] for r in counts)
     # The share of each language's hash range that holds about sample_rows rows.
-    cut = None
-    for r in counts:
-        limit = int(-(2**63) + 2**64 * min(1.0, 1.5 * sample_rows / r["count"])) - 1
-        test = (F.col("lang") == r["lang"]) & (F.col("at") <= F.lit(limit))
-        cut = test if cut is None else cut | test
-    ranked = (rows.where(cut).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", F.xxhash64("body"))))
+    limits = [(r["lang"], i, int(-(2**63) + 2**64 * min(1.0, 1.5 * sample_rows / r["count"])) - 1) for i, r in enumerate(counts)]
+    limits = labelled.sparkSession.createDataFrame(limits, "lang string, l int, most long")
+    ranked = (rows.join(F.broadcast(limits), "lang").where(F.col("at") <= F.col("most"))
+              .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", F.xxhash64("body"))))
               .where(F.col("n") <= sample_rows))
-    number = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array([number[x] for x in batch.column("lang").to_pylist()])
+            langs = batch.column("l").to_numpy()
             data, offsets = B.binary_block(batch.column("body"))
             for i, j in B.chunks(offsets):
                 h, at = grams(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], gram)
                 owner = np.repeat(langs[i:j], np.diff(at))
                 for l in np.unique(owner):
                     g, n = np.unique(h[owner == l], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": np.full(len(g), l, np.int32), "gram": g.view(np.int64), "n": n})
-
-    seen = (ranked.select("lang", "body").mapInArrow(count, "lang int, gram long, n long")
-            .groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(languages))]))
-    seen = materialize(seen, "language-grams")
-    totals = [x or 0 for x in seen.agg(*[F.sum(f"n{i}") for i in range(len(languages))]).first()]
-    rates = [F.col(f"n{i}") / F.lit(float(max(1, t))) for i, t in enumerate(totals)]
-    best = F.greatest(*rates) if len(rates) > 1 else rates[0]
-    empty = LanguageFilter(languages, np.zeros(slots, B.U64), gram, max(counts, key=lambda r: r["count"])["lang"])
+                    yield pa.RecordBatch.from_pydict({"l": np.full(len(g), l, np.int32), "gram": g.view(np.int64), "n": n})
+
+    seen = materialize(ranked.select("l", "body").mapInArrow(count, "l int, gram long, n long")
+                       .groupBy("gram", "l").agg(F.sum("n").alias("n")), "language-grams")
+    total = {r["l"]: r["n"] for r in seen.groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    totals = labelled.sparkSession.createDataFrame([(i, float(max(1, total.get(i, 0)))) for i in range(len(languages))], "l int, total double")
+    rates = seen.join(F.broadcast(totals), "l").withColumn("rate", F.col("n") / F.col("total"))
+    own = (rates.withColumn("best", F.max("rate").over(Window.partitionBy("gram")))
+           .where((F.col("n") >= least_count) & (F.col("rate") >= ratio * F.col("best"))).select("l", "n", "gram"))
+    path = scratch_path(labelled.sparkSession, "language-typical")  # a folder for each language, which alone is read for it
+    own.write.partitionBy("l").parquet(path)
+    own = labelled.sparkSession.read.schema("n long, gram long, l int").parquet(path)
+    words = np.zeros(slots * -(-len(languages) // 64), B.U64)
+    model = LanguageFilter(languages, words, gram, max(counts, key=lambda r: r["count"])["lang"])
     for i in range(len(languages)):
-        own = (seen.where((F.col(f"n{i}") >= least_count) & (rates[i] >= ratio * best))
-               .orderBy(F.desc(f"n{i}"), "gram").limit(typical).select("gram").toPandas()["gram"].to_numpy(np.int64).view(B.U64))
-        for k in range(HASHES):
-            np.bitwise_or.at(empty.words, empty.slots(own, k), B.U64(1 << i))
-    return empty
+        top = own.where(F.col("l") == i).orderBy(F.desc("n"), "gram").limit(typical)
+        model.put(i, top.select("gram").toPandas()["gram"].to_numpy(np.int64).view(B.U64))
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,13 +175,14 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, lang_score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrong = held.false_positives()
         for batch in batches:
             data, offsets = B.binary_block(batch.column(body))
             letter = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in B.chunks(offsets):  # small batches go back, so a task holds few texts at once
                 pred, score = np.full(j - i, "und", dtype=object), np.zeros(j - i)
                 if held.languages:
-                    share, _ = held.shares(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                    share, _ = held.shares(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], wrong)
                     some = share.sum(axis=1) > 0
                     pred = np.where(some, np.array(held.languages, dtype=object)[share.argmax(axis=1)], held.prior)
                     score = np.where(some, share.max(axis=1), 0.0)

@@ -118,6 +118,17 @@ def test_language_false_positive_correction():
     assert abs((model.masks(other) == 1).mean() - model.false_positives()[0]) < 0.03
 
 
+def test_language_id_of_many_languages(spark):
+    rng = random.Random(2)
+    kinds = {"l%03d" % k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)] for k in range(150)}
+    rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(12)), k, "s") for i, k in enumerate(sorted(kinds) * 3)]
+    model = language_bits.train(make(spark, rows), least_count=1, slots=1 << 14)
+    assert model.languages == tuple(sorted(kinds)) and len(model.words) == 3 << 14
+    test = [(1000 + j, " ".join(rng.choice(kinds[k]) for _ in range(8)), None, None) for j, k in enumerate(sorted(kinds))]
+    out = dict(got(language_bits.predict(make(spark, test), model), "doc_id", "lang_pred"))
+    assert [out[1000 + j] for j in range(150)] == sorted(kinds)
+
+
 def brute_base(text):
     ws = words(text)
     lines = [x for x in (text or "").split("\n") if words(x)]
