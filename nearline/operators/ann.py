@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearline.operators.search import (_pack, add_vectors, block_scorer, inner_product, knn_exact, rank_results,
-                                       run_schema, usable)
+                                       rounded, run_schema, usable)
 from nearline.session import materialize
 
 
@@ -194,6 +194,56 @@ def ivf_pq_search(queries: DataFrame, index_cells: DataFrame, centroids: np.ndar
                       score=pq_scorer(queries.sparkSession, books), **kw)
 
 
+# ---------------------------------------------------------------- recall (V7, V8)
+
+def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, decimals: int | None = None) -> DataFrame:
+    """The candidates of a run scored by their own vectors; the top k of each query."""
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.einsum("ij,ij->i", _matrix(a), _matrix(b)) if len(a) else [], dtype="float64")
+
+    pairs = (run.select("qid", "docid").join(queries.select(F.col("id").alias("qid"), F.col("rep").alias("_q")), "qid")
+             .join(corpus.select(F.col("id").alias("docid"), F.col("rep").alias("_d")), "docid"))
+    out = pairs.select("qid", "docid", rounded(score("_q", "_d"), decimals).alias("score"))
+    return rank_results(out, k).select("qid", "docid", "rank", "score")
+
+
+def exact_sample(queries: DataFrame, corpus: DataFrame, k: int = 10, rows: int = 200) -> tuple[DataFrame, DataFrame]:
+    """``rows`` queries (those of least id hash), and their exact top k (qid, docid); both stored."""
+    some = materialize(queries.where(usable("rep")).orderBy(F.xxhash64("id"), "id").limit(rows), "recall-queries")
+    return some, materialize(knn_exact(some, corpus, k=k).select("qid", "docid"), "recall-exact")
+
+
+def probes_for(recall: float, sample: DataFrame, exact: DataFrame, index_cells: DataFrame, centroids: np.ndarray) -> int:
+    """The fewest cells to probe so that they hold a share ``recall`` of the sampled queries' exact neighbours."""
+    bc = sample.sparkSession.sparkContext.broadcast(centroids)
+
+    @F.pandas_udf("array<int>")
+    def cells(v: pd.Series) -> pd.Series:
+        return pd.Series(list(_nearest(_matrix(v), bc.value, len(bc.value)).astype(np.int32)) if len(v) else [], dtype=object)
+
+    near = sample.select(F.col("id").alias("qid"), F.posexplode(cells("rep")).alias("near", "cell"))
+    home = index_cells.select(F.col("id").alias("docid"), "cell")
+    found = exact.join(home, "docid").join(near, ["qid", "cell"]).groupBy("near").count().collect()
+    counts = np.zeros(len(centroids))
+    for r in found:
+        counts[r["near"]] = r["count"]
+    held = np.cumsum(counts)
+    return int(np.searchsorted(held, recall * held[-1])) + 1 if held[-1] else len(centroids)
+
+
+def depth_for(recall: float, exact: DataFrame, search: Callable[[int], DataFrame], most: int, k: int = 10) -> int:
+    """The least k, 2k, 4k ... whose candidates hold a share ``recall`` of the exact neighbours; ``most`` if none does.
+
+    ``search(depth)`` returns the sampled queries' candidates.
+    """
+    wanted, depth = recall * exact.count(), k
+    while depth < most and search(depth).join(exact, ["qid", "docid"], "left_semi").count() < wanted:
+        depth *= 2
+    return min(depth, most)
+
+
 # ---------------------------------------------------------------- PCA (V9)
 
 def pca_fit(reps: DataFrame, dim: int):

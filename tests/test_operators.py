@@ -18,6 +18,7 @@ from nearline.operators import losses as A
 from nearline.operators import sampling as M
 from nearline.operators import search as S
 from nearline.operators.indexing import with_global_index
+from nearline.plans import REGISTRY
 from nearline.sources import io
 from tests.conftest import MEDIUM, SMALL
 
@@ -93,6 +94,20 @@ def test_index_combinations_and_append(spark):
     assert sorted(by_table) == sorted(S.knn_exact(r, N.pq_decode(codes, books), k=5, decimals=6).collect())
 
 
+@pytest.mark.parametrize("name", ["v7_ivf_trained", "v7_ivf_trained_string_ids", "v8_pq_trained", "v8_ivf_pq_trained"])
+def test_trained_searches_reach_recall(spark, name):
+    """At least 0.9 of the exact top 10, with exact scores."""
+    x = _reps(spark).collect()
+    ids, V = [r.id for r in x], np.array([r.rep for r in x], dtype=np.float64)
+    scores = np.round(V @ V.T, 6)
+    at = {i: k for k, i in enumerate(ids)}
+    want = {(ids[a], ids[b]) for a in range(len(ids)) for b in np.lexsort((ids, -scores[a]))[:10]}
+    run = [(int(str(r.qid).lstrip("v")), int(str(r.docid).lstrip("v")), r.score) for r in REGISTRY[name].build(spark, SMALL).collect()]
+    assert len(run) == len({r[:2] for r in run}) == len(want)
+    assert all(abs(scores[at[q], at[d]] - s) < 2e-6 for q, d, s in run)
+    assert len({r[:2] for r in run} & want) >= 0.9 * len(want)
+
+
 def test_unusable_vectors_take_no_part(spark):
     rows = [("a", [1.0, 0.0]), ("b", None), ("c", [None, 1.0]), ("d", [0.5, 0.5])]
     r = spark.createDataFrame(rows, "id string, rep array<float>")
