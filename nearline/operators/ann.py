@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearline.operators.search import (_pack, add_vectors, block_scorer, inner_product, knn_exact, rank_results,
-                                       rounded, run_schema, usable)
+                                       run_schema, usable)
 from nearline.session import materialize
 
 
@@ -196,16 +196,34 @@ def ivf_pq_search(queries: DataFrame, index_cells: DataFrame, centroids: np.ndar
 
 # ---------------------------------------------------------------- recall (V7, V8)
 
-def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, decimals: int | None = None) -> DataFrame:
-    """The candidates of a run scored by their own vectors; the top k of each query."""
+def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, decimals: int | None = None,
+           block: int = 1024) -> DataFrame:
+    """The candidates of a run scored by their own vectors; the top k of each query.
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(np.einsum("ij,ij->i", _matrix(a), _matrix(b)) if len(a) else [], dtype="float64")
-
-    pairs = (run.select("qid", "docid").join(queries.select(F.col("id").alias("qid"), F.col("rep").alias("_q")), "qid")
-             .join(corpus.select(F.col("id").alias("docid"), F.col("rep").alias("_d")), "docid"))
-    out = pairs.select("qid", "docid", rounded(score("_q", "_d"), decimals).alias("score"))
+    Pairs are grouped by (query block, document block) and meet whole blocks of
+    vectors, so no vector is moved for a single pair.
+    """
+    queries, corpus = (df.where(usable("rep")).select("id", "rep") for df in (queries, corpus))
+    nq, nd = (max(1, -(-df.count() // block)) for df in (queries, corpus))
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    pack = lambda df, n, b, prefix: _pack(df.select(at("id", n).alias(b), F.col("id").alias("i"), F.col("rep").alias("v")), [b], "i", "v", prefix)
+    pairs = (run.groupBy(at("qid", nq).alias("x"), at("docid", nd).alias("y"))
+             .agg(F.collect_list(F.struct("qid", "docid")).alias("p"))
+             .select("x", "y", F.col("p.qid").alias("qs"), F.col("p.docid").alias("ds")))
+    rows = pairs.join(pack(queries, nq, "x", "q"), "x").join(pack(corpus, nd, "y", "d"), "y")
+    schema = run_schema(queries, "id", corpus, "id")
+
+    def score(it):
+        for batch in it:
+            for r in batch.itertuples(index=False):
+                Q, D = (np.asarray(v, dtype=np.float64).reshape(len(i), -1) for v, i in ((r.q_flat, r.q_ids), (r.d_flat, r.d_ids)))
+                a, b = pd.Index(r.q_ids).get_indexer(r.qs), pd.Index(r.d_ids).get_indexer(r.ds)
+                for lo in range(0, len(a), 1 << 16):
+                    got = np.einsum("ij,ij->i", Q[a[lo:lo + (1 << 16)]], D[b[lo:lo + (1 << 16)]])
+                    yield pd.DataFrame({"qid": r.qs[lo:lo + len(got)], "docid": r.ds[lo:lo + len(got)],
+                                        "score": got if decimals is None else np.round(got, decimals)})
+
+    out = rows.select("qs", "ds", "q_ids", "q_flat", "d_ids", "d_flat").mapInPandas(score, schema)
     return rank_results(out, k).select("qid", "docid", "rank", "score")
 
 
