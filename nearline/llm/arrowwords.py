@@ -12,12 +12,15 @@ SLICE_BYTES = 8 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch whose texts hold about ``limit`` bytes; a longer text stands alone."""
+    """Consecutive parts of a batch whose texts hold about ``limit`` bytes; a longer text stands alone.
+
+    The parts are copies: ``ascii_lower`` and others misread a large string array cut from another.
+    """
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = np.cumsum(size) // limit
     turns = np.r_[0, np.flatnonzero(np.diff(at)) + 1, len(size)] if len(size) else np.zeros(1, int)
     for lo, hi in zip(turns[:-1], turns[1:]):
-        yield batch.slice(int(lo), int(hi - lo))
+        yield batch.take(pa.array(np.arange(lo, hi)))
 
 
 def split_words(texts: pa.Array, separators: str, pattern: bool) -> tuple[np.ndarray, pa.Array]:

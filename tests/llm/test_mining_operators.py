@@ -5,10 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nearline.llm import license_index, phrase_parsing, segment_negatives
+from nearline.llm import arrowwords, license_index, phrase_parsing, segment_negatives
 from tests.llm.test_llm_operators import CLASHES, edge_rows, make
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -156,6 +157,26 @@ def test_segment_bounds_hold_and_prune():
     assert left[0] >= left[1] >= left[2] >= left[3] and left[3] < 0.5 * left[0]
 
 
+# ---------------------------------------------------------------- slices of a batch
+
+def test_slices_of_long_batches():
+    """Texts beyond one slice are lower-cased and split as if alone."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("Mit", "License", "É漢", "x", "under.")) for _ in range(rng.randint(0, 1500))) for _ in range(4000)]
+    texts[17] = None
+    batch = pa.RecordBatch.from_pydict({"lang": pa.array(["en"] * len(texts)), "text": pa.array(texts)}).slice(3)
+    parts = list(arrowwords.slices(batch, "text"))
+    assert len(parts) > 1 and sum(p.num_rows for p in parts) == len(texts) - 3
+    total = Counter()
+    for out in phrase_parsing._parse(32)([batch]):
+        for chunk, freq in zip(out.column("chunk").to_pylist(), out.column("freq").to_pylist()):
+            total.update({w: freq for w in set(chunk.split(" "))})
+    assert set(total) == {"mit", "license", "É漢", "x", "under", "."}
+    model = license_index.LicenseModel({w: 1 for w in license_index.vocabulary(license_index.TEMPLATES)})
+    got = np.concatenate([license_index._codes(p.column("text"), list(model.names))[0] for p in parts])
+    assert got.tolist() == [len(WORD.findall(ascii_lower(t))) for t in texts[3:]]
+
+
 # ---------------------------------------------------------------- collocations
 
 def brute_collocations(rows, least, longest=5, top=2000, percent=100):
