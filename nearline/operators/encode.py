@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearline.functions.hashing import hex8
-from nearline.functions.text import add_prefix
+from nearline.functions.text import WS_CLASS, add_prefix
 from nearline.functions.vectors import l2_normalize
+from nearline.operators.indexing import with_row_key
 from nearline.operators.lexical import BM25Index, analyze_col, ENGLISH_STOPWORDS
 
 
@@ -34,14 +35,20 @@ class Encoder(Protocol):
 
 def encode(df: DataFrame, encoder_factory, is_query: bool = False, id_col: str = "id", text_col: str = "text",
            query_prefix: str = "query: ", passage_prefix: str = "passage: ", add_prefix_on: bool = True,
-           batch_size: int = 128, out_type: str = "array<float>") -> DataFrame:
-    """(id, rep) for every row; the prefix and encoder depend on ``is_query``.
+           batch_size: int = 128, out_type: str = "array<float>", query_max_len: int | None = 32,
+           passage_max_len: int | None = 128) -> DataFrame:
+    """(id, rep) for every row; the prefix, length and encoder depend on ``is_query``.
 
+    A text keeps its first ``query_max_len`` or ``passage_max_len`` words, those of
+    the prefix included (None: the whole text).  A null text is encoded as empty, without prefix.
     ``encoder_factory`` is called once per task (load a model there).
     """
-    prefix = query_prefix if is_query else passage_prefix
-    src = df.select(F.col(id_col).alias("id"),
-                    (add_prefix(text_col, prefix) if add_prefix_on else F.col(text_col)).alias("_t"))
+    prefix, longest = (query_prefix, query_max_len) if is_query else (passage_prefix, passage_max_len)
+    text = add_prefix(text_col, prefix) if add_prefix_on else F.col(text_col)
+    if longest is not None:
+        # White space before a kept word stays, so a short text is unchanged.
+        text = F.regexp_extract(text, f"^(?:{WS_CLASS}*[^\\t\\n\\x0B\\f\\r ]+){{0,{int(longest)}}}", 0)
+    src = df.select(F.col(id_col).alias("id"), text.alias("_t"))
 
     def run(it):
         enc = encoder_factory()
@@ -51,7 +58,7 @@ def encode(df: DataFrame, encoder_factory, is_query: bool = False, id_col: str =
             for s in range(0, len(texts), batch_size):
                 vecs.append(np.asarray(enc.encode(texts[s:s + batch_size]), dtype=np.float64))
             mat = np.concatenate(vecs) if vecs else np.zeros((0, enc.dim))
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "rep": list(mat)})
+            yield pd.DataFrame({"id": pdf["id"], "rep": list(mat)})
 
     return src.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, rep {out_type}")
 
@@ -88,32 +95,37 @@ def hashing_encode(df: DataFrame, index: BM25Index, dim: int = 64, is_query: boo
         terms = F.slice(terms, 1, int(max_terms))
     if binary:
         terms = F.array_distinct(terms)
-    base = df.select(F.col(id_col).alias("id"), terms.alias("_terms"))
-    tf = base.select("id", F.explode("_terms").alias("term")).groupBy("id", "term").agg(
+    base = with_row_key(df.select(F.col(id_col).alias("id"), terms.alias("_terms")))
+    tf = base.select("_nl_row", F.explode("_terms").alias("term")).groupBy("_nl_row", "term").agg(
         F.count(F.lit(1)).alias("tf"))
     w = tf.join(index.terms.select("term", "idf"), "term")
-    w = w.select("id", term_bucket(F.col("term"), dim).alias("bucket"),
-                 (term_sign(F.col("term")) * F.col("tf") * F.col("idf")).alias("v"))
-    b = w.groupBy("id", "bucket").agg(F.sum("v").alias("v"))
-    g = b.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    vec = base.select("id").join(g, "id", "left").select("id", l2_normalize(dense).alias("rep"))
-    return vec
+    return (base.select("id", "_nl_row").join(_hashed(w, "_nl_row", dim), "_nl_row", "left")
+            .select("id", l2_normalize(_dense(dim)).alias("rep")))
+
+
+def _hashed(weights: DataFrame, key: str, dim: int) -> DataFrame:
+    """(key, _m): bucket -> summed signed weight of rows (key, term, tf, idf).
+
+    Weights are rounded to 1e-9 and summed as integers, so the sum does not
+    depend on the order of rows, and terms that cancel leave a plain zero.
+    """
+    v = term_sign(F.col("term")) * F.col("tf") * F.col("idf")
+    w = weights.select(key, term_bucket(F.col("term"), dim).alias("bucket"), F.floor(v * 1e9 + 0.5).cast("bigint").alias("v"))
+    b = w.groupBy(key, "bucket").agg(F.sum("v").alias("v"))
+    return b.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("_m"))
+
+
+def _dense(dim: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                       lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0)).cast("double") / 1e9)
 
 
 def hashing_encode_index(index: BM25Index, dim: int = 64) -> DataFrame:
     """Hashing encoder of the indexed corpus itself, read off the stored postings
     (tf) instead of analysing the text again; equals ``hashing_encode`` on it."""
-    w = index.tf.join(index.terms.select("term", "idf"), "term").select(
-        F.col("doc_id").alias("id"), term_bucket(F.col("term"), dim).alias("bucket"),
-        (term_sign(F.col("term")) * F.col("tf") * F.col("idf")).alias("v"))
-    b = w.groupBy("id", "bucket").agg(F.sum("v").alias("v"))
-    g = b.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    return (index.docs.select(F.col("doc_id").alias("id")).join(g, "id", "left")
-            .select("id", l2_normalize(dense).alias("rep")))
+    w = index.tf.join(index.terms.select("term", "idf"), "term")
+    return (index.docs.select("doc_id").join(_hashed(w, "doc_id", dim), "doc_id", "left")
+            .select(F.col("doc_id").alias("id"), l2_normalize(_dense(dim)).alias("rep")))
 
 
 class HashingEncoder:

@@ -28,6 +28,14 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_row_key(df: DataFrame, key: str = "_nl_row") -> DataFrame:
+    """``df`` stored with a number of each row, so that rows of repeated or missing ids stay apart.
+
+    The number is fixed with the stored copy; it is unique, not dense.
+    """
+    return materialize(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 def with_global_index(df: DataFrame, order_cols: list, idx_col: str = "idx",
                       num_partitions: int | None = None, with_total: str | None = None) -> DataFrame:
     """Add a 0-based BIGINT position under ``order_cols`` (which must be unique).

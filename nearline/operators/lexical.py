@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearline.functions.text import WS_CLASS, words
+from nearline.operators.indexing import with_row_key
 from nearline.operators.search import rank_results, rounded
 from nearline.session import materialize as materialize_table
 
@@ -34,35 +35,62 @@ def analyze_col(text, stopwords=ENGLISH_STOPWORDS) -> Column:
     return toks
 
 
+@dataclass(frozen=True)
+class SuffixRule:
+    """Words that end in ``suffix``, and not in one of ``unless``, get ``replacement`` in its place."""
+
+    suffix: str
+    replacement: str = ""
+    unless: tuple[str, ...] = ()
+
+
+#: The three plural rules of the S-stemmer; the first whose suffix fits decides.
+PLURALS = (SuffixRule("ies", "y", ("eies", "aies")), SuffixRule("es", "e", ("aes", "ees", "oes")), SuffixRule("s", "", ("us", "ss")))
+
+
+def stem(term: Column, rules=PLURALS, shortest: int = 3) -> Column:
+    """B1: the first rule that applies to a word of at least ``shortest`` characters, as a column."""
+    out = term
+    for rule in reversed(rules):
+        fits = term.endswith(rule.suffix)
+        for other in rule.unless:
+            fits = fits & ~term.endswith(other)
+        cut = F.concat(F.substring(term, F.lit(1), F.length(term) - len(rule.suffix)), F.lit(rule.replacement))
+        out = F.when(fits, cut).otherwise(out)
+    return F.when(F.length(term) >= shortest, out).otherwise(term)
+
+
 def analyze(df: DataFrame, id_col: str = "id", text_col: str = "text", stopwords=ENGLISH_STOPWORDS,
             stemmer=None, out: str = "terms") -> DataFrame:
-    """B1: (id, terms ARRAY<STRING>).
+    """B1: (id, terms ARRAY<STRING>) of each row, whatever its id.
 
-    ``stemmer`` (a Python ``str -> str``) runs once per *distinct* term over a
-    Spark-partitioned term table and is joined back, never once per token.
+    ``stemmer`` is a sequence of ``SuffixRule``, evaluated as a column, or a Python
+    ``str -> str``, which runs once per *distinct* term over a Spark-partitioned
+    term table and is joined back, never once per token.
     """
     res = df.select(F.col(id_col).alias("id"), analyze_col(F.col(text_col), stopwords).alias(out))
     if stemmer is None:
         return res
-    return stem_terms(res, stemmer, out)
+    if callable(stemmer):
+        return stem_terms(res, stemmer, out)
+    return res.withColumn(out, F.transform(out, lambda t: stem(t, tuple(stemmer))))
 
 
 def stem_terms(df: DataFrame, stemmer, col: str = "terms") -> DataFrame:
+    """Terms replaced by a Python stemmer; rows are put back by a stored row number."""
     import pandas as pd
 
-    toks = df.select("id", F.posexplode(col).alias("pos", "term"))
-    distinct = toks.select("term").distinct()
+    rows = with_row_key(df)
+    toks = rows.select("_nl_row", F.posexplode(col).alias("pos", "term"))
 
     def run(it):
         for pdf in it:
             yield pd.DataFrame({"term": pdf["term"], "stem": [stemmer(t) for t in pdf["term"]]})
 
-    stems = distinct.mapInPandas(run, "term string, stem string")
-    joined = toks.join(stems, "term")
-    g = joined.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("s"))
-    back = g.select("id", F.transform("s", lambda x: x["stem"]).alias(col))
-    empty = df.join(back.select("id"), "id", "left_anti").select("id", F.col(col))
-    return back.unionByName(empty)
+    stems = toks.select("term").distinct().mapInPandas(run, "term string, stem string")
+    g = toks.join(stems, "term").groupBy("_nl_row").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("_s"))
+    stemmed = F.coalesce(F.transform("_s", lambda x: x["stem"]), F.col(col))
+    return rows.join(g, "_nl_row", "left").withColumn(col, stemmed).select(*df.columns)
 
 
 @dataclass
@@ -105,7 +133,7 @@ def bm25_index(analyzed: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: st
                terms_col: str = "terms", materialize: bool = True) -> BM25Index:
     """B2: tf(term, doc_id, tf, dl), terms(term, df, idf), docs(doc_id, dl), stats(n, avgdl).
 
-    Documents are exchanged once, as term arrays hashed on their id; the counts
+    Ids must be set and differ; else the index raises.  Documents are exchanged once, as term arrays hashed on their id; the counts
     per (document, term) then need no further exchange, and the table stays
     clustered by document, so score sums of a search combine map-side.  The
     tables are written to the shared checkpoint folder; ``write_index`` keeps
@@ -117,9 +145,13 @@ def bm25_index(analyzed: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: st
           .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
           .select("term", "doc_id", "tf", "dl"))
     tf = _stored(tf, "bm25_tf", materialize)
-    ids = analyzed.select(F.col(id_col).alias("doc_id"))
+    # One row of each id; the lengths repeat the analysis only for documents without terms.
+    rows = analyzed.groupBy(F.col(id_col).alias("doc_id")).agg(F.count(F.lit(1)).alias("_rows"))
+    wrong = F.raise_error(F.concat(F.lit("document ids must be set and differ: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    one = F.when(F.col("doc_id").isNull() | (F.col("_rows") > 1), wrong.cast("bigint"))
     lengths = tf.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    docs = ids.join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl"))
+    docs = (rows.withColumn("_rows", F.coalesce(one, F.lit(0)))
+            .join(lengths, "doc_id", "left").select("doc_id", (F.coalesce("dl", F.lit(0)) + F.col("_rows")).cast("bigint").alias("dl")))
     docs = _stored(docs, "bm25_docs", materialize)
     stats = _stored(_stats(docs), "bm25_stats", materialize)
     dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearline.functions.vectors import dot, l2_normalize
+from nearline.operators.indexing import with_row_key
 from nearline.session import materialize
 
 
@@ -38,7 +39,7 @@ def softmax_weights(pairs: DataFrame, temperature: float, exclude_diagonal: bool
     A row whose only entry was the diagonal yields no output.
     """
     if temperature is None or temperature <= 0:
-        raise ValueError("Temperature must be positive.")
+        raise ValueError(f"temperature must be above zero, got {temperature}")
     p = pairs.where(F.col(group[-1]) != F.col(col)) if exclude_diagonal else pairs
     w = Window.partitionBy(*group)
     z = F.col(score) / F.lit(float(temperature))
@@ -126,72 +127,185 @@ def metric_log(log: DataFrame, every: int, step: str = "step", loss: str = "loss
         F.avg(loss).alias("mean_loss"), F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def _adapter_grads(W: np.ndarray):
-    """Per-batch analytic gradient of the mean-free contrastive loss on normalize(W x)."""
+# ---------------------------------------------------------------- objectives and adapter gradients
 
-    def per_batch(pdf):
-        q = pdf[pdf["side"] == "q"].sort_values("id")
-        p = pdf[pdf["side"] == "p"].sort_values("id")
-        if len(q) == 0 or len(p) == 0:
-            return pd.DataFrame({"grad": [np.zeros(W.size)], "loss": [0.0], "n": [0]})
-        Xq = np.stack(q["rep"].map(lambda v: np.asarray(v, dtype=np.float64)))
-        Xp = np.stack(p["rep"].map(lambda v: np.asarray(v, dtype=np.float64)))
-        pid = p["id"].to_numpy()
-        tgt = np.searchsorted(pid, q["target"].to_numpy())
-        keep = (tgt < len(pid)) & (pid[np.minimum(tgt, len(pid) - 1)] == q["target"].to_numpy())
-        Xq, tgt = Xq[keep], tgt[keep]
-        if len(Xq) == 0:
-            return pd.DataFrame({"grad": [np.zeros(W.size)], "loss": [0.0], "n": [0]})
-        Zq, Zp = Xq @ W.T, Xp @ W.T
-        nq = np.maximum(np.linalg.norm(Zq, axis=1, keepdims=True), 1e-12)
-        npn = np.maximum(np.linalg.norm(Zp, axis=1, keepdims=True), 1e-12)
-        U, V = Zq / nq, Zp / npn
-        S_ = U @ V.T
+def contrastive_objective(temperature: float = 1.0):
+    """Cross entropy of a query's scores over the passages of its batch.
+
+    An objective takes unit rows U (queries), V (passages) and the target row of
+    each query; it returns the summed loss and its gradients by U and V.
+    """
+    if temperature <= 0:
+        raise ValueError(f"temperature must be above zero, got {temperature}")
+
+    def objective(U: np.ndarray, V: np.ndarray, target: np.ndarray):
+        S_ = U @ V.T / temperature
+        at = np.arange(len(target))
         m = S_.max(1, keepdims=True)
         E_ = np.exp(S_ - m)
-        P = E_ / E_.sum(1, keepdims=True)
-        loss = float((np.log(E_.sum(1)) + m[:, 0] - S_[np.arange(len(tgt)), tgt]).sum())
-        G = P.copy()
-        G[np.arange(len(tgt)), tgt] -= 1.0          # dL/dS
-        dU, dV = G @ V, G.T @ U
-        dZq = (dU - U * (U * dU).sum(1, keepdims=True)) / nq
-        dZp = (dV - V * (V * dV).sum(1, keepdims=True)) / npn
-        grad = dZq.T @ Xq + dZp.T @ Xp
-        return pd.DataFrame({"grad": [grad.reshape(-1)], "loss": [loss], "n": [len(tgt)]})
-
-    return per_batch
-
-
-def adapter_gradient(queries: DataFrame, passages: DataFrame, targets: DataFrame, W: np.ndarray):
-    """Full-batch gradient and mean loss: per-batch gradients summed coefficient-wise."""
-    q = queries.join(targets, "qid").select("batch_id", F.col("qid").alias("id"), "rep", "target",
-                                            F.lit("q").alias("side"))
-    p = passages.select("batch_id", F.col("pid").alias("id"), "rep", F.lit(None).cast("bigint").alias("target"),
-                        F.lit("p").alias("side"))
-    per = q.unionByName(p).groupBy("batch_id").applyInPandas(
-        _adapter_grads(W), "grad array<double>, loss double, n bigint")
-    # One job a step: loss and count travel as the two coefficients after the gradient.
+        total = E_.sum(1, keepdims=True)
+        loss = float((np.log(total[:, 0]) + m[:, 0] - S_[at, target]).sum())
+        G = E_ / total
+        G[at, target] -= 1.0
+        G /= temperature
+        return loss, G @ V, G.T @ U
+
+    return objective
+
+
+def margin_objective(margin: float = 0.2):
+    """Hinge of every other passage of the batch that comes within ``margin`` of the target's score."""
+    def objective(U: np.ndarray, V: np.ndarray, target: np.ndarray):
+        S_ = U @ V.T
+        at = np.arange(len(target))
+        over = S_ - S_[at, target][:, None] + margin
+        over[at, target] = 0.0
+        G = (over > 0).astype(np.float64)
+        G[at, target] = -G.sum(1)
+        return float(np.maximum(over, 0.0).sum()), G @ V, G.T @ U
+
+    return objective
+
+
+def _adapter_rows(queries: DataFrame, passages: DataFrame, targets: DataFrame) -> DataFrame:
+    """(batch_id, side, key, target, rep) of both sides, ids as strings; a query without a target raises."""
+    keys = ["batch_id", "qid"] if "batch_id" in targets.columns else ["qid"]
+    known = targets.select(*keys, F.col("target").cast("string").alias("target"))
+    missing = F.raise_error(F.concat(F.lit("no target passage for query "), F.coalesce(F.col("qid").cast("string"), F.lit("null"))))
+    q = queries.join(known, keys, "left").select(
+        "batch_id", F.lit("q").alias("side"), F.col("qid").cast("string").alias("key"),
+        F.when(F.col("target").isNull(), missing.cast("string")).otherwise(F.col("target")).alias("target"),
+        F.col("rep").cast("array<double>").alias("rep"))
+    p = passages.select("batch_id", F.lit("p").alias("side"), F.col("pid").cast("string").alias("key"),
+                        F.lit(None).cast("string").alias("target"), F.col("rep").cast("array<double>").alias("rep"))
+    return q.unionByName(p)
+
+
+def _rows(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+
+
+def _unit(Z: np.ndarray):
+    norm = np.maximum(np.linalg.norm(Z, axis=1, keepdims=True), 1e-12)
+    return Z / norm, norm
+
+
+def _target_rows(q: pd.DataFrame, p: pd.DataFrame) -> np.ndarray:
+    """Row of each query's target in ``p``; one that is not in the batch raises."""
+    at = pd.Index(p["key"])
+    at = at.get_indexer(q["target"]) if at.is_unique else at.drop_duplicates().get_indexer(q["target"])
+    if (at < 0).any():
+        bad = q[at < 0].iloc[0]
+        raise ValueError(f"target {bad['target']} of query {bad['key']} is not in batch {bad['batch_id']}")
+    return at
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    q, p = (pdf[pdf["side"] == s].sort_values("key", kind="stable") for s in "qp")
+    return q, p.drop_duplicates("key")
+
+
+def _pull_back(U: np.ndarray, norm: np.ndarray, dU: np.ndarray) -> np.ndarray:
+    """Gradient by the rows before they were scaled to unit length."""
+    return (dU - U * (U * dU).sum(1, keepdims=True)) / norm
+
+
+def _summed(parts: DataFrame, W: np.ndarray) -> tuple[np.ndarray, float]:
+    """Mean gradient and loss of rows (grad, loss, n): one job, d * d + 2 rows to the driver."""
     extra = F.array("loss", F.col("n").cast("double"))
-    coef = per.select(F.posexplode(F.concat("grad", extra)).alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"))
+    coef = parts.select(F.posexplode(F.concat("grad", extra)).alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"))
     g = np.zeros(W.size + 2)
-    for r in coef.collect():   # d*d model-sized rows
+    for r in coef.collect():
         g[r.i] = r.g
     n = max(g[-1], 1.0)
     return g[:-2].reshape(W.shape) / n, float(g[-2] / n)
 
 
+PART = "grad array<double>, loss double, n bigint"
+
+
+def adapter_gradient(queries: DataFrame, passages: DataFrame, targets: DataFrame, W: np.ndarray, objective=None):
+    """Gradient by W and mean loss of ``objective`` on normalize(W x), in one phase: a batch is one group.
+
+    ``targets`` has (qid, target) or (batch_id, qid, target); ids may have any
+    type.  A query without a target, or with one outside of its batch, raises.
+    A passage that repeats in a batch counts once.
+    """
+    objective = objective or contrastive_objective()
+
+    def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, p = _sides(pdf)
+        if not len(q):
+            return pd.DataFrame({"grad": [np.zeros(W.size)], "loss": [0.0], "n": [0]})
+        at = _target_rows(q, p)
+        Xq, Xp = _rows(q["rep"]), _rows(p["rep"])
+        (U, nq), (V, np_) = _unit(Xq @ W.T), _unit(Xp @ W.T)
+        loss, dU, dV = objective(U, V, at)
+        grad = _pull_back(U, nq, dU).T @ Xq + _pull_back(V, np_, dV).T @ Xp
+        return pd.DataFrame({"grad": [grad.reshape(-1)], "loss": [loss], "n": [len(q)]})
+
+    return _summed(_adapter_rows(queries, passages, targets).groupBy("batch_id").applyInPandas(per_batch, PART), W)
+
+
+def cached_gradient(queries: DataFrame, passages: DataFrame, targets: DataFrame, W: np.ndarray, objective=None, chunk: int = 256):
+    """The gradient of ``adapter_gradient`` in two phases, for batches whose inputs do not fit at once.
+
+    First every row is represented without a gradient and the representations
+    are stored; a batch then holds representations only, and the gradient of
+    the objective by each of them is stored.  Second the inputs are read
+    again in chunks of ``chunk`` rows, represented anew, and each chunk's stored
+    gradients are carried back to W; a task returns one d x d sum.
+    """
+    objective = objective or contrastive_objective()
+    rows = with_row_key(_adapter_rows(queries, passages, targets), "row")
+
+    def represent(it):
+        for pdf in it:
+            for a in range(0, len(pdf), chunk):
+                part = pdf.iloc[a:a + chunk]
+                yield part.assign(rep=list(_unit(_rows(part["rep"]) @ W.T)[0]))
+
+    reps = materialize(rows.mapInPandas(represent, rows.schema), "representations")
+
+    def by_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, p = _sides(pdf)
+        if not len(q):
+            return pd.DataFrame({"row": p["row"], "by": [np.zeros(W.shape[0])] * len(p), "loss": 0.0, "n": 0})
+        loss, dU, dV = objective(_rows(q["rep"]), _rows(p["rep"]), _target_rows(q, p))
+        size = len(q) + len(p)
+        return pd.DataFrame({"row": [*q["row"], *p["row"]], "by": [*dU, *dV], "loss": [loss] + [0.0] * (size - 1),
+                             "n": [len(q)] + [0] * (size - 1)})
+
+    grads = materialize(reps.groupBy("batch_id").applyInPandas(by_batch, "row bigint, by array<double>, loss double, n bigint"),
+                        "representation-gradients")
+
+    def replay(it):
+        grad, loss, n = np.zeros(W.shape), 0.0, 0
+        for pdf in it:
+            for a in range(0, len(pdf), chunk):
+                part = pdf.iloc[a:a + chunk]
+                X = _rows(part["rep"])
+                U, norm = _unit(X @ W.T)
+                grad += _pull_back(U, norm, _rows(part["by"])).T @ X
+                loss, n = loss + float(part["loss"].sum()), n + int(part["n"].sum())
+        yield pd.DataFrame({"grad": [grad.reshape(-1)], "loss": [loss], "n": [n]})
+
+    return _summed(rows.select("row", "rep").join(grads, "row").select("rep", "by", "loss", "n").mapInPandas(replay, PART), W)
+
+
 def fit_linear_adapter(queries: DataFrame, passages: DataFrame, targets: DataFrame, dim: int, steps: int = 5,
-                       lr: float = 0.1, seed: int = 42):
-    """Learn W (d x d) minimising the in-batch contrastive loss of normalize(W x).
+                       lr: float = 0.1, seed: int = 42, objective=None, gradient=None):
+    """Learn W (d x d) minimising ``objective`` (default: in-batch contrastive) of normalize(W x).
 
-    Gradient descent; each step is one Spark job (group per batch, sum per
-    coefficient); the driver holds only W.  Returns (W, [loss per step]).
+    Gradient descent; a step is one call of ``gradient`` (``adapter_gradient`` or
+    ``cached_gradient``); the driver holds only W.  Returns (W, [loss per step]).
     """
+    gradient = gradient or adapter_gradient
     rng = np.random.default_rng(seed)
     W = np.eye(dim) + 0.01 * rng.standard_normal((dim, dim))
     losses = []
     for _ in range(steps):
-        g, loss = adapter_gradient(queries, passages, targets, W)
+        g, loss = gradient(queries, passages, targets, W, objective)
         losses.append(loss)
         W = W - lr * g
     return W, losses

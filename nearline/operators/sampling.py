@@ -50,8 +50,8 @@ def sample_negatives(groups: DataFrame, group_size: int = 8, epoch: int = 0, see
 
     (a) fewer than needed -> draws with replacement; (b) group_size 1 -> none;
     (c) no_shuffle -> the first k; (d) seeded permutation, doubled, window at
-    ``epoch * k % n``.  Groups with no negatives while some are needed are
-    dropped (the reference raises on them); count them with ``count_unsampleable``.
+    ``epoch * k % n``.  A group with no negatives while some are needed raises;
+    filter such groups first, and count them with ``count_unsampleable``.
     """
     k = int(group_size) - 1
     a = F.col("negatives")
@@ -68,13 +68,16 @@ def sample_negatives(groups: DataFrame, group_size: int = 8, epoch: int = 0, see
         off = F.pmod(F.lit(epoch * k), n)
         rest = F.slice(F.concat(perm, perm), (off + 1).cast("int"), k)
     chosen = F.when(n < k, draw).otherwise(rest)
-    src = groups.where(F.size("negatives") > 0) if k > 0 else groups
-    return src.withColumn("negatives", chosen)
+    if k > 0:
+        none = F.raise_error(F.concat(F.lit("no negatives to sample from in group "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+        kind = groups.schema["negatives"].dataType
+        chosen = F.when(F.coalesce(n, F.lit(0)) <= 0, none.cast(kind)).otherwise(chosen)
+    return groups.withColumn("negatives", chosen)
 
 
 def count_unsampleable(groups: DataFrame, group_size: int = 8) -> DataFrame:
-    """Groups that ``sample_negatives`` drops (no negatives but some needed)."""
-    return groups.where((F.size("negatives") == 0) & F.lit(group_size > 1)).agg(
+    """Groups on which ``sample_negatives`` raises (no negatives but some needed)."""
+    return groups.where((F.coalesce(F.size("negatives"), F.lit(0)) <= 0) & F.lit(group_size > 1)).agg(
         F.count(F.lit(1)).alias("dropped_groups"))
 
 

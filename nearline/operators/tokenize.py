@@ -1,21 +1,24 @@
 """Vocabulary, tokenization and training views as corpus jobs.
 
-Tokens are exploded, looked up by an equi-join on the term, and collected back
-per document; the collect groups are single documents.  A user tokenizer
-(``Tokenizer`` protocol) runs as an Arrow-batched ``mapInPandas`` instead.
+Rows are tokenized one by one: a vocabulary of checked size is looked up inside
+the tasks, a larger one is joined and the words are put back by stored row.  A user
+tokenizer (``Tokenizer`` protocol) runs over Arrow batches instead.
 """
 
 from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearline.functions import tokens as TK
 from nearline.functions.text import words
-from nearline.operators.indexing import with_global_index
+from nearline.operators.indexing import with_global_index, with_row_key
 
 # Special tokens and their ids.
 SPECIALS = ("<pad>", "<s>", "</s>", "<unk>")
@@ -26,13 +29,16 @@ class Tokenizer(Protocol):
     def encode(self, texts: list[str]) -> list[list[int]]: ...
 
 
-def fit_vocab(corpus: DataFrame, text_col: str = "text", id_col: str = "id", max_size: int | None = None,
-              min_df: int = 1, specials=SPECIALS) -> DataFrame:
-    """K1: vocab(term, term_id, cf, df); specials first, then by cf desc, term asc."""
-    toks = corpus.select(F.col(id_col).alias("_d"), F.explode(words(F.col(text_col))).alias("term"))
-    per_doc = toks.groupBy("term", "_d").agg(F.count(F.lit(1)).alias("_tf"))
-    stats = per_doc.groupBy("term").agg(F.sum("_tf").cast("bigint").alias("cf"),
-                                        F.count(F.lit(1)).cast("bigint").alias("df"))
+def fit_vocab(corpus: DataFrame, text_col: str = "text", max_size: int | None = None, min_df: int = 1,
+              specials=SPECIALS) -> DataFrame:
+    """K1: vocab(term, term_id, cf, df); specials first, then by cf desc, term asc.
+
+    df counts rows, whatever their ids; one exchange, of sums by term.
+    """
+    own = words(F.col(text_col))
+    marks = F.concat(F.transform(own, lambda w: F.struct(w.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))),
+                     F.transform(F.array_distinct(own), lambda w: F.struct(w.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))))
+    stats = corpus.select(F.inline(marks)).groupBy("term").agg(F.sum("cf").cast("bigint").alias("cf"), F.sum("df").cast("bigint").alias("df"))
     if min_df > 1:
         stats = stats.where(F.col("df") >= min_df)
     ranked = with_global_index(stats, [F.col("cf").desc(), F.col("term").asc()], "_i")
@@ -44,31 +50,64 @@ def fit_vocab(corpus: DataFrame, text_col: str = "text", id_col: str = "id", max
     return sp.unionByName(terms)
 
 
-def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "id", add_bos: bool = True,
-             out: str = "input_ids") -> DataFrame:
-    """K2: word ids in text order ([BOS] first), unknown words -> UNK."""
-    toks = df.select(F.col(id_col).alias("_id"), F.posexplode(words(F.col(text_col))).alias("_p", "term"))
-    v = vocab.select("term", "term_id")
-    j = toks.join(v, "term", "left").select("_id", "_p", F.coalesce("term_id", F.lit(UNK_ID)).alias("t"))
-    g = j.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_p", "t"))).alias("_s"))
-    ids = g.select("_id", F.transform("_s", lambda s: s["t"].cast("int")).alias("_ids"))
-    res = df.join(ids, df[id_col] == ids["_id"], "left").drop("_id")
-    body = F.coalesce(F.col("_ids"), F.array().cast("array<int>"))
-    full = F.concat(F.array(F.lit(BOS_ID)), body) if add_bos else body
-    return res.withColumn(out, full).drop("_ids")
+#: A vocabulary is looked up in each task up to so many bytes of terms; larger ones are joined.
+LOOKUP_BYTES = 64 << 20
+
+
+def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", add_bos: bool = True, out: str = "input_ids",
+             lookup_bytes: int | None = None) -> DataFrame:
+    """K2: word ids in text order ([BOS] first), unknown words -> UNK; a null text has no words.
+
+    Every row is tokenized by itself, whatever its id.  A vocabulary of at most
+    ``lookup_bytes`` bytes (counted first) is sent to the tasks and looked up there,
+    without an exchange; a larger one is joined, and words go back to their stored row.
+    """
+    lookup_bytes = LOOKUP_BYTES if lookup_bytes is None else lookup_bytes
+    v = vocab.select("term", F.col("term_id").cast("int").alias("term_id"))
+    size = v.agg(F.sum(F.octet_length("term") + 12)).first()[0] or 0
+    body = F.coalesce(words(F.col(text_col)), F.expr("cast(array() as array<string>)"))
+    res = _looked_up(df, v, body) if size <= lookup_bytes else _joined(df, v, body)
+    full = F.concat(F.array(F.lit(BOS_ID)), F.col("_nl_ids")) if add_bos else F.col("_nl_ids")
+    return res.withColumn(out, full).drop("_nl_ids")
+
+
+def _looked_up(df: DataFrame, vocab: DataFrame, body: Column) -> DataFrame:
+    rows = vocab.toArrow()
+    bc = df.sparkSession.sparkContext.broadcast((rows.column("term").combine_chunks(), rows.column("term_id").to_numpy()))
+
+    @F.arrow_udf("array<int>")
+    def ids(lists: pa.Array) -> pa.Array:
+        terms, numbers = bc.value
+        coded = lists.flatten().dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms), -1).to_numpy(zero_copy_only=False)
+        known = np.append(numbers, UNK_ID)[at].astype(np.int32)  # -1: the last
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(known[code] if len(code) else code, pa.int32()))
+
+    return df.withColumn("_nl_ids", ids(body))
+
+
+def _joined(df: DataFrame, vocab: DataFrame, body: Column) -> DataFrame:
+    rows = with_row_key(df.withColumn("_nl_words", body))
+    terms = rows.select("_nl_row", F.posexplode("_nl_words").alias("p", "term")).join(vocab, "term", "left")
+    found = terms.groupBy("_nl_row").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("term_id", F.lit(UNK_ID)).alias("t")))).alias("_nl_s"))
+    ids = F.coalesce(F.transform("_nl_s", lambda s: s["t"]), F.expr("cast(array() as array<int>)"))
+    return rows.join(found, "_nl_row", "left").withColumn("_nl_ids", ids).drop("_nl_row", "_nl_words", "_nl_s")
 
 
 def tokenize_with(df: DataFrame, tokenizer_factory, text_col: str = "text", out: str = "input_ids") -> DataFrame:
     """K2 with a user tokenizer, loaded once per task and fed Arrow batches."""
     schema = T.StructType([*[f for f in df.schema if f.name != out], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
-    def run(it):
+    def run(batches):
         tok = tokenizer_factory()
-        for pdf in it:
-            pdf[out] = tok.encode(pdf[text_col].fillna("").tolist())
-            yield pdf[schema.names]
+        for batch in batches:
+            ids = tok.encode([t or "" for t in batch.column(text_col).to_pylist()])
+            kept = [c for c in batch.schema.names if c != out]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ids, pa.list_(pa.int32()))], names=[*kept, out])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def prefix_ids(spark, vocab: DataFrame, prefix: str):
@@ -110,8 +149,7 @@ def training_views(members: DataFrame, vocab: DataFrame, max_len: int = 128, app
 
     L = TK.round_up(max_len, multiple)
     spark = members.sparkSession
-    m = members.withColumn("_key", F.concat_ws(":", F.col("batch_id").cast("string"), F.col("pos").cast("string")))
-    m = tokenize(m, vocab, "text", "_key", out="_lm_raw")
+    m = tokenize(members, vocab, "text", out="_lm_raw")
     body = F.slice("_lm_raw", 2, F.size("_lm_raw"))
     for name, prefix, on in (("_p_raw", passage_prefix, add_passage_prefix), ("_q_raw", query_prefix, add_query_prefix)):
         if not on:
@@ -120,7 +158,7 @@ def training_views(members: DataFrame, vocab: DataFrame, max_len: int = 128, app
             # Word tokens of prefix + text are the prefix's tokens followed by the text's.
             m = m.withColumn(name, F.concat(F.array(F.lit(BOS_ID)), prefix_ids(spark, vocab, prefix), body))
         else:
-            m = tokenize(m.withColumn("_t", add_prefix("text", prefix)), vocab, "_t", "_key", out=name).drop("_t")
+            m = tokenize(m.withColumn("_t", add_prefix("text", prefix)), vocab, "_t", out=name).drop("_t")
     p = TK.truncate_append_eos("_p_raw", max_len, append_eos, eos_id)
     lm = F.slice("_lm_raw", 1, max_len - 1 if append_eos else max_len)
     q = TK.truncate_append_eos("_q_raw", max_len, append_eos, eos_id)

@@ -13,7 +13,7 @@ from nearline.plans.registry import register
 from nearline.plans.sqlparts import BM25, MODEL_OUT, analyzed, hash_encode, hex8 as sql_hex8, md5k, unit
 from nearline.session import table
 
-R6 = lambda c: F.transform(c, lambda x: F.round(x, 6))
+R6 = lambda c: F.transform(c, lambda x: F.round(x, 6) + F.lit(0.0))  # noqa: E731  (no negative zero)
 
 
 def _index(spark, sf_dir):
@@ -35,7 +35,7 @@ Q_SRC = f"hq_src AS (SELECT item_id AS id, list_slice({analyzed(chr(39) + 'query
 
 @register("e1_encode", f"""
 WITH {BM25}, {DOC_SRC}, {hash_encode('he', 'he_src')}
-SELECT id, list_transform(rep, lambda x: round(x, 6)) AS rep FROM he
+SELECT id, list_transform(rep, lambda x: round(x, 6) + 0.0::DOUBLE) AS rep FROM he
 """)
 def e1_encode(spark, sf_dir):
     r = _doc_reps(spark, sf_dir, _index(spark, sf_dir))
@@ -44,7 +44,7 @@ def e1_encode(spark, sf_dir):
 
 @register("e2_encode_query", f"""
 WITH {BM25}, {Q_SRC}, {hash_encode('hq', 'hq_src', binary=True)}
-SELECT id, list_transform(rep, lambda x: round(x, 6)) AS rep FROM hq
+SELECT id, list_transform(rep, lambda x: round(x, 6) + 0.0::DOUBLE) AS rep FROM hq
 """)
 def e2_encode_query(spark, sf_dir):
     r = _query_reps(spark, sf_dir, _index(spark, sf_dir))
@@ -82,7 +82,7 @@ hs AS (SELECT item_id AS id,
 """
 
 
-@register("e4_pool_first", f"WITH {HS_SQL} SELECT id, list_transform(h[1], lambda x: round(x, 6)) AS rep FROM hs")
+@register("e4_pool_first", f"WITH {HS_SQL} SELECT id, list_transform(h[1], lambda x: round(x, 6) + 0.0::DOUBLE) AS rep FROM hs")
 def e4_pool_first(spark, sf_dir):
     hs = hidden_states(spark, sf_dir)
     return hs.select("id", R6(E.pool(F.col("h"), F.col("attention_mask"), "cls")).alias("rep"))
@@ -93,7 +93,7 @@ WITH {HS_SQL},
 u AS (SELECT id, n, unnest(list_slice(h, 1, n)) AS v FROM hs),
 e AS (SELECT id, n, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM u),
 m AS (SELECT id, d, sum(x) / any_value(n) AS x FROM e GROUP BY id, d)
-SELECT hs.id, CASE WHEN hs.n > 0 THEN (SELECT list(round(x, 6) ORDER BY d) FROM m WHERE m.id = hs.id) END AS rep FROM hs
+SELECT hs.id, CASE WHEN hs.n > 0 THEN (SELECT list(round(x, 6) + 0.0::DOUBLE ORDER BY d) FROM m WHERE m.id = hs.id) END AS rep FROM hs
 """)
 def e5_pool_mean(spark, sf_dir):
     hs = hidden_states(spark, sf_dir)
@@ -101,7 +101,7 @@ def e5_pool_mean(spark, sf_dir):
 
 
 @register("e6_pool_last", f"""
-WITH {HS_SQL} SELECT id, CASE WHEN n > 0 THEN list_transform(h[n], lambda x: round(x, 6)) END AS rep FROM hs
+WITH {HS_SQL} SELECT id, CASE WHEN n > 0 THEN list_transform(h[n], lambda x: round(x, 6) + 0.0::DOUBLE) END AS rep FROM hs
 """)
 def e6_pool_last(spark, sf_dir):
     hs = hidden_states(spark, sf_dir)

@@ -219,6 +219,29 @@ def a9_adapter_loss(spark, sf_dir):
     return spark.createDataFrame([(round(loss, 6),)], "loss double")
 
 
+@register("u5_cached_gradient", f"""
+WITH {MEMBERS_SQL},
+u AS (SELECT batch_id, vec_id, pos, v, {_n('v')} AS u, sqrt(list_inner_product(v, v)) AS z FROM m),
+s AS (SELECT q.vec_id AS qid, p.vec_id AS pid, list_inner_product(q.u, p.u) AS score, q.u AS uq, p.u AS up
+      FROM u q JOIN u p ON q.batch_id = p.batch_id WHERE q.pos % 2 = 0 AND p.pos % 2 = 1),
+g AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY qid) - CASE WHEN pid = qid + 1 THEN 1 ELSE 0 END AS g FROM s),
+by_rep AS (SELECT id, d, sum(x) AS x FROM (
+    SELECT qid AS id, generate_subscripts(up, 1) AS d, g * unnest(up) AS x FROM g
+    UNION ALL SELECT pid, generate_subscripts(uq, 1), g * unnest(uq) FROM g) GROUP BY id, d),
+r AS (SELECT id, list(x ORDER BY d) AS du FROM by_rep GROUP BY id),
+dz AS (SELECT v, list_transform(du, lambda x, i: (x - u[i] * list_inner_product(u, du)) / z) AS dz FROM r JOIN u ON u.vec_id = r.id),
+rows_ AS (SELECT v, unnest(dz) AS a, generate_subscripts(dz, 1) - 1 AS i FROM dz),
+cells AS (SELECT i, generate_subscripts(v, 1) - 1 AS j, a * unnest(v) AS x FROM rows_)
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+  round(sum(x) / (SELECT count(DISTINCT qid) FROM s), 6) + 0.0::DOUBLE AS g FROM cells GROUP BY ALL
+""")
+def u5_cached_gradient(spark, sf_dir):
+    """The two-phase gradient of the contrastive objective at W = I."""
+    g, _ = A.cached_gradient(*_qp(spark, sf_dir), np.eye(64), chunk=32)
+    rows = [(i, j, round(float(g[i, j]), 6) + 0.0) for i in range(g.shape[0]) for j in range(g.shape[1])]
+    return spark.createDataFrame(rows, "i int, j int, g double")
+
+
 @register("a9_fit_linear_adapter")
 def a9_fit_linear_adapter(spark, sf_dir):
     """Three gradient steps on the even/odd in-batch pairs; W returned as (i, j, w) rows."""

@@ -68,7 +68,8 @@ negs AS (
 
 
 def _sampled(spark, sf_dir):
-    return M.sample_negatives(X.train_groups(spark, sf_dir), group_size=4, epoch=1, seed=42)
+    groups = X.train_groups(spark, sf_dir).where(F.size("negatives") > 0)
+    return M.sample_negatives(groups, group_size=4, epoch=1, seed=42)
 
 
 @register("m4_sample_negatives", f"WITH {TRAIN_GROUPS}, {NEG_SQL} SELECT * FROM negs")

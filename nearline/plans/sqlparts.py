@@ -151,7 +151,7 @@ def hash_encode(name: str, src: str, binary: bool = False, dim: int = 64) -> str
 {name}_w AS (SELECT id, CAST({hex8('md5(term)')} % {dim} AS INTEGER) AS bucket,
                  CASE WHEN {hex8('substr(md5(term), 9, 8)')} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * tf * idf AS v
           FROM {name}_tf JOIN bm_idf USING (term)),
-{name}_b AS (SELECT id, bucket, sum(v) AS v FROM {name}_w GROUP BY 1, 2),
+{name}_b AS (SELECT id, bucket, CAST(sum(CAST(floor(v * 1e9::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS DOUBLE) / 1e9::DOUBLE AS v FROM {name}_w GROUP BY 1, 2),
 {name}_d AS (SELECT s.id, list(coalesce(b.v, 0.0::DOUBLE) ORDER BY r.i) AS dense
           FROM {src} s CROSS JOIN range({dim}) r(i) LEFT JOIN {name}_b b ON b.id = s.id AND b.bucket = r.i GROUP BY s.id),
 {name} AS (SELECT id, list_transform(dense, lambda x: x / greatest(sqrt(list_inner_product(dense, dense)), 1e-12::DOUBLE)) AS rep

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -23,7 +24,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.nearline.scanPartitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -72,12 +72,45 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return df.repartition(int(parts), TABLE_KEYS[name]) if parts and name in TABLE_KEYS else df
 
 
+#: Open scopes of stored tables, innermost last: each a list of paths.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def stored_tables(spark: SparkSession):
+    """Owner of the tables that ``materialize`` writes inside the block: they are deleted at its end.
+
+    Results that read them must be written or collected before.  Tables written
+    outside of any block stay, as their reader may run at any later time.
+    """
+    mine: list[str] = []
+    _SCOPES.append(mine)
+    try:
+        yield mine
+    finally:
+        _SCOPES.remove(mine)
+        release(spark, mine)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables by path, on whatever file system holds them."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    paths.clear()
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` (the stored copy survives executor
-    loss) while later reads stay columnar, pruned and vectorised.
+    loss) while later reads stay columnar, pruned and vectorised.  An open
+    ``stored_tables`` block owns the copy.
     """
     path = scratch_path(df.sparkSession, name)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

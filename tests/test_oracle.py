@@ -16,7 +16,8 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 9)
+        # Zeros differ by sign, as in the driver's comparison.
+        return "nan" if math.isnan(v) else "-0.0" if v == 0 and math.copysign(1, v) < 0 else round(v, 9) + 0.0
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
