@@ -5,8 +5,8 @@ carry a cell id (an IVF list or an LSH bucket), big cells are split into
 sub-blocks of about ``shard_rows`` vectors, queries are packed per probed cell
 in blocks of ``query_block``, and each (query block, document block) pair of
 the same cell is scored by one numpy product inside a task that emits only its
-local top-k.  A hot cell therefore becomes many parallel block pairs instead of
-one huge task.
+local top-k.  Pairs are dealt by (cell, document block, query group), so a hot
+cell is work for many tasks.
 
 Fitting is separate from search: centroids, codebooks and projections are plain
 arrays, fitted by Spark ML on a seeded sample or given by the caller.  Only such
@@ -31,10 +31,33 @@ from nearline.operators.search import (_pack, add_vectors, block_scorer, inner_p
 from nearline.session import materialize
 
 
-def _blocks_per_cell(df: DataFrame, size: int) -> DataFrame:
-    """Attach ``b`` = sub-block of the row inside its cell (cells split by count)."""
-    nb = df.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(size)), F.lit(1)).alias("nb"))
-    return df.join(nb, "cell").withColumn("b", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int")).drop("nb")
+def _blocks_per_cell(df: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``b``, the sub-block of the row inside its cell (cells split by count), and (cell, nb)."""
+    nb = df.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(size)), F.lit(1)).cast("int").alias("nb"))
+    nb = materialize(nb, "cell_blocks")
+    return df.join(nb, "cell").withColumn("b", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int")).drop("nb"), nb
+
+
+def cell_pairs(q_cells: DataFrame, d_cells: DataFrame, query_block: int, shard_rows: int, d_col: str = "rep") -> DataFrame:
+    """(q_ids, q_flat, d_ids, d_flat): every query block with every document block of its cell.
+
+    Pairs are dealt by (cell, document block, query group), so the blocks of one
+    hot cell go to as many tasks as those of many cells.  Query blocks are sent once for each
+    document block; document blocks once for each query group, of which there is one
+    unless the document blocks are too few for the tasks.
+    """
+    parts = int(q_cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, q_nb = _blocks_per_cell(q_cells.select("cell", F.col("qid").alias("i"), F.col("rep").alias("v")), query_block)
+    d, d_nb = _blocks_per_cell(d_cells.select("cell", F.col("id").alias("i"), F.col(d_col).alias("v")), shard_rows)
+    blocks, most = d_nb.agg(F.sum("nb")).first()[0] or 1, q_nb.agg(F.max("nb")).first()[0] or 1
+    groups = max(1, min(int(most), -(-4 * parts // int(blocks))))
+    number = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    qp = _pack(q, ["cell", "b"], "i", "v", "q").withColumn("g", F.col("b") % groups).drop("b")
+    qp = qp.join(d_nb, "cell").withColumn("b", number(F.col("nb"))).drop("nb")
+    dp = _pack(d, ["cell", "b"], "i", "v", "d").withColumn("g", number(F.lit(groups)))
+    # The explicit count keeps the few packed rows, each a matrix product, in many tasks.
+    keys = ["cell", "b", "g"]
+    return qp.repartition(4 * parts, *keys).join(dp.repartition(4 * parts, *keys), keys).select("q_ids", "q_flat", "d_ids", "d_flat")
 
 
 def cell_search(q_cells: DataFrame, d_cells: DataFrame, k: int, query_block: int = 128, shard_rows: int = 4096,
@@ -46,15 +69,8 @@ def cell_search(q_cells: DataFrame, d_cells: DataFrame, k: int, query_block: int
     <d_col>, cell)`` one per vector; pass stored tables, both are read twice.
     With ``dedupe`` a document reached through several cells counts once.
     """
-    parts = int(q_cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = run_schema(q_cells, "qid", d_cells, "id")
-    q = _blocks_per_cell(q_cells.select("cell", F.col("qid").alias("i"), F.col("rep").alias("v")), query_block)
-    d = _blocks_per_cell(d_cells.select("cell", F.col("id").alias("i"), F.col(d_col).alias("v")), shard_rows)
-    qp = _pack(q, ["cell", "b"], "i", "v", "q").drop("b")
-    dp = _pack(d, ["cell", "b"], "i", "v", "d").drop("b")
-    # The explicit count keeps the few packed rows, each a matrix product, in many tasks.
-    pairs = qp.repartition(4 * parts, "cell").join(dp.repartition(4 * parts, "cell"), "cell")
-    local = pairs.select("q_ids", "q_flat", "d_ids", "d_flat").mapInPandas(block_scorer(k, decimals, score), schema)
+    local = cell_pairs(q_cells, d_cells, query_block, shard_rows, d_col).mapInPandas(block_scorer(k, decimals, score), schema)
     if dedupe:
         local = local.groupBy("qid", "docid").agg(F.max("score").alias("score"))
     return rank_results(local, k).select("qid", "docid", "rank", "score")
@@ -197,33 +213,41 @@ def ivf_pq_search(queries: DataFrame, index_cells: DataFrame, centroids: np.ndar
 # ---------------------------------------------------------------- recall (V7, V8)
 
 def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, decimals: int | None = None,
-           block: int = 1024) -> DataFrame:
+           block: int = 8192, rows: int = 16384) -> DataFrame:
     """The candidates of a run scored by their own vectors; the top k of each query.
 
-    Pairs are grouped by (query block, document block) and meet whole blocks of
-    vectors, so no vector is moved for a single pair.
+    Documents are dealt into blocks of about ``block`` vectors.  A query's vector is sent once
+    for each block that holds candidates of it, with their list, so what moves
+    grows with queries times the blocks they touch (at most the run's depth).  A
+    block that more than ``rows`` queries touch, such as one of a document that all find, is
+    split by query and its vectors are sent once for each part.
     """
     queries, corpus = (df.where(usable("rep")).select("id", "rep") for df in (queries, corpus))
-    nq, nd = (max(1, -(-df.count() // block)) for df in (queries, corpus))
-    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    pack = lambda df, n, b, prefix: _pack(df.select(at("id", n).alias(b), F.col("id").alias("i"), F.col("rep").alias("v")), [b], "i", "v", prefix)
-    pairs = (run.groupBy(at("qid", nq).alias("x"), at("docid", nd).alias("y"))
-             .agg(F.collect_list(F.struct("qid", "docid")).alias("p"))
-             .select("x", "y", F.col("p.qid").alias("qs"), F.col("p.docid").alias("ds")))
-    rows = pairs.join(pack(queries, nq, "x", "q"), "x").join(pack(corpus, nd, "y", "d"), "y")
+    count = max(1, -(-corpus.count() // block))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    lists = materialize(run.groupBy("qid", at("docid").alias("y")).agg(F.collect_list("docid").alias("ds")), "rerank_lists")
+    parts = lists.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("nz"))
+    q = (lists.join(queries.select(F.col("id").alias("qid"), "rep"), "qid").join(parts, "y")
+         .withColumn("z", F.pmod(F.xxhash64("qid"), F.col("nz")).cast("int")).select("y", "z", "qid", "ds", F.col("rep").alias("qv")))
+    d = (corpus.withColumn("y", at("id")).join(parts, "y")
+         .withColumn("z", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)))
+         .select(F.col("y").alias("dy"), F.col("z").alias("dz"), F.col("id").alias("did"), F.col("rep").alias("dv")))
     schema = run_schema(queries, "id", corpus, "id")
 
-    def score(it):
-        for batch in it:
-            for r in batch.itertuples(index=False):
-                Q, D = (np.asarray(v, dtype=np.float64).reshape(len(i), -1) for v, i in ((r.q_flat, r.q_ids), (r.d_flat, r.d_ids)))
-                a, b = pd.Index(r.q_ids).get_indexer(r.qs), pd.Index(r.d_ids).get_indexer(r.ds)
-                for lo in range(0, len(a), 1 << 16):
-                    got = np.einsum("ij,ij->i", Q[a[lo:lo + (1 << 16)]], D[b[lo:lo + (1 << 16)]])
-                    yield pd.DataFrame({"qid": r.qs[lo:lo + len(got)], "docid": r.ds[lo:lo + len(got)],
-                                        "score": got if decimals is None else np.round(got, decimals)})
-
-    out = rows.select("qs", "ds", "q_ids", "q_flat", "d_ids", "d_flat").mapInPandas(score, schema)
+    def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(d):
+            return pd.DataFrame({"qid": q["qid"][:0], "docid": d["did"][:0], "score": np.zeros(0)})
+        Q, D, ids = _matrix(q["qv"]), _matrix(d["dv"]), pd.Index(d["did"])
+        sizes = q["ds"].map(len).to_numpy()
+        a = np.repeat(np.arange(len(q)), sizes)
+        docs = np.concatenate([np.asarray(x) for x in q["ds"]])
+        b, first = ids.get_indexer(docs), 1 << 16
+        got = np.concatenate([np.einsum("ij,ij->i", Q[a[lo:lo + first]], D[b[lo:lo + first]]) for lo in range(0, len(a), first)])
+        ok = b >= 0
+        got = got if decimals is None else np.round(got, decimals)
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[a[ok]], "docid": docs[ok], "score": got[ok]})
+
+    out = q.groupBy("y", "z").cogroup(d.groupBy("dy", "dz")).applyInPandas(score, schema)
     return rank_results(out, k).select("qid", "docid", "rank", "score")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from nearline.functions.text import WS_CLASS, words
 from nearline.operators.indexing import with_row_key
+from nearline.operators.postings import PostingBlocks, posting_blocks, search_blocks
 from nearline.operators.search import rank_results, rounded
 from nearline.session import materialize as materialize_table
 
@@ -205,6 +206,30 @@ def bm25_search(query_terms: DataFrame, index: BM25Index, k: int = 10, qid: str
     return rank_results(s, k).select("qid", "docid", "rank", "score")
 
 
+def bm25_blocks(index: BM25Index, range_docs: int = 64, buckets: int = 16, path: str | None = None,
+                order: DataFrame | None = None) -> PostingBlocks:
+    """The index's weights as posting blocks.
+
+    ``order(doc, key)`` puts documents of alike words together (a language, a
+    source); without it they go by length, as short ones weigh alike.
+    """
+    weights = index.postings.select(F.col("doc_id").alias("doc"), "term", "w")
+    if order is None:
+        order = index.docs.select(F.col("doc_id").alias("doc"), F.col("dl").alias("key"))
+    return posting_blocks(weights, order, range_docs, buckets, path)
+
+
+def query_weights(query_terms: DataFrame, qid: str = "id", terms_col: str = "terms") -> DataFrame:
+    """(qid, term, qw): the distinct terms of each query, weight one; ids must differ."""
+    return query_terms.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(terms_col)).alias("term"), F.lit(1.0).alias("qw"))
+
+
+def bm25_block_search(query_terms: DataFrame, blocks: PostingBlocks, k: int = 10, qid: str = "id", terms_col: str = "terms",
+                      decimals: int | None = None, first: int = 6, **kw) -> DataFrame:
+    """B3 on posting blocks: the run of ``bm25_search``, reading only blocks that can reach the top k."""
+    return search_blocks(query_weights(query_terms, qid, terms_col), blocks, k, first, decimals, **kw)
+
+
 def chunk(corpus: DataFrame, max_words: int = 128, overlap: int = 0, id_col: str = "id",
           text_col: str = "text") -> DataFrame:
     """Passages of at most ``max_words`` whitespace-separated words, ``overlap``
@@ -223,6 +248,10 @@ def chunk(corpus: DataFrame, max_words: int = 128, overlap: int = 0, id_col: str
     return docs.select("doc_id", F.posexplode(passages).alias("chunk_no", "text"))
 
 
+#: Terms of a block pair that are multiplied at once.
+TERM_SLICE = 4096
+
+
 def _neighbour_scorer(k: int, decimals: int | None, exclude_same_text: bool):
     import numpy as np
     import pandas as pd
@@ -244,13 +273,20 @@ def _neighbour_scorer(k: int, decimals: int | None, exclude_same_text: bool):
                 us, s_row = np.unique(s_ids, return_inverse=True)
                 uc, c_col = np.unique(c_ids, return_inverse=True)
                 ms, mc = np.isin(s_terms, shared), np.isin(c_terms, shared)
-                Q = np.zeros((us.size, shared.size))
-                Q[s_row[ms], np.searchsorted(shared, s_terms[ms])] = 1.0
-                W = np.zeros((shared.size, uc.size))
-                W[np.searchsorted(shared, c_terms[mc]), c_col[mc]] = c_w[mc]
-                hits = (Q @ (W > 0)) > 0
-                S_ = Q @ W if decimals is None else np.round(Q @ W, decimals)
-                S_[~hits] = -np.inf
+                s_at, s_row = np.searchsorted(shared, s_terms[ms]), s_row[ms]
+                c_at, c_col, c_w = np.searchsorted(shared, c_terms[mc]), c_col[mc], c_w[mc]
+                S_, hits = np.zeros((us.size, uc.size)), np.zeros((us.size, uc.size))
+                for lo in range(0, shared.size, TERM_SLICE):  # memory does not grow with the texts' vocabulary
+                    wide = min(TERM_SLICE, shared.size - lo)
+                    Q, W = np.zeros((us.size, wide)), np.zeros((wide, uc.size))
+                    s_in, c_in = ((at >= lo) & (at < lo + wide) for at in (s_at, c_at))
+                    Q[s_row[s_in], s_at[s_in] - lo] = 1.0
+                    W[c_at[c_in] - lo, c_col[c_in]] = c_w[c_in]
+                    S_ += Q @ W
+                    hits += Q @ (W > 0)
+                if decimals is not None:
+                    S_ = np.round(S_, decimals)
+                S_[hits == 0] = -np.inf
                 S_[us[:, None] == uc[None, :]] = -np.inf
                 if exclude_same_text:
                     sh = dict(zip(np.asarray(r.s_dochash_id), np.asarray(r.s_dochash, dtype=np.int64)))

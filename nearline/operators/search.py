@@ -185,6 +185,22 @@ def knn_sparse(q_sparse: DataFrame, d_sparse: DataFrame, k: int = 1000, decimals
     return rank_results(scores, k).select("qid", "docid", "rank", "score")
 
 
+def sparse_blocks(d_sparse: DataFrame, range_docs: int = 256, buckets: int = 16, path: str | None = None):
+    """V6: sparse vectors (id, term_id, weight) as posting blocks, in order of their largest weight."""
+    from nearline.operators.postings import posting_blocks
+
+    weights = d_sparse.select(F.col("id").alias("doc"), F.col("term_id").alias("term"), F.col("weight").alias("w"))
+    return posting_blocks(weights, weights.groupBy("doc").agg(F.max("w").alias("key")), range_docs, buckets, path)
+
+
+def knn_sparse_blocks(q_sparse: DataFrame, blocks, k: int = 1000, decimals: int | None = None, **kw) -> DataFrame:
+    """V6 on posting blocks: the run of ``knn_sparse``, reading only blocks that can reach the top k."""
+    from nearline.operators.postings import search_blocks
+
+    q = q_sparse.select(F.col("id").alias("qid"), F.col("term_id").alias("term"), F.col("weight").alias("qw"))
+    return search_blocks(q, blocks, k, decimals=decimals, **kw)
+
+
 def add_vectors(index: DataFrame, new: DataFrame) -> DataFrame:
     """Append vectors to an index (same columns, by name)."""
     return index.unionByName(new)

@@ -7,6 +7,7 @@ tokenizer (``Tokenizer`` protocol) runs over Arrow batches instead.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Protocol
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearline.functions import tokens as TK
-from nearline.functions.text import words
+from nearline.functions.text import WORD_PATTERN, words
 from nearline.operators.indexing import with_global_index, with_row_key
 
 # Special tokens and their ids.
@@ -110,6 +111,20 @@ def tokenize_with(df: DataFrame, tokenizer_factory, text_col: str = "text", out:
     return df.mapInArrow(run, schema)
 
 
+class HashTokenizer:
+    """A ``Tokenizer`` without a vocabulary: words of two or more characters by md5, into ``size`` ids after the specials."""
+
+    def __init__(self, size: int = 30_000):
+        import regex
+
+        self.size = size
+        self._re = regex.compile(WORD_PATTERN)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        number = lambda w: int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % self.size + len(SPECIALS)
+        return [[number(w) for w in self._re.findall(t.lower())] for t in texts]
+
+
 def prefix_ids(spark, vocab: DataFrame, prefix: str):
     """Token ids of a fixed prefix string, as a scalar-subquery array column."""
     pw = spark.createDataFrame([(prefix,)], "t string").select(F.posexplode(words(F.col("t"))).alias("p", "term"))

@@ -10,7 +10,7 @@ from nearline.operators import encode as E
 from nearline.operators import lexical as B
 from nearline.operators import search as S
 from nearline.plans.registry import register
-from nearline.plans.sqlparts import BM25, MODEL_OUT, analyzed, hash_encode, hex8 as sql_hex8, md5k, unit
+from nearline.plans.sqlparts import BM25, MODEL_OUT, WS, analyzed, hash_encode, hex8 as sql_hex8, md5k, unit
 from nearline.session import table
 
 R6 = lambda c: F.transform(c, lambda x: F.round(x, 6) + F.lit(0.0))  # noqa: E731  (no negative zero)
@@ -151,7 +151,7 @@ def e9_unicoil_pool(spark, sf_dir):
     return s.select("id", "term_id", F.round("weight", 6).alias("weight"))
 
 
-@register("v6_knn_sparse", f"""
+V6_SQL = f"""
 WITH {MODEL_OUT},
 q AS ({UNICOIL_SQL}),
 dt AS (SELECT doc_id, unnest({analyzed('text')}) AS term FROM documents),
@@ -161,11 +161,65 @@ s AS (SELECT q.id AS qid, d.id AS docid, round(sum(q.weight * d.weight), 6) AS s
       FROM q JOIN d ON q.term_id = d.term_id GROUP BY 1, 2)
 SELECT qid, docid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS BIGINT) AS rank, score
 FROM s QUALIFY rank <= 10
-""")
-def v6_knn_sparse(spark, sf_dir):
+"""
+
+
+def _sparse(spark, sf_dir):
     q = E.unicoil_pool(token_weights(spark, sf_dir))
     docs = B.analyze(table(spark, sf_dir, "documents"), "doc_id", "text")
     d = (docs.select("id", F.explode("terms").alias("term"))
          .select("id", F.pmod(hex8(F.md5("term")), F.lit(30000)).cast("int").alias("term_id"))
          .groupBy("id", "term_id").agg(F.count(F.lit(1)).cast("double").alias("weight")))
-    return S.knn_sparse(q, d, k=10, decimals=6)
+    return q, d
+
+
+@register("v6_knn_sparse", V6_SQL)
+def v6_knn_sparse(spark, sf_dir):
+    return S.knn_sparse(*_sparse(spark, sf_dir), k=10, decimals=6)
+
+
+@register("v6_blocks", V6_SQL)
+def v6_blocks(spark, sf_dir):
+    """V6 on stored posting blocks."""
+    q, d = _sparse(spark, sf_dir)
+    return S.knn_sparse_blocks(q, S.sparse_blocks(d, range_docs=64), k=10, decimals=6)
+
+
+def _plain_encoded(name: str, texts: str, id_col: str, prefix: str, longest: int) -> str:
+    """CTEs ``{name}`` (id, rep): the unweighted hashing encoder over the first words of prefix + text."""
+    cut = rf"regexp_extract('{prefix}' || text, '^(?:{WS}*[^\t\n\x0B\f\r ]+){{0,{longest}}}', 0)"
+    return f"""
+{name}_src AS (SELECT {id_col} AS id, {analyzed(cut)} AS terms FROM {texts}),
+{name}_t AS (SELECT id, unnest(terms) AS term FROM {name}_src),
+{name}_b AS (SELECT id, CAST({sql_hex8('md5(term)')} % 64 AS INTEGER) AS bucket,
+    sum(CASE WHEN {sql_hex8("substr(md5(term), 9, 8)")} % 2 = 0 THEN 1 ELSE -1 END) AS v FROM {name}_t GROUP BY ALL),
+{name}_d AS (SELECT s.id, list(coalesce(b.v, 0)::DOUBLE ORDER BY r.i) AS d
+    FROM {name}_src s CROSS JOIN range(64) r(i) LEFT JOIN {name}_b b ON b.id = s.id AND b.bucket = r.i GROUP BY s.id),
+{name} AS (SELECT id, list_transform(d, lambda x: x / greatest(sqrt(list_inner_product(d, d)), 1e-12::DOUBLE)) AS rep FROM {name}_d)
+"""
+
+
+@register("u1_batch_encoder", f"""
+WITH {_plain_encoded('p', 'documents', 'doc_id', 'passage: ', 128)}
+SELECT id, list_transform(rep, lambda x: round(x, 6) + 0.0::DOUBLE) AS rep FROM p
+""")
+def u1_batch_encoder(spark, sf_dir):
+    """Any encoder with a batch ``encode``: passages cut at 128 words, prefix included."""
+    docs = table(spark, sf_dir, "documents")
+    reps = E.encode(docs, E.HashingEncoder, id_col="doc_id", passage_max_len=128, out_type="array<double>")
+    return reps.select("id", R6("rep").alias("rep"))
+
+
+@register("e3_untied_encoders", f"""
+WITH {_plain_encoded('q', 'benchmark', 'item_id', 'query: ', 16)}, {_plain_encoded('p', 'documents', 'doc_id', 'passage: ', 64)},
+s AS (SELECT q.id AS qid, p.id AS docid, round(list_inner_product(q.rep, p.rep), 6) + 0.0::DOUBLE AS score FROM q, p)
+SELECT qid, docid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS BIGINT) AS rank, score
+FROM s QUALIFY rank <= 10
+""")
+def e3_untied_encoders(spark, sf_dir):
+    """Separate query and passage encoders with their own maximum lengths, then exact search."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    q, d = E.encode_untied(queries, docs, E.HashingEncoder, E.HashingEncoder, query_max_len=16, passage_max_len=64,
+                           out_type="array<double>")
+    return S.knn_exact(q, d, k=10, decimals=6).withColumn("score", F.col("score") + F.lit(0.0))

@@ -52,6 +52,26 @@ def b3_bm25_search(spark, sf_dir):
     return _run(spark, sf_dir)[0]
 
 
+@register("b3_bm25_blocks", f"WITH {BM25} SELECT qid, docid, rank, score FROM bm_run")
+def b3_bm25_blocks(spark, sf_dir):
+    """B3 on stored posting blocks in order of language and length; only what can reach the k-th score is read."""
+    docs, idx = _index(spark, sf_dir)
+    order = docs.select(F.col("doc_id").alias("doc"), F.struct("lang", F.length("text").alias("n")).alias("key"))
+    q = B.analyze(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return B.bm25_block_search(q, B.bm25_blocks(idx, order=order), k=10, decimals=6)
+
+
+@register("b1_stemmed", f"""
+WITH t AS (SELECT doc_id AS id, {analyzed('text')} AS terms FROM documents)
+SELECT id, list_transform(terms, lambda w: CASE WHEN length(w) < 3 THEN w
+  WHEN suffix(w, 'ies') AND NOT (suffix(w, 'eies') OR suffix(w, 'aies')) THEN w[1:length(w) - 3] || 'y'
+  WHEN suffix(w, 'es') AND NOT (suffix(w, 'aes') OR suffix(w, 'ees') OR suffix(w, 'oes')) THEN w[1:length(w) - 2] || 'e'
+  WHEN suffix(w, 's') AND NOT (suffix(w, 'us') OR suffix(w, 'ss')) THEN w[1:length(w) - 1] ELSE w END) AS terms FROM t
+""")
+def b1_stemmed(spark, sf_dir):
+    return B.analyze(table(spark, sf_dir, "documents"), "doc_id", "text", stemmer=B.PLURALS)
+
+
 @register("b2_index_append", f"WITH {BM25} SELECT qid, docid, rank, score FROM bm_run")
 def b2_index_append(spark, sf_dir):
     """An index of the even documents, stored and read back, to which the odd ones are appended."""
@@ -115,14 +135,46 @@ def r6_mean_over_queries(spark, sf_dir):
     return R.mean_over_queries(R.evaluate(*_eval(spark, sf_dir), k=10))
 
 
-@register("b4_build_batches", f"""
-WITH {BM25},
+NEIGHBOURS = f"""{BM25},
 seed_t AS (SELECT DISTINCT doc_id AS seed, term FROM bm_tf),
-s AS (SELECT st.seed, p.doc_id AS docid, round(sum(p.w), 6) AS score
-      FROM seed_t st JOIN bm_post p ON st.term = p.term WHERE p.doc_id <> st.seed GROUP BY 1, 2)
+ns AS (SELECT st.seed, p.doc_id AS docid, round(sum(p.w), 6) AS score
+      FROM seed_t st JOIN bm_post p ON st.term = p.term WHERE p.doc_id <> st.seed GROUP BY 1, 2)"""
+
+
+@register("b4_build_batches", f"""
+WITH {NEIGHBOURS}
 SELECT seed, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, docid) AS BIGINT) AS rank, docid, score
-FROM s QUALIFY rank <= 7
+FROM ns QUALIFY rank <= 7
 """)
 def b4_build_batches(spark, sf_dir):
     _, idx = _index(spark, sf_dir)
     return B.build_batches(idx, top_k=8, seed_block=128, cand_block=256, decimals=6)
+
+
+def _other_texts(spark, sf_dir, top_k):
+    docs, idx = _index(spark, sf_dir)
+    return docs, B.build_batches(idx, docs, top_k=top_k, cand_block=256, exclude_same_text=True, id_col="doc_id", decimals=6)
+
+
+OTHER_TEXTS = f"""{NEIGHBOURS},
+nt AS (SELECT ns.* FROM ns JOIN documents a ON a.doc_id = seed JOIN documents b ON b.doc_id = docid WHERE a.text <> b.text),
+nb AS (SELECT seed, docid, score, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, docid) AS BIGINT) AS rank
+       FROM nt QUALIFY rank <= 7)"""
+
+
+@register("b4_exclude_same_text", f"WITH {OTHER_TEXTS} SELECT seed, rank, docid, score FROM nb")
+def b4_exclude_same_text(spark, sf_dir):
+    """Neighbours of another text than the seed's."""
+    return _other_texts(spark, sf_dir, 8)[1]
+
+
+@register("b4_neighbour_batches", f"""
+WITH {OTHER_TEXTS}
+SELECT d.doc_id AS batch_id, any_value(d.source) AS src,
+       [d.doc_id] || coalesce(list(nb.docid ORDER BY nb.rank) FILTER (nb.docid IS NOT NULL), []) AS doc_ids
+FROM documents d LEFT JOIN nb ON nb.seed = d.doc_id GROUP BY d.doc_id
+""")
+def b4_neighbour_batches(spark, sf_dir):
+    """Batches of a seed and its neighbours, with the seed's source."""
+    docs, near = _other_texts(spark, sf_dir, 8)
+    return B.neighbour_batches(near, docs.select(F.col("doc_id").alias("id"), "source"))

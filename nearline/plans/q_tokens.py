@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nearline.functions import tokens as TK
 from nearline.operators import tokenize as K
 from nearline.plans.registry import register
-from nearline.plans.sqlparts import DOC_BATCHES, VOCAB, first_half, half, mask, pad
+from nearline.plans.sqlparts import DOC_BATCHES, VOCAB, first_half, half, hex8, mask, pad, words
 from nearline.session import table
 from nearline.sources import fixtures as X
 
@@ -42,6 +42,14 @@ def k2_tokenize(spark, sf_dir):
     return _tok(spark, sf_dir)
 
 
+@register("u2_user_tokenizer", f"""
+SELECT doc_id, list_transform({words('text')}, lambda w: CAST({hex8('md5(w)')} % 30000 + 4 AS INTEGER)) AS input_ids FROM documents
+""")
+def u2_user_tokenizer(spark, sf_dir):
+    """K2 with a tokenizer of the user's, loaded once per task."""
+    return K.tokenize_with(table(spark, sf_dir, "documents").select("doc_id", "text"), K.HashTokenizer).select("doc_id", "input_ids")
+
+
 @register("k3_truncate_append_eos", f"WITH {VOCAB} SELECT doc_id, {T3} AS ids FROM dtok")
 def k3_truncate_append_eos(spark, sf_dir):
     return _t3(spark, sf_dir).select("doc_id", "ids")
