@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearline.llm import bytearrays as B
-from nearline.session import materialize, scratch_path
+from nearline.session import materialize
 
 HASHES = 3
 FOLD = np.arange(256, dtype=np.uint8)
@@ -70,9 +70,9 @@ class LanguageFilter:
     def size(self) -> int:
         return len(self.words) // max(1, -(-len(self.languages) // 64))
 
-    def slots(self, hashes: np.ndarray, k: int) -> np.ndarray:
+    def slots(self, hashes: np.ndarray, k: int, size: int | None = None) -> np.ndarray:
         step = (hashes >> B.U64(32)) | B.U64(1)
-        return ((hashes + B.U64(k) * step) & B.U64(self.size() - 1)).astype(np.int64)
+        return ((hashes + B.U64(k) * step) & B.U64((size or self.size()) - 1)).astype(np.int64)
 
     def masks(self, hashes: np.ndarray, group: int = 0) -> np.ndarray:
         """Which of the languages 64 * group and up contain each n-gram."""
@@ -82,10 +82,6 @@ class LanguageFilter:
             got &= words[self.slots(hashes, k)]
         return got
 
-    def put(self, language: int, hashes: np.ndarray) -> None:
-        for k in range(HASHES):
-            np.bitwise_or.at(self.words, self.slots(hashes, k) + language // 64 * self.size(), B.U64(1 << language % 64))
-
     def false_positives(self) -> np.ndarray:
         words = self.words.reshape(-1, self.size())
         return np.array([np.mean((words[i // 64] >> B.U64(i % 64)) & B.U64(1)) ** HASHES for i in range(len(self.languages))])
@@ -110,11 +106,12 @@ class LanguageFilter:
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
           sample_rows: int = 2000, gram: int = 5, least_count: int = 3, ratio: float = 0.2,
-          typical: int = 100_000, slots: int = 1 << 20) -> LanguageFilter:
+          fill: float = 0.25, slots: int = 1 << 16) -> LanguageFilter:
     """Fit the filter on at most ``sample_rows`` rows of each language (those of least id hash).
 
     Rows with a null text, or whose language is null or ``und``, teach nothing.  Every other
-    language is learned; at most ``typical`` n-grams of each are put in.
+    language is learned, with all of its typical n-grams: the filter has ``slots`` slots, or as many
+    more as keep at most a share ``fill`` of them set for any language.
     """
     rows = labelled.where((F.col(lang_col) != "und") & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(3), id_col).alias("at"), F.col(text_col).cast("binary").alias("body"))
@@ -147,14 +144,22 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     rates = seen.join(F.broadcast(totals), "l").withColumn("rate", F.col("n") / F.col("total"))
     own = (rates.withColumn("best", F.max("rate").over(Window.partitionBy("gram")))
            .where((F.col("n") >= least_count) & (F.col("rate") >= ratio * F.col("best"))).select("l", "n", "gram"))
-    path = scratch_path(labelled.sparkSession, "language-typical")  # a folder for each language, which alone is read for it
-    own.write.partitionBy("l").parquet(path)
-    own = labelled.sparkSession.read.schema("n long, gram long, l int").parquet(path)
+    own = materialize(own, "language-typical")
+    most = own.groupBy("l").count().agg(F.max("count")).first()[0] or 0
+    slots = max(slots, 1 << (int(HASHES * most / fill) - 1).bit_length() if most else 0)
     words = np.zeros(slots * -(-len(languages) // 64), B.U64)
     model = LanguageFilter(languages, words, gram, max(counts, key=lambda r: r["count"])["lang"])
-    for i in range(len(languages)):
-        top = own.where(F.col("l") == i).orderBy(F.desc("n"), "gram").limit(typical)
-        model.put(i, top.select("gram").toPandas()["gram"].to_numpy(np.int64).view(B.U64))
+    empty = LanguageFilter(languages, words[:0], gram, model.prior)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            l, h = batch.column("l").to_numpy().astype(np.int64), batch.column("gram").to_numpy().view(B.U64)
+            for k in range(HASHES):
+                yield pa.RecordBatch.from_pydict({"slot": empty.slots(h, k, slots) + l // 64 * slots,
+                                                  "mask": (B.U64(1) << (l % 64).astype(B.U64)).view(np.int64)})
+
+    bits = own.select("l", "gram").mapInArrow(places, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words[bits.column("slot").to_numpy()] = bits.column("mask").to_numpy().view(B.U64)
     return model
 
 
@@ -168,7 +173,8 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     base = docs.select(*[F.col(f"`{c}`") for c in names])
-    body, letters = "__lang_body", "__lang_letters"
+    body, letters = (next(n for n in (stem + "_" * k for k in range(len(names) + 1)) if n not in names)
+                     for stem in ("__lang_body", "__lang_letters"))
     work = base.withColumn(body, F.col(text_col).cast("binary")).withColumn(
         letters, F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
     held = model

@@ -163,8 +163,8 @@ class ChainModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
-          sample_rows: int = 600, sample_lines: int = 40) -> ChainModel:
-    """Fit the chain on at most ``sample_rows`` documents of each quality (least id hash), ``sample_lines`` lines of each.
+          sample_rows: int = 600) -> ChainModel:
+    """Fit the chain on all lines of at most ``sample_rows`` documents of each quality (least id hash).
 
     Rows with a null id, text or quality teach nothing.  Without samples of both
     qualities the model calls every line content.
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             quality, ids = batch.column("quality").to_pylist(), batch.column("id").to_pylist()
             for i, j in B.chunks(offsets):
                 _, codes, _, first = measure(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                kept = [codes[a:min(b, a + sample_lines)] for a, b in zip(first[:-1], first[1:])]
+                kept = [codes[a:b] for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_pydict({"id": pa.array([str(x) for x in ids[i:j]]), "quality": pa.array(quality[i:j], pa.int32()),
                                                   "codes": pa.array([x.ravel() for x in kept], pa.list_(pa.int32()))})
 

@@ -5,10 +5,13 @@ text at its matches: the lengths of the pieces and of the matches add up to the
 start of each match, in code points.  The sums are taken in blocks of matches,
 so their cost stays linear in practice for texts with very many matches.
 
-The models are two tables of character transitions, one of random strings (the
-values that the fixed patterns find) and one of ordinary identifiers (other long
-tokens), counted on a bounded sample of documents.  A token is a secret when the
-mean log-likelihood ratio of its transitions exceeds a threshold.
+The models are tables of character transitions: one for each alphabet that
+secrets are written in, counted on random strings drawn from it, and one of ordinary
+identifiers, counted on the corpus's own words, alone and joined as identifiers
+are, on a bounded sample of documents.  A token is a secret when, for some
+alphabet, the mean log-likelihood ratio of its transitions, random over
+ordinary, exceeds a threshold.  Half of the samples are held out; they set the threshold
+and measure recall by alphabet and false positives.
 """
 
 from __future__ import annotations
@@ -33,6 +36,11 @@ SEARCHED = {"assign": ASSIGN, "access": f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}
 ASSIGN_END = "[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{6}"
 TOKEN = "[A-Za-z0-9_+/-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-"
+#: Alphabets of random strings.
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+RANDOM = {"hex": DIGITS + "abcdef", "upper_hex": DIGITS + "ABCDEF", "base32": UPPER + "234567", "lower_digits": LOWER + DIGITS,
+          "base62": UPPER + LOWER + DIGITS, "base64url": UPPER + LOWER + DIGITS + "_-", "base64": UPPER + LOWER + DIGITS + "+/"}
+ORDINARY = "ordinary"
 BLOCK = 256
 SPAN = "array<struct<start:int,end:int,kind:int,text:string>>"
 
@@ -80,55 +88,101 @@ def _base(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class MarkovModel:
-    """Log-likelihood ratio, random over ordinary, of each transition (row after row of ALPHABET)."""
+    """Log-likelihood ratios, random over ordinary, of each transition: row after row of ALPHABET, one table after another."""
 
     ratios: tuple[float, ...]
     threshold: float
+    recall: dict[str, float]  # of held-out random strings, by alphabet
+    false_positives: float  # share of held-out ordinary identifiers above the threshold
 
     def score(self, token: Column) -> Column:
-        """Mean ratio of the token's transitions; its characters lie in ALPHABET."""
+        """Largest mean ratio of the token's transitions over the tables; its characters lie in ALPHABET."""
         n = len(ALPHABET)
         codes = {ord(c): i for i, c in enumerate(ALPHABET)}
         place = F.expr("cast(split('" + ",".join(str(codes.get(i, 0)) for i in range(128)) + "', ',') as array<int>)")
         table = F.expr("cast(split('" + ",".join(f"{x:.4f}" for x in self.ratios) + "', ',') as array<double>)")
-        size = F.length(token)
-        at = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(place, F.ascii(F.substring(token, i, F.lit(1)))))
-        pairs = F.zip_with(F.slice(at, F.lit(1), size - 1), F.slice(at, F.lit(2), size - 1), lambda a, b: F.get(table, a * n + b))
-        return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (size - 1)
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000,
-          threshold: float = 0.7, smoothing: float = 0.5) -> MarkovModel:
-    """Count transitions on about ``sample_docs`` documents (those of least id hash).
-
-    Labels come from the fixed patterns: the values they find are random
-    strings; the other long tokens of a document, each once, are ordinary identifiers.  Without samples of a class its model is uniform.
+        at = F.transform(F.split(token, ""), lambda c: F.get(place, F.ascii(c)))
+        pairs = F.zip_with(F.slice(at, F.lit(1), F.length(token) - 1), F.slice(at, F.lit(2), F.length(token) - 1), lambda a, b: a * n + b)
+        tables = F.sequence(F.lit(0), F.lit(len(self.ratios) // (n * n) - 1))
+        total = lambda p, t: F.aggregate(p, F.lit(0.0), lambda a, x: a + F.get(table, t * (n * n) + x))
+        # The pairs stand in an array of one, so that they are computed once for all tables.
+        best = F.transform(F.array(pairs), lambda p: F.array_max(F.transform(tables, lambda t: total(p, t))))
+        return F.get(best, F.lit(0)) / (F.length(token) - 1)
+
+
+def random_strings(spark, strings: int, shortest: int = 20, longest: int = 64) -> DataFrame:
+    """(label, id, token): ``strings`` random strings of each alphabet, lengths spread evenly; the same on every call."""
+    names = list(RANDOM)
+    at = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("kind"))
+    rows = spark.range(len(names) * strings).select("id", F.pmod("id", F.lit(len(names))).cast("int").alias("kind"))
+    size = F.lit(shortest) + F.pmod(F.xxhash64(F.lit(21), "id"), F.lit(longest - shortest + 1)).cast("int")
+    rows = rows.select("id", at(names).alias("label"), at(RANDOM.values()).alias("letters"), size.alias("size"))
+    draw = F.transform(F.expr("sequence(1, size)"), lambda j: F.substring(
+        F.col("letters"), F.pmod(F.xxhash64(F.lit(22), F.col("id"), j), F.length("letters")).cast("int") + 1, F.lit(1)))
+    return rows.select("label", "id", F.array_join(draw, "").alias("token"))
+
+
+def identifiers(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
+    """(label, id, token) of about ``sample_docs`` documents (those of least id hash): words of three in a row, joined as identifiers are.
+
+    Joints are _ - / nothing with capitals, a number behind the last; two of ten are
+    numbers only and rulers (one sign or two in turn).  Words that the fixed patterns take for random strings are left out.
     """
     rows = docs.count()
     limit = int(-(2**63) + 2**64 * min(1.0, sample_docs / max(1, rows))) - 1
-    sample = docs.where(F.xxhash64(F.lit(5), id_col) <= F.lit(limit)).select(
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    found = _base(sample)
-    values = F.concat(F.transform("__assign", lambda s: F.regexp_extract(s["text"], ASSIGN, 2)),
-                      F.transform("__access", lambda s: s["text"]), F.transform("__hex", lambda s: s["text"]))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    sample = docs.where(F.xxhash64(F.lit(5), F.col(f"`{id_col}`")) <= F.lit(limit)).select(
+        F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}|[A-Za-z0-9]{3,}"), F.lit(0)).alias("words"))
+    plain = F.filter("words", lambda w: ~(F.rlike(w, F.lit(SEARCHED["hex"])) | F.rlike(w, F.lit(SEARCHED["access"]))
+                                          | (F.rlike(w, F.lit("[0-9]")) & F.rlike(w, F.lit("[A-Za-z]")) & (F.length(w) >= 12))))
+    sample = sample.select(plain.alias("words")).where(F.size("words") > 0)
+    threes = F.expr("transform(sequence(0, (size(words) - 1) div 3), i -> slice(words, 3 * i + 1, 3))")
+    # Hash of the three words, so that a sample does not depend on row numbers.
+    threes = sample.select(F.explode(threes).alias("w")).withColumn("id", F.xxhash64("w"))
+    number = F.lpad(F.pmod("id", F.lit(10_000)).cast("string"), 4, "0")
+    digits = F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("string"), 9, "0")
+    camel = F.array_join(F.transform("w", F.initcap), "")
+    kinds = [F.array_join("w", "_"), F.array_join("w", "-"), F.array_join("w", "/"), camel, F.concat(camel, number),
+             F.concat(F.array_join("w", "_"), F.lit("_"), number), F.array_join(F.transform("w", F.upper), "_"),
+             F.concat_ws("-", digits, number, digits),
+             F.repeat(F.substring(F.lit(ALPHABET), F.pmod("id", F.lit(len(ALPHABET))).cast("int") + 1, F.lit(1)), F.lit(24)),
+             F.repeat(F.substring(F.lit("_-_/-+/_+-"), F.pmod("id", F.lit(9)).cast("int") + 1, F.lit(2)), F.lit(12))]
+    return threes.select(F.lit(ORDINARY).alias("label"), "id", F.get(F.array(*kinds), F.pmod(F.shiftright("id", 20), F.lit(len(kinds))).cast("int")).alias("token"))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, strings: int = 4000,
+          least: float = 0.1, smoothing: float = 0.5) -> MarkovModel:
+    """Count transitions on half of the labelled samples; the other half sets the threshold.
+
+    It lies halfway between the ordinary score that one in a thousand exceeds and the
+    lowest, over alphabets, that nineteen of twenty random strings exceed, ``least`` at least.
+    Without ordinary identifiers (an empty table) their model is uniform, which strings over all
+    characters hardly exceed.
+    """
+    spark = docs.sparkSession
+    labelled = random_strings(spark, strings).union(identifiers(docs, id_col, text_col, sample_docs))
     # Stored: its columns are used inside functions of others, where they must not be computed again.
-    found = materialize(found.select(values.alias("values"), F.col("__tokens").alias("tokens")), "secret-sample")
-    parts = F.flatten(F.transform("values", lambda v: F.regexp_extract_all(v, F.lit(TOKEN), F.lit(0))))
-    plain = F.filter(F.array_except("tokens", parts),
-                     lambda t: ~F.rlike(t, F.lit(SEARCHED["hex"])) & ~F.rlike(t, F.lit(SEARCHED["access"])))
-    labelled = (found.select(F.lit(1).alias("random"), F.explode("values").alias("token"))
-                .union(found.select(F.lit(0), F.explode(plain))))
-    labelled = labelled.withColumn("token", F.regexp_replace("token", "[^A-Za-z0-9_+/-]", ""))
-    steps = (labelled.where(F.length("token") > 1)
-             .select("random", "token", F.explode(F.expr("sequence(1, length(token) - 1)")).alias("i"))
-             .select("random", F.expr("substring(token, i, 1)").alias("a"), F.expr("substring(token, i + 1, 1)").alias("b")))
-    counts = {(r["random"], r["a"], r["b"]): r["count"] for r in steps.groupBy("random", "a", "b").count().collect()}
+    labelled = materialize(labelled.withColumn("held", F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(2)) == 0), "secret-sample")
+    letters = F.split("token", "")
+    steps = labelled.where("not held").select("label", F.explode(F.zip_with(
+        F.slice(letters, F.lit(1), F.size(letters) - 1), F.slice(letters, F.lit(2), F.size(letters) - 1),
+        lambda a, b: F.concat(a, b))).alias("step"))
+    counts = {(r["label"], r["step"][0], r["step"][1]): r["count"] for r in steps.groupBy("label", "step").count().collect()}
     rowsum: dict[tuple, int] = {}
     for (label, a, _), c in counts.items():
         rowsum[label, a] = rowsum.get((label, a), 0) + c
     n = len(ALPHABET)
     prob = lambda l, a, b: (counts.get((l, a, b), 0) + smoothing) / (rowsum.get((l, a), 0) + smoothing * n)
-    return MarkovModel(tuple(log(prob(1, a, b) / prob(0, a, b)) for a in ALPHABET for b in ALPHABET), threshold)
+    ordinary = {(a, b): prob(ORDINARY, a, b) for a in ALPHABET for b in ALPHABET}
+    ratios = tuple(log(prob(l, a, b) / ordinary[a, b]) for l in RANDOM for a in ALPHABET for b in ALPHABET)
+    held = materialize(labelled.where("held and length(token) >= 20").select(
+        "label", MarkovModel(ratios, 0.0, {}, 0.0).score(F.col("token")).alias("s")), "secret-held")
+    cuts = {r["label"]: (r["low"], r["high"]) for r in held.groupBy("label").agg(
+        F.percentile("s", 0.05).alias("low"), F.percentile("s", 0.999).alias("high")).collect()}
+    low = min(cuts[l][0] for l in RANDOM)
+    threshold = max(least, (low + min(low, cuts[ORDINARY][1] if ORDINARY in cuts else 0.0)) / 2)
+    over = {r["label"]: r["share"] for r in held.groupBy("label").agg(F.avg((F.col("s") > threshold).cast("double")).alias("share")).collect()}
+    return MarkovModel(ratios, threshold, {l: over[l] for l in RANDOM}, over.get(ORDINARY, 0.0))
 
 
 def scan(docs: DataFrame, model: MarkovModel, text_col: str = "text") -> DataFrame:
@@ -162,7 +216,11 @@ def digest_text(spans: Column) -> Column:
 
 
 def redact(found: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """Replaces what ``secret_spans`` covers by ``mask`` (overlapping spans by one) and drops that column."""
+    """Replaces what ``secret_spans`` covers by ``mask`` (overlapping spans by one) and drops that column.
+
+    A null text stays null, an empty one empty; rows are independent, so ids may be
+    null or repeated, and other columns may have any name.  Empty tables give no rows.
+    """
     merged = F.aggregate(
         "secret_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"),
         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, F.lit(-1))["end"] > s["start"]),
@@ -170,11 +228,14 @@ def redact(found: DataFrame, text_col: str = "text", mask: str = "[secret]") ->
                                   F.element_at(acc, F.lit(-1))["start"].alias("start"),
                                   F.greatest(F.element_at(acc, F.lit(-1))["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    cuts = F.col("__cuts")
+    name = "__cuts"
+    while name in found.columns:
+        name += "_"
+    cuts = F.col(name)
     text = F.col(f"`{text_col}`")
     pieces = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.substring(
         text, F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"]) + 1,
         F.when(i == F.size(cuts), F.length(text)).otherwise(F.get(cuts, i)["start"])
         - F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"])))
     done = F.when(F.size("secret_spans") > 0, F.array_join(pieces, mask)).otherwise(text)
-    return found.withColumn("__cuts", merged).withColumn(text_col, done).drop("__cuts", "secret_spans")
+    return found.withColumn(name, merged).withColumn(text_col, done).drop(name, "secret_spans")

@@ -236,8 +236,8 @@ def test_secret_scan(spark):
     masked = {r["doc_id"]: r["text"] for r in secret_markov.redact(secret_markov.scan(docs.where("doc_id is not null"), model)).collect()}
     assert masked[0] == 'x [secret]" y' and masked[9] is None and masked[10] == "" and masked[20] == texts[20]
     assert masked[12] == "token=a [secret] [secret]"
-    uniform = secret_markov.train(make(spark, []))
-    assert max(map(abs, uniform.ratios)) == 0.0
+    bare = secret_markov.train(make(spark, []))  # no ordinary identifiers: narrow alphabets are still found
+    assert bare.false_positives == 0.0 and min(bare.recall[x] for x in ("hex", "upper_hex", "base32", "lower_digits")) >= 0.9
 
 
 def brute_fingerprint(text, size=3):
