@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from nearline.llm import bytearrays as B
 
 VECTOR_SIZE = 128
+SMALL = 1 << 18  # bytes of text that a task works on at once
 CACHE_TOKENS = 2_000_000
 PIECE = B.RollingHash(21)
 NONE = np.int64(2**62)
@@ -341,7 +342,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
         encoder = Encoder(vocabulary(vocab_path))
         for batch in batches:
             data, offsets = B.binary_block(batch.column("body"))
-            for i, j in B.chunks(offsets):
+            for i, j in B.chunks(offsets, SMALL):
                 tokens, ends, decoded = encoder.block(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 cols = [batch.column("doc_id").slice(i, j - i),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32()))]

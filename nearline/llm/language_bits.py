@@ -30,6 +30,7 @@ from nearline.llm import bytearrays as B
 from nearline.session import materialize
 
 HASHES = 3
+SMALL = 1 << 18  # bytes of text that a task works on at once when it predicts
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[:65] = 32
 FOLD[65:91] += 32
@@ -185,7 +186,7 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
         for batch in batches:
             data, offsets = B.binary_block(batch.column(body))
             letter = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in B.chunks(offsets):  # small batches go back, so a task holds few texts at once
+            for i, j in B.chunks(offsets, SMALL):  # small batches go back, so a task holds few texts at once
                 pred, score = np.full(j - i, "und", dtype=object), np.zeros(j - i)
                 if held.languages:
                     share, _ = held.shares(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], wrong)
