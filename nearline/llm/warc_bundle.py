@@ -1,9 +1,11 @@
 """WARC archives as seekable Zstandard bundles.
 
 A bundle is a file of independent Zstandard frames, each with some whole WARC
-records, and a footer in a skippable frame: the compressed and the plain size of
-every frame.  The index maps a record id to its bundle, frame and offset inside
-the plain frame, so one record costs one seek and one frame.
+records (the first is a warcinfo record), and a footer in a skippable frame: the
+compressed and the plain size of every frame.  The index maps a record id to its
+bundle, frame and offset inside the plain frame, so one record costs one seek and
+one frame.  A bundle closes by its compressed or its plain size, whichever comes
+first, and is read by ranges of frames, so no task holds a whole one.
 
 Tasks write bundles into a shared folder under names that hold the task attempt;
 the stored index names only the bundles of attempts that succeeded, so a lost
@@ -29,7 +31,12 @@ from nearline.session import materialize, scratch_path
 
 #: Fixed values of the seekable format: magic of its skippable frame and of its footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
+#: Fixed value of the format: what a revisit record stands for.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DATE = "1970-01-01T00:00:00Z"
+FRAME_BYTES, BUNDLE_BYTES, PLAIN_BYTES = 256 << 10, 64 << 20, 512 << 20
+#: Frames that one reading task takes together, and the payload bytes that it returns at once.
+RANGE_FRAMES, BATCH_BYTES = 64, 8 << 20
 INDEX = "record_id string, page_id long, bundle string, frame int, offset int, length int"
 RECORD = ("record_id string, page_id long, record_type string, uri string, payload_digest string, refers_to_record string, "
           "payload binary")
@@ -45,9 +52,16 @@ def record_id(page_id: int | None, payload_digest: str) -> str:
 
 
 def record(kind: str, own: str, page_id: int | None, uri: str | None, payload_digest: str, refers: str | None, body: bytes) -> bytes:
-    """One WARC record; line ends in the address are escaped, as a header is one line."""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", "WARC-Date: 1970-01-01T00:00:00Z",
-            f"WARC-Payload-Digest: sha1:{payload_digest}", "Content-Type: text/html"]
+    """One WARC record; line ends in the address are escaped, as a header is one line.
+
+    The block of a response is an HTTP message around the payload; that of a revisit is empty.
+    """
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}",
+            f"WARC-Payload-Digest: sha1:{payload_digest}", "Content-Type: application/http;msgtype=response"]
+    if kind == "revisit":
+        head.append(f"WARC-Profile: {PROFILE}")
+    else:
+        body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
     if uri is not None:
         head.append("WARC-Target-URI: " + uri.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     if page_id is not None:
@@ -58,10 +72,21 @@ def record(kind: str, own: str, page_id: int | None, uri: str | None, payload_di
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def bundle_info(name: str) -> bytes:
+    """The warcinfo record that opens the bundle of this name."""
+    own = f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(name.encode()).digest())}>"
+    body = b"software: nearline\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}",
+            "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and payload (the block, for other records than responses) of one record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode("utf-8").split("\r\n")[1:])
-    return fields, rest[:int(fields["Content-Length"])]
+    block = rest[:int(fields["Content-Length"])]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else block
 
 
 class BundleWriter:
@@ -70,7 +95,7 @@ class BundleWriter:
     def __init__(self, level: int = 3, frame_bytes: int = FRAME_BYTES):
         self.pack, self.frame_bytes = zstandard.ZstdCompressor(level=level), frame_bytes
         self.out, self.table, self.open, self.size = [], [], [], 0
-        self.written = 0
+        self.written = self.plain = 0
 
     def add(self, raw: bytes) -> tuple[int, int]:
         """(frame, offset in the frame) of the record."""
@@ -79,6 +104,7 @@ class BundleWriter:
         at = (len(self.table), self.size)
         self.open.append(raw)
         self.size += len(raw)
+        self.plain += len(raw)
         return at
 
     def _close(self) -> None:
@@ -136,23 +162,36 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def write_bundles(marked: DataFrame, folder: str | None = None, level: int = 3, frame_bytes: int = FRAME_BYTES,
-                  bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Write the records of ``mark_revisits`` into bundles under ``folder`` (shared; a URI); returns the stored index."""
+                  bundle_bytes: int = BUNDLE_BYTES, plain_bytes: int = PLAIN_BYTES) -> DataFrame:
+    """Write the records of ``mark_revisits`` into bundles under ``folder`` (shared; a URI); returns the stored index.
+
+    Every row becomes a record: null addresses and ids leave their header out, an
+    empty payload is a response of no bytes, repeated rows are repeated records,
+    a payload larger than a frame has one of its own.  An empty table writes no bundle.
+    """
     folder = (folder or scratch_path(marked.sparkSession, "warc")).rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        writer, rows, number = BundleWriter(level, frame_bytes), [], 0
+        number = 0
 
-        def flush():
-            nonlocal writer, rows, number
+        def start():
             name = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.zst"
+            writer = BundleWriter(level, frame_bytes)
+            writer.add(bundle_info(name.rsplit("/", 1)[1]))
+            return name, writer, []
+
+        name, writer, rows = start()
+
+        def flush():
+            nonlocal name, writer, rows, number
             system, path = pafs.FileSystem.from_uri(name)
             system.create_dir(path.rsplit("/", 1)[0], recursive=True)
             with system.open_output_stream(path, compression=None) as f:
                 f.write(writer.finish())
             done = pa.RecordBatch.from_pylist([r | {"bundle": name} for r in rows], schema=INDEX_SCHEMA)
-            writer, rows, number = BundleWriter(level, frame_bytes), [], number + 1
+            number += 1
+            name, writer, rows = start()
             return done
 
         for batch in batches:
@@ -164,7 +203,7 @@ def write_bundles(marked: DataFrame, folder: str | None = None, level: int = 3,
                        else record("revisit", own, page, url, sha, record_id(least, sha), b""))
                 frame, offset = writer.add(raw)
                 rows.append({"record_id": own, "page_id": page, "frame": frame, "offset": offset, "length": len(raw)})
-                if writer.written >= bundle_bytes:
+                if writer.written >= bundle_bytes or writer.plain >= plain_bytes:
                     yield flush()
         if rows:
             yield flush()
@@ -176,30 +215,54 @@ INDEX_SCHEMA = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), (
                           ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())])
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """The records that ``index`` points to, read from their bundles by seeking (a bundle's records in one task).
+def read_records(index: DataFrame, range_frames: int = RANGE_FRAMES) -> DataFrame:
+    """The records that ``index`` points to, read from their bundles by seeking.
 
-    A record whose id or whose payload's digest differs from the index or its header raises.
+    Ranges of ``range_frames`` frames are dealt to tasks, which hold one plain frame
+    and about ``BATCH_BYTES`` of payloads at a time.  A record whose id or whose
+    payload's digest differs from the index or its header raises.
     """
-    def run(table: pa.Table) -> pa.Table:
-        system, path = pafs.FileSystem.from_uri(table["bundle"][0].as_py())
-        out = []
-        with system.open_input_file(path) as f:
-            reader, held, plain = BundleReader(f, f.size()), -1, b""
-            for r in sorted(table.select(["record_id", "page_id", "frame", "offset", "length"]).to_pylist(), key=lambda r: (r["frame"], r["offset"])):
-                if r["frame"] != held:
-                    held, plain = r["frame"], reader.frame(r["frame"])
-                fields, body = parse(plain[r["offset"]:r["offset"] + r["length"]])
-                sha = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if fields["WARC-Record-ID"] != r["record_id"] or (fields["WARC-Type"] == "response" and digest(body) != sha):
-                    raise ValueError(f"damaged record {r['record_id']} in {path}")
-                page, uri = fields.get("X-Page-ID"), fields.get("WARC-Target-URI")
-                out.append({"record_id": r["record_id"], "page_id": None if page is None else int(page), "record_type": fields["WARC-Type"],
-                            "uri": None if uri is None else uri.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
-                            "payload_digest": sha, "refers_to_record": fields.get("WARC-Refers-To"), "payload": body})
-        return pa.Table.from_pylist(out, schema=RECORD_SCHEMA)
-
-    return index.groupBy("bundle").applyInArrow(run, RECORD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, file, reader, held, plain, out, size = None, None, None, -1, b"", [], 0
+        try:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["bundle"] != path:
+                        if file is not None:
+                            file.close()
+                        system, inside = pafs.FileSystem.from_uri(r["bundle"])
+                        file = system.open_input_file(inside)
+                        path, reader, held = r["bundle"], BundleReader(file, file.size()), -1
+                    if r["frame"] != held:
+                        held, plain = r["frame"], reader.frame(r["frame"])
+                    out.append(checked(r, plain))
+                    size += len(out[-1]["payload"])
+                    if size >= BATCH_BYTES or len(out) >= 4096:
+                        yield pa.RecordBatch.from_pylist(out, schema=RECORD_SCHEMA)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=RECORD_SCHEMA)
+        finally:
+            if file is not None:
+                file.close()
+
+    # The explicit count keeps adaptive coalescing, which sees only the narrow index, from gathering all reads in one task.
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    span = F.floor(F.col("frame") / F.lit(range_frames))
+    return (index.select("record_id", "bundle", "frame", "offset", "length").repartition(parts, "bundle", span)
+            .sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, RECORD))
+
+
+def checked(entry: dict, plain: bytes) -> dict:
+    """The row of ``RECORD`` for an index entry and its plain frame."""
+    fields, body = parse(plain[entry["offset"]:entry["offset"] + entry["length"]])
+    sha = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if fields["WARC-Record-ID"] != entry["record_id"] or (fields["WARC-Type"] == "response" and digest(body) != sha):
+        raise ValueError(f"damaged record {entry['record_id']} in {entry['bundle']}")
+    page, uri = fields.get("X-Page-ID"), fields.get("WARC-Target-URI")
+    return {"record_id": entry["record_id"], "page_id": None if page is None else int(page), "record_type": fields["WARC-Type"],
+            "uri": None if uri is None else uri.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
+            "payload_digest": sha, "refers_to_record": fields.get("WARC-Refers-To"), "payload": body}
 
 
 RECORD_SCHEMA = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]])

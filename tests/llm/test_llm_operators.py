@@ -425,6 +425,29 @@ def test_warc_bundles(spark):
     assert warc_bundle.page_records(df.limit(0)).count() == 0
 
 
+def test_bundles_close_by_plain_bytes_and_are_read_by_ranges(spark):
+    import zstandard
+    rows = [(i, f"u{i}", chr(97 + i % 26) * 20_000) for i in range(120)]
+    marked = warc_bundle.mark_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1))
+    index = warc_bundle.write_bundles(marked, frame_bytes=30_000, plain_bytes=200_000)
+    assert index.select("bundle").distinct().count() > 1
+    assert index.groupBy("bundle").agg(F.sum("length").alias("plain")).agg(F.max("plain")).first()[0] < 250_000
+    back = warc_bundle.read_records(index, range_frames=2)
+    whole = dict((i, h) for i, _, h in rows)
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in back.collect() if r["record_type"] == "response"} == {i: whole[i] for i in range(26)}
+    assert back.count() == 120
+    assert back.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    name = index.orderBy("bundle").first()["bundle"].removeprefix("file:")
+    plain = zstandard.ZstdDecompressor().stream_reader(open(name, "rb"), read_across_frames=True).read()
+    assert plain.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+    for raw in plain.split(b"WARC/1.1\r\n")[1:]:
+        head = raw.split(b"\r\n\r\n")[0]
+        assert (b"WARC-Profile: " in head) == (b"WARC-Type: revisit" in head)
+    broken = index.withColumn("record_id", F.lit("<urn:uuid:0>"))
+    with pytest.raises(Exception, match="damaged record"):
+        warc_bundle.read_records(broken).count()
+
+
 def test_bundle_is_plain_zstandard():
     import io
 
