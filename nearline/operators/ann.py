@@ -1,4 +1,4 @@
-"""Approximate search: IVF, PQ, PCA, LSH and the index factory.
+"""Approximate search: IVF, PQ, PCA and LSH.
 
 All approximate searches share one distributed kernel, ``cell_search``: vectors
 carry a cell id (an IVF list or an LSH bucket), big cells are split into
@@ -16,7 +16,7 @@ model-sized arrays reach the driver and are broadcast.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearline.operators.search import (_pack, add_vectors, block_scorer, inner_product, knn_exact, rank_results,
-                                       run_schema, usable)
+from nearline.operators.search import _pack, block_scorer, inner_product, knn_exact, rank_results, run_schema, usable
 from nearline.session import materialize
 
 
@@ -185,22 +184,30 @@ def pq_decode(codes: DataFrame, books: list[np.ndarray]) -> DataFrame:
     return codes.select("id", decode("codes").alias("rep"))
 
 
-def pq_scorer(spark, books: list[np.ndarray]):
-    """Asymmetric score of a block: one (query, centroid) table per sub-vector, then sums of look-ups."""
+def pq_scorer(spark, books: list[np.ndarray], metric: str = "ip"):
+    """Asymmetric score of a block: one (query, centroid) table per sub-vector, then sums of look-ups.
+
+    ``l2`` scores are minus the squared distance to the decoded vector.
+    """
+    if metric not in ("ip", "l2"):
+        raise ValueError(f"unknown metric {metric!r}")
     bc = spark.sparkContext.broadcast(books)
 
     def score(Q: np.ndarray, codes: np.ndarray) -> np.ndarray:
         out = np.zeros((Q.shape[0], codes.shape[0]))
         for j, (q, C) in enumerate(zip(np.split(Q, len(bc.value), axis=1), bc.value)):
-            out += (q @ C.T)[:, codes[:, j]]
+            table = q @ C.T
+            if metric == "l2":
+                table = 2.0 * table - (q * q).sum(1)[:, None] - (C * C).sum(1)[None, :]
+            out += table[:, codes[:, j]]
         return out
 
     return score
 
 
-def pq_search(queries: DataFrame, codes: DataFrame, books: list[np.ndarray], k: int = 10, **kw) -> DataFrame:
+def pq_search(queries: DataFrame, codes: DataFrame, books: list[np.ndarray], k: int = 10, metric: str = "ip", **kw) -> DataFrame:
     """V8: asymmetric-distance search; only codes are stored, moved and scored."""
-    return knn_exact(queries, codes, k=k, d_vec="codes", score=pq_scorer(queries.sparkSession, books), **kw)
+    return knn_exact(queries, codes, k=k, d_vec="codes", score=pq_scorer(queries.sparkSession, books, metric), **kw)
 
 
 def ivf_pq_search(queries: DataFrame, index_cells: DataFrame, centroids: np.ndarray, books: list[np.ndarray],
@@ -213,9 +220,11 @@ def ivf_pq_search(queries: DataFrame, index_cells: DataFrame, centroids: np.ndar
 # ---------------------------------------------------------------- recall (V7, V8)
 
 def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, decimals: int | None = None,
-           block: int = 8192, rows: int = 16384) -> DataFrame:
+           block: int = 8192, rows: int = 16384, score=None) -> DataFrame:
     """The candidates of a run scored by their own vectors; the top k of each query.
 
+    ``score(A, B)`` gives the score of each row of A with that of B (the inner product unless given).
+
     Documents are dealt into blocks of about ``block`` vectors.  A query's vector is sent once
     for each block that holds candidates of it, with their list, so what moves
     grows with queries times the blocks they touch (at most the run's depth).  A
@@ -234,7 +243,9 @@ def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, d
          .select(F.col("y").alias("dy"), F.col("z").alias("dz"), F.col("id").alias("did"), F.col("rep").alias("dv")))
     schema = run_schema(queries, "id", corpus, "id")
 
-    def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+    by_row = score or (lambda A, B: np.einsum("ij,ij->i", A, B))
+
+    def score_block(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
             return pd.DataFrame({"qid": q["qid"][:0], "docid": d["did"][:0], "score": np.zeros(0)})
         Q, D, ids = _matrix(q["qv"]), _matrix(d["dv"]), pd.Index(d["did"])
@@ -242,19 +253,19 @@ def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, d
         a = np.repeat(np.arange(len(q)), sizes)
         docs = np.concatenate([np.asarray(x) for x in q["ds"]])
         b, first = ids.get_indexer(docs), 1 << 16
-        got = np.concatenate([np.einsum("ij,ij->i", Q[a[lo:lo + first]], D[b[lo:lo + first]]) for lo in range(0, len(a), first)])
+        got = np.concatenate([by_row(Q[a[lo:lo + first]], D[b[lo:lo + first]]) for lo in range(0, len(a), first)])
         ok = b >= 0
-        got = got if decimals is None else np.round(got, decimals)
+        got = got if decimals is None else np.round(got, decimals) + 0.0
         return pd.DataFrame({"qid": q["qid"].to_numpy()[a[ok]], "docid": docs[ok], "score": got[ok]})
 
-    out = q.groupBy("y", "z").cogroup(d.groupBy("dy", "dz")).applyInPandas(score, schema)
+    out = q.groupBy("y", "z").cogroup(d.groupBy("dy", "dz")).applyInPandas(score_block, schema)
     return rank_results(out, k).select("qid", "docid", "rank", "score")
 
 
-def exact_sample(queries: DataFrame, corpus: DataFrame, k: int = 10, rows: int = 200) -> tuple[DataFrame, DataFrame]:
+def exact_sample(queries: DataFrame, corpus: DataFrame, k: int = 10, rows: int = 200, score=inner_product) -> tuple[DataFrame, DataFrame]:
     """``rows`` queries (those of least id hash), and their exact top k (qid, docid); both stored."""
     some = materialize(queries.where(usable("rep")).orderBy(F.xxhash64("id"), "id").limit(rows), "recall-queries")
-    return some, materialize(knn_exact(some, corpus, k=k).select("qid", "docid"), "recall-exact")
+    return some, materialize(knn_exact(some, corpus, k=k, score=score).select("qid", "docid"), "recall-exact")
 
 
 def probes_for(recall: float, sample: DataFrame, exact: DataFrame, index_cells: DataFrame, centroids: np.ndarray) -> int:
@@ -336,58 +347,3 @@ def lsh_search(queries: DataFrame, corpus: DataFrame, model: Projections, k: int
     """Candidates share a bucket in at least one hash table (unit vectors:
     L2 order equals inner-product order); scored exactly, each candidate once."""
     return cell_search(_lsh_cells(queries, model, "qid"), _lsh_cells(corpus, model, "id"), k, dedupe=True, **kw)
-
-
-# ---------------------------------------------------------------- factory (U4)
-
-@dataclass(frozen=True)
-class Index:
-    """A fitted index: call it to search, ``add`` to append vectors without refitting."""
-
-    store: DataFrame
-    transform: Callable[[DataFrame], DataFrame]
-    place: Callable[[DataFrame], DataFrame]
-    find: Callable[..., DataFrame]
-
-    def __call__(self, queries: DataFrame, k: int = 10, **kw) -> DataFrame:
-        return self.find(self.transform(queries), self.store, k=k, **kw)
-
-    def add(self, reps: DataFrame) -> "Index":
-        return replace(self, store=add_vectors(self.store, self.place(self.transform(reps))))
-
-
-def make_index(spec: str, reps: DataFrame, seed: int = 42, ks: int = 256) -> Index:
-    """U4: index by factory string: [PCA<d>,]Flat | IVF<n>,Flat | PQ<m> | IVF<n>,PQ<m>.
-
-    ``ks`` is the size of a PQ codebook.  Other parts raise.
-    """
-    parts = [p.strip() for p in spec.split(",") if p.strip()]
-    if not parts:
-        raise ValueError("empty index spec")
-    reps = reps.select("id", "rep")
-    transform = lambda df: df
-    if parts[0].startswith("PCA"):
-        model = pca_fit(reps, int(parts[0][3:]))
-        transform = lambda df: pca_reduce(df, model)
-        parts = parts[1:]
-    kind = [p.rstrip("0123456789") for p in parts]
-    size = [int(p[len(n):] or 0) for p, n in zip(parts, kind)]
-    if kind not in (["Flat"], ["PQ"], ["IVF", "Flat"], ["IVF", "PQ"]):
-        raise ValueError(f"unsupported index spec {spec!r}")
-    data = transform(reps)
-    books = pq_fit(data, size[-1], ks=ks, seed=seed) if kind[-1] == "PQ" else None
-    cents = ivf_fit(data, size[0], seed=seed) if kind[0] == "IVF" else None
-
-    def place(df: DataFrame) -> DataFrame:
-        df = df.select("id", "rep")
-        df = ivf_assign(df, cents) if cents is not None else df
-        return materialize(pq_encode(df, books), "pq_codes") if books is not None else df
-
-    def find(queries: DataFrame, store: DataFrame, k: int, nprobe: int = 1, **kw) -> DataFrame:
-        if cents is None:
-            return pq_search(queries, store, books, k=k, **kw) if books is not None else knn_exact(queries, store, k=k, **kw)
-        if books is not None:
-            return ivf_pq_search(queries, store, cents, books, k=k, nprobe=nprobe, **kw)
-        return ivf_search(queries, store, cents, k=k, nprobe=nprobe, **kw)
-
-    return Index(place(data), transform, place, find)

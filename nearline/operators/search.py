@@ -92,7 +92,7 @@ def block_scorer(k: int, decimals: int | None, score=inner_product):
                 D = np.asarray(d_flat).reshape(di.size, -1)[order]
                 S = score(Q, D if D.dtype.kind in "iu" else D.astype(np.float64))
                 if decimals is not None:
-                    S = np.round(S, decimals)
+                    S = np.round(S, decimals) + 0.0  # no negative zero
                 idx = _topk_rows(S, k)
                 rows = np.repeat(np.arange(qi.size), idx.shape[1])
                 cols = idx.reshape(-1)

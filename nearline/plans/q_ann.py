@@ -13,7 +13,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from nearline.operators import ann as N
+from nearline.operators import factory as U
 from nearline.operators import metrics as R
+from nearline.operators import quantize as Z
 from nearline.operators import search as S
 from nearline.plans.registry import register
 from nearline.plans.sqlparts import KNN10
@@ -180,7 +182,7 @@ def v9_pca_reduce(spark, sf_dir):
 def v9_pca_full_search(spark, sf_dir):
     """A projection on all principal components keeps every inner product."""
     r = _reps(spark, sf_dir)
-    return N.make_index(f"PCA{N.first_vectors(r, 1).shape[1]},Flat", r)(r, k=10, decimals=6)
+    return U.make_index(f"PCA{N.first_vectors(r, 1).shape[1]},Flat", r, metric="ip")(r, k=10, decimals=6)
 
 
 @register("v10_lsh_search", f"""
@@ -201,7 +203,7 @@ def v10_lsh_search(spark, sf_dir):
 def u4_index_add(spark, sf_dir):
     """An index fitted on half of the vectors, the other half added, every list probed."""
     r = _reps(spark, sf_dir)
-    half = N.make_index(f"IVF{NLIST},Flat", r.where(F.col("id") % 2 == 0))
+    half = U.make_index(f"IVF{NLIST},Flat", r.where(F.col("id") % 2 == 0), metric="ip")
     return half.add(r.where(F.col("id") % 2 != 0))(r, k=10, nprobe=NLIST, decimals=6)
 
 
@@ -219,3 +221,87 @@ FROM x LEFT JOIN a ON a.qid = x.qid AND a.docid = x.docid GROUP BY x.qid
 def r7_run_overlap(spark, sf_dir):
     r = _reps(spark, sf_dir)
     return R.run_overlap(_ivf(r), S.knn_exact(r, r, k=10, decimals=6), k=10)
+
+
+# ---------------------------------------------------------------- squared distance, residual codes, rotation
+
+#: Vectors of three lengths, so that distance and inner product rank apart.
+LONG = "e AS (SELECT vec_id AS id, [x * (1 + vec_id % 3) for x in embedding::DOUBLE[]] AS v FROM embeddings)"
+L2 = "round(2 * list_inner_product({q}, {d}) - list_inner_product({q}, {q}) - list_inner_product({d}, {d}), 6) + 0.0::DOUBLE"
+
+
+def _long(spark, sf_dir):
+    return _reps(spark, sf_dir).withColumn("rep", F.transform("rep", lambda x: x.cast("double") * (1 + F.col("id") % 3)))
+
+
+def _clustered(spark, sf_dir, centres=40):
+    """Each vector of ``embeddings`` around one of the first ``centres``: data that cells can split."""
+    r = _reps(spark, sf_dir)
+    base = r.where(F.col("id") < centres).select(F.col("id").alias("c"), F.col("rep").alias("m"))
+    near = F.zip_with("rep", "m", lambda x, y: x.cast("double") * 0.4 + y)
+    return r.join(F.broadcast(base), F.pmod("id", F.lit(centres)) == F.col("c")).select("id", near.alias("rep"))
+
+
+@register("v2_knn_l2", f"WITH {LONG} " + ranked(f"SELECT q.id AS qid, d.id AS docid, {L2.format(q='q.v', d='d.v')} AS s FROM e q, e d"))
+def v2_knn_l2(spark, sf_dir):
+    r = _long(spark, sf_dir)
+    return S.knn_exact(r, r, k=10, decimals=6, score=Z.minus_squared_l2)
+
+
+# Residual codes: words are the slices of the first BOOK residuals; rec is centroid plus decoded residual.
+RESIDUAL = f"""home AS (SELECT x.id, x.cell, c, [v[i] - c[i] for i in range(1, len(v) + 1)] AS u
+         FROM cells x JOIN cent USING (cell) WHERE near = 1),
+book AS (SELECT row_number() OVER (ORDER BY id) - 1 AS code, u AS w FROM home QUALIFY code < {BOOK}),
+slices AS (SELECT id, j, list_slice(u, j * len(u) // {SUBS} + 1, (j + 1) * len(u) // {SUBS}) AS x FROM home, range({SUBS}) r(j)),
+books AS (SELECT code, j, list_slice(w, j * len(w) // {SUBS} + 1, (j + 1) * len(w) // {SUBS}) AS y FROM book, range({SUBS}) r(j)),
+best AS (SELECT id, s.j, y FROM slices s JOIN books b ON s.j = b.j
+         QUALIFY row_number() OVER (PARTITION BY id, s.j ORDER BY
+                 list_inner_product(y, y) - 2 * list_inner_product(x, y), code) = 1),
+dec AS (SELECT id, flatten(list(y ORDER BY j)) AS r FROM best GROUP BY id),
+rec AS (SELECT id, cell, [c[i] + r[i] for i in range(1, len(c) + 1)] AS v FROM home JOIN dec USING (id))"""
+
+
+def _residual_sql(score):
+    return f"WITH {LONG}, {CELL_SQL}, {RESIDUAL} " + ranked(
+        f"SELECT q.id AS qid, d.id AS docid, {score} AS s FROM cells q JOIN rec d ON q.cell = d.cell AND q.near <= {NPROBE}")
+
+
+def _residual_fixed(spark, sf_dir, metric):
+    r = _long(spark, sf_dir)
+    cents = N.first_vectors(r, NLIST)
+    cells = N.ivf_assign(r, cents)
+    books = N.pq_books(N.first_vectors(Z.residuals(cells, cents), BOOK), SUBS)
+    index = materialize(Z.residual_encode(cells, cents, books), "residual_codes")
+    return Z.residual_search(r, index, cents, books, k=10, nprobe=NPROBE, metric=metric, decimals=6)
+
+
+@register("v8_residual_l2", _residual_sql(L2.format(q="q.v", d="d.v")))
+def v8_residual_l2(spark, sf_dir):
+    return _residual_fixed(spark, sf_dir, "l2")
+
+
+@register("v8_residual_ip", _residual_sql("list_inner_product(q.v, d.v)"))
+def v8_residual_ip(spark, sf_dir):
+    return _residual_fixed(spark, sf_dir, "ip")
+
+
+@register("v8_residual_trained")
+def v8_residual_trained(spark, sf_dir):
+    """Trained cells and residual codes under squared distance; candidates re-ranked by their vectors."""
+    r = materialize(_clustered(spark, sf_dir), "clustered")
+    block, rows = Z.metric_of("l2")
+    sample, exact = N.exact_sample(r, r, k=10, score=block)
+    cents = N.ivf_fit(r, 2 * NLIST, seed=42)
+    cells = N.ivf_assign(r, cents)
+    nprobe = N.probes_for(CELLS_RECALL, sample, exact, cells, cents)
+    books = Z.residual_books(cells, cents, SUBS, ks=TRAINED_BOOK)
+    index = materialize(Z.residual_encode(cells, cents, books), "residual_codes")
+    depth = N.depth_for(SAMPLE_RECALL, exact, lambda n: Z.residual_search(sample, index, cents, books, k=n, nprobe=nprobe), index.count())
+    return N.rerank(Z.residual_search(r, index, cents, books, k=depth, nprobe=nprobe), r, r, k=10, decimals=6, score=rows)
+
+
+@register("u4_rotated_full_probe", f"WITH {LONG} " + ranked(f"SELECT q.id AS qid, d.id AS docid, {L2.format(q='q.v', d='d.v')} AS s FROM e q, e d"))
+def u4_rotated_full_probe(spark, sf_dir):
+    """A learned rotation keeps every distance: with all cells probed the result is exact."""
+    r = _long(spark, sf_dir)
+    return U.make_index(f"OPQ{SUBS},IVF{NLIST},Flat", r, ks=BOOK)(r, k=10, nprobe=NLIST, decimals=6)

@@ -12,6 +12,7 @@ from nearline.functions import text as TX
 from nearline.functions import tokens as TK
 from nearline.functions.vectors import l2_normalize
 from nearline.operators import ann as N
+from nearline.operators import factory as U
 from nearline.operators import encode as E
 from nearline.operators import lexical as L
 from nearline.operators import losses as A
@@ -75,17 +76,17 @@ def test_ivf_full_probe_equals_exact(spark):
 
 def test_factory_specs(spark):
     r = _reps(spark)
-    flat = N.make_index("Flat", r)(r, k=3)
+    flat = U.make_index("Flat", r)(r, k=3)
     assert flat.count() == 3 * r.count()
     with pytest.raises(ValueError):
-        N.make_index("HNSW32", r)
+        U.make_index("HNSW32", r)
 
 
 def test_index_combinations_and_append(spark):
     r = _reps(spark)
     exact = {(x.qid, x.docid) for x in S.knn_exact(r, r, k=10).collect()}
     for spec in ("PQ8", "IVF4,PQ8", "PCA16,Flat", "PCA32,IVF4,Flat"):
-        run = N.make_index(spec, r, ks=32)(r, k=10, **({"nprobe": 4} if "IVF" in spec else {}))
+        run = U.make_index(spec, r, ks=32, metric="ip")(r, k=10, **({"nprobe": 4} if "IVF" in spec else {}))
         got = {(x.qid, x.docid) for x in run.collect()}
         assert len(got) == len(exact) and len(got & exact) > len(exact) // 10
     books = N.pq_books(N.first_vectors(r, 32), 8)
