@@ -17,6 +17,7 @@ from nearline.operators import factory as U
 from nearline.operators import metrics as R
 from nearline.operators import quantize as Z
 from nearline.operators import search as S
+from nearline.operators import tree as T
 from nearline.plans.registry import register
 from nearline.plans.sqlparts import KNN10
 from nearline.session import materialize
@@ -305,3 +306,25 @@ def u4_rotated_full_probe(spark, sf_dir):
     """A learned rotation keeps every distance: with all cells probed the result is exact."""
     r = _long(spark, sf_dir)
     return U.make_index(f"OPQ{SUBS},IVF{NLIST},Flat", r, ks=BOOK)(r, k=10, nprobe=NLIST, decimals=6)
+
+
+# ---------------------------------------------------------------- cells that grow with the table
+
+@register("v7_tree_full_probe", KNN10)
+def v7_tree_full_probe(spark, sf_dir):
+    """About sqrt(n) cells from a tree; with all of them probed the result is exact."""
+    r = _reps(spark, sf_dir)
+    tree = T.tree_fit(r)
+    return T.tree_search(r, T.tree_assign(r, tree), tree, k=10, nprobe=len(tree.leaves), decimals=6)
+
+
+@register("v7_tree_trained")
+def v7_tree_trained(spark, sf_dir):
+    """Squared distance over clustered vectors, as many cells probed as a sample of queries needs."""
+    r = materialize(_clustered(spark, sf_dir), "clustered")
+    block, _ = Z.metric_of("l2")
+    sample, exact = N.exact_sample(r, r, k=10, score=block)
+    tree = T.tree_fit(r)
+    index = T.tree_assign(r, tree)
+    nprobe = N.probes_for(SAMPLE_RECALL, sample, exact, index, tree.leaf_centres)
+    return T.tree_search(r, index, tree, k=10, nprobe=nprobe, decimals=6, score=block)
