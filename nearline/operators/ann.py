@@ -313,22 +313,16 @@ def pca_reduce(reps: DataFrame, model) -> DataFrame:
 
 @dataclass(frozen=True)
 class Projections:
-    """One hash table per row of ``planes``: bucket = floor((plane . x + offset) / width)."""
+    """One hash table per row of ``planes``: bucket = floor((plane . x + offset) / width).
+
+    ``multiprobe.probing_fit`` fits tables of several planes instead.
+    """
 
     planes: np.ndarray
     offsets: np.ndarray
     width: float
 
 
-def lsh_fit(reps: DataFrame, bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42) -> Projections:
-    """Seeded random unit directions and offsets for the dimension of ``reps``."""
-    dim = len(reps.where(usable("rep")).select("rep").first()[0])
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((num_tables, dim))
-    return Projections(planes / np.linalg.norm(planes, axis=1, keepdims=True),
-                       rng.uniform(0, bucket_length, num_tables), bucket_length)
-
-
 def _lsh_cells(df: DataFrame, model: Projections, id_name: str) -> DataFrame:
     bc = df.sparkSession.sparkContext.broadcast(model)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from nearline.operators import ann as N
 from nearline.operators import factory as U
 from nearline.operators import metrics as R
+from nearline.operators import multiprobe as M
 from nearline.operators import quantize as Z
 from nearline.operators import search as S
 from nearline.operators import tree as T
@@ -328,3 +329,15 @@ def v7_tree_trained(spark, sf_dir):
     index = T.tree_assign(r, tree)
     nprobe = N.probes_for(SAMPLE_RECALL, sample, exact, index, tree.leaf_centres)
     return T.tree_search(r, index, tree, k=10, nprobe=nprobe, decimals=6, score=block)
+
+
+@register("v10_multiprobe_trained")
+def v10_multiprobe_trained(spark, sf_dir):
+    """Hash tables with fitted width; as many buckets of each opened as a sample of queries needs."""
+    r = materialize(_clustered(spark, sf_dir), "clustered")
+    block, _ = Z.metric_of("l2")
+    sample, exact = N.exact_sample(r, r, k=10, score=block)
+    model = M.probing_fit(r)
+    index = M.hash_cells(r, model)
+    probes = N.depth_for(SAMPLE_RECALL, exact, lambda n: M.multiprobe_search(sample, index, model, k=10, probes=n, score=block), 4096, k=1)
+    return M.multiprobe_search(r, index, model, k=10, probes=probes, decimals=6, score=block)

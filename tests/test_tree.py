@@ -59,7 +59,7 @@ def test_equal_and_unusable_vectors(spark):
         T.tree_fit(r.limit(0))
 
 
-@pytest.mark.parametrize("name", ["v8_residual_trained", "v7_tree_trained"])
+@pytest.mark.parametrize("name", ["v8_residual_trained", "v7_tree_trained", "v10_multiprobe_trained"])
 def test_registered_trained_searches_reach_recall(spark, name):
     rows = {x.id: x.rep for x in q_ann._clustered(spark, SMALL).collect()}
     X = np.asarray([rows[i] for i in sorted(rows)])
