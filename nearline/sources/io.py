@@ -131,9 +131,13 @@ def shard(df: DataFrame, num_shards: int, key: str, mode: str = "contiguous", in
     return out
 
 
-def write_reps(reps: DataFrame, path: str, shard_col: str = "shard", mode: str = "errorifexists") -> None:
-    """Vectors + ids as Parquet, one folder per shard."""
-    reps.write.mode(mode).partitionBy(shard_col).parquet(path)
+def write_reps(reps: DataFrame, path: str, shard_col: str = "shard", mode: str = "errorifexists", files: int = 4) -> None:
+    """Vectors + ids as Parquet, one folder per shard, of at most ``files`` files each.
+
+    Rows are regrouped by shard first, so the number of files does not grow with the tasks.
+    """
+    part = F.pmod(F.xxhash64(*[c for c in reps.columns if c != shard_col]), F.lit(files))
+    reps.repartition(F.col(shard_col), part).write.mode(mode).partitionBy(shard_col).parquet(path)
 
 
 def read_reps(spark: SparkSession, path: str) -> DataFrame:
