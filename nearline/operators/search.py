@@ -77,6 +77,21 @@ def inner_product(Q: np.ndarray, D: np.ndarray) -> np.ndarray:
     return Q @ D.T
 
 
+def top_pairs(qi: np.ndarray, Q: np.ndarray, di: np.ndarray, flat: np.ndarray, k: int, decimals: int | None,
+              score=inner_product) -> pd.DataFrame:
+    """Top-k (qid, docid, score) of each query row of ``Q`` among the documents of one block."""
+    order = np.argsort(di, kind="stable")
+    di = di[order]
+    D = flat.reshape(di.size, -1)[order]
+    S = score(Q, D if D.dtype.kind in "iu" else D.astype(np.float64))
+    if decimals is not None:
+        S = np.round(S, decimals) + 0.0  # no negative zero
+    idx = _topk_rows(S, k)
+    rows = np.repeat(np.arange(qi.size), idx.shape[1])
+    cols = idx.reshape(-1)
+    return pd.DataFrame({"qid": qi[rows], "docid": di[cols], "score": S[rows, cols]})
+
+
 def block_scorer(k: int, decimals: int | None, score=inner_product):
     """Kernel over rows (q_ids, q_flat, d_ids, d_flat): the local top-k of each query of each pair.
 
@@ -85,18 +100,9 @@ def block_scorer(k: int, decimals: int | None, score=inner_product):
     def run(it):
         for pdf in it:
             for q_ids, q_flat, d_ids, d_flat in zip(pdf["q_ids"], pdf["q_flat"], pdf["d_ids"], pdf["d_flat"]):
-                qi, di = np.asarray(q_ids), np.asarray(d_ids)
-                order = np.argsort(di, kind="stable")
-                di = di[order]
+                qi = np.asarray(q_ids)
                 Q = np.asarray(q_flat, dtype=np.float64).reshape(qi.size, -1)
-                D = np.asarray(d_flat).reshape(di.size, -1)[order]
-                S = score(Q, D if D.dtype.kind in "iu" else D.astype(np.float64))
-                if decimals is not None:
-                    S = np.round(S, decimals) + 0.0  # no negative zero
-                idx = _topk_rows(S, k)
-                rows = np.repeat(np.arange(qi.size), idx.shape[1])
-                cols = idx.reshape(-1)
-                yield pd.DataFrame({"qid": qi[rows], "docid": di[cols], "score": S[rows, cols]})
+                yield top_pairs(qi, Q, np.asarray(d_ids), np.asarray(d_flat), k, decimals, score)
     return run
 
 
