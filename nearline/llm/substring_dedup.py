@@ -5,23 +5,25 @@ Every document is cut into non-overlapping reference blocks of ``block`` words
 one whole anchor of the document that it repeats, so probing the anchor index
 with every rolling window of ``block`` words finds at least one hit in each
 repeat.  Hits are then extended: every run of ``window`` words around a hit is
-compared, by content, with the runs around hits of all other documents, and
-overlapping verified runs merge into the maximal exact repeats.
+compared with the runs around hits of all other documents, by a 64-bit hash
+inside a bucket that a second, independent hash chooses, and overlapping
+verified runs merge into the maximal exact repeats.
 
 Shape of the job (all exchanges are on hash-bucketed, packed arrays):
 
 1. documents are grouped into packs by a hash of id and text;
-2. each pack sends one row per bucket with the hashes of all its rolling
-   windows; entries at block boundaries are the index, all entries are probes;
-3. a bucket aggregates each hash to its smallest anchor document and its
-   largest document, so a passage with a million copies costs a million
-   entries, never pairs; hit flags return to the packs;
-4. packs send the window-length runs around hits, buckets keep those whose
-   smallest document is another one, and positions return to the packs.
+2. each pack sends one row per bucket with the distinct hashes of its rolling
+   windows, each with the largest document of the pack that holds it and the
+   smallest that holds it at a block boundary (the index entry);
+3. a bucket reduces each hash over the packs and returns one flag a hash, so a
+   passage with a million copies costs an entry a pack, never one a copy;
+4. packs send the window-length runs around flagged hashes, again one entry a
+   run and pack, with its smallest document and its places there; later
+   documents of the same pack are known to repeat it and skip the comparison;
+   buckets keep the runs whose smallest document is in another pack.
 
 Anchor hashes are 40 bits within a bucket: a false hit only costs a comparison
-in step 4, which uses 64 bits within a bucket chosen by a second, independent
-hash.  Packs and buckets are multiples of ``spark.sql.shuffle.partitions``, so
+in step 4.  Packs and buckets are multiples of ``spark.sql.shuffle.partitions``, so
 their size stays bounded as the cluster setting follows the data.
 """
 
@@ -37,10 +39,11 @@ from nearline.llm import bytearrays as B
 WORD, WORD2 = B.RollingHash(11), B.RollingHash(12)
 BLOCK, WINDOW, WINDOW2 = B.RollingHash(13), B.RollingHash(14), B.RollingHash(15)
 LOW40 = B.U64((1 << 40) - 1)
+NO_DOC = np.iinfo(np.int64).max
 
-PROBE = "pack long, bucket int, n long, ids binary, docs binary, low binary, high binary, anchor binary"
+PROBE = "pack long, bucket int, n long, ids binary, last binary, anchors binary, anchored binary, low binary, high binary"
 HITS = "pack long, bucket int, n long, bits binary"
-RUNS = "pack long, bucket int, n long, ids binary, docs binary, starts binary, hashes binary"
+RUNS = "pack long, bucket int, n long, ids binary, docs binary, counts binary, starts binary, hashes binary"
 FOUND = "pack long, starts binary"
 OUT = ("doc_id long, text_kept string, n_words long, n_removed long, "
        "removed array<struct<start:long,end:long>>")
@@ -74,22 +77,37 @@ class _Pack:
         self.usable = np.repeat((counts >= window) & ~self.null, counts)
 
     def probes(self, block: int, buckets: int):
-        """Starts of usable rolling blocks, their hashes, and an order by bucket."""
+        """Starts of usable rolling blocks, and their distinct (bucket, hash) codes."""
         h = B.windows(self.word, block, BLOCK)
         at = np.flatnonzero((self.usable & B.fits(self.firsts, block))[:len(h)])
         h = h[at]
-        bucket = ((h >> B.U64(40)) % B.U64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        return at, h, bucket, order
-
-
-def _split(bucket: np.ndarray, order: np.ndarray):
-    """(bucket, entries) of each bucket that has entries."""
-    b = bucket[order]
-    cuts = np.flatnonzero(np.diff(b)) + 1
-    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(b)]):
-        if hi > lo:
-            yield int(b[lo]), order[lo:hi]
+        code = (h >> B.U64(40)) % B.U64(buckets)
+        code <<= B.U64(40)
+        code |= h & LOW40
+        del h
+        return at, _Distinct(np.argsort(code, kind="stable"), code)
+
+
+class _Distinct:
+    """Equal codes of a pack as groups; inside a group entries stay in order of place, so of document."""
+
+    def __init__(self, order: np.ndarray, *codes: np.ndarray):
+        self.order = order
+        new = np.zeros(len(order), dtype=bool)
+        new[:1] = True
+        for code in codes:
+            ordered = code[order]
+            new[1:] |= ordered[1:] != ordered[:-1]
+        self.starts = np.flatnonzero(new)
+        self.first = order[self.starts]
+        self.counts = np.diff(np.r_[self.starts, len(order)])
+
+    def by_bucket(self, bucket: np.ndarray):
+        """(bucket, groups in order of their first place); ``bucket`` of each group must ascend."""
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]):
+            if hi > lo:
+                yield int(bucket[lo]), lo + np.argsort(self.first[lo:hi])
 
 
 def _local(ids: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
@@ -124,25 +142,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def probe(table: pa.Table) -> pa.Table:
         p = _Pack(table)
         p.hash(window)
-        at, h, bucket, order = p.probes(block, buckets)
-        anchor = (at - p.firsts[p.doc[at]]) % block == 0
+        at, groups = p.probes(block, buckets)
+        h = B.windows(p.word, block, BLOCK)[at[groups.first]]
+        doc = p.doc[at]
+        last = doc[groups.order[groups.starts + groups.counts - 1]]
+        none = len(p.ids)
+        aligned = np.where((at - p.firsts[doc]) % block == 0, doc, none)[groups.order]
+        anchor = np.minimum.reduceat(aligned, groups.starts) if len(aligned) else aligned
         rows = []
-        for b, sel in _split(bucket, order):
-            key = h[sel] & LOW40
-            ids, local = _local(p.ids, p.doc[at[sel]])
-            rows.append({"pack": p.pack, "bucket": b, "n": len(sel), "ids": ids, "docs": local,
-                         "low": key.astype(np.uint32).tobytes(), "high": (key >> B.U64(32)).astype(np.uint8).tobytes(),
-                         "anchor": np.packbits(anchor[sel]).tobytes()})
+        for b, sel in groups.by_bucket(((h >> B.U64(40)) % B.U64(buckets)).astype(np.int64)):
+            key, low = h[sel] & LOW40, anchor[sel]
+            anchored = low < none
+            seen, local = np.unique(np.concatenate([last[sel], low[anchored]]), return_inverse=True)
+            rows.append({"pack": p.pack, "bucket": b, "n": len(sel), "ids": B.pack_ints(p.ids[seen]),
+                         "last": B.pack_ints(local[:len(sel)]), "anchors": B.pack_ints(local[len(sel):]),
+                         "anchored": np.packbits(anchored).tobytes(),
+                         "low": key.astype(np.uint32).tobytes(), "high": (key >> B.U64(32)).astype(np.uint8).tobytes()})
         return _table(rows, probe_schema)
 
     def match(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         key = np.concatenate([np.frombuffer(r["low"], np.uint32).astype(B.U64)
                               | (np.frombuffer(r["high"], np.uint8).astype(B.U64) << B.U64(32)) for r in rows])
-        doc = np.concatenate([B.unpack_ints(r["ids"])[B.unpack_ints(r["docs"])] for r in rows])
-        anchor = np.concatenate([np.unpackbits(np.frombuffer(r["anchor"], np.uint8), count=r["n"]) for r in rows]) > 0
-        hit = _hits(key, doc, anchor)
         ends = np.cumsum([r["n"] for r in rows])
+        last, anchor = np.empty(len(key), dtype=np.int64), np.full(len(key), NO_DOC)
+        for r, e in zip(rows, ends):
+            ids = B.unpack_ints(r["ids"])
+            last[e - r["n"]:e] = ids[B.unpack_ints(r["last"])]
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(r["anchored"], np.uint8), count=r["n"]))
+            if len(at):
+                anchor[e - r["n"] + at] = ids[B.unpack_ints(r["anchors"])]
+        hit = _hits(key, last, anchor)
         return _table([{"pack": r["pack"], "bucket": r["bucket"], "n": r["n"],
                         "bits": np.packbits(hit[e - r["n"]:e]).tobytes()}
                        for r, e in zip(rows, ends) if hit[e - r["n"]:e].any()], hit_schema)
@@ -152,37 +182,52 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return run_schema.empty_table()
         p = _Pack(left)
         p.hash(window)
-        at, _, bucket, order = p.probes(block, buckets)
+        at, groups = p.probes(block, buckets)
+        h = B.windows(p.word, block, BLOCK)[at[groups.first]]
         bits = {r["bucket"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]) for r in right.to_pylist()}
-        hit = np.zeros(len(p.word) + 1, dtype=np.int64)
-        for b, sel in _split(bucket, order):
+        flag = np.zeros(len(h), dtype=np.uint8)
+        for b, sel in groups.by_bucket(((h >> B.U64(40)) % B.U64(buckets)).astype(np.int64)):
             if b in bits:
-                hit[at[sel]] = bits[b]
+                flag[sel] = bits[b]
+        hit = np.zeros(len(p.word) + 1, dtype=np.int64)
+        hit[at[groups.order]] = np.repeat(flag, groups.counts)
         before = np.cumsum(np.r_[0, hit])
+        del at, groups, h, flag, hit
         w1 = B.windows(p.word, window, WINDOW)
         starts = np.flatnonzero((p.usable & B.fits(p.firsts, window))[:len(w1)])
         starts = starts[before[starts + window - block + 1] > before[starts]]
-        w2 = B.windows(p.word2, window, WINDOW2)[starts]
+        if not len(starts):
+            return run_schema.empty_table()
+        bucket = (B.windows(p.word2, window, WINDOW2)[starts] % B.U64(buckets)).astype(np.int64)
         w1 = w1[starts]
-        bucket = (w2 % B.U64(buckets)).astype(np.int32)
-        rows = []
-        for b, sel in _split(bucket, np.argsort(bucket, kind="stable")):
-            ids, local = _local(p.ids, p.doc[starts[sel]])
-            rows.append({"pack": p.pack, "bucket": b, "n": len(sel), "ids": ids, "docs": local,
-                         "starts": B.pack_ints(starts[sel]), "hashes": w1[sel].tobytes()})
+        runs = _Distinct(np.lexsort((w1, bucket)), bucket, w1)
+        doc = p.doc[starts]
+        later = p.ids[doc[runs.order]] > np.repeat(p.ids[doc[runs.first]], runs.counts)
+        mine = runs.counts - np.add.reduceat(later.astype(np.int64), runs.starts)  # places in the smallest document come first
+        rows = [{"pack": p.pack, "bucket": int(p.pack % buckets), "n": 0, "ids": b"", "docs": b"", "counts": b"", "hashes": b"",
+                 "starts": B.pack_ints(np.sort(starts[runs.order[later]]))}] if later.any() else []
+        for b, sel in runs.by_bucket(bucket[runs.first]):
+            ids, local = _local(p.ids, doc[runs.first[sel]])
+            n = mine[sel]
+            places = np.repeat(runs.starts[sel] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            rows.append({"pack": p.pack, "bucket": b, "n": len(sel), "ids": ids, "docs": local, "counts": B.pack_ints(n),
+                         "starts": B.pack_ints(starts[runs.order[places]]), "hashes": w1[runs.first[sel]].tobytes()})
         return _table(rows, run_schema)
 
     def verify(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        key = np.concatenate([np.frombuffer(r["hashes"], B.U64) for r in rows])
-        doc = np.concatenate([B.unpack_ints(r["ids"])[B.unpack_ints(r["docs"])] for r in rows])
-        later = _later(key, doc)
-        out, e = [], 0
-        for r in rows:
-            keep = later[e:e + r["n"]]
-            e += r["n"]
-            if keep.any():
-                out.append({"pack": r["pack"], "starts": B.pack_ints(B.unpack_ints(r["starts"])[keep])})
+        out = [{"pack": r["pack"], "starts": r["starts"]} for r in rows if not r["n"]]  # known to be later
+        rows = [r for r in rows if r["n"]]
+        if rows:
+            key = np.concatenate([np.frombuffer(r["hashes"], B.U64) for r in rows])
+            doc = np.concatenate([B.unpack_ints(r["ids"])[B.unpack_ints(r["docs"])] for r in rows])
+            later, e = _later(key, doc), 0
+            for r in rows:
+                keep = later[e:e + r["n"]]
+                e += r["n"]
+                if keep.any():
+                    places = B.unpack_ints(r["starts"])[np.repeat(keep, B.unpack_ints(r["counts"]))]
+                    out.append({"pack": r["pack"], "starts": B.pack_ints(places)})
         return _table(out, found_schema)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -203,14 +248,13 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _hits(key: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Probes that meet an anchor of a smaller document, and anchors met by a larger one."""
+def _hits(key: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Entries of which some probe meets an anchor of a smaller document, or some anchor is met by a larger one."""
     order, starts, group = _groups(key)
-    d, a = doc[order], anchor[order]
-    smallest = np.minimum.reduceat(np.where(a, d, np.iinfo(np.int64).max), starts)[group]
-    largest = np.maximum.reduceat(d, starts)[group]
+    smallest = np.minimum.reduceat(anchor[order], starts)[group]
+    largest = np.maximum.reduceat(last[order], starts)[group]
     out = np.empty(len(key), dtype=bool)
-    out[order] = (smallest < d) | (a & (largest > d))
+    out[order] = (smallest < last[order]) | (anchor[order] < largest)
     return out
 
 

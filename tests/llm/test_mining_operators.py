@@ -247,3 +247,38 @@ def test_filter_of_bounded_size_stays_exact(spark, monkeypatch):
     rows = collocation_rows()
     out = phrase_parsing.collocations(make(spark, rows), least=20)
     assert sorted(tuple(r) for r in out.collect()) == brute_collocations(rows, 20)
+
+
+def test_hot_passage_costs_one_entry_a_pack():
+    """A hash held by every document of a pack is one entry, with its largest document and its smallest anchor."""
+    from nearline.llm import bytearrays as B
+    from nearline.llm import substring_dedup as SD
+
+    n, passage = 400, " ".join("w%d" % i for i in range(30))
+    texts = [(passage if i % 2 else "x " + passage).encode() for i in range(n)]
+    table = pa.table({"pack": pa.array([3] * n, pa.int64()), "doc_id": pa.array(range(n), pa.int64()),
+                      "mark": pa.array(range(n), pa.int64()), "body": pa.array(texts, pa.binary())})
+    p = SD._Pack(table)
+    p.hash(13)
+    at, groups = p.probes(7, 5)
+    h = B.windows(p.word, 7, SD.BLOCK)[at]
+    assert len(groups.first) == len(np.unique(h)) == 25 and groups.counts.sum() == len(at)
+    assert set(groups.counts) == {n, n // 2}
+    assert (np.repeat(h[groups.first], groups.counts) == h[groups.order]).all()
+
+
+def test_hits_of_reduced_entries_cover_those_of_all_occurrences():
+    from nearline.llm import substring_dedup as SD
+
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        m = 60
+        key, doc, pack, anchor = rng.integers(0, 12, m), rng.integers(0, 9, m), rng.integers(0, 3, m), rng.random(m) < 0.3
+        want = {(pack[i], key[i]) for i in range(m) if any(
+            key[j] == key[i] and ((anchor[j] and doc[j] < doc[i]) or (anchor[i] and doc[j] > doc[i])) for j in range(m))}
+        entries = sorted({(a, b) for a, b in zip(pack, key)})
+        of = lambda e, only: [doc[i] for i in range(m) if (pack[i], key[i]) == e and (anchor[i] or not only)]
+        last = np.array([max(of(e, False)) for e in entries])
+        low = np.array([min(of(e, True), default=SD.NO_DOC) for e in entries])
+        hit = SD._hits(np.array([e[1] for e in entries]).astype(np.uint64), last, low)
+        assert {e for e, f in zip(entries, hit) if f} == want
