@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearline.operators.ann import _matrix, cell_search
+from nearline.operators.ann import _matrix, probe_search
 from nearline.operators.search import usable
 from nearline.session import materialize
 
@@ -185,5 +185,5 @@ def tree_search(queries: DataFrame, index: DataFrame, tree: CellTree, k: int = 1
     """
     queries = queries.where(usable("rep"))
     beam = max(nprobe, beam or 2 * nprobe)
-    probes = queries.select(F.col("id").alias("qid"), "rep", F.explode(_cells(queries, tree, nprobe, beam)).alias("cell"))
-    return cell_search(materialize(probes, "tree_probes"), index, k, **kw)
+    probes = queries.select(F.col("id").alias("qid"), "rep", _cells(queries, tree, nprobe, beam).alias("cells"))
+    return probe_search(materialize(probes, "tree_probes"), index, k, **kw)
