@@ -1,7 +1,8 @@
 """Vocabulary, tokenization and training views as corpus jobs.
 
 Rows are tokenized one by one: a vocabulary of checked size is looked up inside
-the tasks, a larger one is joined and the words are put back by stored row.  A user
+the tasks; of a larger one the commonest words are, and only the others are joined and
+put back by stored row.  A user
 tokenizer (``Tokenizer`` protocol) runs over Arrow batches instead.
 """
 
@@ -51,8 +52,10 @@ def fit_vocab(corpus: DataFrame, text_col: str = "text", max_size: int | None =
     return sp.unionByName(terms)
 
 
-#: A vocabulary is looked up in each task up to so many bytes of terms; larger ones are joined.
+#: A vocabulary is looked up in each task up to so many bytes of terms; the words of the rest are joined.
 LOOKUP_BYTES = 64 << 20
+#: Ids that are counted together where a vocabulary is cut, and the mark of a word not looked up.
+ID_RANGE, MISSING = 4096, -(1 << 31)
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", add_bos: bool = True, out: str = "input_ids",
@@ -61,18 +64,19 @@ def tokenize(df: DataFrame, vocab: DataFrame, text_col: str = "text", add_bos: b
 
     Every row is tokenized by itself, whatever its id.  A vocabulary of at most
     ``lookup_bytes`` bytes (counted first) is sent to the tasks and looked up there,
-    without an exchange; a larger one is joined, and words go back to their stored row.
+    without an exchange; of a larger one the least ids, the commonest words, that fit are
+    looked up, and only the other words are joined and go back to their stored row.
     """
     lookup_bytes = LOOKUP_BYTES if lookup_bytes is None else lookup_bytes
     v = vocab.select("term", F.col("term_id").cast("int").alias("term_id"))
     size = v.agg(F.sum(F.octet_length("term") + 12)).first()[0] or 0
     body = F.coalesce(words(F.col(text_col)), F.expr("cast(array() as array<string>)"))
-    res = _looked_up(df, v, body) if size <= lookup_bytes else _joined(df, v, body)
+    res = _looked_up(df, v, body) if size <= lookup_bytes else _joined(df, v, body, lookup_bytes)
     full = F.concat(F.array(F.lit(BOS_ID)), F.col("_nl_ids")) if add_bos else F.col("_nl_ids")
     return res.withColumn(out, full).drop("_nl_ids")
 
 
-def _looked_up(df: DataFrame, vocab: DataFrame, body: Column) -> DataFrame:
+def _looked_up(df: DataFrame, vocab: DataFrame, body: Column, unknown: int = UNK_ID) -> DataFrame:
     rows = vocab.toArrow()
     bc = df.sparkSession.sparkContext.broadcast((rows.column("term").combine_chunks(), rows.column("term_id").to_numpy()))
 
@@ -81,7 +85,7 @@ def _looked_up(df: DataFrame, vocab: DataFrame, body: Column) -> DataFrame:
         terms, numbers = bc.value
         coded = lists.flatten().dictionary_encode()
         at = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms), -1).to_numpy(zero_copy_only=False)
-        known = np.append(numbers, UNK_ID)[at].astype(np.int32)  # -1: the last
+        known = np.append(numbers, unknown)[at].astype(np.int32)  # -1: the last
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(known[code] if len(code) else code, pa.int32()))
@@ -89,12 +93,36 @@ def _looked_up(df: DataFrame, vocab: DataFrame, body: Column) -> DataFrame:
     return df.withColumn("_nl_ids", ids(body))
 
 
-def _joined(df: DataFrame, vocab: DataFrame, body: Column) -> DataFrame:
-    rows = with_row_key(df.withColumn("_nl_words", body))
-    terms = rows.select("_nl_row", F.posexplode("_nl_words").alias("p", "term")).join(vocab, "term", "left")
+def _head_end(vocab: DataFrame, lookup_bytes: int) -> int:
+    """The id below which the terms fit ``lookup_bytes``; one sum for ``ID_RANGE`` ids reaches the driver."""
+    sums = vocab.groupBy(F.floor(F.col("term_id") / ID_RANGE).alias("r")).agg(F.sum(F.octet_length("term") + 12).alias("n"))
+    end, held = MISSING, 0
+    for r in sorted(sums.collect()):
+        held += r["n"]
+        if held > lookup_bytes:
+            break
+        end = (r["r"] + 1) * ID_RANGE
+    return end
+
+
+def _joined(df: DataFrame, vocab: DataFrame, body: Column, lookup_bytes: int) -> DataFrame:
+    end = _head_end(vocab, lookup_bytes)
+    rows = _looked_up(df.withColumn("_nl_words", body), vocab.where(F.col("term_id") < end), F.col("_nl_words"), MISSING)
+    missing = F.filter("_nl_words", lambda w, i: F.element_at("_nl_ids", i + 1) == MISSING)
+    rows = with_row_key(rows.withColumn("_nl_missing", missing).drop("_nl_words"))
+    terms = rows.select("_nl_row", F.posexplode("_nl_missing").alias("p", "term")).join(vocab.where(F.col("term_id") >= end), "term", "left")
     found = terms.groupBy("_nl_row").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("term_id", F.lit(UNK_ID)).alias("t")))).alias("_nl_s"))
-    ids = F.coalesce(F.transform("_nl_s", lambda s: s["t"]), F.expr("cast(array() as array<int>)"))
-    return rows.join(found, "_nl_row", "left").withColumn("_nl_ids", ids).drop("_nl_row", "_nl_words", "_nl_s")
+    found = found.select("_nl_row", F.transform("_nl_s", lambda s: s["t"]).alias("_nl_found"))
+
+    @F.arrow_udf("array<int>")
+    def filled(ids: pa.Array, found: pa.Array) -> pa.Array:
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        flat[flat == MISSING] = found.flatten().to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
+
+    rows = rows.drop("_nl_missing").join(found, "_nl_row", "left")
+    return rows.withColumn("_nl_ids", filled("_nl_ids", "_nl_found")).drop("_nl_row", "_nl_found")
 
 
 def tokenize_with(df: DataFrame, tokenizer_factory, text_col: str = "text", out: str = "input_ids") -> DataFrame:
