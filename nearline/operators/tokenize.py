@@ -125,16 +125,32 @@ def _joined(df: DataFrame, vocab: DataFrame, body: Column, lookup_bytes: int) ->
     return rows.withColumn("_nl_ids", filled("_nl_ids", "_nl_found")).drop("_nl_row", "_nl_found")
 
 
+#: Text that a user tokenizer gets at once.
+ENCODE_BYTES = 256 << 10
+
+
+def _pieces(texts: pa.Array, most: int):
+    """(start, rows) of runs of texts of about ``most`` bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi - lo
+        lo = hi
+
+
 def tokenize_with(df: DataFrame, tokenizer_factory, text_col: str = "text", out: str = "input_ids") -> DataFrame:
-    """K2 with a user tokenizer, loaded once per task and fed Arrow batches."""
+    """K2 with a user tokenizer, loaded once per task and fed pieces of Arrow batches."""
     schema = T.StructType([*[f for f in df.schema if f.name != out], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         tok = tokenizer_factory()
         for batch in batches:
-            ids = tok.encode([t or "" for t in batch.column(text_col).to_pylist()])
             kept = [c for c in batch.schema.names if c != out]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ids, pa.list_(pa.int32()))], names=[*kept, out])
+            for start, n in _pieces(batch.column(text_col), ENCODE_BYTES):  # Python objects of one piece at a time
+                part = batch.slice(start, n)
+                ids = pa.array(tok.encode([t or "" for t in part.column(text_col).to_pylist()]), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], ids], names=[*kept, out])
 
     return df.mapInArrow(run, schema)
 
