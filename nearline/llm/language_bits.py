@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from nearline.llm import bytearrays as B
 from nearline.session import materialize
@@ -176,7 +177,9 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
     base = docs.select(*[F.col(f"`{c}`") for c in names])
     body, letters = (next(n for n in (stem + "_" * k for k in range(len(names) + 1)) if n not in names)
                      for stem in ("__lang_body", "__lang_letters"))
-    work = base.withColumn(body, F.col(text_col).cast("binary")).withColumn(
+    plain = text_col in names and docs.schema[text_col].dataType == StringType()  # its bytes are read in place, not sent twice
+    body = text_col if plain else body
+    work = (base if plain else base.withColumn(body, F.col(text_col).cast("binary"))).withColumn(
         letters, F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
     held = model
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, lang_score double"
@@ -184,7 +187,7 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrong = held.false_positives()
         for batch in batches:
-            data, offsets = B.binary_block(batch.column(body))
+            data, offsets = B.binary_block(batch.column(body).cast(pa.binary()))
             letter = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in B.chunks(offsets, SMALL):  # small batches go back, so a task holds few texts at once
                 pred, score = np.full(j - i, "und", dtype=object), np.zeros(j - i)
