@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearline.functions.vectors import dot, l2_normalize
 from nearline.operators.indexing import with_row_key
+from nearline.operators.search import whole
 from nearline.session import materialize
 
 
@@ -311,6 +314,75 @@ def fit_linear_adapter(queries: DataFrame, passages: DataFrame, targets: DataFra
     return W, losses
 
 
+#: Documents times terms of a batch that a task holds at once.
+BATCH_CELLS = 1 << 22
+
+
+def _by_term(code: np.ndarray, doc: np.ndarray, docs: int, terms: int):
+    """(tokens, term counts (docs, terms) by a selection of tokens) of one range of terms after another."""
+    order = np.argsort(code, kind="stable")
+    wide = max(1, BATCH_CELLS // max(1, docs))
+    for lo in range(0, terms, wide):
+        hi = min(terms, lo + wide)
+        at = order[slice(*np.searchsorted(code[order], [lo, hi]))]
+        count = lambda some, lo=lo, n=hi - lo: np.bincount(doc[some] * n + code[some] - lo, minlength=docs * n).reshape(docs, n).astype(np.float64)
+        yield lo, at, count
+
+
+def _batch_mixture(temperature: float, ratio: float):
+    """Kernel over the documents (batch_id, doc_id, w) of a batch: its second-half terms with the other documents' mixture.
+
+    Rows of one id count as one document.  A document without another in its batch, or without an id, has no mixture.
+    """
+    def run(t: pa.Table) -> pa.Table:
+        ids, words_of = whole(t.column("doc_id")).dictionary_encode(), whole(t.column("w"))
+        doc = pc.fill_null(ids.indices, len(ids.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        docs, known = len(ids.dictionary) + 1, len(ids.dictionary)
+        n = pc.fill_null(words_of.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words_of.flatten().dictionary_encode()
+        code, terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        row = np.repeat(np.arange(len(n)), n)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        late, of = pos >= np.floor(n * ratio)[row], doc[row]
+        times = np.bincount(doc, minlength=docs).astype(np.float64)  # rows of the id
+        overlap, q_sq, d_sq = np.zeros((docs, docs)), np.zeros(docs), np.zeros(docs)
+        for _, at, count in _by_term(code, of, docs, terms):
+            Q, D = count(at[~late[at]]), count(at)
+            overlap += Q @ D.T
+            q_sq, d_sq = q_sq + (Q * Q).sum(1), d_sq + (D * D).sum(1)
+        Z = overlap / (np.maximum(np.sqrt(q_sq), 1e-12)[:, None] * np.maximum(np.sqrt(d_sq), 1e-12)) / temperature
+        pairs = ~np.eye(docs, dtype=bool)
+        pairs[known], pairs[:, known] = False, False
+        if t.num_rows and t.column("batch_id")[0].as_py() is None:
+            pairs[:] = False
+        paired = pairs.any(1)
+        Z[~pairs] = -np.inf
+        top = np.where(paired, Z.max(1, initial=-np.inf), 0.0)
+        E = np.exp(Z - top[:, None]) * times
+        weight = E / np.where(paired, E.sum(1), 1.0)[:, None]
+        length = np.ones(docs)
+        some = np.flatnonzero(n)[::-1]
+        length[doc[some]] = n[some]  # the first row of an id that has words
+        mix = np.zeros(len(row))
+        for lo, at, count in _by_term(code, of, docs, terms):
+            M = weight @ (count(at) / length[:, None])
+            mix[at] = M[of[at], code[at] - lo]
+        of, pos, code, mix = of[late], pos[late], code[late], mix[late]
+        if (times[:known] > 1).any():  # rows of one id add up by position
+            _, same = np.unique(np.stack([of, pos]), axis=1, return_inverse=True)
+            mix = np.bincount(same.ravel(), weights=mix)[same.ravel()]
+        order = np.lexsort((mix, code, of))
+        new = np.flatnonzero(np.r_[True, np.any([np.diff(x[order]) != 0 for x in (of, code, mix)], axis=0)]) if len(order) else order
+        first = order[new]
+        return pa.table({"batch_id": whole(t.column("batch_id")).take(pa.array(np.zeros(len(first), dtype=np.int64))),
+                         "doc_id": ids.dictionary.take(pa.array(of[first], mask=of[first] == known)),
+                         "term": coded.dictionary.take(pa.array(code[first])),
+                         "n": pa.array(np.diff(np.r_[new, len(order)]).astype(np.int64)),
+                         "mix": pa.array(mix[first]), "paired": pa.array(paired[of[first]])})
+
+    return run
+
+
 def retrieval_weighted_lm_loss(members: DataFrame, corpus: DataFrame, lam: float = 0.1, temperature: float = 0.05,
                                ratio: float = 0.5, text_col: str = "text", corpus_text: str = "text") -> DataFrame:
     """The training objective re-aimed to a count language model.
@@ -320,43 +392,25 @@ def retrieval_weighted_lm_loss(members: DataFrame, corpus: DataFrame, lam: float
     j's unigram distribution, p_bg the corpus unigram distribution, and w_ij the
     softmax (temperature, diagonal excluded) of the cosine between i's first-half
     term counts and j's full term counts.  A document alone in its batch uses
-    lam = 1.  Every join is on (batch, term) or (batch, doc), so work is bounded
-    by batch size times tokens.  -> (batch_id, doc_id, loss)
+    lam = 1.  A batch meets in one task, as its size is fixed by the caller; what leaves the
+    task is a row for each distinct second-half term of a document, which is joined to
+    the corpus distribution.  -> (batch_id, doc_id, loss)
     """
     from nearline.functions.text import words
 
-    w = words(F.col(text_col))
-    toks = members.select("batch_id", "doc_id", F.size(w).alias("n"), F.posexplode(w).alias("pos", "term"))
-    toks = toks.withColumn("half", F.floor(F.col("n") * F.lit(float(ratio))))
-    # Tokens feed five branches; store them once instead of re-running the analysis.
-    toks = materialize(toks, "a8_tokens")
-    qc = toks.where(F.col("pos") < F.col("half")).groupBy("batch_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("qc"))
-    dc = toks.groupBy("batch_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("dc"), F.first("n").alias("n"))
-    qn = qc.groupBy("batch_id", "doc_id").agg(F.sqrt(F.sum(F.col("qc") * F.col("qc"))).alias("qn"))
-    dn = dc.groupBy("batch_id", "doc_id").agg(F.sqrt(F.sum(F.col("dc") * F.col("dc"))).alias("dn"))
-    ov = (qc.select("batch_id", F.col("doc_id").alias("i"), "term", "qc")
-          .join(dc.select("batch_id", F.col("doc_id").alias("j"), "term", "dc"), ["batch_id", "term"])
-          .groupBy("batch_id", "i", "j").agg(F.sum(F.col("qc") * F.col("dc")).alias("ov")))
-    mem = members.select("batch_id", "doc_id")
-    pairs = (mem.select("batch_id", F.col("doc_id").alias("i")).join(mem.select("batch_id", F.col("doc_id").alias("j")),
-                                                                      "batch_id")
-             .where(F.col("i") != F.col("j"))
-             .join(ov, ["batch_id", "i", "j"], "left")
-             .join(qn.withColumnRenamed("doc_id", "i"), ["batch_id", "i"], "left")
-             .join(dn.withColumnRenamed("doc_id", "j"), ["batch_id", "j"], "left"))
-    sim = F.coalesce(F.col("ov"), F.lit(0)) / (F.greatest(F.coalesce("qn", F.lit(0.0)), F.lit(1e-12)) *
-                                                F.greatest(F.coalesce("dn", F.lit(0.0)), F.lit(1e-12)))
-    wts = softmax_weights(pairs.select("batch_id", "i", "j", sim.alias("score")), temperature, exclude_diagonal=False)
-    second = toks.where(F.col("pos") >= F.col("half")).select("batch_id", F.col("doc_id").alias("i"), "pos", "term")
-    pj = dc.select("batch_id", F.col("doc_id").alias("j"), "term", (F.col("dc") / F.col("n")).alias("pj"))
-    mix = (second.join(wts.select("batch_id", "i", "j", "weight"), ["batch_id", "i"])
-           .join(pj, ["batch_id", "j", "term"], "left")
-           .groupBy("batch_id", "i", "pos").agg(F.sum(F.col("weight") * F.coalesce("pj", F.lit(0.0))).alias("mix")))
-    ctoks = corpus.select(F.explode(words(F.col(corpus_text))).alias("term"))
-    total = ctoks.agg(F.count(F.lit(1)).alias("N")).select("N").scalar()
-    bg = ctoks.groupBy("term").agg((F.count(F.lit(1)) / total).alias("pbg"))
-    has = wts.select("batch_id", "i").distinct().withColumn("_has", F.lit(True))
-    t = (second.join(mix, ["batch_id", "i", "pos"], "left").join(bg, "term").join(has, ["batch_id", "i"], "left"))
-    lam_i = F.when(F.col("_has").isNull(), F.lit(1.0)).otherwise(F.lit(float(lam)))
-    p = lam_i * F.col("pbg") + (1.0 - lam_i) * F.coalesce(F.col("mix"), F.lit(0.0))
-    return t.groupBy("batch_id", F.col("i").alias("doc_id")).agg((-F.avg(F.log(p))).alias("loss"))
+    if temperature is None or temperature <= 0:
+        raise ValueError(f"temperature must be above zero, got {temperature}")
+    kind = {c: members.schema[c].dataType.simpleString() for c in ("batch_id", "doc_id")}
+    # Texts are exchanged, and cut into words where they arrive.
+    toks = members.select("batch_id", "doc_id", F.col(text_col).alias("_text")).repartition("batch_id")
+    toks = toks.select("batch_id", "doc_id", words(F.col("_text")).alias("w"))
+    second = toks.groupBy("batch_id").applyInArrow(
+        _batch_mixture(float(temperature), float(ratio)),
+        f"batch_id {kind['batch_id']}, doc_id {kind['doc_id']}, term string, n bigint, mix double, paired boolean")
+    counts = corpus.select(F.explode(words(F.col(corpus_text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(counts, "a8_terms")
+    bg = counts.select("term", (F.col("c") / counts.agg(F.sum("c").alias("N")).select("N").scalar()).alias("pbg"))
+    lam_i = F.when(F.col("paired"), F.lit(float(lam))).otherwise(F.lit(1.0))
+    p = lam_i * F.col("pbg") + (1.0 - lam_i) * F.col("mix")
+    return (second.join(bg, "term").groupBy("batch_id", "doc_id")
+            .agg((-F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("loss")))
