@@ -29,9 +29,12 @@ def norm(v) -> Column:
 
 
 def l2_normalize(v, eps: float = 1e-12) -> Column:
-    """v / max(||v||, eps); a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(eps))
-    return F.transform(as_double(v), lambda x: x / n)
+    """v / max(||v||, eps); a zero vector stays zero.
+
+    Lambda arguments hold the vector and its norm, which are so evaluated once and not for each component.
+    """
+    scaled = lambda a: F.transform(F.array(F.greatest(norm(a), F.lit(eps))), lambda n: F.transform(a, lambda x: x / n))[0]
+    return F.transform(F.array(as_double(v)), scaled)[0]
 
 
 def cosine(a, b) -> Column:

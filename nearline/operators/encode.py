@@ -98,19 +98,19 @@ def hashing_encode(df: DataFrame, index: BM25Index, dim: int = 64, is_query: boo
     base = with_row_key(df.select(F.col(id_col).alias("id"), terms.alias("_terms")))
     tf = base.select("_nl_row", F.explode("_terms").alias("term")).groupBy("_nl_row", "term").agg(
         F.count(F.lit(1)).alias("tf"))
-    w = tf.join(index.terms.select("term", "idf"), "term")
-    return (base.select("id", "_nl_row").join(_hashed(w, "_nl_row", dim), "_nl_row", "left")
+    return (base.select("id", "_nl_row").join(_hashed(tf, index, "_nl_row", dim), "_nl_row", "left")
             .select("id", l2_normalize(_dense(dim)).alias("rep")))
 
 
-def _hashed(weights: DataFrame, key: str, dim: int) -> DataFrame:
-    """(key, _m): bucket -> summed signed weight of rows (key, term, tf, idf).
+def _hashed(tf: DataFrame, index: BM25Index, key: str, dim: int) -> DataFrame:
+    """(key, _m): bucket -> summed signed weight of rows (key, term, tf); a term is hashed once, where it is stored.
 
     Weights are rounded to 1e-9 and summed as integers, so the sum does not
     depend on the order of rows, and terms that cancel leave a plain zero.
     """
-    v = term_sign(F.col("term")) * F.col("tf") * F.col("idf")
-    w = weights.select(key, term_bucket(F.col("term"), dim).alias("bucket"), F.floor(v * 1e9 + 0.5).cast("bigint").alias("v"))
+    term = F.col("term")
+    terms = index.terms.select("term", term_bucket(term, dim).alias("bucket"), (term_sign(term) * F.col("idf")).alias("x"))
+    w = tf.join(terms, "term").select(key, "bucket", F.floor(F.col("tf") * F.col("x") * 1e9 + 0.5).cast("bigint").alias("v"))
     b = w.groupBy(key, "bucket").agg(F.sum("v").alias("v"))
     return b.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("_m"))
 
@@ -123,8 +123,7 @@ def _dense(dim: int) -> Column:
 def hashing_encode_index(index: BM25Index, dim: int = 64) -> DataFrame:
     """Hashing encoder of the indexed corpus itself, read off the stored postings
     (tf) instead of analysing the text again; equals ``hashing_encode`` on it."""
-    w = index.tf.join(index.terms.select("term", "idf"), "term")
-    return (index.docs.select("doc_id").join(_hashed(w, "doc_id", dim), "doc_id", "left")
+    return (index.docs.select("doc_id").join(_hashed(index.tf, index, "doc_id", dim), "doc_id", "left")
             .select(F.col("doc_id").alias("id"), l2_normalize(_dense(dim)).alias("rep")))
 
 
