@@ -5,9 +5,9 @@ in falling order of norm, in blocks of ``block_rows``; a search meets them in
 waves.  After each wave a query knows its k-th score, and of the blocks that
 follow it needs only those whose largest norm, times its own, can still reach
 that score.  As norms fall, these are a prefix: a query that needs nothing of
-the next block is finished.  Queries are packed by how far they have to reach,
-so that a whole block of queries is paired only with document blocks that one
-of its members needs; inside a pair the other members are left out.
+the next block is finished.  Runs of the blocks of a wave are groups: a query is
+sent once for each group that it may reach, and inside of it meets block after
+block as long as one can still enter its best k so far.
 
 The result equals ``knn_exact``.  Vectors of one length gain nothing: then no
 bound falls below a k-th score, and all blocks are read.
@@ -19,12 +19,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearline.operators.indexing import with_global_index
-from nearline.operators.search import rank_results, run_schema, top_pairs, usable
+from nearline.operators.search import (BestRows, document_groups, empty_run, id_order, inner_product, matrix, meet_groups, query_groups, rank_results, run_schema, usable,
+                                       whole)
 from nearline.session import materialize
 
 #: Relative room for the rounding of doubles in norms and products.
@@ -59,27 +60,40 @@ def norm_blocks(corpus: DataFrame, d_id: str = "id", d_vec: str = "rep", block_r
     return NormBlocks(d.drop("norm"), [(r[1], r[2]) for r in found])
 
 
-def _kernel(k: int, decimals: int | None):
-    def run(it):
-        for pdf in it:
-            for r in pdf.itertuples(index=False):
-                q_norm, floor = np.asarray(r.q_norm), np.asarray(r.q_floor, dtype=np.float64)
-                live = ~(q_norm * r.top * (1 + ROOM) < floor)  # a bound that is not a number keeps the query
-                if live.any():
-                    Q = np.asarray(r.q_flat, dtype=np.float64).reshape(len(q_norm), -1)[live]
-                    out = top_pairs(np.asarray(r.q_ids)[live], Q, np.asarray(r.d_ids), np.asarray(r.d_flat), k, decimals)
-                    yield out[~(out["score"] < np.repeat(floor[live], len(out) // int(live.sum())))]
-    return run
-
+#: Documents of neighbouring blocks that meet a block of queries at once.
+STEP_ROWS = 1024
+
+
+def _kernel(k: int, decimals: int | None, query_block: int, tops: list[float]):
+    """Kernel over queries (i, v, norm, floor) and a run of blocks (i, v, s): what can enter the best k of each query."""
+    def run(q: pa.Table, d: pa.Table) -> pa.Table:
+        if not q.num_rows or not d.num_rows:
+            return empty_run(q, d)
+        d = id_order(d)
+        q_ids, d_ids = whole(q.column("i")), whole(d.column("i"))
+        Q, D = matrix(whole(q.column("v"))).astype(np.float64), matrix(whole(d.column("v")))
+        q_norm, floor = (whole(q.column(c)).to_numpy(zero_copy_only=False) for c in ("norm", "floor"))
+        held = whole(d.column("s")).to_numpy(zero_copy_only=False)
+        places = np.argsort(held, kind="stable")  # by block, then id
+        held = held[places]
+        steps, lo = [], 0
+        while lo < len(held):  # whole blocks, in falling order of norm
+            hi = int(np.searchsorted(held, held[min(lo + STEP_ROWS, len(held)) - 1], side="right"))
+            steps.append((tops[held[lo]], np.sort(places[lo:hi])))
+            lo = hi
+        best = BestRows(len(Q), k, decimals)
+        for lo in range(0, len(Q), query_block):
+            rows = np.arange(lo, min(len(Q), lo + query_block))
+            for top, at in steps:
+                # A bound that is not a number keeps the query.
+                rows = rows[~(q_norm[rows] * top * (1 + ROOM) < np.maximum(floor[rows], best.floor[rows]))]
+                if not len(rows):
+                    break
+                best.meet(rows, Q[rows], at, D[at], inner_product)
+        best.places[best.scores < floor[:, None]] = -1
+        return best.table(q_ids, d_ids)
 
-def _pack_queries(q: DataFrame, rows: int) -> DataFrame:
-    """Queries in blocks of ``rows`` by how far they reach: (b, reach, q_ids, q_flat, q_norm, q_floor)."""
-    m = F.struct("i", "v", "norm", "floor")
-    g = (with_global_index(q, ["reach", "row"], "at").groupBy((F.col("at") / rows).cast("int").alias("b"))
-         .agg(F.min("reach").alias("reach"), F.count(F.lit(1)).alias("n"), F.collect_list(m).alias("m")))
-    part = lambda c: F.transform("m", lambda s: s[c])
-    return g.select("b", "reach", "n", part("i").alias("q_ids"), F.flatten(part("v")).alias("q_flat"),
-                    part("norm").alias("q_norm"), part("floor").alias("q_floor"))
+    return run
 
 
 def knn_norm_bounded(queries: DataFrame, corpus: DataFrame | NormBlocks, k: int = 1000, q_id: str = "id", q_vec: str = "rep",
@@ -89,7 +103,7 @@ def knn_norm_bounded(queries: DataFrame, corpus: DataFrame | NormBlocks, k: int
 
     The first wave holds the blocks that give k scores, each further one
     ``growth`` times as many.  ``report`` takes (first block, end block, vector
-    pairs in its block pairs, vector pairs of all queries and blocks) per wave.
+    pairs of queries and blocks that they may reach, vector pairs of all queries and blocks) per wave.
     Nulls, ties and id types are treated as ``knn_exact`` does.
     """
     spark = queries.sparkSession
@@ -100,10 +114,9 @@ def knn_norm_bounded(queries: DataFrame, corpus: DataFrame | NormBlocks, k: int
     q = materialize(q.withColumn("norm", norm("v")).withColumn("row", F.monotonically_increasing_id()), "norm-queries")
     total = q.count()
     best, at = spark.createDataFrame([], schema), 0
+    kernel = _kernel(k, decimals, query_block, [float(top) for top, _ in index.blocks])
     slack = 0.0 if decimals is None else 10.0 ** -decimals
     tops = spark.createDataFrame([(s, float(top), n) for s, (top, n) in enumerate(index.blocks)], "s int, top double, rows long")
-    packed = (index.rows.groupBy("s").agg(F.collect_list(F.struct("i", "v")).alias("m"))
-              .select("s", F.transform("m", lambda x: x["i"]).alias("d_ids"), F.flatten(F.transform("m", lambda x: x["v"])).alias("d_flat")))
     end, size, needed = 0, 0, 0
     for _, n in index.blocks:
         if needed >= k:
@@ -122,22 +135,18 @@ def knn_norm_bounded(queries: DataFrame, corpus: DataFrame | NormBlocks, k: int
         left = live.count()
         if left == 0:
             break
-        wave = end - at
-        groups = max(1, min(left, math.ceil(2 * parts / wave)))
-        rows = max(1, min(query_block, math.ceil(left / groups)))
-        blocks = materialize(_pack_queries(live, rows), "norm-packed")
-        limits = tops.where(F.col("s").between(at, end - 1))
-        pairs = (blocks.withColumn("s", F.explode(F.sequence(F.lit(at), F.lit(end - 1))))
-                 .join(limits, "s").where(F.col("reach") <= F.col("top")))
         if report is not None:
-            met = pairs.agg(F.coalesce(F.sum(F.col("n") * F.col("rows")), F.lit(0))).first()[0]
-            report.append((at, end, met, total * sum(n for _, n in index.blocks[at:end])))
-        n = max(parts, min(2 * wave * groups, 4 * parts))
-        cell = lambda g: F.col("s").cast("bigint") * groups + g
-        docs = packed.where(F.col("s").between(at, end - 1)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        grid = (pairs.withColumn("cell", cell(F.col("b") % groups)).drop("s").repartition(n, "cell")
-                .join(docs.withColumn("cell", cell(F.col("g"))).drop("s").repartition(n, "cell"), "cell"))
-        local = grid.select("q_ids", "q_flat", "q_norm", "q_floor", "top", "d_ids", "d_flat").mapInPandas(_kernel(k, decimals), schema)
+            met = live.join(tops.where(F.col("s").between(at, end - 1)), F.col("reach") <= F.col("top"))
+            report.append((at, end, met.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], total * sum(n for _, n in index.blocks[at:end])))
+        # A run of blocks is a group; a query is sent once for each group that it may reach.
+        run = math.ceil((end - at) / document_groups(sum(n for _, n in index.blocks[at:end]), parts))
+        firsts = range(at, end, run)
+        q_groups = query_groups(left, len(firsts), parts)
+        groups = spark.createDataFrame([(g, float(index.blocks[s][0])) for g, s in enumerate(firsts)], "dg int, top double")
+        asking = live.crossJoin(F.broadcast(groups)).where(F.col("reach") <= F.col("top"))
+        asking = asking.select("dg", F.pmod(F.xxhash64("row"), F.lit(q_groups)).cast("int").alias("qg"), "i", "v", "norm", "floor")
+        docs = index.rows.where(F.col("s").between(at, end - 1)).select(((F.col("s") - at) / run).cast("int").alias("dg"), "i", "v", "s")
+        local = meet_groups(asking, docs, len(firsts), q_groups, kernel, schema)
         best = materialize(rank_results(best.unionByName(local), k).select("qid", "docid", "score"), "norm-best")
         at, size = end, size * growth
     return rank_results(best, k).select("qid", "docid", "rank", "score")

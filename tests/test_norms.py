@@ -65,3 +65,21 @@ def test_blocks_are_stored_in_falling_norm_and_reused(spark):
     assert tops == sorted(tops, reverse=True)
     q = table(spark, X[:9], 900)
     assert rows(N.knn_norm_bounded(q, index, k=3)) == rows(S.knn_exact(q, table(spark, X), k=3))
+
+
+def test_a_query_is_sent_once_for_a_group_of_blocks(spark, monkeypatch):
+    """It was sent once for each of the blocks that it may reach."""
+    X = np.random.default_rng(6).standard_normal((120, 4))
+    sent = []
+    meet = N.meet_groups
+
+    def watched(q, d, *args):
+        sent.append(q.count())
+        return meet(q, d, *args)
+
+    monkeypatch.setattr(N, "meet_groups", watched)
+    monkeypatch.setattr(N, "STEP_ROWS", 7)
+    d = table(spark, X / np.sqrt((X * X).sum(1, keepdims=True)))
+    got = N.knn_norm_bounded(d, d, k=3, block_rows=5, query_block=8, growth=100)
+    assert sent == [120, 120]  # 24 blocks in two waves
+    assert rows(got) == rows(S.knn_exact(d, d, k=3))
