@@ -15,6 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +121,25 @@ def _dense(dim: int) -> Column:
                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0)).cast("double") / 1e9)
 
 
+def md5_term_ids(docs: DataFrame, size: int) -> DataFrame:
+    """(id, terms ARRAY<INT>) of ``docs(id, terms)``: the first 8 hex digits of a term's md5, modulo ``size``.
+
+    A term is hashed once for each batch of documents.
+    """
+    def run(batches):
+        for b in batches:
+            terms = b.column(1)
+            coded = terms.flatten().dictionary_encode()
+            known = [None if t is None else int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % size for t in coded.dictionary.to_pylist()]
+            at = pa.array(known, pa.int32()).take(coded.indices)
+            sizes = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, at)], ["id", "terms"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "terms").mapInArrow(run, f"id {kind}, terms array<int>")
+
+
 def hashing_encode_index(index: BM25Index, dim: int = 64) -> DataFrame:
     """Hashing encoder of the indexed corpus itself, read off the stored postings
     (tf) instead of analysing the text again; equals ``hashing_encode`` on it."""

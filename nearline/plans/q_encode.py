@@ -167,8 +167,8 @@ FROM s QUALIFY rank <= 10
 def _sparse(spark, sf_dir):
     q = E.unicoil_pool(token_weights(spark, sf_dir))
     docs = B.analyze(table(spark, sf_dir, "documents"), "doc_id", "text")
-    d = (docs.select("id", F.explode("terms").alias("term"))
-         .select("id", F.pmod(hex8(F.md5("term")), F.lit(30000)).cast("int").alias("term_id"))
+    # Documents are exchanged once, as arrays; the counts need no other exchange.
+    d = (E.md5_term_ids(docs, 30000).repartition("id").select("id", F.explode("terms").alias("term_id"))
          .groupBy("id", "term_id").agg(F.count(F.lit(1)).cast("double").alias("weight")))
     return q, d
 
