@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearline.operators.ann import _matrix, cell_search
+from nearline.operators.ann import _matrix, bucket_search
 from nearline.operators.quantize import minus_squared_l2
 from nearline.operators.search import knn_exact, usable
 from nearline.session import materialize
@@ -101,8 +101,8 @@ def probing_fit(reps: DataFrame, k: int = 10, tables: int = 6, bucket_rows: int
     return HashTables(rng.standard_normal((tables, hashes, X.shape[1])), rng.uniform(0, width, (tables, hashes)), width)
 
 
-def hash_cells(reps: DataFrame, model: HashTables, probes: int = 1, id_name: str = "id") -> DataFrame:
-    """Stored (id, rep, cell): a row for each of the first ``probes`` buckets of each table."""
+def _hash_keys(reps: DataFrame, model: HashTables, probes: int, id_name: str) -> DataFrame:
+    """(id, rep, keys): the first ``probes`` buckets of each table, by table."""
     bc = reps.sparkSession.sparkContext.broadcast((model, rank_sets(model.planes.shape[1], probes)))
 
     @F.pandas_udf("array<array<array<bigint>>>")
@@ -114,10 +114,15 @@ def hash_cells(reps: DataFrame, model: HashTables, probes: int = 1, id_name: str
         keys = np.stack([probe_keys(at[:, t], sets) for t in range(at.shape[1])], axis=1)
         return pd.Series(keys.tolist())
 
-    reps = reps.where(usable("rep"))
-    cells = reps.select(F.col("id").alias(id_name), "rep", F.posexplode(buckets("rep")).alias("t", "keys"))
-    cells = cells.select(id_name, "rep", "t", F.explode("keys").alias("key"))
-    return materialize(cells.select(id_name, "rep", F.struct("t", "key").alias("cell")), "hash_cells")
+    return reps.where(usable("rep")).select(F.col("id").alias(id_name), "rep", buckets("rep").alias("keys"))
+
+
+def hash_cells(reps: DataFrame, model: HashTables, probes: int = 1, id_name: str = "id") -> DataFrame:
+    """Stored (id, rep, cell, keys): a row for each of the first ``probes`` buckets of each table; the first has all keys."""
+    cells = _hash_keys(reps, model, probes, id_name).select(id_name, "rep", "keys", F.posexplode("keys").alias("t", "own"))
+    cells = cells.select(id_name, "rep", "t", "keys", F.posexplode("own").alias("probe", "key"))
+    first = F.when((F.col("t") == 0) & (F.col("probe") == 0), F.col("keys"))
+    return materialize(cells.select(id_name, "rep", F.struct("t", "key").alias("cell"), first.alias("keys")), "hash_cells")
 
 
 def multiprobe_search(queries: DataFrame, index: DataFrame, model: HashTables, k: int = 10, probes: int = 8, **kw) -> DataFrame:
@@ -125,7 +130,9 @@ def multiprobe_search(queries: DataFrame, index: DataFrame, model: HashTables, k
 
     ``index`` is ``hash_cells(corpus, model)``.  ``score=`` goes to the kernel.
     """
-    return cell_search(hash_cells(queries, model, probes, "qid"), index, k, dedupe=True, **kw)
+    tables, hashes = model.planes.shape[:2]
+    values = tables * len(rank_sets(hashes, probes)) * hashes
+    return bucket_search(_hash_keys(queries, model, probes, "qid"), index.where(F.col("keys").isNotNull()), k, values, **kw)
 
 
 def opened_share(queries: DataFrame, index: DataFrame, model: HashTables, probes: int) -> float:
