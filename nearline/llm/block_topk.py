@@ -4,12 +4,14 @@ Vectors are integer rows whose components play the part of terms.  Documents are
 put in range order of a sign code and their id, and cut into blocks; a block
 keeps the maximum and the minimum of each term beside its rows (its forward
 index).  For a query the sum over terms of the larger of weight * maximum and
-weight * minimum bounds every score in the block.  Blocks are visited in falling
-order of that bound and scored exactly, until the bound falls below the k-th
+weight * minimum bounds every score in the block.  The block of highest bound is
+scored first; the others follow in falling order of the highest bound that any
+query of the group has there, for the queries whose bound is not below the k-th
 score found so far.
 
-A task holds one slab (some blocks) and one group of queries, and returns k rows
-per query; the rest is a top-k by rank over slabs.  Query groups are dealt to a
+A task holds one slab (some blocks) and one group of queries at a time, carries
+their k-th scores from slab to slab of a cell, and returns k rows per query and
+cell; the rest is a top-k by rank over cells.  Query groups are dealt to a
 fixed number of cells, so nothing is broadcast and no side is held whole.
 """
 
@@ -23,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, SLAB, QUERIES = 128, 4096, 256
+BLOCK, SLAB, QUERIES = 128, 4096, 1024
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -61,11 +64,39 @@ def _matrix(raw: bytes, wide: bool, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.int64 if wide else np.int32).astype(np.int64).reshape(n, -1)
 
 
-def search_slab(query_ids, queries, ids, rows, k: int, block: int = BLOCK):
-    """Top-k of each query in one slab: (query positions, ids, scores); rows of the query's own id are left out."""
+def _no_rows(nq: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, ids, how many) of ``nq`` queries that have met no row."""
+    return np.full((nq, k), LEAST), np.full((nq, k), MOST), np.zeros(nq, dtype=np.int64)
+
+
+def _merge(held, at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> None:
+    """Put rows (query position, id, score) into the best so far; equal scores go to the smaller id."""
+    best, best_id, found = held
+    who, turn = np.unique(at, return_inverse=True)
+    owner = np.concatenate([np.repeat(np.arange(len(who)), k), turn])
+    none = np.concatenate([(np.arange(k)[None, :] >= found[who][:, None]).ravel(), np.zeros(len(at), dtype=bool)])
+    all_s, all_i = np.concatenate([best[who].ravel(), score]), np.concatenate([best_id[who].ravel(), ids])
+    order = np.lexsort((all_i, ~all_s, none, owner))
+    first = np.searchsorted(owner[order], np.arange(len(who)))
+    order = order[first[:, None] + np.arange(k)[None, :]]
+    best[who], best_id[who] = all_s[order], all_i[order]
+    found[who] = np.minimum(k, found[who] + np.bincount(turn, minlength=len(who)))
+
+
+def search_slab(query_ids, queries, ids, rows, k: int, block: int = BLOCK, held=None):
+    """Top-k of each query in one slab: (query positions, ids, scores); rows of the query's own id are left out.
+
+    ``held`` (scores, ids, how many) has the best of earlier slabs; it is brought up to
+    date, and its k-th scores spare blocks of this one.
+    """
     nq, d = queries.shape
-    exact = d * float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) < 2**52
-    kind = np.float64 if exact else np.int64  # sums below 2**53 are exact in doubles
+    held = held or _no_rows(nq, k)
+    best, best_id, found = held
+    if not k:
+        return np.zeros(0, np.int64), best_id.ravel(), best.ravel()
+    most = d * float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0))
+    exact = most < 2**52
+    kind = np.float32 if most < 2**23 else np.float64 if exact else np.int64  # sums below 2**24 and 2**53 are exact in floats and doubles
     q, r = queries.astype(kind), rows.astype(kind)
     starts = np.arange(0, len(ids), block)
     high, low = np.maximum.reduceat(r, starts), np.minimum.reduceat(r, starts)
@@ -73,30 +104,31 @@ def search_slab(query_ids, queries, ids, rows, k: int, block: int = BLOCK):
         bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     else:  # a bound could overflow: visit every block
         bound = np.full((nq, len(starts)), np.inf)
-    visit = np.argsort(-bound, axis=1, kind="stable")
-    best = np.full((nq, k), -np.inf if exact else np.iinfo(np.int64).min, dtype=kind)
-    best_id = np.full((nq, k), np.iinfo(np.int64).max)
-    found = np.zeros(nq, dtype=np.int64)
-    every = np.arange(nq)
-    for step in range(len(starts)):
-        b = visit[:, step]
-        live = every[(found < k) | (bound[every, b] >= best[:, -1])]
-        if not len(live):
-            break
-        for x in np.unique(b[live]):
-            who = live[b[live] == x]
-            at = slice(starts[x], starts[x] + block)
-            score = q[who] @ r[at].T
-            cand = np.broadcast_to(ids[at], score.shape)
-            own = cand == query_ids[who][:, None]
-            all_s = np.concatenate([best[who], np.where(own, best.dtype.type(-np.inf) if exact else np.iinfo(np.int64).min, score)], axis=1)
-            all_i = np.concatenate([best_id[who], np.where(own, np.iinfo(np.int64).max, cand)], axis=1)
-            top = np.lexsort((all_i, -all_s), axis=-1)[:, :k] if exact else np.lexsort((all_i, ~all_s), axis=-1)[:, :k]
-            best[who] = np.take_along_axis(all_s, top, 1)
-            best_id[who] = np.take_along_axis(all_i, top, 1)
-            found[who] = np.minimum(k, found[who] + (~own).sum(axis=1))
+    lowest = -np.inf if exact else LEAST
+
+    def visit(x: int, who: np.ndarray) -> None:
+        at = slice(starts[x], starts[x] + block)
+        score = (q if len(who) == nq else q[who]) @ r[at].T
+        may = score >= np.where(found[who] < k, lowest, best[who, -1]).astype(kind)[:, None]
+        may &= ids[at][None, :] != query_ids[who][:, None]
+        if score.shape[1] > k and np.count_nonzero(may) > 4 * k * len(who):
+            part = np.where(may, score, lowest).astype(kind, copy=False)
+            may &= score >= np.partition(part, -k, axis=1)[:, -k, None]
+        a, c = np.nonzero(may)
+        if len(a):
+            _merge(held, who[a], ids[at][c], score[a, c].astype(np.int64), k)
+
+    opened = np.argmax(bound, axis=1)  # the most promising block of a query gives its first k-th score
+    for x in np.unique(opened):
+        some = np.flatnonzero((opened == x) & ((found < k) | (bound[:, x] >= best[:, -1])))
+        if len(some):
+            visit(x, some)
+    for x in np.argsort(-bound.max(axis=0, initial=lowest), kind="stable"):
+        live = np.flatnonzero((opened != x) & ((found < k) | (bound[:, x] >= best[:, -1])))
+        if len(live):
+            visit(x, live)
     real = np.arange(k)[None, :] < found[:, None]
-    return np.repeat(every, found), best_id[real], best[real].astype(np.int64)
+    return np.repeat(np.arange(nq), found), best_id[real], best[real]
 
 
 def block_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
@@ -123,16 +155,31 @@ def block_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                       F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, None
+
+        def answer() -> pa.RecordBatch:
+            best, best_id, found = held
+            real, at = np.arange(k)[None, :] < found[:, None], np.repeat(np.arange(len(found)), found)
+            mark = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in q], dtype=np.uint64).view(np.int64)
+            return pa.RecordBatch.from_pydict({"query_id": qid[at], "mark": mark[at], "vec_id": best_id[real], "score": best[real]})
+
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                qid, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q = _matrix(r["q_rows"], r["q_wide"], len(qid))
-                at, got, score = search_slab(qid, q, ids, _matrix(r["rows"], r["wide"], len(ids)), k)
-                mark = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in q], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"query_id": qid[at], "mark": mark[at], "vec_id": got, "score": score})
-
-    found = groups.join(slabs, ["cell", "dim"]).select("q_ids", "q_wide", "q_rows", "ids", "wide", "rows").mapInArrow(
+                if group != (r["q_ids"], r["q_wide"], r["q_rows"]):  # the slabs of a group follow each other
+                    if held is not None:
+                        yield answer()
+                    group, qid = (r["q_ids"], r["q_wide"], r["q_rows"]), np.frombuffer(r["q_ids"], np.int64)
+                    q = _matrix(r["q_rows"], r["q_wide"], len(qid))
+                    held = _no_rows(len(qid), k)
+                ids = np.frombuffer(r["ids"], np.int64)
+                search_slab(qid, q, ids, _matrix(r["rows"], r["wide"], len(ids)), k, held=held)
+        if held is not None:
+            yield answer()
+
+    # The explicit count keeps the few packed rows, each a matrix product, in many tasks; a group repeats in each cell, so it must not be broadcast.
+    pairs = groups.repartition(cells, "cell", "dim").hint("merge").join(slabs.repartition(cells, "cell", "dim"), ["cell", "dim"])
+    found = pairs.select("q_ids", "q_wide", "q_rows", "ids", "wide", "rows").mapInArrow(
         run, "query_id long, mark long, vec_id long, score long")
     best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

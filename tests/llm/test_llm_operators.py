@@ -536,3 +536,23 @@ def test_topk_prunes_blocks_and_stays_exact():
     huge = np.array([[2**31, 1], [2**31 - 1, 5]])
     _, i, s = block_topk.search_slab(np.array([-1]), np.array([[2**31, 3]]), np.array([1, 2]), huge, 2)
     assert i.tolist() == [1, 2] and s[0] == 2**62 + 3
+
+
+def test_topk_carries_the_best_from_slab_to_slab():
+    rng = np.random.default_rng(3)
+    for mag in (4, 2**20, 2**30):  # floats, doubles, integers
+        rows, q = rng.integers(-mag, mag, (900, 5)), rng.integers(-mag, mag, (20, 5))
+        ids, own = rng.permutation(900), np.arange(20)
+        held = block_topk._no_rows(20, 4)
+        for at in (slice(0, 3), slice(3, 500), slice(500, 900)):
+            a, i, s = block_topk.search_slab(own, q, ids[at], rows[at], 4, held=held)
+        for x in range(20):
+            score = q[x] @ rows.T
+            best = sorted((-int(v), int(j)) for v, j in zip(score, ids) if j != x)[:4]
+            assert [(-int(v), int(j)) for v, j in zip(s[a == x], i[a == x])] == best
+
+
+def test_topk_groups_are_not_broadcast(spark):
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(*[F.rand(n).cast("float") for n in range(4)]).alias("embedding"))
+    plan = block_topk.block_topk(df, df.where("vec_id % 50 = 0"), cells=30)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and plan.count("hashpartitioning(cell") == 2
