@@ -175,8 +175,9 @@ def _windows(slabs: DataFrame, anchors: DataFrame, same_label: bool, wide: int,
     names = ("rows", "summary", "labels", "ids")
     groups = groups.select("dim", *[F.col(c).alias(f"a_{c}") for c in names], "marks", "lows", "highs",
                            F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    # The explicit count keeps the few packed rows, each a matrix product, in many tasks.
-    pairs = groups.repartition(cells, "cell").join(slabs.repartition(cells, "cell"), ["cell", "dim"])
+    # The explicit count keeps the few packed rows, each a matrix product, in many tasks.  A group repeats in
+    # each cell, which the plan's estimate of its size leaves out: without the hint it is broadcast through the driver.
+    pairs = groups.repartition(cells, "cell").hint("merge").join(slabs.repartition(cells, "cell"), ["cell", "dim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

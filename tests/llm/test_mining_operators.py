@@ -134,6 +134,12 @@ def test_hard_negatives_windows_and_empty(spark):
     assert segment_negatives.hard_negatives(df, df.limit(0)).count() == 0
 
 
+def test_anchor_groups_are_not_broadcast(spark):
+    df = spark.createDataFrame(vector_rows(120), VECTORS)
+    plan = segment_negatives.hard_negatives(df, df.where("vec_id < 40"), cells=30)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [cell" not in plan and "SortMergeJoin [cell" in plan
+
+
 def test_segment_bounds_hold_and_prune():
     rng = np.random.default_rng(5)
     # Vectors whose segments differ in mean, so that summaries say much.
