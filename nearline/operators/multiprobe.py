@@ -128,11 +128,20 @@ def hash_cells(reps: DataFrame, model: HashTables, probes: int = 1, id_name: str
 def multiprobe_search(queries: DataFrame, index: DataFrame, model: HashTables, k: int = 10, probes: int = 8, **kw) -> DataFrame:
     """Top k among the vectors in the first ``probes`` buckets of each table; each candidate counts once.
 
-    ``index`` is ``hash_cells(corpus, model)``.  ``score=`` goes to the kernel.
+    ``index`` is ``hash_cells(corpus, model)``.  ``score=`` goes to the kernel.  Only ids and vectors
+    are sent; the tasks make the buckets of both sides from them.
     """
     tables, hashes = model.planes.shape[:2]
-    values = tables * len(rank_sets(hashes, probes)) * hashes
-    return bucket_search(_hash_keys(queries, model, probes, "qid"), index.where(F.col("keys").isNotNull()), k, values, **kw)
+    bc = queries.sparkSession.sparkContext.broadcast((model, rank_sets(hashes, probes)))
+
+    def hashed(Q: np.ndarray, D: np.ndarray):
+        model, sets = bc.value
+        at, homes = model.places(Q), np.floor(model.places(D)).astype(np.int64)
+        return ((probe_keys(at[:, t], sets), homes[:, t]) for t in range(tables))
+
+    values = len(bc.value[1]) * max(tables, hashes)  # a table's keys at a time, then a number for each of all
+    q = queries.where(usable("rep")).select(F.col("id").alias("qid"), "rep")
+    return bucket_search(q, index.where(F.col("keys").isNotNull()).select("id", "rep"), k, values, hashed=hashed, **kw)
 
 
 def opened_share(queries: DataFrame, index: DataFrame, model: HashTables, probes: int) -> float:

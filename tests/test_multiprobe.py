@@ -57,3 +57,16 @@ def test_unusable_and_equal_vectors(spark):
     assert pairs(run) == {(1, 1), (1, 2), (2, 1), (2, 2)}
     with pytest.raises(ValueError):
         M.probing_fit(r.limit(0))
+
+
+def test_keys_are_not_sent(spark):
+    """Only ids and vectors are exchanged: many probes make no row longer, and no group smaller."""
+    X = clustered(300, dim=8)
+    r = table(spark, X)
+    model = M.probing_fit(r, k=5, tables=4, bucket_rows=5)
+    index = M.hash_cells(r, model)
+    run = M.multiprobe_search(r, index, model, k=5, probes=20, score=Z.minus_squared_l2)
+    plan = run._jdf.queryExecution().optimizedPlan().toString()
+    met = [line for line in plan.splitlines() if "FlatMapCoGroupsInArrow" in line or "CoGroup" in line]
+    assert met and not any("keys" in line for line in met) and "buckets(" not in plan
+    assert len(pairs(run)) == 1500
