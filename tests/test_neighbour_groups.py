@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from nearline.operators import lexical as L
+from nearline.session import materialize, stored_tables
 
 
 def _docs(spark, n=90, copies=3):
@@ -43,3 +44,29 @@ def test_documents_are_sent_to_few_groups(spark):
     assert s * c >= 24 and 12 * s + 4 * c < 100
     plan = L.build_batches(L.bm25_index(L.analyze(_docs(spark))), seed_block=4, cand_block=4)._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "sequence(0, 0" in plan
+
+
+@pytest.mark.parametrize("step", [1, 1200])
+def test_waves_of_candidate_groups_equal_brute_force(spark, monkeypatch, step):
+    """Where more would be sent than ``WAVE_POSTINGS``, groups of candidates are sent and stored one after another."""
+    for name, value in {"SEED_POSTINGS": 300, "CAND_POSTINGS": 150, "WAVE_POSTINGS": step}.items():
+        monkeypatch.setattr(L, name, value)
+    docs = _docs(spark)
+    index = L.bm25_index(L.analyze(docs))
+    with stored_tables(spark) as stored:
+        run = L.build_batches(index, docs, top_k=6, exclude_same_text=True, decimals=5)
+        assert sum("bm25_wave" in path for path in stored) > 1
+        assert "FlatMapCoGroupsInArrow" not in run._jdf.queryExecution().toString()
+        got = run.collect()
+    want = _want(docs, index, 5, 5, True)
+    assert sorted(tuple(r)[:3] for r in got) == [w[:3] for w in want]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: local.getAllFiles().mkString(" ").count("shuffle_")
+    before = shuffled()
+    materialize(spark.range(1000).repartition(5, "id"), "no_shuffle")
+    assert shuffled() <= before
+    spark.range(1000).repartition(5, "id").write.mode("overwrite").format("noop").save()
+    assert shuffled() > before  # what is not stored is left to Spark
