@@ -228,14 +228,15 @@ def redact(found: DataFrame, text_col: str = "text", mask: str = "[secret]") ->
                                   F.element_at(acc, F.lit(-1))["start"].alias("start"),
                                   F.greatest(F.element_at(acc, F.lit(-1))["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    name = "__cuts"
-    while name in found.columns:
-        name += "_"
-    cuts = F.col(name)
     text = F.col(f"`{text_col}`")
-    pieces = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.substring(
-        text, F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"]) + 1,
-        F.when(i == F.size(cuts), F.length(text)).otherwise(F.get(cuts, i)["start"])
-        - F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"])))
-    done = F.when(F.size("secret_spans") > 0, F.array_join(pieces, mask)).otherwise(text)
-    return found.withColumn(name, merged).withColumn(text_col, done).drop(name, "secret_spans")
+
+    def masked(cuts):
+        pieces = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.substring(
+            text, F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"]) + 1,
+            F.when(i == F.size(cuts), F.length(text)).otherwise(F.get(cuts, i)["start"])
+            - F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"])))
+        return F.when(F.size(cuts) > 0, F.array_join(pieces, mask)).otherwise(text)
+
+    # The merged spans are bound once: a filter on the text, which the plan moves below, would repeat them for each use.
+    done = F.get(F.transform(F.array(merged), masked), F.lit(0))
+    return found.withColumn(text_col, done).drop("secret_spans")
